@@ -5,13 +5,15 @@ shingles. Shingles have one global order: rare ones by hash, then those that are
 by count). Two sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of each; classes that share
 one of these are a group.
 
-1. In every group all classes are checked against the group's smallest class (its hub). The classes of a hub are stored
-   in a trie of their ordered sets, which the hub's set traverses: classes with a common beginning share the count of
-   matches so far, and a subtree is left as soon as its sets can't reach the threshold with what remains of them.
-2. Links found give components. Groups whose classes are all in one component are done: nothing in them can link anew.
-   In the others the classes of different components are checked against each other, again by a trie, which skips
-   subtrees of the own component. Large groups are cut into blocks, and blocks are paired; groups with the same members
-   are checked once.
+1. The smallest class of a group is its hub. Each class is checked against one of its hubs. The classes of a hub are
+   stored in a trie of their ordered sets, which the hub's set traverses: classes with a common beginning share the count
+   of matches so far, and a subtree is left as soon as its sets can't reach the threshold with what remains of them.
+2. Links found give components. Only pairs of different components are left to check: those of a class and another of its
+   hubs, and, in groups whose further classes aren't all in one component, those of two such classes. The latter are first
+   compared by signatures: counts of their shingles by hash bucket, a few hundred bytes a class. The sum of the smaller
+   counts is an upper bound of the intersection, so a pair below the threshold can't link. What passes is checked by the
+   trie as in step 1. Large groups are cut into blocks, and blocks are paired; groups with the same members are compared
+   once.
 3. Components of all links.
 
 So no link between components is missed, but the pairs of a large group of copies are never listed. Rows of copies join
@@ -55,50 +57,47 @@ class SetTrie:
 
     def __init__(self, percent: int = PERCENT):
         self.percent = percent
-        self.root = self._node((), set())
+        self.root = self._node(())
 
     @staticmethod
-    def _node(run: tuple, labels: set) -> dict:
-        return {"run": run, "kids": {}, "ends": [], "labels": labels, "least": 1 << 60, "most": 0}
+    def _node(run: tuple) -> dict:
+        return {"run": run, "kids": {}, "ends": [], "least": 1 << 60, "most": 0}
 
-    def insert(self, tokens: tuple, item: int, label: int) -> None:
+    def insert(self, tokens: tuple, item: int) -> None:
         node, at, n = self.root, 0, len(tokens)
-        self._touch(node, n, label)
+        self._touch(node, n)
         while at < n:
             kid = node["kids"].get(tokens[at])
             if kid is None:
-                kid = self._node(tokens[at:], set())
+                kid = self._node(tokens[at:])
                 node["kids"][tokens[at]] = kid
-                self._touch(kid, n, label)
+                self._touch(kid, n)
                 node, at = kid, n
                 break
             run, own = kid["run"], 0
             while own < len(run) and at + own < n and run[own] == tokens[at + own]:
                 own += 1
             if own < len(run):  # the run parts here
-                upper = self._node(run[:own], set(kid["labels"]))
+                upper = self._node(run[:own])
                 upper["least"], upper["most"] = kid["least"], kid["most"]
                 kid["run"] = run[own:]
                 upper["kids"][run[own]] = kid
                 node["kids"][tokens[at]] = upper
                 kid = upper
-            self._touch(kid, n, label)
+            self._touch(kid, n)
             node, at = kid, at + own
-        node["ends"].append((item, label, n))
+        node["ends"].append((item, n))
 
     @staticmethod
-    def _touch(node: dict, n: int, label: int) -> None:
-        node["labels"].add(label)
+    def _touch(node: dict, n: int) -> None:
         node["least"], node["most"] = min(node["least"], n), max(node["most"], n)
 
-    def matches(self, tokens: tuple, skip: int | None = None) -> list[int]:
-        """The items whose sets reach the threshold with tokens; subtrees of the label skip alone are left out."""
+    def matches(self, tokens: tuple) -> list[int]:
+        """The items whose sets reach the threshold with tokens."""
         have, a, found = frozenset(tokens), len(tokens), []
         stack = [(self.root, 0, 0)]
         while stack:
             node, depth, overlap = stack.pop()
-            if skip is not None and len(node["labels"]) == 1 and skip in node["labels"]:
-                continue
             least, most, run = node["least"], node["most"], node["run"]
             if 100 * min(a, most) < self.percent * max(a, least):  # no set below has a size near enough
                 continue
@@ -113,13 +112,37 @@ class SetTrie:
                     break
             if dead:
                 continue
-            for item, label, n in node["ends"]:
-                if label != skip and overlap >= min_overlap(a, n, self.percent):
+            for item, n in node["ends"]:
+                if overlap >= min_overlap(a, n, self.percent):
                     found.append(item)
             stack += [(kid, depth, overlap) for kid in node["kids"].values()]
         return found
 
 
+FULL = 1 << 20
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """Counts by the first bits of the hash, about two shingles a bucket, one byte each (255: that many or more)."""
+    bits = min(11, max(5, (len(hashes) // 2).bit_length()))
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def read_signature(raw: bytes) -> np.ndarray:
+    s = np.frombuffer(raw, np.uint8).astype(np.int32)
+    s[s == 255] = FULL
+    return s
+
+
+def most_overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """An upper bound of two sets' intersection by their signatures."""
+    while len(a) > len(b):
+        a = a[::2] + a[1::2]
+    while len(b) > len(a):
+        b = b[::2] + b[1::2]
+    return int(np.minimum(a, b).sum())
+
+
 class GlobalOrder:
     """Hash -> order key: rare shingles by hash, then the frequent ones by count."""
 
@@ -169,15 +192,16 @@ def class_rows(docs: DataFrame, k: int) -> DataFrame:
                 if n is not None and n not in seen:
                     seen.add(n)
                     new.append(i)
-            size, blob = [None] * len(rows), [None] * len(rows)
+            size, blob, sig = ([None] * len(rows) for _ in range(3))
             for first, part in chunks([rows[i] for i in new]):
                 for j, s in enumerate(shingle_sets(part, k)):
-                    size[new[first + j]], blob[new[first + j]] = len(s), pack(part[j])
-            yield {"doc_id": ids, "node": nodes, "n": size, "blob": blob}
+                    at = new[first + j]
+                    size[at], blob[at], sig[at] = len(s), pack(part[j]), signature(s)
+            yield {"doc_id": ids, "node": nodes, "n": size, "blob": blob, "sig": sig}
 
         return step
 
-    return map_batches(only(docs, "doc_id", "text"), make, "doc_id bigint, node bigint, n int, blob binary")
+    return map_batches(only(docs, "doc_id", "text"), make, "doc_id bigint, node bigint, n int, blob binary, sig binary")
 
 
 def local_counts(classes: DataFrame, k: int) -> DataFrame:
@@ -250,7 +274,7 @@ def prefixes(classes: DataFrame, order, k: int, percent: int) -> DataFrame:
 
 
 def near_size(a: str, b: str, percent: int):
-    return F.col(a) * 100 >= F.col(b) * percent if a == b else (F.least(a, b).cast("bigint") * 100 >= F.greatest(a, b).cast("bigint") * percent)
+    return F.least(a, b).cast("bigint") * 100 >= F.greatest(a, b).cast("bigint") * percent
 
 
 def check_hubs(pairs: DataFrame, classes: DataFrame, order, k: int, percent: int) -> DataFrame:
@@ -286,7 +310,7 @@ def check_hubs(pairs: DataFrame, classes: DataFrame, order, k: int, percent: int
                     yield from flush()
                     state["hub"], state["set"] = a, tokens
                     continue
-                state["trie"].insert(tokens, b, 0)
+                state["trie"].insert(tokens, b)
                 state["size"] += 1
                 if state["size"] >= TRIE:
                     yield from flush()
@@ -296,38 +320,40 @@ def check_hubs(pairs: DataFrame, classes: DataFrame, order, k: int, percent: int
     return map_batches(rows.select("a", "b", "role", "blob"), make, "a bigint, b bigint")
 
 
-def check_groups(groups: DataFrame, classes: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """Links between classes of different components within a group. groups: token, node, comp."""
+def near_pairs(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components in a group that may link, by signatures. groups: token, node, comp."""
     of = groups.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("node", F.lit(2)).cast("decimal(38,0)")).alias("s2"))
     once = of.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = groups.join(once, "token").withColumn("block", F.pmod(F.hash("node"), "blocks"))
-    # a group of one block is checked as (0, 0); of more, each pair of blocks (i < j) holds both
+    # a group of one block is compared as (0, 0); of more, each pair of blocks (i < j) holds both
     other = F.when(F.col("blocks") == 1, F.array(F.col("block"))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
     rows = rows.withColumn("other", F.explode(other)).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp")
-    rows = rows.join(classes.select("node", "n", "blob"), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
+    rows = rows.join(classes.select("node", "n", "sig"), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
 
     def make():
-        own = order.value
-        state = {"key": None, "trie": None}
+        state = {"key": None, "rows": [], "from": 0}
 
         def step(batch):
             if batch is None or not batch.num_rows:
                 return
-            cols = [batch.column(c).to_pylist() for c in ("token", "i", "j", "node", "comp")]
+            cols = [batch.column(c).to_pylist() for c in ("token", "i", "j", "node", "comp", "n", "sig")]
             a, b = [], []
-            for token, i, j, node, comp, s in zip(*cols, sets_of(batch.column("blob").to_pylist(), k)):
+            for token, i, j, node, comp, n, raw in zip(*cols):
                 if state["key"] != (token, i, j):
-                    state["key"], state["trie"] = (token, i, j), SetTrie(percent)
-                tokens = tuple(own.keys(s).tolist())
-                found = state["trie"].matches(tokens, skip=comp)
-                a += [node] * len(found)
-                b += found
-                state["trie"].insert(tokens, node, comp)
+                    state["key"], state["rows"], state["from"] = (token, i, j), [], 0
+                own, sig = state["rows"], read_signature(raw)
+                while state["from"] < len(own) and 100 * own[state["from"]][2] < percent * n:  # rows come by size
+                    state["from"] += 1
+                for other, c, m, s in own[state["from"] :]:
+                    if c != comp and most_overlap(sig, s) >= min_overlap(n, m, percent):
+                        a.append(min(node, other))
+                        b.append(max(node, other))
+                own.append((node, comp, n, sig))
             yield {"a": a, "b": b}
 
         return step
 
-    return map_batches(rows.select("token", "i", "j", "node", "comp", "blob"), make, "a bigint, b bigint")
+    return map_batches(rows.select("token", "i", "j", "node", "comp", "n", "sig"), make, "a bigint, b bigint").distinct()
 
 
 def link_classes(classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -335,33 +361,36 @@ def link_classes(classes: DataFrame, k: int, percent: int) -> DataFrame:
     order = classes.sparkSession.sparkContext.broadcast(global_order(classes, k))
     own = Window.partitionBy("token")
     shared = prefixes(classes, order, k, percent).withColumn("hub", F.min(F.struct("node", "n")).over(own)).withColumn("size", F.count("*").over(own))
-    shared = materialise(shared.where("size > 1").select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
-    pairs = shared.where((F.col("node") != F.col("hub")) & near_size("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    links = materialise(check_hubs(pairs, classes, order, k, percent), "links")
+    shared = materialise(shared.where("size > 1").select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).where("node != hub"), "shared")
+    hub_pairs = shared.where(near_size("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hub_pairs = materialise(hub_pairs, "pairs")
+    first = hub_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # one hub a class
+    links = materialise(check_hubs(first, classes, order, k, percent), "links")
     comps = components(links)
-    open_ = shared.select("token", "node").join(comps, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = open_.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    groups = materialise(open_.join(mixed, "token", "left_semi"), "groups")
-    if not groups.take(1):
-        return comps
-    more = materialise(check_groups(groups, classes, order, k, percent), "more").distinct()
-    if not more.take(1):
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    rest = hub_pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = rest.join(first, ["a", "b"], "left_anti")
+    # rows that have a class of near size beside them, in groups of several components
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    near = (F.col("n").cast("bigint") * percent <= before * 100) | (after * percent <= F.col("n").cast("bigint") * 100)
+    alive = shared.select("token", "node", near.alias("near"), "n").where("near").drop("near", "n")
+    alive = alive.join(comps, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = Window.partitionBy("token")
+    groups = alive.withColumn("lo", F.min("comp").over(mixed)).withColumn("hi", F.max("comp").over(mixed)).where("lo != hi").drop("lo", "hi")
+    near = near_pairs(materialise(groups, "groups"), classes, percent).join(hub_pairs, ["a", "b"], "left_anti")
+    more_pairs = materialise(rest.unionByName(near), "pairs")
+    if not more_pairs.take(1):
         return comps
-    # components of the first links, joined by the further ones
-    over = more.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    over = over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
-    tops = components(over)
-    nodes = comps.unionByName(over.select(F.col("a").alias("node"), F.col("a").alias("comp"))).unionByName(over.select(F.col("b").alias("node"), F.col("b").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
-    top = tops.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    return nodes.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    more = materialise(check_hubs(more_pairs, classes, order, k, percent), "links")
+    return components(links.unionByName(more)) if more.take(1) else comps
 
 
 def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     rows = materialise(class_rows(docs, k), "classrows")
     # one text for each class; a task has sent one at most
-    classes = rows.where("blob is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("blob").alias("blob"))
+    classes = rows.where("blob is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("blob").alias("blob"), F.min("sig").alias("sig"))
     classes = materialise(classes, "classes")
     comps = link_classes(classes, k, percent)
     own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.max("n").alias("n"))
