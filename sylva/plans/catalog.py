@@ -1,15 +1,356 @@
-"""All queries over the supplied tables, and the SQL that each must agree with."""
+"""All queries over the supplied tables, and the SQL that each must agree with.
+
+pages play files (host/lang/id as paths), page links imports, documents contents, event transitions a small cyclic graph.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sylva.functions import paths as P
+from sylva.functions.globs import glob_match, layer_match
+from sylva.operators import clones, graph, metrics, predicates as R, structure as S
+from sylva.sources import code
+
+URL_PATH = r"(^https?://|[?#].*$)"
+_PATH = r"regexp_replace(url, '(^https?://|[?#].*$)', '', 'g')"
+_PAGES = f"p AS (SELECT page_id, {_PATH} AS path, html FROM pages), f AS (SELECT *, regexp_extract(path, '^(.*)/[^/]+$', 1) AS parent, len(string_split(path, '/')) - 1 AS depth FROM p)"
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "pages")
+    return S.files_from(t, F.regexp_replace("url", URL_PATH, ""))
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """source_file, import_path: the hrefs of pages."""
+    return code.hrefs(pages(spark, d), "html").select(F.col("path").alias("source_file"), F.col("href").alias("import_path"))
+
+
+_LINKS = _PAGES + ", l AS (SELECT path AS source_file, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS import_path FROM f)"
+
+
+def transitions(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select(F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst")).where("dst is not null")
+
+
+_MOVES = "m AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT src, dst FROM m WHERE dst IS NOT NULL)"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+@register("q01_max_files_in_dir", f"WITH {_PAGES} SELECT 'max-files-in-dir' AS rule, parent AS path, 'contains ' || count(*) || ' files, exceeds limit of 5' AS message FROM f WHERE NOT regexp_matches(regexp_extract(path, '[^/]*$'), '{S.TEST_NAME}') GROUP BY parent HAVING count(*) > 5")
+def q01(spark, d):
+    return S.max_files(pages(spark, d), 5)
+
+
+@register("q02_max_depth_override", f"WITH {_PAGES}, x AS (SELECT *, CASE WHEN regexp_matches(path, '^[^/]*/en/[^/]*$') THEN 2 WHEN regexp_matches(path, '^[^/]*/de/.*$') THEN 1 ELSE 3 END AS lim FROM f) SELECT 'max-depth' AS rule, path, 'exceeds maximum depth of ' || lim AS message FROM x WHERE depth > lim")
+def q02(spark, d):
+    return S.max_depth(pages(spark, d), 3, {"*/en/*": 2, "*/de/**": 1})
+
+
+@register("q03_max_subdirs", f"WITH {_PAGES}, g AS (SELECT DISTINCT parent FROM f), h AS (SELECT regexp_extract(parent, '^(.*)/[^/]+$', 1) AS path, count(*) AS n FROM g GROUP BY 1) SELECT 'max-subdirs' AS rule, path, 'contains ' || n || ' subdirectories, exceeds limit of 2' AS message FROM h WHERE n > 2 AND path <> ''")
+def q03(spark, d):
+    return S.max_subdirs(pages(spark, d), 2)
+
+
+@register("q04_case_conflicts", f"WITH {_LINKS}, n AS (SELECT DISTINCT import_path AS path, regexp_extract(import_path, '^(.*)/[^/]+$', 1) AS parent FROM l), w AS (SELECT *, first(path) OVER (PARTITION BY parent, lower(regexp_extract(path, '[^/]*$')) ORDER BY path) AS fst FROM n) SELECT 'case-conflicts' AS rule, path, 'conflicts with ' || fst AS message FROM w WHERE path <> fst")
+def q04(spark, d):
+    return S.case_conflicts(S.files_from(links(spark, d).select(F.col("import_path").alias("p")).distinct(), F.col("p")))
+
+
+@register("q05_uniqueness", "SELECT p_brand, p_name, count(*) AS n, string_agg(k, ',' ORDER BY k) AS members FROM (SELECT p_brand, p_name, p_partkey::VARCHAR AS k FROM part) GROUP BY 1, 2 HAVING count(*) > 1")
+def q05(spark, d):
+    return S.uniqueness(read(spark, d, "part").withColumn("k", F.col("p_partkey").cast("string")), "p_brand", "p_name", member="k")
+
+
+@register("q06_file_existence", f"WITH {_PAGES}, dirs AS (SELECT DISTINCT parent AS path FROM f UNION SELECT DISTINCT regexp_extract(parent, '^(.*)/[^/]+$', 1) FROM f), r(pattern, rx, lo, hi) AS (VALUES ('*', '.', 1, 4), ('1*', '^1', 0, 1), ('index.html', '^index\\.html$', 0, 9)), x AS (SELECT dirs.path, r.pattern, count(f.path) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM dirs CROSS JOIN r LEFT JOIN f ON f.parent = dirs.path AND regexp_matches(regexp_extract(f.path, '[^/]*$'), r.rx) WHERE dirs.path <> '' GROUP BY 1, 2) SELECT path, pattern, n FROM x WHERE n < lo OR n > hi")
+def q06(spark, d):
+    f = pages(spark, d)
+    return S.file_existence(S.directories(f), f, {"*": (1, 4), "1*": (0, 1), "index.html": (0, 9)})
+
+
+@register("q07_disallowed_patterns", f"WITH {_PAGES}, g(pattern, rx) AS (VALUES ('**/fr/**', '^(?:.*/)?fr(?:/.*)?$'), ('**/*9', '^(?:.*/)?[^/]*9$')) SELECT 'disallowed-patterns' AS rule, path, 'matches disallowed pattern ' || pattern AS message FROM f JOIN g ON regexp_matches(path, rx) WHERE NOT regexp_matches(path, '^(?:.*/)?1[^/]*$')")
+def q07(spark, d):
+    return S.disallowed(pages(spark, d), ["**/fr/**", "**/*9", "!**/1*"])
+
+
+_DETECT = "CASE WHEN NOT regexp_matches(s, '[-_ ]') AND NOT regexp_matches(s, '^[A-Z]') THEN 'camelCase' WHEN NOT regexp_matches(s, '[-_ ]') AND (s = '' OR regexp_matches(s, '^[A-Z]')) THEN 'PascalCase' WHEN NOT regexp_matches(s, '[_ ]') AND s = lower(s) THEN 'kebab-case' WHEN NOT regexp_matches(s, '[- ]') AND s = lower(s) THEN 'snake_case' WHEN s = lower(s) THEN 'lowercase' WHEN s = upper(s) THEN 'UPPERCASE' ELSE 'mixed' END"
+
+
+@register("q08_naming_convention", f"WITH n AS (SELECT DISTINCT p_name AS path, regexp_replace(p_name, '\\.[^.]*$', '') AS s FROM part) SELECT 'naming-convention' AS rule, path, 'is ' || {_DETECT} || ', should be kebab-case' AS message FROM n WHERE regexp_matches(s, '[_ ]') OR s <> lower(s)")
+def q08(spark, d):
+    return S.naming(read(spark, d, "part").select(F.col("p_name").alias("path")).distinct(), {"*": "kebab-case"})
+
+
+@register("q08b_name_words", "WITH n AS (SELECT DISTINCT p_type AS path FROM part) SELECT path, lower(path) AS kebab, upper(path[1]) || lower(path[2:]) AS capital FROM n")
+def q08b(spark, d):
+    n = read(spark, d, "part").select(F.col("p_type").alias("path")).distinct()
+    low = F.lower("path")
+    return n.select("path", P.to_kebab(low).alias("kebab"), P.to_pascal(low).alias("capital"))
+
+
+@register("q09_regex_match", f"WITH {_PAGES} SELECT 'regex-match' AS rule, path, 'does not satisfy ^[0-9]+$|^${{1}}-' AS message FROM f WHERE NOT regexp_matches(regexp_extract(path, '[^/]*$'), '^[0-9]+$|^' || string_split(path, '/')[2] || '-')")
+def q09(spark, d):
+    return S.regex_match(pages(spark, d), "**", r"^[0-9]+$|^${1}-")
+
+
+@register("q10_predicate_all_any_none", "SELECT doc_id, source || '/' || lang || '/' || doc_id AS path FROM documents WHERE n_chars > 2000 AND (lang = 'de' OR source LIKE 'src1%') AND NOT (doc_id % 2 = 0 OR lang = 'fr')")
+def q10(spark, d):
+    t = read(spark, d, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id")).withColumn("is_dir", F.lit(False)).withColumn("size_bytes", F.col("n_chars"))
+    p = R.every(R.size_greater_than(2000), R.either(R.path_contains("/de/"), R.path_starts_with("src1")), R.none_of(F.col("doc_id") % 2 == 0, R.path_matches("*/fr/*")))
+    return t.where(p).select("doc_id", "path")
+
+
+@register("q11_require_file", f"WITH {_PAGES} SELECT 'require-file' AS rule, '.' AS path, 'README.md is missing' AS message WHERE NOT EXISTS (SELECT 1 FROM f WHERE path LIKE '%README.md')")
+def q11(spark, d):
+    return R.require_file(pages(spark, d), "require-file", R.path_ends_with("README.md"), "README.md is missing")
+
+
+def _children(spark, d):
+    return {"depth": q02(spark, d), "patterns": q07(spark, d)}
+
+
+@register("q12_composite_and", None)
+def q12a(spark, d):
+    c = _children(spark, d)
+    return R.all_of("both", **c).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+_sql["q12_composite_and"] = f"SELECT 'both[depth]' AS rule, count(*) AS n FROM ({_sql['q02_max_depth_override']}) HAVING count(*) > 0 UNION ALL SELECT 'both[patterns]', count(*) FROM ({_sql['q07_disallowed_patterns']}) HAVING count(*) > 0"
+
+
+@register("q12_composite_or", f"SELECT 'either' AS rule, '.' AS path, 'none of the alternatives holds' AS message WHERE EXISTS ({_sql['q02_max_depth_override']}) AND EXISTS ({_sql['q07_disallowed_patterns']})")
+def q12o(spark, d):
+    return R.any_of("either", **_children(spark, d))
+
+
+@register("q12_composite_not", f"SELECT 'not' AS rule, '.' AS path, 'the negated rule holds' AS message WHERE NOT EXISTS ({_sql['q11_require_file']})")
+def q12n(spark, d):
+    return R.not_rule("not", q11(spark, d))
+
+
+@register("q12_composite_xor", f"SELECT 'one' AS rule, '.' AS path, 'not exactly one alternative holds' AS message WHERE (SELECT count(*) FROM (SELECT EXISTS ({_sql['q02_max_depth_override']}) AS v UNION ALL SELECT EXISTS ({_sql['q11_require_file']})) WHERE NOT v) <> 1")
+def q12x(spark, d):
+    return R.exactly_one_of("one", depth=q02(spark, d), readme=q11(spark, d))
+
+
+@register("q13_conditional_rule", f"SELECT * FROM ({_sql['q02_max_depth_override']}) WHERE EXISTS (SELECT 1 FROM pages WHERE url LIKE '%/fr/%')")
+def q13(spark, d):
+    return R.conditional(pages(spark, d), R.path_contains("/fr/"), q02(spark, d))
+
+
+_LAYER = "CASE WHEN path LIKE 'th%' THEN 'th' WHEN regexp_matches(path, '^[^/]*/de/') THEN 'german' WHEN path LIKE 'a%' THEN 'a' END"
+
+
+@register("q14_layer_assignment", f"WITH {_PAGES} SELECT page_id, {_LAYER} AS layer FROM f")
+def q14(spark, d):
+    layers = [("th", layer_match(F.col("path"), "th**")), ("german", glob_match(F.col("path"), "*/de/**", "layer")), ("a", layer_match(F.col("path"), "a"))]
+    return pages(spark, d).select("page_id", S.layer_of(F.col("path"), layers).alias("layer"))
+
+
+@register("q15_layer_boundaries", f"WITH {_MOVES}, t AS (SELECT src, dst, count(*) AS n FROM e GROUP BY 1, 2) SELECT src, dst, n FROM t WHERE src <> dst AND NOT (src = 'view' OR (src = 'click' AND dst = 'purchase'))")
+def q15(spark, d):
+    e = graph.edge_counts(transitions(spark, d))
+    nodes = e.select(F.col("src").alias("path")).union(e.select("dst")).distinct().withColumn("layer", F.col("path"))
+    return graph.layer_violations(e, nodes, [("view", "*"), ("click", "purchase")]).select("src", "dst", "n")
+
+
+@register("q16_path_layers", f"WITH {_PAGES} SELECT path, 'german' AS layer, 'en' AS forbidden FROM f WHERE regexp_matches(path, '^[^/]*/de/') AND regexp_matches(path, '/1[0-9]*$') UNION ALL SELECT path, 'english', 'fr' FROM f WHERE regexp_matches(path, '^[^/]*/en/') AND regexp_matches(path, '/2[0-9]*$')")
+def q16(spark, d):
+    spec = [("german", "*/de/**", "**/1*", "en"), ("english", "*/en/**", "**/2*", "fr")]
+    hits = F.array_compact(F.array(*[F.when(glob_match(F.col("path"), g) & F.col("path").rlike(f"/{bad[3]}[0-9]*$"), F.struct(F.lit(n).alias("layer"), F.lit(x).alias("forbidden"))) for n, g, bad, x in spec]))
+    return pages(spark, d).select("path", F.explode(hits).alias("h")).select("path", "h.layer", "h.forbidden")
+
+
+@register("q17_incoming_refs", f"WITH {_PAGES}, x AS (SELECT DISTINCT path FROM f), t AS (SELECT path || '/part' || (page_id % 3) AS dst FROM f), h AS (SELECT t.dst, min(x.path) AS path FROM (SELECT DISTINCT dst FROM t) t JOIN x ON starts_with(t.dst, x.path) GROUP BY 1) SELECT h.path, count(*)::BIGINT AS refs FROM t JOIN h ON t.dst = h.dst GROUP BY 1")
+def q17(spark, d):
+    f = pages(spark, d)
+    e = f.select(F.col("path").alias("src"), F.concat("path", F.lit("/part"), F.col("page_id") % 3).alias("dst"))
+    return graph.incoming_refs(e, f)
+
+
+@register("q18_orphans", f"WITH {_LINKS} SELECT DISTINCT f.path FROM f WHERE NOT regexp_matches(f.path, '/en/') AND NOT EXISTS (SELECT 1 FROM l WHERE l.import_path = f.path)")
+def q18(spark, d):
+    e = links(spark, d).select(F.col("source_file").alias("src"), F.col("import_path").alias("dst"))
+    return graph.orphans(pages(spark, d), e, F.col("path").rlike("/en/")).select("path").distinct()
+
+
+@register("q19_edges", f"WITH {_MOVES} SELECT src, dst, count(*) AS n FROM e GROUP BY 1, 2")
+def q19(spark, d):
+    return graph.edge_counts(transitions(spark, d))
+
+
+_CUSTOMERS = "e AS (SELECT DISTINCT c_nationkey AS src, (c_custkey * 7 + c_nationkey) % 25 AS dst FROM customer WHERE c_custkey % 5 = c_nationkey % 5)"
+
+
+def nation_edges(spark, d):
+    c = read(spark, d, "customer").where("c_custkey % 5 = c_nationkey % 5")
+    return c.select(F.col("c_nationkey").cast("bigint").alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 25).cast("bigint").alias("dst")).distinct()
+
+
+@register("q20_reachability", f"WITH RECURSIVE {_CUSTOMERS}, r(node, distance) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.distance + 1 FROM r JOIN e ON e.src = r.node WHERE r.distance < 4) SELECT node, min(distance) AS distance FROM r GROUP BY 1")
+def q20(spark, d):
+    return graph.reachable(nation_edges(spark, d), spark.createDataFrame([(0,)], "node bigint"), 4)
+
+
+@register("q21_scc", f"WITH RECURSIVE {_CUSTOMERS}, n AS (SELECT src AS x FROM e UNION SELECT dst FROM e), r AS (SELECT x AS a, x AS b FROM n UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT r.a AS node, min(r.b) AS component FROM r JOIN r s ON s.a = r.b AND s.b = r.a GROUP BY 1")
+def q21(spark, d):
+    return graph.strongly_connected(nation_edges(spark, d))
+
+
+@register("q21b_cycle_edges", f"WITH RECURSIVE {_CUSTOMERS}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT e.src, e.dst FROM e WHERE e.src = e.dst OR EXISTS (SELECT 1 FROM r WHERE r.a = e.dst AND r.b = e.src)")
+def q21b(spark, d):
+    return graph.cycle_edges(nation_edges(spark, d))
+
+
+@register("q22_test_adjacency", "SELECT 'test-adjacency' AS rule, conv_id || '/' || turn AS path, 'has no test' AS message FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations t WHERE t.role = 'assistant' AND t.conv_id = c.conv_id AND t.turn = c.turn + 1)")
+def q22(spark, d):
+    c = read(spark, d, "conversations").withColumn("path", F.concat_ws("/", "conv_id", "turn"))
+    return S.missing_tests(c.where("role = 'user'"), c.where("role = 'assistant'"), F.concat_ws("/", "conv_id", F.col("turn") + 1))
+
+
+@register("q23_test_location", "SELECT 'test-location' AS rule, doc_id::VARCHAR AS path, 'has no source beside it' AS message FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id OR l.doc_id = d.doc_id + 1)")
+def q23(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"))
+    sources = read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"))
+    return S.misplaced_tests(docs, sources, [F.col("path"), (F.col("path").cast("bigint") + 1).cast("string")])
+
+
+def tokens(text: str = "text"):
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([^\s]+)"), 1)
+
+
+_GRAMS = "t AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x09-\\x0D\\x20]+') AS w FROM documents), g AS (SELECT doc_id, pos - 1 AS pos, array_to_string(w[pos:pos + 19], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM t WHERE len(w) >= 20))"
+
+
+def grams(spark, d):
+    return clones.kgrams(read(spark, d, "documents"), "doc_id", tokens())
+
+
+@register("q24_kgram_shingles", f"WITH {_GRAMS} SELECT doc_id, count(*) AS n, min(md5(gram)) AS first, max(md5(gram)) AS last FROM g GROUP BY 1")
+def q24(spark, d):
+    h = grams(spark, d).withColumn("h", F.md5("gram"))
+    return h.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("first"), F.max("h").alias("last"))
+
+
+@register("q25_cross_doc_collisions", f"WITH {_GRAMS} SELECT md5(gram) AS gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+def q25(spark, d):
+    return clones.collisions(grams(spark, d).select("doc_id", F.md5("gram").alias("gram")), "doc_id")
+
+
+@register("q26_clone_pairs", f"WITH {_GRAMS}, o AS (SELECT md5(gram) AS h, doc_id, min(pos) AS pos FROM g GROUP BY 1, 2), s AS (SELECT doc_id AS a, pos AS pa, lead(doc_id) OVER w AS b, lead(pos) OVER w AS pb FROM o WINDOW w AS (PARTITION BY h ORDER BY doc_id)), i AS (SELECT *, pa - row_number() OVER (PARTITION BY a, b, pa - pb ORDER BY pa) AS island FROM s WHERE b IS NOT NULL) SELECT a, b, min(pa) AS start_a, min(pb) AS start_b, count(*) + 19 AS tokens FROM i GROUP BY a, b, pa - pb, island")
+def q26(spark, d):
+    return clones.clone_pairs(grams(spark, d), "doc_id")
+
+
+@register("q27_index_stats", f"WITH {_GRAMS}, c AS (SELECT md5(gram) AS gram, count(*) AS n FROM g GROUP BY 1) SELECT count(*) AS hashes, sum(n)::BIGINT AS shingles, count(*) FILTER (n > 1) AS collisions FROM c")
+def q27(spark, d):
+    return clones.index_stats(grams(spark, d).select("doc_id", F.md5("gram").alias("gram")))
+
+
+_TOKENS = "t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[.,;:!?|#*$%&<>]')) AS value FROM documents)"
+
+
+@register("q28_halstead", f"WITH {_TOKENS}, x AS (SELECT *, regexp_matches(value, '^[^A-Za-z]') AS op FROM t), h AS (SELECT doc_id, count(DISTINCT CASE WHEN op THEN value END) AS n1, count(DISTINCT CASE WHEN NOT op THEN value END) AS n2, count(*) FILTER (op) AS big_n1, count(*) FILTER (NOT op) AS big_n2 FROM x GROUP BY 1) SELECT *, round((big_n1 + big_n2) * log2(n1 + n2), 6) AS volume, round(CASE WHEN n2 > 0 THEN n1 / 2.0 * big_n2 / n2 ELSE 0 END, 6) AS difficulty FROM h")
+def q28(spark, d):
+    t = read(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z]+|[.,;:!?|#*$%&<>])"), 1)).alias("value"))
+    h = metrics.halstead(t.withColumn("is_operator", F.col("value").rlike("^[^A-Za-z]")), "doc_id")
+    return h.select("doc_id", "n1", "n2", "big_n1", "big_n2", F.round("volume", 6).alias("volume"), F.round("difficulty", 6).alias("difficulty"))
+
+
+@register("q29_cognitive", "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '</?(?:div|ul|section|article|li|nav)\\b')) AS tag, generate_subscripts(regexp_extract_all(html, '</?(?:div|ul|section|article|li|nav)\\b'), 1) AS pos FROM pages), n AS (SELECT *, greatest(coalesce(sum(CASE WHEN tag LIKE '</%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS nesting FROM t) SELECT page_id, sum(CASE WHEN tag LIKE '</%' THEN 0 ELSE 1 + nesting END)::BIGINT AS complexity FROM n GROUP BY 1")
+def q29(spark, d):
+    t = read(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(</?(?:div|ul|section|article|li|nav)\b)"), 1)).alias("pos", "tag"))
+    closes = F.col("tag").startswith("</")
+    return metrics.cognitive(t, "page_id", "pos", F.when(closes, -1).otherwise(1), ~closes)
+
+
+@register("q30_metric_rollup", "SELECT source, sum(n_chars)::BIGINT AS total, round(avg(n_chars), 6) AS average, max(n_chars) AS most, count(*) AS functions FROM documents GROUP BY 1")
+def q30(spark, d):
+    return metrics.rollup(read(spark, d, "documents"), "source", "n_chars").withColumn("average", F.round("average", 6))
+
+
+@register("q31_lang_profile", "WITH n AS (SELECT lang, count(*) AS n, max(n_chars) AS most FROM documents GROUP BY 1) SELECT lang, n, row_number() OVER (ORDER BY n DESC, lang) AS rank, least(greatest(n * 12 // 10, 20), 100) AS max_files, least(greatest(most + 2, 4), 10) AS max_depth FROM n")
+def q31(spark, d):
+    return code.language_profile(read(spark, d, "documents"))
+
+
+@register("q32_imports_extract", f"WITH {_LINKS} SELECT source_file, import_path, count(*) AS n FROM l GROUP BY 1, 2")
+def q32(spark, d):
+    return links(spark, d).groupBy("source_file", "import_path").agg(F.count("*").alias("n"))
+
+
+@register("q33_directive_scan", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, min(n) AS line, count(*) AS hits FROM l WHERE n <= 100 AND regexp_matches(line, '(?i)^(released|licensed|this work is licensed) under') GROUP BY 1")
+def q33(spark, d):
+    rows = code.lines(read(spark, d, "documents"), "doc_id", "text", 100).where(F.col("line").rlike("(?i)^(released|licensed|this work is licensed) under"))
+    return rows.groupBy("doc_id").agg(F.min("n").alias("line"), F.count("*").alias("hits"))
+
+
+@register("q34_deep_relative", "SELECT 'deep-relative-imports' AS rule, 'src/' || p_partkey AS path, 'goes up ' || (p_size % 6) || ' directories' AS message FROM part WHERE p_size % 6 >= 3")
+def q34(spark, d):
+    i = read(spark, d, "part").select(F.concat(F.lit("src/"), "p_partkey").alias("source_file"), F.concat(F.repeat(F.lit("../"), F.col("p_size") % 6), F.lit("lib/x")).alias("import_path"))
+    return S.deep_relative_imports(i, 3)
+
+
+@register("q35_junit_counts", f"SELECT rule, count(*) AS failures FROM ((SELECT * FROM ({_sql['q01_max_files_in_dir']})) UNION ALL (SELECT * FROM ({_sql['q02_max_depth_override']})) UNION ALL (SELECT * FROM ({_sql['q07_disallowed_patterns']})) UNION ALL (SELECT * FROM ({_sql['q22_test_adjacency']}))) GROUP BY 1")
+def q35(spark, d):
+    return R.union_all([q01(spark, d), q02(spark, d), q07(spark, d), q22(spark, d)]).groupBy("rule").agg(F.count("*").alias("failures"))
+
+
+@register("q36_resolve_path", f"WITH {_PAGES} SELECT page_id, regexp_extract(path, '^([^/]*)/', 1) || '/lib/' || (page_id % 7) AS target FROM f")
+def q36(spark, d):
+    i = pages(spark, d)
+    return i.select("page_id", P.resolve_import(F.concat_ws("/", F.split("path", "/")[0], F.lit("x"), F.lit("y")), F.concat(F.lit("./.././x/../lib//"), F.col("page_id") % 7)).alias("target"))
+
+
+@register("q37_semantic_clones", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0 ORDER BY 3 DESC, 1, 2 LIMIT 100")
+def q37(spark, d):
+    return code.semantic_clones(read(spark, d, "embeddings"), 100)
+
+
+@register("q38_index_files", "SELECT l.doc_id, 'no label' AS missing FROM documents l WHERE lang = 'es' AND NOT EXISTS (SELECT 1 FROM labels x WHERE x.doc_id = l.doc_id)")
+def q38(spark, d):
+    return read(spark, d, "documents").where("lang = 'es'").join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("no label").alias("missing"))
+
+
+@register("q39_missing_headings", "WITH h(w) AS (VALUES ('The'), ('der'), (' of ')) SELECT doc_id::VARCHAR AS path, array_to_string(list_sort(list(w)), '|') AS missing FROM documents JOIN h ON NOT contains(text, w) GROUP BY 1")
+def q39(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return S.missing_headings(docs, ["The", "der", " of "]).select("path", F.array_join(F.array_sort("missing"), "|").alias("missing"))
+
+
+@register("q40_resolve_cascade", f"WITH {_PAGES}, x AS (SELECT DISTINCT path FROM f), e AS (SELECT page_id, path AS src, regexp_extract(path, '^(.*)[0-9]$', 1) AS dst FROM f), s(o, v) AS (VALUES (0, ''), (1, '1'), (2, '5'), (3, '9')), h AS (SELECT e.page_id, arg_min(x.path, o) AS target FROM e CROSS JOIN s JOIN x ON x.path = e.dst || s.v GROUP BY 1) SELECT e.page_id, h.target FROM e LEFT JOIN h ON e.page_id = h.page_id")
+def q40(spark, d):
+    f = pages(spark, d)
+    e = f.select("page_id", F.col("path").alias("src"), F.regexp_extract("path", "^(.*)[0-9]$", 1).alias("dst"))
+    return graph.resolve(e, f, ("1", "5", "9")).select("page_id", "target")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
