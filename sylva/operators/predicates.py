@@ -15,7 +15,11 @@ from sylva.functions.globs import glob_match, glob_regex
 from sylva.functions.paths import basename, extension
 
 VIOLATION = ["rule", "path", "message"]
-path, name = F.col("path"), lambda: basename(F.col("path"))
+
+
+def name() -> Column:
+    return basename(F.col("path"))
+
 
 
 def path_matches(glob: str) -> Column:
