@@ -5,7 +5,7 @@ it writes the place in the source that it stands for:
 
 1. characters: homoglyphs (Cyrillic, Greek), compatibility forms (full width, mathematical), digits of other scripts, odd
    spaces, dashes and dots become ASCII; invisible characters vanish; O, o, l, I between digits become digits;
-2. spelled digits: a run of at least MIN_SPELLED digit words (English, German, French, Spanish), with figures, "dot" and
+2. spelled digits: a run of at least MIN_SPELLED digit words, not all alike (English, German, French, Spanish), with figures, "dot" and
    "plus" among them, becomes figures;
 3. at and dot: "(at)", "[dot]", " at ... dot " and the like become @ and "." where the result reads as an address.
 
@@ -76,6 +76,7 @@ _DISGUISED = re.compile(
     rf"|\s@\s{_LABEL}(?:\s?\.\s?{_LABEL})*?(?:\s\.\s|\.){_LABEL})"  # name @ host . tld
 )
 _BARE_AT = re.compile(r"(?<=[a-z0-9_]) at ([a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,12})(?![a-z0-9.-])")
+_BRACKET = re.compile(r"[(\[{<]\s?(?:at|@|\.|dot|p[ou]|arr)")
 _DISGUISED_HINT = re.compile(r"[(\[{<]\s?(?:at|arroba|@)\s?[)\]}>]|[(\[{<]\s?(?:dot|punkt|point|punto|\.)\s?[)\]}>]|\s(?:dot|punkt|punto)\s|\s@\s")
 _IP_DISGUISED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT_WORD}|\.)[0-9]{{1,3}}){{3}}(?![0-9])")
 _TO_AT = re.compile(r"\s?[(\[{<]\s?(?:at|arroba|@)\s?[)\]}>]\s?|\s(?:at|arroba)\s|\s@\s|\s?@\s?")
@@ -99,9 +100,33 @@ def _folded(c: str) -> str | None:
 
 #: Built by rule over the whole character set: all characters that a transducer rewrites.
 FOLD = {c: f for c in map(chr, range(128, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and (f := _folded(c)) is not None}
-_FOLDABLE = re.compile("[" + "".join(re.escape(c) for c in sorted(FOLD)) + "]")
+_FOLDABLE_LATIN = re.compile("[" + "".join(re.escape(c) for c in sorted(FOLD) if ord(c) < 256) + "]")
+
+
+def foldable(text: str) -> bool:
+    """Whether transducer 1 rewrites any character."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not FOLD.keys().isdisjoint(text)
+    return _FOLDABLE_LATIN.search(text) is not None
+
+
 _FIGURE = {"O": "0", "o": "0", "l": "1", "I": "1"}
 _FIGURES = re.compile(r"(?<=[0-9])[OolI](?=[0-9])")
+# cheap tests that hold for every text in which the pattern after them matches
+_FIGURES_HINT = re.compile(r"[0-9][OolI][0-9]")
+_IP_HINT = re.compile(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
+_DOT_WORDS = ("dot", "punkt", "punto", "point", "arroba", " @ ")
+_BREAKS = str.maketrans(",.-()\n", "      ")
+
+
+def _may_be_spelled(lower: str) -> bool:
+    """Whether a text has MIN_SPELLED digit words, two of them different."""
+    found = [w for w in lower.translate(_BREAKS).split() if w in DIGIT_WORDS]
+    return len(found) >= MIN_SPELLED and len(set(found)) > 1
 
 
 def luhn(digits: str) -> bool:
@@ -140,7 +165,8 @@ def emails(text: str) -> list[Span]:
 def base_spans(text: str) -> list[Span]:
     """By kind as listed, then start."""
     out = emails(text) if "@" in text else []
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if is_ip(m[0])]
+    if _IP_HINT.search(text):
+        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if is_ip(m[0])]
     if _DIGITS16.search(text):
         out += [("card", m.start(), m.end()) for m in CARD.finditer(text) if is_card(m[0])]
     if "+" in text:
@@ -207,20 +233,19 @@ def bare_at(lower: str) -> list[Span]:
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     found: list[Span] = []
-    folds = not text.isascii() and _FOLDABLE.search(text) is not None
-    plain, at = (text, None) if not folds else fold(text)
-    if at is None and _FIGURES.search(text):
+    plain, at = fold(text) if foldable(text) else (text, None)
+    if at is None and _FIGURES_HINT.search(text):
         plain, at = fold(text)
     if at is not None:
         found += base_spans(plain)
     lower = plain.lower()
     if len(lower) != len(plain):  # a few characters change their length
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
-    if _DISGUISED_HINT.search(lower):
+    if (any(w in lower for w in _DOT_WORDS) or _BRACKET.search(lower)) and _DISGUISED_HINT.search(lower):
         found += disguised(lower)
     if " at " in lower:
         found += bare_at(lower)
-    if _SPELLED_HINT.search(lower):
+    if _may_be_spelled(lower) and _SPELLED_HINT.search(lower):
         found += spelled(lower)
     if at is not None:
         found = [(k, at[s], at[e - 1] + 1) for k, s, e in found]
