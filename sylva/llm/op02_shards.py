@@ -84,7 +84,8 @@ WITH d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1,
 s AS (SELECT depth, key >> (48 - depth) AS bucket, sum(n_bytes) AS b, count(*) AS n, min(key) AS lo, max(key) AS hi
       FROM d, range(0, 49) r(depth) GROUP BY 1, 2),
 f AS (SELECT * FROM s WHERE b <= 8388608 OR lo = hi),
-m AS (SELECT d.doc_id, d.key, d.n_bytes, min(f.depth) AS depth FROM d JOIN f ON f.bucket = d.key >> (48 - f.depth) GROUP BY ALL)
+k AS (SELECT x.key, min(f.depth) AS depth FROM (SELECT DISTINCT key FROM d) x JOIN f ON f.bucket = x.key >> (48 - f.depth) GROUP BY 1),
+m AS (SELECT d.doc_id, d.key, d.n_bytes, k.depth FROM d JOIN k ON k.key = d.key)
 SELECT m.doc_id, m.n_bytes, CASE WHEN m.depth = 0 THEN '-' ELSE right(lpad(bin(m.key >> (48 - m.depth)), 48, '0'), m.depth::INT) END AS shard,
   f.b::BIGINT AS shard_bytes, f.n::BIGINT AS shard_docs, f.b > 8388608 AS oversize
 FROM m JOIN f ON f.depth = m.depth AND f.bucket = m.key >> (48 - m.depth)

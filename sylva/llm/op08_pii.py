@@ -83,6 +83,9 @@ _TO_AT = re.compile(r"\s?[(\[{<]\s?(?:at|arroba|@)\s?[)\]}>]\s?|\s(?:at|arroba)\
 _TO_DOT = re.compile(rf"{_DOT_WORD}|\s?\.\s?")
 _ADDRESS = re.compile(r"[a-z0-9._%+-]*[a-z0-9][a-z0-9._%+-]*@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}")
 
+#: Ends of host names that a plainly spoken address ("at host dot tld") must have, besides two letters.
+SPOKEN_ENDS = frozenset("com org net edu gov info biz dev app name".split())
+
 Span = tuple[str, int, int]
 
 
@@ -210,7 +213,9 @@ def disguised(lower: str) -> list[Span]:
     found = []
     for m in _DISGUISED.finditer(lower):
         written = _TO_DOT.sub(".", _TO_AT.sub("@", m[0], count=1)).strip(".")
-        if _ADDRESS.fullmatch(written):
+        spoken = "@" not in m[0] and not _BRACKET.search(m[0])
+        end = written.rpartition(".")[2]
+        if _ADDRESS.fullmatch(written) and (not spoken or len(end) == 2 or end in SPOKEN_ENDS):
             found.append(("email", m.start(), m.end()))
     for m in _IP_DISGUISED.finditer(lower):
         if is_ip(_TO_DOT.sub(".", m[0])):
