@@ -5,16 +5,16 @@ shingles. Shingles have one global order: rare ones by hash, then those that are
 by count). Two sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of each; classes that share
 one of these are a group.
 
-1. The smallest class of a group is its hub. Each class is checked against one of its hubs. The classes of a hub are
-   stored in a trie of their ordered sets, which the hub's set traverses: classes with a common beginning share the count
-   of matches so far, and a subtree is left as soon as its sets can't reach the threshold with what remains of them.
-2. Links found give components. Only pairs of different components are left to check: those of a class and another of its
-   hubs, and, in groups whose further classes aren't all in one component, those of two such classes. The latter are first
-   compared by signatures: counts of their shingles by hash bucket, a few hundred bytes a class. The sum of the smaller
-   counts is an upper bound of the intersection, so a pair below the threshold can't link. What passes is checked by the
-   trie as in step 1. Large groups are cut into blocks, and blocks are paired; groups with the same members are compared
-   once.
-3. Components of all links.
+1. Hub turns: in each band of sizes of a group one class, another one each turn, is the hub. Each class is checked against
+   one of its hubs. The classes of a hub are stored in a trie of their ordered sets, which the hub's set traverses: classes
+   with a common beginning share the count of matches so far, and a subtree is left as soon as its sets can't reach the
+   threshold with what remains of them. Links found give components; groups of one component are done.
+2. Best turns: classes of different components in a group are compared by signatures, bitmaps of their shingles. Bits that
+   only one of two has give an upper bound of the intersection. Each class is checked by the trie against the one with the
+   highest bound, so most components merge while no more than one pair a class is sent.
+3. All pairs of different components that are left and whose bound reaches the threshold are checked by the trie. Large
+   groups are cut into blocks, and blocks are paired; groups with the same members are compared once.
+4. Components of all links.
 
 So no link between components is missed, but the pairs of a large group of copies are never listed. Rows of copies join
 their class by key at the end. Nothing about all documents comes to the driver.
@@ -27,6 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sylva.llm.common import ASCII_LOWER, byte_texts, map_batches, materialise, only, table
+from sylva.llm.common import ASCII_LOWER, byte_texts, drop_table, map_batches, materialise, only, table
 from sylva.llm.components import components
 from sylva.llm.wordhash import chunks, shingle_sets
 
@@ -43,6 +44,8 @@ K, PERCENT = 4, 85
 HOT_ROWS, HOT_MIN, FLUSH = 1 << 18, 8, 1 << 21
 #: Sets in one trie; classes in a block of a large group; remembered classes of a map task.
 TRIE, BLOCK, SEEN = 512, 512, 200_000
+#: Turns that check each class once, against a hub or the best by signatures, before all pairs that are left.
+HUB_TURNS, BEST_TURNS = 2, 2
 
 
 def min_overlap(a: int, b: int, percent: int = PERCENT) -> int:
@@ -119,28 +122,53 @@ class SetTrie:
         return found
 
 
-FULL = 1 << 20
+def signature(hashes: np.ndarray) -> bytes:
+    """A bitmap by the last bits of the hash, four to eight bits a shingle (fewer in sets over 16,384)."""
+    bits = min(16, max(8, (4 * len(hashes) - 1).bit_length()))
+    out = np.zeros(1 << bits, bool)
+    out[(hashes & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
 
 
-def signature(hashes: np.ndarray) -> bytes:
-    """Counts by the first bits of the hash, about two shingles a bucket, one byte each (255: that many or more)."""
-    bits = min(11, max(5, (len(hashes) // 2).bit_length()))
-    return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+def fold(sig: np.ndarray, size: int) -> np.ndarray:
+    """The signature as it would be with size bytes (a smaller power of two)."""
+    return np.bitwise_or.reduce(sig.reshape(-1, size), axis=0)
+
+
+def most_overlap(sig: np.ndarray, n: int, sigs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Upper bounds of a set's intersections with others: a bit that only one of two has proves a shingle that only it has."""
+    return np.minimum(n - np.bitwise_count(sig & ~sigs).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(sigs & ~sig).sum(axis=1, dtype=np.int64))
 
 
-def read_signature(raw: bytes) -> np.ndarray:
-    s = np.frombuffer(raw, np.uint8).astype(np.int32)
-    s[s == 255] = FULL
-    return s
+class Block:
+    """Classes of a block, added by size; each is compared with those before it whose size is near."""
 
+    def __init__(self, percent: int):
+        self.percent, self.rows = percent, {}
 
-def most_overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """An upper bound of two sets' intersection by their signatures."""
-    while len(a) > len(b):
-        a = a[::2] + a[1::2]
-    while len(b) > len(a):
-        b = b[::2] + b[1::2]
-    return int(np.minimum(a, b).sum())
+    def add(self, node: int, comp: int, n: int, raw: bytes, best: bool = False) -> list[tuple[int, float]]:
+        """The classes of other components that may link with this one and the bounds of similarity; best: one at most."""
+        sig, found = np.frombuffer(raw, np.uint8), []
+        for size, held in list(self.rows.items()):
+            first = np.searchsorted(held["n"][: held["len"]], -(-self.percent * n // 100))
+            if first == held["len"]:  # all too small, for this and for what follows
+                del self.rows[size]
+                continue
+            at = np.arange(first, held["len"])
+            at = at[held["comp"][at] != comp]
+            if len(at):
+                sizes = held["n"][at]
+                most = most_overlap(fold(sig, size), n, held["sig"][at], sizes)
+                ok = (100 + self.percent) * most >= self.percent * (n + sizes)
+                found += zip(held["node"][at[ok]].tolist(), (most[ok] / (n + sizes - most)[ok]).tolist())
+        held = self.rows.setdefault(len(sig), {"len": 0, "node": np.zeros(16, np.int64), "comp": np.zeros(16, np.int64), "n": np.zeros(16, np.int64), "sig": np.zeros((16, len(sig)), np.uint8)})
+        if held["len"] == len(held["n"]):
+            for c in ("node", "comp", "n", "sig"):
+                held[c] = np.concatenate([held[c], np.zeros_like(held[c])])
+        for c, v in (("node", node), ("comp", comp), ("n", n), ("sig", sig)):
+            held[c][held["len"]] = v
+        held["len"] += 1
+        return [max(found, key=lambda x: x[::-1])] if best and found else found
 
 
 class GlobalOrder:
@@ -273,10 +301,6 @@ def prefixes(classes: DataFrame, order, k: int, percent: int) -> DataFrame:
     return map_batches(classes.select("node", "blob"), make, "token bigint, node bigint, n int")
 
 
-def near_size(a: str, b: str, percent: int):
-    return F.least(a, b).cast("bigint") * 100 >= F.greatest(a, b).cast("bigint") * percent
-
-
 def check_hubs(pairs: DataFrame, classes: DataFrame, order, k: int, percent: int) -> DataFrame:
     """The pairs (a: hub, b) that reach the threshold."""
     parts = pairs.groupBy("a").agg((F.count("*") / TRIE + 1).cast("int").alias("parts"))
@@ -320,70 +344,101 @@ def check_hubs(pairs: DataFrame, classes: DataFrame, order, k: int, percent: int
     return map_batches(rows.select("a", "b", "role", "blob"), make, "a bigint, b bigint")
 
 
-def near_pairs(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components in a group that may link, by signatures. groups: token, node, comp."""
-    of = groups.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("node", F.lit(2)).cast("decimal(38,0)")).alias("s2"))
-    once = of.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(once, "token").withColumn("block", F.pmod(F.hash("node"), "blocks"))
+def distinct_groups(rows: DataFrame) -> DataFrame:
+    """The rows (token, node, ...) of one group of those with the same members (near copies share many shingles)."""
+    member = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+    of = rows.groupBy("token").agg(F.count("*").alias("size"), *member)
+    once = of.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token")
+    return rows.join(once, "token", "left_semi")
+
+
+def near_pairs(groups: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of classes of different components in a group that may link, by signatures. groups: token, node, comp.
+
+    best: only one pair for each class b, that with the highest bound of the similarity.
+    """
+    sizes = groups.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = groups.join(sizes, "token").withColumn("block", F.pmod(F.hash("node"), "blocks"))
     # a group of one block is compared as (0, 0); of more, each pair of blocks (i < j) holds both
     other = F.when(F.col("blocks") == 1, F.array(F.col("block"))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
     rows = rows.withColumn("other", F.explode(other)).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp")
     rows = rows.join(classes.select("node", "n", "sig"), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
 
     def make():
-        state = {"key": None, "rows": [], "from": 0}
+        state = {"key": None, "block": None}
 
         def step(batch):
             if batch is None or not batch.num_rows:
                 return
             cols = [batch.column(c).to_pylist() for c in ("token", "i", "j", "node", "comp", "n", "sig")]
-            a, b = [], []
+            a, b, bound = [], [], []
             for token, i, j, node, comp, n, raw in zip(*cols):
                 if state["key"] != (token, i, j):
-                    state["key"], state["rows"], state["from"] = (token, i, j), [], 0
-                own, sig = state["rows"], read_signature(raw)
-                while state["from"] < len(own) and 100 * own[state["from"]][2] < percent * n:  # rows come by size
-                    state["from"] += 1
-                for other, c, m, s in own[state["from"] :]:
-                    if c != comp and most_overlap(sig, s) >= min_overlap(n, m, percent):
-                        a.append(min(node, other))
-                        b.append(max(node, other))
-                own.append((node, comp, n, sig))
-            yield {"a": a, "b": b}
+                    state["key"], state["block"] = (token, i, j), Block(percent)
+                for other, most in state["block"].add(node, comp, n, raw, best):
+                    a.append(other if best else min(node, other))
+                    b.append(node if best else max(node, other))
+                    bound.append(most)
+            yield {"a": a, "b": b, "bound": bound}
 
         return step
 
-    return map_batches(rows.select("token", "i", "j", "node", "comp", "n", "sig"), make, "a bigint, b bigint").distinct()
+    found = map_batches(rows.select("token", "i", "j", "node", "comp", "n", "sig"), make, "a bigint, b bigint, bound double")
+    if best:
+        return found.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("best")).select("best.a", "b")
+    return found.select("a", "b").distinct()
+
+
+def band_of(percent: int, shift: float = 0.0):
+    """Sizes of one band reach percent of each other; sizes that do so are in one band or in neighbours."""
+    return F.floor(F.log("n") / math.log(100 / percent) + shift).cast("int")
+
+
+def mixed_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, node, n, comp) that have a row of another component and a near size in their group."""
+    rows = rows.withColumn("band", band_of(percent))
+    bands = rows.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    around = bands.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    mixed = around.groupBy("token", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("token", "band")
+    return rows.join(mixed, ["token", "band"], "left_semi").drop("band")
+
+
+def hub_pairs(groups: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For each class one hub (a) of another component to check it (b) against: the first by the turn's hash."""
+    rows = groups.withColumn("band", band_of(percent, (turn * 0.5) % 1))
+    own = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "comp")
+    hubs = rows.groupBy("token", "band").agg(F.min(own).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    pairs = rows.join(hubs.select("token", "band", "hub"), ["token", "band"]).where("comp != hub.comp")
+    return pairs.groupBy(F.col("node").alias("b")).agg(F.min(F.struct("hub.rank", "hub.node")).alias("hub")).select(F.col("hub.node").alias("a"), "b")
 
 
 def link_classes(classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, comp) of the classes that link with another."""
     order = classes.sparkSession.sparkContext.broadcast(global_order(classes, k))
-    own = Window.partitionBy("token")
-    shared = prefixes(classes, order, k, percent).withColumn("hub", F.min(F.struct("node", "n")).over(own)).withColumn("size", F.count("*").over(own))
-    shared = materialise(shared.where("size > 1").select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).where("node != hub"), "shared")
-    hub_pairs = shared.where(near_size("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    hub_pairs = materialise(hub_pairs, "pairs")
-    first = hub_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # one hub a class
-    links = materialise(check_hubs(first, classes, order, k, percent), "links")
-    comps = components(links)
-    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-    rest = hub_pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    # rows that have a class of near size beside them, in groups of several components
     by_size = Window.partitionBy("token").orderBy("n", "node")
     before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
     near = (F.col("n").cast("bigint") * percent <= before * 100) | (after * percent <= F.col("n").cast("bigint") * 100)
-    alive = shared.select("token", "node", near.alias("near"), "n").where("near").drop("near", "n")
-    alive = alive.join(comps, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = Window.partitionBy("token")
-    groups = alive.withColumn("lo", F.min("comp").over(mixed)).withColumn("hi", F.max("comp").over(mixed)).where("lo != hi").drop("lo", "hi")
-    near = near_pairs(materialise(groups, "groups"), classes, percent).join(hub_pairs, ["a", "b"], "left_anti")
-    more_pairs = materialise(rest.unionByName(near), "pairs")
-    if not more_pairs.take(1):
-        return comps
-    more = materialise(check_hubs(more_pairs, classes, order, k, percent), "links")
-    return components(links.unionByName(more)) if more.take(1) else comps
+    shared = materialise(prefixes(classes, order, k, percent).withColumn("near", near).where("near").select("token", "node", "n", F.col("node").alias("comp")), "shared")
+    groups = materialise(distinct_groups(shared), "groups")
+    drop_table(shared)
+    links = comps = None
+    for turn in range(HUB_TURNS + BEST_TURNS):
+        pairs = hub_pairs(groups, turn, percent) if turn < HUB_TURNS else near_pairs(groups.drop("n"), classes, percent, True)
+        pairs = materialise(pairs, "pairs")
+        found = materialise(check_hubs(pairs, classes, order, k, percent), "links")
+        if not found.take(1):
+            continue
+        links = found if links is None else links.unionByName(found)
+        comps = components(links)
+        to = comps.select("node", F.col("comp").alias("new"))
+        moved = groups.join(to, "node", "left").select("token", "node", "n", F.coalesce("new", "comp").alias("comp"))
+        old, groups = groups, materialise(distinct_groups(mixed_groups(moved, percent)), "groups")
+        drop_table(old)
+    pairs = materialise(near_pairs(groups.drop("n"), classes, percent, False), "pairs")
+    found = materialise(check_hubs(pairs, classes, order, k, percent), "links")
+    if links is None:
+        return components(found)
+    return components(links.unionByName(found)) if found.take(1) else comps
 
 
 def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
