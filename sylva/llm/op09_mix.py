@@ -90,11 +90,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.withColumn("before", F.coalesce(before, F.lit(0)))
     t = targets.withColumnRenamed("source", "_s")
-    offsets = offsets.join(t, offsets["source"].eqNullSafe(t["_s"])).select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "before", "rank", "source_size", "target")
-    rows = sized.withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS))
-    own = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))  # never null: window and join share one shuffle
+    offsets = offsets.join(t, offsets["source"].eqNullSafe(t["_s"])).select(key.alias("_k"), F.col("bucket"), "before", "rank", "source_size", "target")
+    rows = sized.withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS)).withColumn("_k", key)
+    own = Window.partitionBy("_k", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0)))
-    rows = rows.join(offsets, rows["source"].eqNullSafe(offsets["_s"]) & (rows["bucket"] == offsets["_b"])).withColumn("place", F.col("before") + F.col("within"))
+    rows = rows.join(offsets, ["_k", "bucket"]).withColumn("place", F.col("before") + F.col("within"))
     demand = F.floor(F.col("target") + 1e-6)
     passes = [demand - F.col("place") - p * F.col("source_size") for p in range(cap)]
     if whole:  # a pass takes a document whose first half still falls into the demand
