@@ -447,12 +447,15 @@ def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFra
     # one text for each class; a task has sent one at most
     classes = rows.where("blob is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("blob").alias("blob"), F.min("sig").alias("sig"))
     classes = materialise(classes, "classes")
+    ids = materialise(rows.select("doc_id", "node", "n"), "ids")
+    drop_table(rows)
     comps = link_classes(classes, k, percent)
-    own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.max("n").alias("n"))
+    drop_table(classes)
+    own = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.max("n").alias("n"))
     own = own.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = own.groupBy("comp").agg(F.min("min_id").alias("component_id"))
     of = materialise(own.join(least, "comp").select("node", F.col("n").cast("bigint").alias("n_shingles"), "component_id"), "of")
-    out = rows.select("doc_id", "node").join(of, "node", "left")
+    out = ids.select("doc_id", "node").join(of, "node", "left")
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("bigint")).alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
