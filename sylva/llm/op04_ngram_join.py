@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import string
 import zlib
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sylva.llm.common import ASCII_LOWER, byte_texts, drop_table, map_batches, materialise, only, table
+from sylva.llm.common import ASCII_LOWER, BLANK, byte_texts, drop_table, map_batches, materialise, only, table
 from sylva.llm.components import components
 from sylva.llm.wordhash import chunks, shingle_sets
 
@@ -461,8 +462,14 @@ def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFra
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One document of each component stays (the smallest doc_id; one of its rows, if it is repeated)."""
-    keep = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    kept = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    kept = materialise(kept, "kept")
+    same = docs["doc_id"].eqNullSafe(F.col("_id"))
+    if not kept.where("_n > 1").take(1):
+        return docs.join(kept, same, "left_semi")
+    folded = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase), BLANK, " "))
+    again = docs.join(kept.where("_n > 1"), same, "left_semi").withColumn("_words", F.sha2(folded, 256)).dropDuplicates(["doc_id", "_words"]).drop("_words")
+    return docs.join(kept.where("_n = 1"), same, "left_semi").unionByName(again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
