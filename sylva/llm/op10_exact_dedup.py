@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import byte_texts, map_batches, materialise, normal_bytes, only, table
+from sylva.llm.common import BLANK, byte_texts, map_batches, materialise, normal_bytes, only, table
 
 #: A memtable is flushed when it holds so many bytes of text, or so many rows.
 MEMTABLE_BYTES, MEMTABLE_ROWS = 48 << 20, 200_000
@@ -199,14 +199,19 @@ def exact_dedup(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256, max_
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the copies: of equal texts the row with the smallest doc_id stays (one of them, if it is repeated)."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_keep"))
-    n = kept.groupBy("_keep").agg(F.count("*").alias("_n"))
-    out = docs.join(n, docs["doc_id"].eqNullSafe(n["_keep"])).drop("_keep")
-    once = out.where("_n = 1").drop("_n")
-    # The same doc_id on several rows that stay: those with equal normalised texts come down to one.
-    again = out.where("_n > 1").drop("_n").withColumn("_t", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)).dropDuplicates(["doc_id", "_t"]).drop("_t")
-    return once.unionByName(again)
+    """docs without the copies: of equal texts the row with the smallest doc_id stays (one of them, if it is repeated).
+
+    Rows are known by doc_id and digest, so a doc_id on rows with different texts doesn't keep a text that another row has.
+    """
+    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_kept_sha")).agg(F.count("*").alias("_n"))
+    kept = materialise(kept, "kept")
+    rows = docs.withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), BLANK, " "), 256))
+    same = F.col("_sha").eqNullSafe(F.col("_kept_sha")) & docs["doc_id"].eqNullSafe(F.col("_keep"))
+    if not kept.where("_n > 1").take(1):
+        return rows.join(kept, same, "left_semi").drop("_sha")
+    once = rows.join(kept.where("_n = 1"), same, "left_semi")
+    again = rows.join(kept.where("_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "_sha"])
+    return once.unionByName(again).drop("_sha")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,15 @@ def test_dedup_survives_collisions_and_small_memtables(docs):
     assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in op10_exact_dedup.exact_dedup(docs, max_bytes=2000, max_rows=5).collect()} == strong
 
 
+def test_dedup_stages_keep_one_row(spark):
+    rows = [(5, "b  b"), (3, "b b"), (5, "a"), (5, "a"), (None, "n"), (None, "n"), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same([(r["doc_id"], " ".join((r["text"] or "").split())) for r in op10_exact_dedup.drop_duplicates(df).collect()], [(3, "b b"), (5, "a"), (None, "n"), (8, "")])
+    rows = [(1, "one two three four five"), (1, "One two three four  five"), (2, "one two three four five"), (3, "six"), (4, None)]
+    got = op04_ngram_join.keep_representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    same([(r["doc_id"],) for r in got], [(1,), (3,), (4,)])
+
+
 def test_shards_fit(docs):
     for limit in (3000, 50_000):
         got = op02_shards.assign_shards(docs, limit).toPandas()
