@@ -129,3 +129,54 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     a, b = ids.toDF("src", "a"), ids.toDF("dst", "b")
     arrows = edges.join(a, "src").join(b, "dst").select(F.lit(2).alias("part"), F.concat_ws("\x00", "src", "dst").alias("ord"), F.format_string("  %s -> %s;", "a", "b").alias("line"))
     return head.unionByName(body).unionByName(arrows).orderBy("part", "ord").select("line")
+
+
+#: The colours of layers.
+LAYER_STYLES = {
+    "domain": "fill:#C8E6C9,stroke:#2E7D32,stroke-width:2px",
+    "application": "fill:#BBDEFB,stroke:#1565C0,stroke-width:2px",
+    "infrastructure": "fill:#FFCDD2,stroke:#C62828,stroke-width:2px",
+    "presentation": "fill:#FFE0B2,stroke:#F57C00,stroke-width:2px",
+    "api": "fill:#E1BEE7,stroke:#6A1B9A,stroke-width:2px",
+    "cmd": "fill:#E0E0E0,stroke:#424242,stroke-width:2px",
+    "internal": "fill:#B2DFDB,stroke:#00695C,stroke-width:2px",
+}
+
+
+def mermaid_lines(nodes: DataFrame, edges: DataFrame, direction: str = "LR") -> DataFrame:
+    """A Mermaid graph as lines in order; edges to unknown nodes are left out, nodes without edges of their own stand alone.
+
+    nodes: path, and layer if the layers' colours are wanted; edges: src, dst, and cycle and violation (boolean) if they
+    are to be marked, a cycle before a violation.
+    """
+    spark = nodes.sparkSession
+    ids = nodes.select("path").distinct().select("path", F.concat(F.lit("n"), F.substring(F.md5("path"), 1, 12)).alias("id"))
+    label = F.replace(short_path(F.col("path")), F.lit('"'), F.lit("#quot;"))
+    named = ids.select("path", F.concat("id", F.lit('["'), label, F.lit('"]')).alias("box"))
+    known = edges.join(named.toDF("src", "from"), "src").join(named.toDF("dst", "to"), "dst")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in edges.columns else F.lit(False)
+    arrow = F.when(flag("cycle"), " -.->|cycle| ").when(flag("violation"), " -.->|violation| ").otherwise(" --> ")
+    lines = known.select(F.lit(1).alias("part"), F.col("src").alias("ord"), F.col("dst").alias("ord2"), F.concat(F.lit("  "), "from", arrow, "to").alias("line")).distinct()
+    alone = named.join(known.select(F.col("src").alias("path")), "path", "left_anti").select(F.lit(1).alias("part"), F.col("path").alias("ord"), F.lit("").alias("ord2"), F.concat(F.lit("  "), "box").alias("line"))
+    head = spark.createDataFrame([(0, "", "", f"graph {direction}")], "part int, ord string, ord2 string, line string")
+    out = head.unionByName(lines).unionByName(alone)
+    if "layer" in nodes.columns:
+        style = F.create_map(*[F.lit(x) for kv in LAYER_STYLES.items() for x in kv])
+        coloured = nodes.select("path", "layer").distinct().join(ids, "path").withColumn("css", F.try_element_at(style, F.col("layer"))).where("css is not null")
+        out = out.unionByName(coloured.select(F.lit(2).alias("part"), F.col("path").alias("ord"), F.lit("").alias("ord2"), F.concat_ws(" ", F.lit("  style"), "id", "css").alias("line")))
+    return out.orderBy("part", "ord", "ord2").select("line")
+
+
+def mermaid_document(lines: DataFrame, kind: str = "markdown", title: str = "Dependencies", script: str = "https://cdn.jsdelivr.net/npm/mermaid@10/dist/mermaid.min.js") -> str:
+    """The lines in a markdown fence or an HTML page (a page is read as a whole: its lines come to the driver).
+
+    script: where the page finds Mermaid.
+    """
+    from html import escape
+
+    body = "\n".join(r["line"] for r in lines.collect())
+    if kind == "markdown":
+        return f"```mermaid\n{body}\n```\n"
+    if kind != "html":
+        raise ValueError(f"unknown kind {kind!r}; known: markdown, html")
+    return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{escape(title)}</title></head>\n<body><h1>{escape(title)}</h1><pre class="mermaid">\n{escape(body)}\n</pre>\n<script src="{escape(script)}"></script><script>mermaid.initialize({{ startOnLoad: true }});</script></body></html>\n'

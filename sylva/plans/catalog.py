@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import paths as P
 from sylva.functions.globs import glob_match, layer_match
-from sylva.operators import clones, graph, metrics, predicates as R, structure as S
+from sylva.operators import clones, graph, metrics, predicates as R, profile, sinks, structure as S, workflows
 from sylva.sources import code
 
 URL_PATH = r"(^https?://|[?#].*$)"
@@ -348,6 +348,34 @@ def q40(spark, d):
     return graph.resolve(e, f, ("1", "5", "9")).select("page_id", "target")
 
 
+@register("q41_missing_gates", "WITH s AS (SELECT conv_id AS job, lower(concat_ws(' ', text, role)) AS t FROM conversations), g(message, p) AS (VALUES ('asks nothing', '\\?'), ('has no figure', '[0-9]')) SELECT job, message FROM s CROSS JOIN g GROUP BY job, message HAVING NOT bool_or(regexp_matches(t, p))")
+def q41(spark, d):
+    steps = read(spark, d, "conversations").select(F.col("conv_id").alias("job"), F.col("role").alias("name"), F.col("text").alias("run"))
+    return workflows.missing_gates(steps, {"asks nothing": r"\?", "has no figure": "[0-9]"}, "job")
+
+
+@register("q42_recommended_limits", f"WITH {_PAGES}, u AS (SELECT DISTINCT string_split(parent, '/') AS parts FROM f WHERE parent != ''), i AS (SELECT parts, unnest(range(1, len(parts) + 1)) AS n FROM u), x AS (SELECT DISTINCT array_to_string(parts[1:n], '/') AS path FROM i), s AS (SELECT count(*) AS n FROM x WHERE contains(path, '/') GROUP BY regexp_extract(path, '^(.*)/[^/]+$', 1)), c AS (SELECT count(*) AS n FROM f WHERE parent != '' GROUP BY parent) SELECT least(greatest((SELECT coalesce(max(depth), 0) FROM f) + 2, 4), 10)::BIGINT AS max_depth, least(greatest(floor((SELECT coalesce(max(n), 0) FROM c) * 1.2), 20), 100)::BIGINT AS max_files, least(greatest((SELECT coalesce(max(n), 0) FROM s) + 3, 10), 30)::BIGINT AS max_subdirs")
+def q42(spark, d):
+    return profile.recommended_limits(pages(spark, d))
+
+
+@register("q43_mermaid", f"WITH {_CUSTOMERS}, b AS (SELECT n_nationkey AS k, 'n' || substr(md5('world/' || n_regionkey || '/' || n_name), 1, 12) || '[\"' || n_regionkey || '/' || n_name || '\"]' AS box FROM nation) SELECT 'graph LR' AS line UNION ALL SELECT '  ' || x.box || ' --> ' || y.box FROM e JOIN b x ON x.k = e.src JOIN b y ON y.k = e.dst UNION ALL SELECT '  ' || box FROM b WHERE k NOT IN (SELECT src FROM e)")
+def q43(spark, d):
+    n = read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), F.concat_ws("/", F.lit("world"), "n_regionkey", "n_name").alias("path"))
+    e = nation_edges(spark, d).join(n.toDF("src", "from"), "src").join(n.toDF("dst", "to"), "dst").select(F.col("from").alias("src"), F.col("to").alias("dst"))
+    return graph.mermaid_lines(n.select("path"), e)
+
+
+@register("q44_clone_summary", f"SELECT count(*) AS clones, coalesce(sum(tokens), 0)::BIGINT AS tokens, count(*) FILTER (a = b) AS within FROM ({_sql['q26_clone_pairs']})")
+def q44(spark, d):
+    return sinks.clone_summary(q26(spark, d))
+
+
+@register("q45_clone_sarif_results", f"""SELECT '{{"ruleId":"code-clone-exact","level":"warning","message":{{"text":"Clone of ' || tokens || ' tokens"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || a || '"}}}},"properties":{{"startToken":' || start_a || ',"tokens":' || tokens || '}}}}],"relatedLocations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || b || '"}}}},"properties":{{"startToken":' || start_b || ',"tokens":' || tokens || '}}}}]}}' AS json FROM ({_sql['q26_clone_pairs']})""")
+def q45(spark, d):
+    return sinks.clone_results(q26(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.globs import gitignore_glob
-from sylva.operators import predicates as R, structure as S
+from sylva.operators import predicates as R, structure as S, workflows as W
 
 
 @dataclass
@@ -70,6 +70,11 @@ def _limit(spec, key: str) -> int:
     return int(spec[key] if isinstance(spec, dict) else spec)
 
 
+def _contents(files: DataFrame) -> DataFrame | None:
+    return files.where("not is_dir").select("path", "text") if "text" in files.columns else None
+
+
+#: Rules by name, from files and what the configuration says; github-workflows needs the files' `text`.
 RULES = {
     "max-depth": lambda files, spec: S.max_depth(files, _limit(spec, "max"), (spec.get("overrides") if isinstance(spec, dict) else None)),
     "max-files-in-dir": lambda files, spec: S.max_files(files, _limit(spec, "max")),
@@ -79,6 +84,9 @@ RULES = {
     "regex-match": lambda files, spec: R.union_all([S.regex_match(files, g, r) for g, r in spec.items()]),
     "case-conflicts": lambda files, spec: S.case_conflicts(files),
     "symlinks": lambda files, spec: S.symlinks(files),
+    "ci-gates": lambda files, spec: W.required_workflows(files, "ci-gates", ("pr-gate", "merge-gate")),
+    "fallow-gate": lambda files, spec: W.required_workflows(files, "fallow-gate", ("fallow",) if "sveltekit" in W.project_types(files, _contents(files)) else ()),
+    "github-workflows": lambda files, spec: W.workflow_quality(files, files.where("not is_dir").select("path", "text"), spec if isinstance(spec, dict) else None),
     "file-existence": lambda files, spec: S.file_existence(S.directories(files), files, {g: count_range(n) for g, n in spec.items()}).select(F.lit("file-existence").alias("rule"), "path", F.format_string("has %d of %s", "n", "pattern").alias("message")),
 }
 
