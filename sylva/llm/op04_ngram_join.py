@@ -11,7 +11,8 @@ one of these are a group.
    threshold with what remains of them. Links found give components; groups of one component are done.
 2. Best turns: classes of different components in a group are compared by signatures, bitmaps of their shingles. Bits that
    only one of two has give an upper bound of the intersection. Each class is checked by the trie against the one with the
-   highest bound, so most components merge while no more than one pair a class is sent.
+   highest bound, so most components merge while no more than one pair a class is sent. A class whose bounds in a group
+   all stay under the threshold leaves the group, so its signature isn't sent for it again.
 3. All pairs of different components that are left and whose bound reaches the threshold are checked by the trie. Large
    groups are cut into blocks, and blocks are paired; groups with the same members are compared once.
 4. Components of all links.
@@ -147,8 +148,8 @@ class Block:
     def __init__(self, percent: int):
         self.percent, self.rows = percent, {}
 
-    def add(self, node: int, comp: int, n: int, raw: bytes, best: bool = False) -> list[tuple[int, float]]:
-        """The classes of other components that may link with this one and the bounds of similarity; best: one at most."""
+    def add(self, node: int, comp: int, n: int, raw: bytes) -> list[tuple[int, float]]:
+        """The classes of other components that may link with this one and the bounds of similarity."""
         sig, found = np.frombuffer(raw, np.uint8), []
         for size, held in list(self.rows.items()):
             first = np.searchsorted(held["n"][: held["len"]], -(-self.percent * n // 100))
@@ -169,7 +170,7 @@ class Block:
         for c, v in (("node", node), ("comp", comp), ("n", n), ("sig", sig)):
             held[c][held["len"]] = v
         held["len"] += 1
-        return [max(found, key=lambda x: x[::-1])] if best and found else found
+        return found
 
 
 class GlobalOrder:
@@ -353,10 +354,11 @@ def distinct_groups(rows: DataFrame) -> DataFrame:
     return rows.join(once, "token", "left_semi")
 
 
-def near_pairs(groups: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of classes of different components in a group that may link, by signatures. groups: token, node, comp.
+def candidates(groups: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Rows (a, b, bound, null): classes of different components in a group that may link, by signatures.
 
-    best: only one pair for each class b, that with the highest bound of the similarity.
+    groups: token, node, comp. best: for each class b only the a with the highest bound of the similarity in its block; then
+    there are also rows (null, b, null, token): b has a class in the group that it may link with.
     """
     sizes = groups.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = groups.join(sizes, "token").withColumn("block", F.pmod(F.hash("node"), "blocks"))
@@ -366,28 +368,40 @@ def near_pairs(groups: DataFrame, classes: DataFrame, percent: int, best: bool)
     rows = rows.join(classes.select("node", "n", "sig"), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
 
     def make():
-        state = {"key": None, "block": None}
+        state = {"key": None, "block": None, "alive": set()}
+
+        def alive():
+            nodes, key = list(state["alive"]), state["key"]
+            state["alive"] = set()
+            if nodes:
+                yield {"a": [None] * len(nodes), "b": nodes, "bound": [None] * len(nodes), "token": [key[0]] * len(nodes)}
 
         def step(batch):
-            if batch is None or not batch.num_rows:
+            if batch is None:
+                yield from alive()
+                return
+            if not batch.num_rows:
                 return
             cols = [batch.column(c).to_pylist() for c in ("token", "i", "j", "node", "comp", "n", "sig")]
             a, b, bound = [], [], []
             for token, i, j, node, comp, n, raw in zip(*cols):
                 if state["key"] != (token, i, j):
+                    yield from alive()
                     state["key"], state["block"] = (token, i, j), Block(percent)
-                for other, most in state["block"].add(node, comp, n, raw, best):
+                found = state["block"].add(node, comp, n, raw)
+                if best and found:
+                    state["alive"].add(node)
+                    state["alive"].update(x for x, _ in found)
+                    found = [max(found, key=lambda x: x[::-1])]
+                for other, most in found:
                     a.append(other if best else min(node, other))
                     b.append(node if best else max(node, other))
                     bound.append(most)
-            yield {"a": a, "b": b, "bound": bound}
+            yield {"a": a, "b": b, "bound": bound, "token": [None] * len(a)}
 
         return step
 
-    found = map_batches(rows.select("token", "i", "j", "node", "comp", "n", "sig"), make, "a bigint, b bigint, bound double")
-    if best:
-        return found.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("best")).select("best.a", "b")
-    return found.select("a", "b").distinct()
+    return map_batches(rows.select("token", "i", "j", "node", "comp", "n", "sig"), make, "a bigint, b bigint, bound double, token bigint")
 
 
 def band_of(percent: int, shift: float = 0.0):
@@ -424,8 +438,15 @@ def link_classes(classes: DataFrame, k: int, percent: int) -> DataFrame:
     drop_table(shared)
     links = comps = None
     for turn in range(HUB_TURNS + BEST_TURNS):
-        pairs = hub_pairs(groups, turn, percent) if turn < HUB_TURNS else near_pairs(groups.drop("n"), classes, percent, True)
-        pairs = materialise(pairs, "pairs")
+        if turn < HUB_TURNS:
+            pairs = materialise(hub_pairs(groups, turn, percent), "pairs")
+        else:
+            seen = materialise(candidates(groups.drop("n"), classes, percent, True), "candidates")
+            pairs = seen.where("token is null").groupBy("b").agg(F.max(F.struct("bound", "a")).alias("best")).select("best.a", "b")
+            # a row without a class in its group that it may link with never gets one: components only grow
+            alive = seen.where("token is not null").select("token", F.col("b").alias("node")).distinct()
+            old, groups = groups, materialise(groups.join(alive, ["token", "node"], "left_semi"), "groups")
+            drop_table(old)
         found = materialise(check_hubs(pairs, classes, order, k, percent), "links")
         if not found.take(1):
             continue
@@ -435,7 +456,7 @@ def link_classes(classes: DataFrame, k: int, percent: int) -> DataFrame:
         moved = groups.join(to, "node", "left").select("token", "node", "n", F.coalesce("new", "comp").alias("comp"))
         old, groups = groups, materialise(distinct_groups(mixed_groups(moved, percent)), "groups")
         drop_table(old)
-    pairs = materialise(near_pairs(groups.drop("n"), classes, percent, False), "pairs")
+    pairs = materialise(candidates(groups.drop("n"), classes, percent, False).select("a", "b").distinct(), "pairs")
     found = materialise(check_hubs(pairs, classes, order, k, percent), "links")
     if links is None:
         return components(found)
