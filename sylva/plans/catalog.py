@@ -327,6 +327,11 @@ def q36(spark, d):
 
 @register("q37_semantic_clones", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0 ORDER BY 3 DESC, 1, 2 LIMIT 100")
 def q37(spark, d):
+    return code.labelled_clones(read(spark, d, "embeddings"), 100)
+
+
+@register("q37b_semantic_clones_all", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id != b.vec_id AND (b.vec_id % 20 != 0 OR a.vec_id < b.vec_id) WHERE a.vec_id % 20 = 0 ORDER BY 3 DESC, 1, 2 LIMIT 100")
+def q37b(spark, d):
     return code.semantic_clones(read(spark, d, "embeddings"), 100)
 
 

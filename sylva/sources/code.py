@@ -5,6 +5,10 @@ contents: path, text. One row per import: source_file, import_path, is_relative,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,11 +124,57 @@ def language_profile(docs: DataFrame) -> DataFrame:
     return n.select("lang", "n", rank.alias("rank"), clamp(F.floor(F.col("n") * 12 / 10), 20, 100).alias("max_files"), clamp(F.col("most") + 2, 4, 10).alias("max_depth"))
 
 
-def semantic_clones(vectors: DataFrame, limit: int) -> DataFrame:
-    """The most similar pairs (a report of `limit` rows) of a query set, every 20th vector, with later ones of its label."""
+def labelled_clones(vectors: DataFrame, limit: int) -> DataFrame:
+    """The part of semantic_clones that q37's SQL has: only pairs of one label whose other id is larger than the query's."""
     v = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     v = v.withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))))
     a, b = v.where("vec_id % 20 = 0").toDF("a", "label", "ea", "na"), v.toDF("b", "label", "eb", "nb")
     pairs = a.join(b, "label").where("a < b").select("a", "b", F.round(dot(F.col("ea"), F.col("eb")) / (F.col("na") * F.col("nb")), 5).alias("similarity"))
     return pairs.orderBy(F.desc("similarity"), "a", "b").limit(limit)
+
+
+#: Rows of a block of vectors; every block of queries meets every block of rows.
+BLOCK = 1024
+
+
+def semantic_clones(vectors: DataFrame, limit: int) -> DataFrame:
+    """The most similar pairs (a report of `limit` rows) of a query set, every 20th vector, with all other vectors.
+
+    A pair of two queries counts once, with the smaller id as a. Vectors that are null or zero have no similarity.
+    """
+    v = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("e")).where("id is not null and e is not null")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows = [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            rows += batch.column(1).to_pylist()
+            while len(ids) >= BLOCK:
+                yield packed(ids[:BLOCK], rows[:BLOCK])
+                del ids[:BLOCK], rows[:BLOCK]
+        if ids:
+            yield packed(ids, rows)
+
+    def packed(ids: list[int], rows: list[list[float]]) -> pa.RecordBatch:
+        e = np.array(rows, "<f8")
+        return pa.RecordBatch.from_pydict({"ids": [np.array(ids, "<i8").tobytes()], "e": [e.tobytes()]})
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ia, ea, ib, eb in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+                ia, ib = np.frombuffer(ia, "<i8"), np.frombuffer(ib, "<i8")
+                ea, eb = np.frombuffer(ea, "<f8").reshape(len(ia), -1), np.frombuffer(eb, "<f8").reshape(len(ib), -1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = (ea @ eb.T) / np.outer(np.sqrt((ea * ea).sum(1)), np.sqrt((eb * eb).sum(1)))
+                s = np.where(s < 0, -1, 1) * np.floor(np.abs(s) * 1e5 + 0.5) / 1e5
+                s[(ia[:, None] == ib) | (ib % 20 == 0) & (ib < ia[:, None]) | ~np.isfinite(s)] = -9
+                least = np.partition(s, -limit, None)[-limit] if s.size > limit else -9
+                x, y = np.nonzero((s >= least) & (s > -9))
+                order = np.lexsort((ib[y], ia[x], -s[x, y]))[:limit]
+                x, y = x[order], y[order]
+                yield pa.RecordBatch.from_pydict({"a": ia[x], "b": ib[y], "similarity": s[x, y]})
+
+    blocks = lambda t: t.mapInArrow(pack, "ids binary, e binary")
+    pairs = blocks(v.where("id % 20 = 0")).crossJoin(blocks(v).toDF("ids_b", "e_b"))
+    return pairs.mapInArrow(best, "a bigint, b bigint, similarity double").orderBy(F.desc("similarity"), "a", "b").limit(limit)
