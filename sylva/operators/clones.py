@@ -26,10 +26,10 @@ def index_stats(grams: DataFrame) -> DataFrame:
 
 
 def clone_pairs(grams: DataFrame, key: str, k: int = K) -> DataFrame:
-    """a, b, start_a, start_b, tokens: maximal equal passages of each document and the next one that has the k-gram.
+    """a, b, start_a, start_b, tokens: equal passages of each document and the next one that has the k-gram.
 
-    Occurrences of a k-gram are ordered by document and place, and each is paired with the first of the next document,
-    so a gram of n places gives n pairs, not n squared; seeds on one diagonal with consecutive places are one passage.
+    Only the first place of a k-gram in a document counts, so a gram of n documents gives n - 1 pairs, and repeats within a
+    text aren't found; seeds on one diagonal with consecutive places are one passage. passages() keeps all places.
     """
     digest = grams.select(key, "pos", F.md5("gram").alias("h"))
     firsts = digest.groupBy("h", key).agg(F.min("pos").alias("pos"))
@@ -38,3 +38,32 @@ def clone_pairs(grams: DataFrame, key: str, k: int = K) -> DataFrame:
     run = Window.partitionBy("a", "b", F.col("pa") - F.col("pb")).orderBy("pa")
     islands = seeds.withColumn("island", F.col("pa") - F.row_number().over(run)).groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift"), "island")
     return islands.agg(F.min("pa").alias("start_a"), F.min("pb").alias("start_b"), (F.count("*") + k - 1).alias("tokens")).select("a", "b", "start_a", "start_b", "tokens")
+
+
+def passages(docs: DataFrame, key: str, tokens: Column, k: int = K) -> DataFrame:
+    """passage, key, start, tokens, places: every place of every repeated passage, also within one text. key is unique.
+
+    A passage is a longest run of k-grams that have the same places (but for the shift) and at least two; its name is the
+    md5 of its first k-gram. Each place of a repeated k-gram is in one row, so the rows are no more than the k-grams. Two
+    texts have a k-gram in common just where both have its passage; passages that follow each other in both (the next one
+    starts at start + tokens - k + 1) make one longer match, so all pairs of places follow without being listed.
+    """
+    t = docs.select(key, tokens.alias("t")).where(F.size("t") >= k)
+    place = lambda i: F.struct(i.alias("pos"), F.unhex(F.md5(F.array_join(F.slice("t", i + 1, k), " "))).alias("h"), F.when(i > 0, F.xxhash64(F.get("t", i - 1))).alias("before"))
+    rows = t.select(key, F.inline(F.transform(F.sequence(F.lit(0), F.size("t") - k), place)))
+    same = Window.partitionBy("h")
+    rows = rows.withColumn("places", F.count("*").over(same)).withColumn("one", (F.count("before").over(same) == F.col("places")) & (F.min("before").over(same) == F.max("before").over(same)))
+    rows = rows.where("places > 1").drop("before")
+    text = Window.partitionBy(key).orderBy("pos")
+    # all places follow the same k-gram, and it has no other place
+    goes_on = F.col("one") & (F.lag("places").over(text) == F.col("places")) & (F.lag("pos").over(text) == F.col("pos") - 1)
+    rows = rows.withColumn("first", ~F.coalesce(goes_on, F.lit(False))).withColumn("part", F.count_if("first").over(text))
+    parts = rows.groupBy(key, "part").agg(F.max(F.when(F.col("first"), F.col("h"))).alias("h"), F.min("pos").alias("start"), (F.count("*") + k - 1).alias("tokens"), F.min("places").alias("places"))
+    return parts.select(F.lower(F.hex("h")).alias("passage"), key, "start", "tokens", "places")
+
+
+def passage_links(found: DataFrame, key: str) -> DataFrame:
+    """a, b, start_a, start_b, tokens: each place of a passage with its next one, by key and start (n places, n - 1 links)."""
+    w = Window.partitionBy("passage").orderBy(key, "start")
+    links = found.select(F.col(key).alias("a"), F.lead(key).over(w).alias("b"), F.col("start").alias("start_a"), F.lead("start").over(w).alias("start_b"), "tokens")
+    return links.where("start_b is not null")

@@ -265,6 +265,11 @@ def q26(spark, d):
     return clones.clone_pairs(grams(spark, d), "doc_id")
 
 
+@register("q26b_clone_passages", f"WITH {_GRAMS}, p AS (SELECT doc_id, pos, md5(gram) AS h, lag(md5(gram)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM g), c AS (SELECT h, count(*) AS places, count(before) = count(*) AND count(DISTINCT before) = 1 AS one FROM p GROUP BY 1 HAVING count(*) > 1), s AS (SELECT p.*, c.places, c.one AND c.places = b.places AS on_ FROM p JOIN c ON c.h = p.h LEFT JOIN c b ON b.h = p.before), i AS (SELECT *, sum(CASE WHEN on_ THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM s) SELECT arg_min(h, pos) AS passage, doc_id, min(pos) AS start, count(*) + 19 AS tokens, min(places) AS places FROM i GROUP BY doc_id, part")
+def q26b(spark, d):
+    return clones.passages(read(spark, d, "documents"), "doc_id", tokens())
+
+
 @register("q27_index_stats", f"WITH {_GRAMS}, c AS (SELECT md5(gram) AS gram, count(*) AS n FROM g GROUP BY 1) SELECT count(*) AS hashes, sum(n)::BIGINT AS shingles, count(*) FILTER (n > 1) AS collisions FROM c")
 def q27(spark, d):
     return clones.index_stats(grams(spark, d).select("doc_id", F.md5("gram").alias("gram")))
@@ -381,6 +386,19 @@ def q45(spark, d):
     return sinks.clone_results(q26(spark, d))
 
 
+_sql_links = f"SELECT * FROM (SELECT doc_id AS a, lead(doc_id) OVER w AS b, start AS start_a, lead(start) OVER w AS start_b, tokens FROM ({_sql['q26b_clone_passages']}) WINDOW w AS (PARTITION BY passage ORDER BY doc_id, start)) WHERE b IS NOT NULL"
+
+
+@register("q44b_clone_summary_all", _sql["q44_clone_summary"].replace(_sql["q26_clone_pairs"], _sql_links))
+def q44b(spark, d):
+    return sinks.clone_summary(clones.passage_links(q26b(spark, d), "doc_id"))
+
+
+@register("q45b_clone_sarif_results_all", _sql["q45_clone_sarif_results"].replace(_sql["q26_clone_pairs"], _sql_links))
+def q45b(spark, d):
+    return sinks.clone_results(clones.passage_links(q26b(spark, d), "doc_id"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

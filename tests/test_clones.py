@@ -1,8 +1,11 @@
 """Clones: all pairs of a query set, all places of a passage."""
 
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from sylva.operators import clones
 from sylva.sources import code
 
 
@@ -20,3 +23,38 @@ def test_semantic_clones_compare_queries_with_all_rows(spark, monkeypatch):
         monkeypatch.setattr(code, "BLOCK", block)
         got = [(-r["similarity"], r["a"], r["b"]) for r in code.semantic_clones(vectors, limit).collect()]
         assert [x[1:] for x in got] == [x[1:] for x in want[:limit]] and np.allclose([x[0] for x in got], [x[0] for x in want[:limit]], atol=2e-5)
+
+
+def matches(texts, gram, k):
+    """All maximal equal runs of k-grams, over all pairs of places; gram(text, pos) names a k-gram, or None."""
+    places = [(d, p) for d, t in texts.items() for p in range(len(t) - k + 1)]
+    same = {(x, y) for x, y in itertools.combinations(places, 2) if gram(*x) is not None and gram(*x) == gram(*y)}
+    step = lambda x, n: (x[0], x[1] + n)
+    out = set()
+    for x, y in same:
+        if (step(x, -1), step(y, -1)) not in same:
+            n = 1
+            while (step(x, n), step(y, n)) in same:
+                n += 1
+            out.add((x, y, n + k - 1))
+    return out
+
+
+def test_passages_hold_all_places_and_give_all_maximal_matches(spark):
+    rng, k = np.random.default_rng(8), 3
+    texts = {d: [str(x) for x in rng.integers(0, 3, rng.integers(0, 25))] for d in range(12)}
+    texts |= {20: "a b c d e f g h".split(), 21: "x c d e f y".split(), 22: "a b c d e f g h".split(), 23: "q r s t q r s t u v u v u v u v".split(), 24: ["z"] * 9}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string")
+    found = clones.passages(df, "doc_id", F.filter(F.split("text", " "), lambda x: x != ""), k)
+    rows = found.collect()
+    at = {}
+    for r in rows:
+        for i in range(r["tokens"] - k + 1):
+            assert (r["doc_id"], r["start"] + i) not in at
+            at[r["doc_id"], r["start"] + i] = (r["passage"], i)
+    want = matches(texts, lambda d, p: tuple(texts[d][p : p + k]), k)
+    assert matches(texts, lambda d, p: at.get((d, p)), k) == want and any(x[0] == y[0] for x, y, _ in want)
+    assert ((20, 0), (22, 0), 8) in want  # document 21 shares a part of it
+    n = len({r["passage"] for r in rows})
+    links = clones.passage_links(found, "doc_id").collect()
+    assert len(links) == len(rows) - n and any(x["a"] == x["b"] for x in links)
