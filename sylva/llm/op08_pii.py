@@ -5,7 +5,7 @@ it writes the place in the source that it stands for:
 
 1. characters: homoglyphs (Cyrillic, Greek), compatibility forms (full width, mathematical), digits of other scripts, odd
    spaces, dashes and dots become ASCII; invisible characters vanish; O, o, l, I between digits become digits;
-2. spelled digits: a run of at least MIN_SPELLED digit words, not all alike (English, German, French, Spanish), with figures, "dot" and
+2. spelled digits: a run of at least MIN_SPELLED digit words (English, German, French, Spanish), with figures, "dot" and
    "plus" among them, becomes figures;
 3. at and dot: "(at)", "[dot]", " at ... dot " and the like become @ and "." where the result reads as an address.
 
@@ -62,7 +62,6 @@ DIGIT_WORDS = {
     for i, w in enumerate(line.split())
 } | {"oh": "0", "zwo": "2"}
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED_HINT = re.compile(rf"\b(?:{_DIGIT})[ ,.\n-]{{1,3}}(?:{_DIGIT})[ ,.\n-]{{1,3}}(?:{_DIGIT})\b")
 _SPELLED = re.compile(rf"(?:(?<!\w)(?:\+|plus\b)[ ]?)?(?<![\w])(?:{_DIGIT}|[0-9]+)\b(?:[ ,.\n()-]{{1,3}}(?:(?:dot|point|punkt|punto)[ ,-]{{1,2}})?(?:{_DIGIT}|[0-9]+)\b)+")
 _PART = re.compile(rf"plus|dot|point|punkt|punto|{_DIGIT}|[0-9]+|\+|\.")
 _DOT_WORD = r"(?:\s?[(\[{<]\s?(?:dot|punkt|point|punto|\.)\s?[)\]}>]\s?|\s(?:dot|punkt|punto)\s)"
@@ -122,14 +121,14 @@ _FIGURES = re.compile(r"(?<=[0-9])[OolI](?=[0-9])")
 # cheap tests that hold for every text in which the pattern after them matches
 _FIGURES_HINT = re.compile(r"[0-9][OolI][0-9]")
 _IP_HINT = re.compile(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
-_DOT_WORDS = ("dot", "punkt", "punto", "point", "arroba", " @ ")
-_BREAKS = str.maketrans(",.-()\n", "      ")
+_DOT_WORDS = ("dot", "punkt", "punto", "point", "arroba")
+_AT_APART = re.compile(r"\s@\s")
+_WORDS = re.compile(r"\w+")
 
 
 def _may_be_spelled(lower: str) -> bool:
-    """Whether a text has MIN_SPELLED digit words, two of them different."""
-    found = [w for w in lower.translate(_BREAKS).split() if w in DIGIT_WORDS]
-    return len(found) >= MIN_SPELLED and len(set(found)) > 1
+    """Whether a text has MIN_SPELLED digit words, wherever and alike or not: each of a run has a boundary on both sides."""
+    return sum(map(DIGIT_WORDS.__contains__, _WORDS.findall(lower))) >= MIN_SPELLED
 
 
 def luhn(digits: str) -> bool:
@@ -246,11 +245,11 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     lower = plain.lower()
     if len(lower) != len(plain):  # a few characters change their length
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
-    if (any(w in lower for w in _DOT_WORDS) or _BRACKET.search(lower)) and _DISGUISED_HINT.search(lower):
+    if (any(w in lower for w in _DOT_WORDS) or _BRACKET.search(lower) or "@" in lower and _AT_APART.search(lower)) and _DISGUISED_HINT.search(lower):
         found += disguised(lower)
     if " at " in lower:
         found += bare_at(lower)
-    if _may_be_spelled(lower) and _SPELLED_HINT.search(lower):
+    if _may_be_spelled(lower):
         found += spelled(lower)
     if at is not None:
         found = [(k, at[s], at[e - 1] + 1) for k, s, e in found]
