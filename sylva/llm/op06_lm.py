@@ -1,15 +1,17 @@
 r"""Language-model scoring: a log-bilinear model trained with noise-contrastive estimation (NCE) in numpy.
 
 Tokens are words (A-Z lower-cased) and one end a text, known by 64-bit hashes. Counts of all training tokens come from one
-aggregation. The model predicts units: the end and the OWN - 1 most frequent words are units of their own, the other words
-fall by hash into TAIL units, and within a unit a word has its smoothed share of the unit's count (one unseen word a unit).
-So P(word | context) = P(unit | context) * P(word | unit), and a unit is known without any table of rare words.
-
-P(unit | u1, u2) is log-bilinear: the context vector is c1 * r[u1] + c2 * r[u2] (u1, u2: the two units before, or the start),
-its product with q[unit], plus b[unit], is the unnormalised score. Training tokens all take part: every task runs NCE in
-minibatches (noise units shared by a minibatch) over its texts for one epoch from the same start, and the models are
-averaged by their tokens. As the context adds up from two tables, the normaliser of each pair of units is computed once by
-batched matrix products; a token's score is then three look-ups and is exactly normalised.
+aggregation. The model predicts units, whose number grows with the root of the training vocabulary: the end and the most
+frequent words are units of their own (three quarters), the other words fall by hash into the rest, and within a unit a word
+has its smoothed share of the unit's count (one unseen word a unit). Units in order of their counts are cut into classes of
+about the same count and a bounded number of units, so classes and units of a class both grow with the root of the units.
+So P(word | context) = P(class | context) * P(unit | class, context) * P(word | unit).
+
+Both levels are log-bilinear: the context vector is c1 * r[u1] + c2 * r[u2] (u1, u2: the two units before, or the start), its
+product with a class's or unit's vector, plus a bias, is the unnormalised score. Training tokens all take part: every task
+runs NCE in minibatches (noise classes shared by a minibatch, noise units by the tokens of a class) over its texts for one
+epoch from the same start, and the models are averaged by their tokens. A token's score is exactly normalised, over all
+classes and over the units of its class.
 
 Words' counts: the TABLE_ROWS most frequent words (at most) are broadcast as arrays; the others of a text (few) go as rows
 (text, word, times) to a join with the counts, which uses the hash of rare words and so has no hot key.
@@ -21,6 +23,8 @@ token; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +34,11 @@ from sylva.llm.common import byte_texts, map_batches, materialise, table
 from sylva.llm.wordhash import chunks, word_table
 
 FOLDS, HELD_OUT = 5, 1
-OWN, TAIL, DIM = 384, 128, 16
-UNITS = OWN + TAIL
-START = UNITS  # the unit before a text
-BATCH, NOISE, RATE, SEED = 4096, 16, 0.03, 7
+#: The least number of units; units for the root of the vocabulary; one of OTHERS units is of words without their own.
+UNITS, PER_ROOT, OTHERS, DIM = 512, 16, 4, 16
+BATCH, NOISE, CLASS_NOISE, RATE, SEED = 4096, 64, 8, 0.03, 7
+#: Tokens that are normalised at once.
+SLICE = 1 << 14
 TABLE_ROWS, MERGE = 1 << 18, 1 << 21
 #: The end's key; words' hashes have 63 bits.
 END = np.int64(-1)
@@ -85,16 +90,20 @@ def count_words(training: DataFrame) -> DataFrame:
     return map_batches(training.select("text"), make, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
 
 
+def number_of_units(vocabulary: int) -> int:
+    return max(UNITS, PER_ROOT * math.isqrt(vocabulary))
+
+
 class Units:
-    """Key -> unit."""
+    """Key -> unit: own words by their place in own, others by hash into the tail units after them."""
 
-    def __init__(self, own: list[int]):
+    def __init__(self, own: list[int], size: int, tail: int):
         keys = np.array(own, np.int64)
         order = np.argsort(keys)
-        self.keys, self.units = keys[order], order.astype(np.int32)
+        self.keys, self.units, self.first, self.tail = keys[order], order.astype(np.int32), size - tail, tail
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        out = (OWN + keys % TAIL).astype(np.int32)
+        out = (self.first + keys % self.tail).astype(np.int32)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             own = self.keys[at] == keys
@@ -102,9 +111,9 @@ class Units:
         return out
 
 
-def contexts(units: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The unit before each token, and the one before that, START before a text."""
-    one, two = np.full(len(units), START, np.int32), np.full(len(units), START, np.int32)
+def contexts(units: np.ndarray, rows: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unit before each token, and the one before that, start before a text."""
+    one, two = np.full(len(units), start, np.int32), np.full(len(units), start, np.int32)
     same = rows[1:] == rows[:-1]
     one[1:][same] = units[:-1][same]
     same = rows[2:] == rows[:-2]
@@ -112,64 +121,128 @@ def contexts(units: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return one, two
 
 
+def log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(1, keepdims=True)
+    return np.log(np.exp(s - top).sum(1)) + top[:, 0]
+
+
 class LogBilinear:
-    """r: vectors of context units; c: the two places' weights; q, b: vectors and biases of predicted units."""
+    """r: vectors of context units; c: the two places' weights; qc, bc: of classes; q, b: of units within their class.
+
+    Vectors of units start at nothing, so a unit that is never seen keeps its share of its class.
+    """
 
     def __init__(self, log_unigram: np.ndarray, dim: int = DIM, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        self.r = rng.normal(0, 0.1, (UNITS + 1, dim)).astype(np.float32)
+        rng, n = np.random.default_rng(seed), len(log_unigram)
+        mass = np.exp(log_unigram) / np.exp(log_unigram).sum()
+        # places: units in order of their counts, so that a class is a range
+        order = np.argsort(-mass, kind="stable")
+        self.place = np.empty(n, np.int32)
+        self.place[order] = np.arange(n)
+        mass, root = mass[order], math.isqrt(n - 1) + 1
+        starts, held = [0], 0.0
+        for i in range(n):
+            if i > starts[-1] and (held + mass[i] > 1 / root or i - starts[-1] >= 2 * root):
+                starts.append(i)
+                held = 0.0
+            held += mass[i]
+        self.starts = np.array([*starts, n])
+        self.class_of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(self.starts))
+        of_class = np.add.reduceat(mass, starts)
+        self.noise_c, self.noise = np.log(of_class).astype(np.float32), np.log(mass / of_class[self.class_of]).astype(np.float32)
+        self.cumulative_c, self.cumulative = np.cumsum(of_class), np.concatenate([[0.0], np.cumsum(mass)])
+        self.r = rng.normal(0, 0.1, (n + 1, dim)).astype(np.float32)
         self.c = np.ones((2, dim), np.float32) * np.float32([[1.0], [0.5]])
-        self.q = rng.normal(0, 0.1, (UNITS, dim)).astype(np.float32)
-        self.b = log_unigram.astype(np.float32)
-        self.noise = log_unigram.astype(np.float32)
-        self.cumulative = np.cumsum(np.exp(log_unigram))
-        self.g2 = [np.full(x.shape, 1e-10, np.float32) for x in (self.r, self.c, self.q, self.b)]
+        self.qc = rng.normal(0, 0.1, (len(starts), dim)).astype(np.float32)
+        self.bc, self.q, self.b = self.noise_c.copy(), np.zeros((n, dim), np.float32), self.noise.copy()
+        self.g2 = [np.full(x.shape, 1e-10, np.float32) for x in self.weights()]
+
+    def weights(self) -> tuple[np.ndarray, ...]:
+        return self.r, self.c, self.qc, self.bc, self.q, self.b
 
     def step(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray, rng: np.random.Generator, rate: float) -> None:
         """A minibatch of NCE, Adagrad."""
-        n, k = len(unit), NOISE
-        noise = np.minimum(np.searchsorted(self.cumulative, rng.random(k) * self.cumulative[-1]), UNITS - 1)
+        place = self.place[unit]
+        cls = self.class_of[place]
+        order = np.argsort(cls, kind="stable")
+        one, two, place, cls = one[order], two[order], place[order], cls[order]
+        n, k, m = len(unit), NOISE, CLASS_NOISE
         r1, r2 = self.r[one], self.r[two]
         h = r1 * self.c[0] + r2 * self.c[1]
-        log_k = np.float32(np.log(k))
-        # d/ds of log sigma(s - log k p(unit)) and of the noise terms
-        s = (h * self.q[unit]).sum(1) + self.b[unit] - self.noise[unit] - log_k
+        # classes: d/ds of log sigma(s - log k p(class)) and of the noise terms
+        noise = np.minimum(np.searchsorted(self.cumulative_c, rng.random(k) * self.cumulative_c[-1]), len(self.qc) - 1)
+        s = (h * self.qc[cls]).sum(1) + self.bc[cls] - self.noise_c[cls] - np.float32(np.log(k))
+        up = 1 / (1 + np.exp(np.clip(s, -30, 30)))
+        s = h @ self.qc[noise].T + (self.bc[noise] - self.noise_c[noise] - np.float32(np.log(k)))
+        down = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        dh = up[:, None] * self.qc[cls] + down @ self.qc[noise]
+        gqc, gbc = added(cls, up[:, None] * h, len(self.qc)), np.bincount(cls, up, len(self.qc)).astype(np.float32)
+        np.add.at(gqc, noise, down.T @ h)
+        np.add.at(gbc, noise, down.sum(0))
+        # units: the same within each class that the minibatch has
+        first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        has, group = cls[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+        lo, hi = self.starts[has][:, None], self.starts[has + 1][:, None]
+        low = self.cumulative[lo]
+        drawn = np.searchsorted(self.cumulative, low + rng.random((len(has), m)) * (self.cumulative[hi] - low), side="right") - 1
+        drawn = np.clip(drawn, lo, hi - 1)
+        s = (h * self.q[place]).sum(1) + self.b[place] - self.noise[place] - np.float32(np.log(m))
         up = 1 / (1 + np.exp(np.clip(s, -30, 30)))
-        sn = h @ self.q[noise].T + (self.b[noise] - self.noise[noise] - log_k)
-        down = -1 / (1 + np.exp(-np.clip(sn, -30, 30)))
-        dh = up[:, None] * self.q[unit] + down @ self.q[noise]
-        gq, gb = added(unit, up[:, None] * h, UNITS), np.bincount(unit, up, UNITS).astype(np.float32)
-        np.add.at(gq, noise, down.T @ h)
-        np.add.at(gb, noise, down.sum(0))
+        qn, bn = self.q[drawn], self.b[drawn] - self.noise[drawn] - np.float32(np.log(m))
+        s = np.matmul(qn[group], h[:, :, None])[:, :, 0] + bn[group]
+        down = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        dh += up[:, None] * self.q[place] + np.matmul(down[:, None, :], qn[group])[:, 0]
+        of_noise = np.add.reduceat(down[:, :, None] * h[:, None, :], first, axis=0).reshape(-1, h.shape[1])
+        at = np.concatenate([place, drawn.ravel()])
+        gq = np.concatenate([up[:, None] * h, of_noise])
+        gb = np.concatenate([up, np.add.reduceat(down, first, axis=0).ravel()])
         gc = np.stack([(dh * r1).sum(0), (dh * r2).sum(0)])
-        gr = added(one, dh * self.c[0], UNITS + 1) + added(two, dh * self.c[1], UNITS + 1)
-        for x, g, g2 in zip((self.r, self.c, self.q, self.b), (gr, gc, gq, gb), self.g2):
-            g /= n
-            g2 += g * g
-            x += rate * g / np.sqrt(g2)
+        r, gr = sums(np.concatenate([one, two]), np.concatenate([dh * self.c[0], dh * self.c[1]]))
+        u, g = sums(at, np.concatenate([gq, gb[:, None]], 1))
+        for x, i, g, g2 in zip(self.weights(), (r, ..., ..., ..., u, u), (gr, gc, gqc, gbc, g[:, :-1], g[:, -1]), self.g2):
+            g = g / np.float32(n)
+            now = g2[i] + g * g
+            g2[i] = now
+            x[i] += np.float32(rate) * g / np.sqrt(now)
 
     def train(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray, rng: np.random.Generator, rate: float = RATE) -> None:
         for at in range(0, len(unit), BATCH):
             self.step(one[at : at + BATCH], two[at : at + BATCH], unit[at : at + BATCH], rng, rate)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.c, self.q, self.b)])
+        return np.concatenate([x.ravel() for x in self.weights()])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for x in (self.r, self.c, self.q, self.b):
+        for x in self.weights():
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
+    def log_probs(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """log P(unit | contexts) of each token."""
+        out = np.empty(len(unit))
+        for at in range(0, len(unit), SLICE):
+            o, t, p = one[at : at + SLICE], two[at : at + SLICE], self.place[unit[at : at + SLICE]]
+            cls = self.class_of[p]
+            h = self.r[o] * self.c[0] + self.r[t] * self.c[1]
+            s = h @ self.qc.T + self.bc
+            got = s[np.arange(len(p)), cls] - log_sum(s)
+            order = np.argsort(cls, kind="stable")
+            edges = np.searchsorted(cls[order], np.arange(len(self.qc) + 1))
+            for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(self.starts) > 1)):
+                i, lo, hi = order[edges[k] : edges[k + 1]], self.starts[k], self.starts[k + 1]
+                s = h[i] @ self.q[lo:hi].T + self.b[lo:hi]
+                got[i] += s[np.arange(len(i)), p[i] - lo] - log_sum(s)
+            out[at : at + SLICE] = got
+        return out
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of (unit before, unit) with the bias, of (unit before that, unit), and the log normaliser of each pair."""
-        first, second = (self.r * self.c[0]) @ self.q.T + self.b, (self.r * self.c[1]) @ self.q.T
-        norm = np.empty((UNITS + 1, UNITS + 1), np.float32)
-        for i in range(UNITS + 1):  # a batch: all contexts with the same unit before
-            s = second + first[i]
-            top = s.max(1, keepdims=True)
-            norm[i] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
-        return first.astype(np.float32), second.astype(np.float32), norm
+        """Scores of (unit before, class) with the bias, of (unit before that, class), and the log normaliser of each pair.
+
+        What log_probs says of classes, as a whole: only for few units.
+        """
+        first, second = (self.r * self.c[0]) @ self.qc.T + self.bc, (self.r * self.c[1]) @ self.qc.T
+        return first, second, np.stack([log_sum(second + x) for x in first])
 
 
 def added(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -182,6 +255,14 @@ def added(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different indices and their rows' sums."""
+    order = np.argsort(index, kind="stable")
+    at = index[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
+
+
 def train_model(training: DataFrame, units: Units, log_unigram: np.ndarray) -> LogBilinear:
     shipped = training.sparkSession.sparkContext.broadcast((units, log_unigram))
 
@@ -211,7 +292,7 @@ def train_model(training: DataFrame, units: Units, log_unigram: np.ndarray) -> L
             for _, part in chunks(byte_texts(batch)):
                 keys, rows = keys_of(part)
                 unit = own.of(keys)
-                held.append((*contexts(unit, rows), unit))
+                held.append((*contexts(unit, rows, len(unigram)), unit))
                 size[0] += len(unit)
                 if size[0] >= 64 * BATCH:
                     learn()
@@ -223,13 +304,16 @@ def train_model(training: DataFrame, units: Units, log_unigram: np.ndarray) -> L
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
         total = pdf["tokens"].sum()
         flat = sum(np.frombuffer(m, "<f4") * np.float64(n / total) for m, n in zip(pdf["model"], pdf["tokens"]))
-        return pd.DataFrame({"part": [0], "tokens": [total], "model": [flat.astype("<f4").tobytes()]})
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // 8], "tokens": [total], "model": [flat.astype("<f4").tobytes()]})
 
     schema = "part int, tokens bigint, model binary"
-    found = local.groupBy("part").applyInPandas(mean, schema).groupBy("part").applyInPandas(mean, schema)  # 64 parts, then one
+    found = local
+    for _ in range(3):  # 64 parts, 8, then one
+        found = found.groupBy("part").applyInPandas(mean, schema)
     model = LogBilinear(log_unigram)
-    if rows := found.collect():  # one row of a fixed size
+    if rows := found.collect():  # one row, which grows with the units
         model.load(np.frombuffer(rows[0]["model"], "<f4"))
+    model.g2 = []  # nothing is trained any more
     return model
 
 
@@ -243,7 +327,7 @@ def score_texts(docs: DataFrame, shipped) -> DataFrame:
         import uuid
 
         task, count = uuid.uuid4().hex, [0]
-        units, keys_known, base_known, within_known, (first, second, norm), unit_tail = shipped.value
+        units, keys_known, base_known, within_known, model = shipped.value
 
         def step(batch):
             if batch is None or not batch.num_rows:
@@ -253,8 +337,7 @@ def score_texts(docs: DataFrame, shipped) -> DataFrame:
                 keys, rows = keys_of(part)
                 m = len(part)
                 unit = units.of(keys)
-                one, two = contexts(unit, rows)
-                token = first[one, unit].astype(np.float64) + second[two, unit] - norm[one, two]
+                token = model.log_probs(*contexts(unit, rows, len(model.place)), unit)
                 place = np.minimum(np.searchsorted(keys_known, keys), max(0, len(keys_known) - 1))
                 known = keys_known[place] == keys if len(keys_known) else np.zeros(len(keys), bool)
                 base = np.bincount(rows[known], base_known[place[known]], m)
@@ -284,42 +367,45 @@ def score(docs: DataFrame) -> DataFrame:
     rows = folded(docs)
     training = rows.where("not held_out")
     counts = materialise(count_words(training), "counts")
-    top = counts.orderBy(F.expr(f"key = {END}").desc(), F.desc("c"), "key").limit(OWN).collect()
-    units = Units([r["key"] for r in top])
-    is_own = F.col("key").isin([r["key"] for r in top])
-    tail = counts.where(~is_own).groupBy((F.col("key") % TAIL).cast("int").alias("tail")).agg(F.sum("c").alias("m"), F.count("*").alias("v")).collect()  # TAIL rows at most
     n_total, v_total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    mass = np.zeros(UNITS)
-    mass[: len(top)] = [r["c"] for r in top]
-    in_unit = np.zeros(UNITS)
+    size = number_of_units(v_total)
+    n_tail = size // OTHERS
+    n_own = size - n_tail
+    top = counts.orderBy(F.expr(f"key = {END}").desc(), F.desc("c"), "key").limit(n_own).toPandas()  # grows with the root of the words
+    units = Units(top["key"].tolist(), size, n_tail)
+    own = spark.createDataFrame([(int(k), True) for k in top["key"]], "key bigint, own boolean")
+    rare = counts.join(F.broadcast(own), "key", "left_anti")
+    tail = rare.groupBy((F.col("key") % n_tail).cast("int").alias("tail")).agg(F.sum("c").alias("m"), F.count("*").alias("v")).collect()  # n_tail rows at most
+    mass = np.zeros(size)
+    mass[: len(top)] = top["c"]
+    in_unit = np.zeros(size)
     for r in tail:
-        mass[OWN + r["tail"]], in_unit[OWN + r["tail"]] = r["m"], r["v"]
-    log_unigram = np.log((mass + 0.5) / (mass.sum() + 0.5 * UNITS))
+        mass[n_own + r["tail"]], in_unit[n_own + r["tail"]] = r["m"], r["v"]
+    log_unigram = np.log((mass + 0.5) / (mass.sum() + 0.5 * size))
     model = train_model(training, units, log_unigram)
 
     # the most frequent words, as far as TABLE_ROWS go, by a least count
     steps = counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).agg(F.count("*").alias("rows"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
-    least, size = None, 0
+    least, taken = None, 0
     for s in steps:
-        size += s["rows"]
-        if size > TABLE_ROWS:
+        taken += s["rows"]
+        if taken > TABLE_ROWS:
             break
         least = s["least"]
     frequent = counts.where(F.col("c") >= least if least is not None else F.lit(False)).toPandas().sort_values("key")
     key, c = frequent["key"].to_numpy("int64"), frequent["c"].to_numpy("float64")
     unit = units.of(key)
     base = np.log10((c + 0.5) / (n_total + 0.5 * (v_total + 1)))
-    within = np.where(unit < OWN, 0.0, np.log((c + 0.5) / (mass[unit] + 0.5 * (in_unit[unit] + 1))))
-    shipped = spark.sparkContext.broadcast((units, key, base, within, model.tables(), None))
+    within = np.where(unit < n_own, 0.0, np.log((c + 0.5) / (mass[unit] + 0.5 * (in_unit[unit] + 1))))
+    shipped = spark.sparkContext.broadcast((units, key, base, within, model))
     scored = materialise(score_texts(rows, shipped), "scored")
 
-    tails = spark.createDataFrame([(i, float(mass[OWN + i]), float(in_unit[OWN + i])) for i in range(TAIL)], "tail int, m double, v double")
+    tails = spark.createDataFrame([(i, float(mass[n_own + i]), float(in_unit[n_own + i])) for i in range(n_tail)], "tail int, m double, v double")
     # an own unit's word that the table of frequent words lacks can only be one of a tiny corpus
     rest = scored.where("key is not null").select("row", "key", "times").join(counts, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rest = rest.join(F.broadcast(tails), (F.col("key") % TAIL).cast("int") == F.col("tail"))  # TAIL rows
-    own_word = is_own if top else F.lit(False)
+    rest = rest.join(F.broadcast(tails), (F.col("key") % n_tail).cast("int") == F.col("tail")).join(F.broadcast(own), "key", "left")
     one = F.log10((F.col("c") + 0.5) / F.lit(float(n_total) + 0.5 * (v_total + 1)))
-    share = F.when(own_word, F.lit(0.0)).otherwise(F.log10((F.col("c") + 0.5) / (F.col("m") + 0.5 * (F.col("v") + 1))))
+    share = F.when(F.col("own"), F.lit(0.0)).otherwise(F.log10((F.col("c") + 0.5) / (F.col("m") + 0.5 * (F.col("v") + 1))))
     extra = rest.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k2"), F.sum(F.col("times") * one).alias("b2"), F.sum(F.col("times") * share).alias("s2"))
     out = scored.where("key is null").join(extra, "row", "left")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
