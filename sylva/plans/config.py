@@ -9,7 +9,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.functions.globs import gitignore_glob
+from sylva.functions.globs import any_glob, gitignore_glob
 from sylva.operators import predicates as R, structure as S, workflows as W
 
 
@@ -102,8 +102,21 @@ def count_range(spec: str | int) -> tuple[int, int]:
     return int(low), int(high or low)
 
 
+def included(files: DataFrame, exclude: list[str]) -> DataFrame:
+    """Files that neither match an exclusion nor lie in a directory that does (the reference's walker only leaves out directories)."""
+    if not exclude:
+        return files
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return files.where(~F.exists(up, lambda p: any_glob(p, exclude, "walker")))
+
+
 def check(files: DataFrame, config: Config) -> DataFrame:
-    """The violations of all rules that the configuration turns on (false turns one off); unknown rules are errors."""
+    """The violations of all rules that the configuration turns on (false turns one off); unknown rules are errors.
+
+    Excluded paths are no part of the files that rules see.
+    """
+    files = included(files, config.exclude)
     unknown = set(config.rules) - set(RULES)
     if unknown:
         raise ValueError(f"unknown rules: {', '.join(sorted(unknown))}")
