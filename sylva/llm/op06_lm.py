@@ -122,8 +122,10 @@ def contexts(units: np.ndarray, rows: np.ndarray, start: int) -> tuple[np.ndarra
 
 
 def log_sum(s: np.ndarray) -> np.ndarray:
+    """The log of the sum of each row's exponentials; overwrites s."""
     top = s.max(1, keepdims=True)
-    return np.log(np.exp(s - top).sum(1)) + top[:, 0]
+    s -= top
+    return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
 
 
 class LogBilinear:
@@ -189,9 +191,10 @@ class LogBilinear:
         s = (h * self.q[place]).sum(1) + self.b[place] - self.noise[place] - np.float32(np.log(m))
         up = 1 / (1 + np.exp(np.clip(s, -30, 30)))
         qn, bn = self.q[drawn], self.b[drawn] - self.noise[drawn] - np.float32(np.log(m))
-        s = np.matmul(qn[group], h[:, :, None])[:, :, 0] + bn[group]
+        qn = qn[group]
+        s = np.matmul(qn, h[:, :, None])[:, :, 0] + bn[group]
         down = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        dh += up[:, None] * self.q[place] + np.matmul(down[:, None, :], qn[group])[:, 0]
+        dh += up[:, None] * self.q[place] + np.matmul(down[:, None, :], qn)[:, 0]
         of_noise = np.add.reduceat(down[:, :, None] * h[:, None, :], first, axis=0).reshape(-1, h.shape[1])
         at = np.concatenate([place, drawn.ravel()])
         gq = np.concatenate([up[:, None] * h, of_noise])
@@ -225,13 +228,15 @@ class LogBilinear:
             o, t, p = one[at : at + SLICE], two[at : at + SLICE], self.place[unit[at : at + SLICE]]
             cls = self.class_of[p]
             h = self.r[o] * self.c[0] + self.r[t] * self.c[1]
-            s = h @ self.qc.T + self.bc
+            s = h @ self.qc.T
+            s += self.bc
             got = s[np.arange(len(p)), cls] - log_sum(s)
             order = np.argsort(cls, kind="stable")
             edges = np.searchsorted(cls[order], np.arange(len(self.qc) + 1))
             for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(self.starts) > 1)):
                 i, lo, hi = order[edges[k] : edges[k + 1]], self.starts[k], self.starts[k + 1]
-                s = h[i] @ self.q[lo:hi].T + self.b[lo:hi]
+                s = h[i] @ self.q[lo:hi].T
+                s += self.b[lo:hi]
                 got[i] += s[np.arange(len(i)), p[i] - lo] - log_sum(s)
             out[at : at + SLICE] = got
         return out
