@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +45,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark deletes the shuffle files of an execution at its end, so those of steps that are done don't pile up on the disks.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    The write's own shuffle files go as soon as it has ended; nothing else reads them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sylva/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -116,6 +129,42 @@ def words(text: str) -> list[str]:
     return re.findall(WORD, text)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Bits of a filter: so many a key, and no more than MOST_BITS (8 MiB), beyond which it lets more through.
+KEY_BITS, MOST_BITS = 12, 1 << 26
+
+
+def bloom_filter(keys: DataFrame, name: str) -> np.ndarray:
+    """A filter over a column of 64-bit hashes: each sets three bits of one word; the words are or-ed where the keys lie."""
+    n = 64
+    while n < min(MOST_BITS, KEY_BITS * keys.count()):
+        n *= 2
+    h = F.col(name)
+    one = lambda at: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{name}`, {at}) & 63 as int))")
+    mask = one(0).bitwiseOR(one(6)).bitwiseOR(one(12))
+    words = keys.select((F.shiftrightunsigned(h, 24) % F.lit(n // 64)).cast("int").alias("at"), mask.alias("word"))
+    found = words.groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    out = np.zeros(n // 64, np.int64)
+    out[found["at"].to_numpy(int)] = found["word"].to_numpy("int64")
+    return out
+
+
+def in_bloom(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter may hold."""
+    k = keys.astype(np.int64).view(np.uint64)
+    bit = lambda at: np.uint64(1) << ((k >> np.uint64(at)) & np.uint64(63))
+    mask = bit(0) | bit(6) | bit(12)
+    held = words.view(np.uint64)[((k >> np.uint64(24)) % np.uint64(len(words))).astype(np.int64)]
+    return (held & mask) == mask
+
+
 def only(docs: DataFrame, *names: str) -> DataFrame:
     """Just the named columns (a missing one as null), whatever else the table has and whatever that is called."""
     return docs.select(*[docs[n] if n in docs.columns else F.lit(None).alias(n) for n in names])

@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by minimum labels and pointer jumping, all of it in tables."""
+"""Connected components of a table of links, by contraction, all of it in tables."""
 
 from __future__ import annotations
 
@@ -11,21 +11,32 @@ from sylva.llm.common import drop_table, materialise
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a, b: bigint); comp is the smallest node reachable.
 
-    Each round takes the smallest label among a node and its neighbours, then the label's own label, so paths shrink by
-    half at least; rounds are cut by written tables. Labels of a large component are a hot join key; it is the probe side
-    of an equi-join that adaptive execution splits.
+    Each round points every node to its smallest neighbour, if that is smaller, follows pointers for four steps and
+    contracts the edges to where they lead. Only nodes that are smaller than all their neighbours, and few others, are left,
+    so the edges shrink by half or more and rounds grow with the logarithm of the nodes. Rounds are cut by written tables.
+    The nodes that many point to are a hot join key on the probe side of equi-joins, which adaptive execution splits.
     """
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
-    while True:
-        of = labels.select(F.col("node").alias("b"), F.col("comp").alias("c"))
-        near = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("m"))
-        low = labels.join(near, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("j"))
-        new = low.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("j", "comp")).alias("comp"), "old")
-        new = materialise(new, "labels")
-        changed = bool(new.where("comp != old").take(1))
-        drop_table(labels)
-        labels = new.select("node", "comp")
-        if not changed:
-            return labels
+    e, labels = links(edges), None
+    while e.take(1):
+        near = e.union(e.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        one = materialise(near.select("node", F.least("node", "m").alias("to")), "pointers")
+        two = follow(one, one)
+        to = materialise(follow(two, two), "pointers")
+        new = links(e.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        moved = to if labels is None else follow(labels, to, "left")
+        moved = materialise(moved, "labels")
+        for t in (e, one, to, *([labels] if labels is not None else [])):
+            drop_table(t)
+        e, labels = new, moved
+    drop_table(e)
+    return labels.toDF("node", "comp") if labels is not None else e.toDF("node", "comp")
+
+
+def links(edges: DataFrame) -> DataFrame:
+    return materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
+
+
+def follow(first: DataFrame, then: DataFrame, how: str = "inner") -> DataFrame:
+    """Where (node, to) leads with one more step."""
+    step = then.toDF("to", "next")
+    return first.join(step, "to", how).select("node", F.coalesce("next", "to").alias("to"))

@@ -2,23 +2,24 @@ r"""N-gram Jaccard join with a prefix tree.
 
 Documents with the same lower-cased word sequence are one class; each class has one text and the set of its k-word
 shingles. Shingles have one global order: rare ones by hash, then those that are frequent (a table of at most HOT_ROWS,
-by count). Two sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of each; classes that share
-one of these are a group.
-
-1. Hub turns: in each band of sizes of a group one class, another one each turn, is the hub. Each class is checked against
-   one of its hubs. The classes of a hub are stored in a trie of their ordered sets, which the hub's set traverses: classes
-   with a common beginning share the count of matches so far, and a subtree is left as soon as its sets can't reach the
-   threshold with what remains of them. Links found give components; groups of one component are done.
-2. Best turns: classes of different components in a group are compared by signatures, bitmaps of their shingles. Bits that
-   only one of two has give an upper bound of the intersection. Each class is checked by the trie against the one with the
-   highest bound, so most components merge while no more than one pair a class is sent. A class whose bounds in a group
-   all stay under the threshold leaves the group, so its signature isn't sent for it again.
-3. All pairs of different components that are left and whose bound reaches the threshold are checked by the trie. Large
-   groups are cut into blocks, and blocks are paired; groups with the same members are compared once.
-4. Components of all links.
-
-So no link between components is missed, but the pairs of a large group of copies are never listed. Rows of copies join
-their class by key at the end. Nothing about all documents comes to the driver.
+by count). Two sets that reach the threshold t share a shingle among the first n - ceil(t n) + 1 of each, their prefixes.
+
+1. Prefixes are dealt by shingle. A shingle that classes of a near size share makes them a group; groups with the same
+   members are compared once, by their first shingle. A pair is found in the group of the first shingle that it shares,
+   so a group's lists hold the shared part of the prefixes from the group's shingle on.
+2. tree_join() stores a group's lists in a prefix tree and traverses it once for all probes together: the lists below a
+   node share the counts of what each probe has of the path so far, and a probe leaves a subtree when its count and what
+   remains of the lists can't reach what the whole sets need (the threshold less the rest behind the prefixes). What is
+   left are candidate links; their components are candidate groups. A group of over GROUP classes is one as it is.
+3. The whole sets of each candidate group meet once, are stored in a tree in the same way and joined by the threshold
+   itself. A probe also leaves a subtree that is wholly of its own component, so a large group of copies is not compared
+   pair by pair.
+4. A candidate group of over BLOCK classes is dealt into blocks by hash; then one class for each block and component is
+   dealt anew, which joins the parts of large groups of copies. Groups of step 1 that still have several components are
+   compared by step 2, those of all but the largest component with all; pairs of different components that are left are
+   checked by whole sets. So no link between components is missed, and the pairs of a group of copies are never listed.
+5. Components of all links. Rows of copies join their class by key at the end. Nothing about all documents comes to the
+   driver.
 
 Defined results: null or blank text has an empty set and links with nothing (its own component); null doc_ids are kept
 (the smallest id of a component ignores them); repeated rows are copies; an empty table gives an empty table; other
@@ -37,159 +38,126 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sylva.llm.common import ASCII_LOWER, BLANK, byte_texts, drop_table, map_batches, materialise, only, table
+from sylva.llm.common import ASCII_LOWER, BLANK, bloom_filter, byte_texts, drop_table, fresh, in_bloom, map_batches, materialise, only, table
 from sylva.llm.components import components
 from sylva.llm.wordhash import chunks, shingle_sets
 
 K, PERCENT = 4, 85
-#: Frequent shingles: at least HOT_MIN classes, found among local counts; the table's size is bounded.
-HOT_ROWS, HOT_MIN, FLUSH = 1 << 18, 8, 1 << 21
-#: Sets in one trie; classes in a block of a large group; remembered classes of a map task.
-TRIE, BLOCK, SEEN = 512, 512, 200_000
-#: Turns that check each class once, against a hub or the best by signatures, before all pairs that are left.
-HUB_TURNS, BEST_TURNS = 2, 2
-
-
-def min_overlap(a: int, b: int, percent: int = PERCENT) -> int:
-    """The least intersection of sets of a and b for 100 * intersection >= percent * union."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-class SetTrie:
-    """Sets as ascending tuples, stored by common beginnings (a node has a run of tokens)."""
-
-    STEP = 32
-
-    def __init__(self, percent: int = PERCENT):
-        self.percent = percent
-        self.root = self._node(())
-
-    @staticmethod
-    def _node(run: tuple) -> dict:
-        return {"run": run, "kids": {}, "ends": [], "least": 1 << 60, "most": 0}
-
-    def insert(self, tokens: tuple, item: int) -> None:
-        node, at, n = self.root, 0, len(tokens)
-        self._touch(node, n)
-        while at < n:
-            kid = node["kids"].get(tokens[at])
-            if kid is None:
-                kid = self._node(tokens[at:])
-                node["kids"][tokens[at]] = kid
-                self._touch(kid, n)
-                node, at = kid, n
-                break
-            run, own = kid["run"], 0
-            while own < len(run) and at + own < n and run[own] == tokens[at + own]:
-                own += 1
-            if own < len(run):  # the run parts here
-                upper = self._node(run[:own])
-                upper["least"], upper["most"] = kid["least"], kid["most"]
-                kid["run"] = run[own:]
-                upper["kids"][run[own]] = kid
-                node["kids"][tokens[at]] = upper
-                kid = upper
-            self._touch(kid, n)
-            node, at = kid, at + own
-        node["ends"].append((item, n))
-
-    @staticmethod
-    def _touch(node: dict, n: int) -> None:
-        node["least"], node["most"] = min(node["least"], n), max(node["most"], n)
-
-    def matches(self, tokens: tuple) -> list[int]:
-        """The items whose sets reach the threshold with tokens."""
-        have, a, found = frozenset(tokens), len(tokens), []
-        stack = [(self.root, 0, 0)]
-        while stack:
-            node, depth, overlap = stack.pop()
-            least, most, run = node["least"], node["most"], node["run"]
-            if 100 * min(a, most) < self.percent * max(a, least):  # no set below has a size near enough
-                continue
-            spare = most - min_overlap(a, most, self.percent)  # misses that the longest set below can afford
-            dead = False
-            for i in range(0, len(run), self.STEP):
-                part = run[i : i + self.STEP]
-                overlap += sum(map(have.__contains__, part))
-                depth += len(part)
-                if depth - overlap > spare or overlap + min(most - depth, a - overlap) < min_overlap(a, least, self.percent):
-                    dead = True
+#: Frequent shingles: at least HOT_MIN classes, found among local counts; the table's size is bounded. A shingle of over
+#: SPLIT classes is dealt by parts.
+HOT_ROWS, HOT_MIN, FLUSH, SPLIT = 1 << 18, 8, 1 << 21, 2048
+#: Classes of a group whose prefixes are compared in one tree, of a block of whole sets, remembered by a map task.
+GROUP, BLOCK, SEEN = 2048, 1024, 200_000
+#: Shingles of a path that are counted before bounds are looked at again.
+STEP = 64
+
+
+def min_overlap(total, percent: int = PERCENT):
+    """The least intersection of two sets of total shingles together for 100 * intersection >= percent * union."""
+    return -(-percent * total // (100 + percent))
+
+
+def tree_join(sets: list[np.ndarray], sizes: np.ndarray, rest: np.ndarray, labels: np.ndarray, percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Pairs of sets with different labels whose lists share min_overlap(sizes) - max(rest) items, and near sizes.
+
+    sets: ascending arrays of distinct items. Joins labels as it goes, so what it returns is a forest, without its cycles;
+    all pairs of different labels with every.
+    """
+    m = len(sets)
+    if m < 2 or len({*labels.tolist()}) < 2:
+        return []
+    lens = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = np.concatenate([[0], np.cumsum(lens)])
+    raw = ids.astype(">u4").tobytes()
+    order = sorted(range(m), key=lambda i: raw[4 * bounds[i] : 4 * bounds[i + 1]])
+    rank = np.empty(m, np.int64)
+    rank[order] = np.arange(m)
+    # which sets have an item: post[first[item] : first[item + 1]]
+    by_item = np.argsort(ids, kind="stable")
+    post = np.repeat(rank, lens)[by_item]
+    first = np.searchsorted(ids[by_item], np.arange(ids.max() + 2 if len(ids) else 1))
+    items = [ids[bounds[i] : bounds[i + 1]] for i in order]
+    n, rest, lens, lab = np.asarray(sizes)[order].astype(np.int64), np.asarray(rest)[order], lens[order], np.array(labels)[order]
+    common = np.zeros(m, np.int64)  # of a set and the one before it
+    for i in range(1, m):
+        k = min(lens[i - 1], lens[i])
+        differ = items[i - 1][:k] != items[i][:k]
+        common[i] = differ.argmax() if differ.any() else k
+    found = []
+
+    def counts(part: np.ndarray) -> np.ndarray:
+        width = first[part + 1] - first[part]
+        at = np.repeat(first[part] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        return np.bincount(post[at], minlength=m)
+
+    stack = [(0, m, 0, np.arange(m), np.zeros(m, np.int64))]
+    while stack:
+        lo, hi, depth, alive, have = stack.pop()
+        own = lab[lo:hi]
+        least, most, longest, behind = n[lo:hi].min(), n[lo:hi].max(), lens[lo:hi].max(), rest[lo:hi].max()
+        size = n[alive]
+        ok = (alive > lo) & (100 * np.minimum(size, most) >= percent * np.maximum(size, least))  # the later of two probes
+        if (own == own[0]).all():
+            ok &= lab[alive] != own[0]
+        if not ok.any():
+            continue
+        alive, have = alive[ok], have[ok]
+        end = lens[lo] if hi - lo == 1 else min(lens[lo], common[lo + 1 : hi].min())
+        run = items[lo][depth:end]
+        for at in range(0, max(len(run), 1), STEP):
+            part = run[at : at + STEP]
+            have = have + counts(part)[alive]
+            depth += len(part)
+            reach = have + np.minimum(longest - depth, lens[alive] - have)
+            ok = reach >= min_overlap(n[alive] + least, percent) - np.maximum(rest[alive], behind)
+            if not ok.all():
+                alive, have = alive[ok], have[ok]
+                if not len(alive):
                     break
-            if dead:
-                continue
-            for item, n in node["ends"]:
-                if overlap >= min_overlap(a, n, self.percent):
-                    found.append(item)
-            stack += [(kid, depth, overlap) for kid in node["kids"].values()]
-        return found
-
-
-def signature(hashes: np.ndarray) -> bytes:
-    """A bitmap by the last bits of the hash, four to eight bits a shingle (fewer in sets over 16,384)."""
-    bits = min(16, max(8, (4 * len(hashes) - 1).bit_length()))
-    out = np.zeros(1 << bits, bool)
-    out[(hashes & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little").tobytes()
-
-
-def fold(sig: np.ndarray, size: int) -> np.ndarray:
-    """The signature as it would be with size bytes (a smaller power of two)."""
-    return np.bitwise_or.reduce(sig.reshape(-1, size), axis=0)
-
-
-def most_overlap(sig: np.ndarray, n: int, sigs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Upper bounds of a set's intersections with others: a bit that only one of two has proves a shingle that only it has."""
-    return np.minimum(n - np.bitwise_count(sig & ~sigs).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(sigs & ~sig).sum(axis=1, dtype=np.int64))
-
-
-class Block:
-    """Classes of a block, added by size; each is compared with those before it whose size is near."""
-
-    def __init__(self, percent: int):
-        self.percent, self.rows = percent, {}
-
-    def add(self, node: int, comp: int, n: int, raw: bytes) -> list[tuple[int, float]]:
-        """The classes of other components that may link with this one and the bounds of similarity."""
-        sig, found = np.frombuffer(raw, np.uint8), []
-        for size, held in list(self.rows.items()):
-            first = np.searchsorted(held["n"][: held["len"]], -(-self.percent * n // 100))
-            if first == held["len"]:  # all too small, for this and for what follows
-                del self.rows[size]
-                continue
-            at = np.arange(first, held["len"])
-            at = at[held["comp"][at] != comp]
-            if len(at):
-                sizes = held["n"][at]
-                most = most_overlap(fold(sig, size), n, held["sig"][at], sizes)
-                ok = (100 + self.percent) * most >= self.percent * (n + sizes)
-                found += zip(held["node"][at[ok]].tolist(), (most[ok] / (n + sizes - most)[ok]).tolist())
-        held = self.rows.setdefault(len(sig), {"len": 0, "node": np.zeros(16, np.int64), "comp": np.zeros(16, np.int64), "n": np.zeros(16, np.int64), "sig": np.zeros((16, len(sig)), np.uint8)})
-        if held["len"] == len(held["n"]):
-            for c in ("node", "comp", "n", "sig"):
-                held[c] = np.concatenate([held[c], np.zeros_like(held[c])])
-        for c, v in (("node", node), ("comp", comp), ("n", n), ("sig", sig)):
-            held[c][held["len"]] = v
-        held["len"] += 1
-        return found
+        if not len(alive):
+            continue
+        while lo < hi and lens[lo] == end:  # sets that end here
+            size = n[alive]
+            hit = (alive > lo) & (lab[alive] != lab[lo]) & (100 * np.minimum(size, n[lo]) >= percent * np.maximum(size, n[lo]))
+            hit &= have >= min_overlap(size + n[lo], percent) - np.maximum(rest[alive], rest[lo])
+            for q in alive[hit].tolist():
+                if lab[q] != lab[lo]:
+                    found.append((order[lo], order[q]))
+                    if not every:
+                        lab[lab == lab[q]] = lab[lo]
+            lo += 1
+        if lo < hi:
+            cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == end)).tolist(), hi]
+            stack += [(a, b, end, alive, have) for a, b in zip(cuts, cuts[1:])]
+    return found
 
 
 class GlobalOrder:
-    """Hash -> order key: rare shingles by hash, then the frequent ones by count."""
+    """Hash -> signed key in the global order: rare shingles by hash, then the frequent ones by count."""
 
     def __init__(self, hot: np.ndarray, counts: np.ndarray):
         by_hash = np.argsort(hot)
-        rank = np.empty(len(hot), np.uint64)
-        rank[np.lexsort((hot, counts))] = np.arange(len(hot), dtype=np.uint64)
-        self.hot, self.rank = hot[by_hash], rank[by_hash]
+        by_count = np.lexsort((hot, counts))
+        rank = np.empty(len(hot), np.int64)
+        rank[by_count] = np.arange(len(hot))
+        self.hot, self.rank, self.parts = hot[by_hash], rank[by_hash], -(-counts[by_count] // SPLIT)
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
-        keys = hashes >> np.uint64(1)
+        keys = (hashes >> np.uint64(1)).view(np.int64) - np.int64(1 << 62) - np.int64(1 << 61)  # below all ranks
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
             is_hot = self.hot[at] == hashes
-            keys[is_hot] = np.uint64(1 << 63) + self.rank[at[is_hot]]
+            keys[is_hot] = np.int64(3 << 61) + self.rank[at[is_hot]]
         return np.sort(keys)
 
+    def parts_of(self, keys: np.ndarray) -> np.ndarray:
+        """Into how many parts each key is dealt."""
+        out = np.ones(len(keys), np.int64)
+        hot = keys >= np.int64(3 << 61)
+        out[hot] = self.parts[keys[hot] - np.int64(3 << 61)]
+        return out
+
 
 def pack(words: bytes) -> bytes:
     return zlib.compress(words, 1)
@@ -222,16 +190,16 @@ def class_rows(docs: DataFrame, k: int) -> DataFrame:
                 if n is not None and n not in seen:
                     seen.add(n)
                     new.append(i)
-            size, blob, sig = ([None] * len(rows) for _ in range(3))
+            size, blob = [None] * len(rows), [None] * len(rows)
             for first, part in chunks([rows[i] for i in new]):
                 for j, s in enumerate(shingle_sets(part, k)):
                     at = new[first + j]
-                    size[at], blob[at], sig[at] = len(s), pack(part[j]), signature(s)
-            yield {"doc_id": ids, "node": nodes, "n": size, "blob": blob, "sig": sig}
+                    size[at], blob[at] = len(s), pack(part[j])
+            yield {"doc_id": ids, "node": nodes, "n": size, "blob": blob}
 
         return step
 
-    return map_batches(only(docs, "doc_id", "text"), make, "doc_id bigint, node bigint, n int, blob binary, sig binary")
+    return map_batches(only(docs, "doc_id", "text"), make, "doc_id bigint, node bigint, n int, blob binary")
 
 
 def local_counts(classes: DataFrame, k: int) -> DataFrame:
@@ -275,222 +243,284 @@ def global_order(classes: DataFrame, k: int) -> GlobalOrder:
         if rows > HOT_ROWS:
             break
         least = s["least"]
-    if least is None:
-        return GlobalOrder(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    hot = counts.where(F.col("n") >= least).toPandas()
+    hot = counts.where(F.col("n") >= least if least is not None else F.lit(False)).toPandas()
+    drop_table(counts)
     return GlobalOrder(hot["token"].to_numpy("int64").view(np.uint64), hot["n"].to_numpy("int64"))
 
 
+def rest_of(n, percent: int):
+    """What follows the prefix of a set of n, at most."""
+    return -(-percent * n // 100) - 1
+
+
 def prefixes(classes: DataFrame, order, k: int, percent: int) -> DataFrame:
+    """token, part (0, or from 1 on of a frequent token's parts), node, n."""
+
     def make():
         own = order.value
 
         def step(batch):
             if batch is None or not batch.num_rows:
                 return
-            nodes = batch.column("node").to_pylist()
             tokens, node, size = [], [], []
-            for n, s in zip(nodes, sets_of(batch.column("blob").to_pylist(), k)):
-                keys = own.keys(s)
-                p = len(keys) - -(-percent * len(keys) // 100) + 1
-                tokens.append(keys[:p])
+            for n, s in zip(batch.column("node").to_pylist(), sets_of(batch.column("blob").to_pylist(), k)):
+                p = len(s) - rest_of(len(s), percent)
+                tokens.append(own.keys(s)[:p])
                 node.append(np.full(p, n, np.int64))
-                size.append(np.full(p, len(keys), np.int32))
-            yield {"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(node), "n": np.concatenate(size)}
+                size.append(np.full(p, len(s), np.int32))
+            tokens, node = np.concatenate(tokens), np.concatenate(node)
+            parts = own.parts_of(tokens)
+            yield {"token": tokens, "part": np.where(parts > 1, 1 + (node >> 8) % parts, 0).astype(np.int32), "node": node, "n": np.concatenate(size)}
 
         return step
 
-    return map_batches(classes.select("node", "blob"), make, "token bigint, node bigint, n int")
+    return map_batches(classes.select("node", "blob"), make, "token bigint, part int, node bigint, n int")
 
 
-def check_hubs(pairs: DataFrame, classes: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """The pairs (a: hub, b) that reach the threshold."""
-    parts = pairs.groupBy("a").agg((F.count("*") / TRIE + 1).cast("int").alias("parts"))
-    spread = pairs.join(parts, "a").withColumn("part", F.pmod(F.hash("b"), "parts"))
-    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("a", "part", F.col("a").alias("b"), F.lit(0).alias("role"))
-    rows = spread.select("a", "part", "b", F.lit(1).alias("role")).unionByName(hubs)
-    blobs = classes.select(F.col("node").alias("b"), "blob")
-    rows = rows.join(blobs, "b").repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
+def met(rows: DataFrame, percent: int, left: bool) -> DataFrame:
+    """rows (token, part, node, n), each once, whose token a class of near size has as well; all of a token in parts.
+
+    left: of two classes that alone share a token, only where the shingles that each has left can suffice (a column).
+    """
+    w = Window.partitionBy("token", "part").orderBy("n", "node")
+    rows = rows.withColumn("again", F.lag("node").over(w)).where(~F.coalesce(F.col("again") == F.col("node"), F.lit(False))).drop("again")
+    at = lambda c, i: F.lag(c, i).over(w)
+    names = ["n", *(["left"] if left else [])]
+    rows = rows.select("*", *[at(c, i).alias(f"{c}{i + 2}") for c in names for i in (-1, 1)], *[at("n", i).alias(f"n{i + 2}") for i in (-2, 2)])
+    n = F.col("n").cast("bigint")
+    before, after = n * percent <= F.col("n3") * 100, F.col("n1") * percent <= n * 100
+    near = F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+    if left:
+        other, two = F.coalesce("n3", "n1").cast("bigint"), F.col("n4").isNull() & F.col("n0").isNull() & (F.col("n3").isNull() | F.col("n1").isNull())
+        need = F.ceil(F.lit(percent) * (n + other) / F.lit(100 + percent)) - F.greatest(F.ceil(F.lit(percent) * n / 100), F.ceil(F.lit(percent) * other / 100)) + 1
+        near = near & (~two | (F.least("left", F.coalesce("left3", "left1")) >= need))
+    return rows.where((F.col("part") > 0) | near).select("token", "part", "node", "n")
+
+
+def distinct_groups(rows: DataFrame) -> DataFrame:
+    """token, size of one group of those with the same members (near copies share many shingles): the first."""
+    member = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+    of = rows.groupBy("token").agg(F.count("*").alias("size"), *member)
+    return of.where("size > 1").groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", "size")
+
+
+def in_groups(rows: DataFrame, keys: list[str], link, schema: str = "a bigint, b bigint") -> DataFrame:
+    """Deals rows by keys and gives what link(columns as lists) says of each group (pairs of nodes)."""
+    names = rows.columns
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "node")
+    n_keys = len(keys)
 
     def make():
-        own = order.value
-        state = {"hub": None, "set": (), "trie": SetTrie(percent), "size": 0}
+        state: dict = {"key": None, "rows": []}
 
         def flush():
-            found = state["trie"].matches(state["set"]) if state["size"] else []
-            a = state["hub"]
-            state["trie"], state["size"] = SetTrie(percent), 0
-            if found:
-                yield {"a": [a] * len(found), "b": found}
+            if len(state["rows"]) > 1:
+                found = link(dict(zip(names, zip(*state["rows"]))))
+                if found:
+                    yield {"a": [x[0] for x in found], "b": [x[1] for x in found]}
+            state["rows"] = []
 
         def step(batch):
             if batch is None:
                 yield from flush()
                 return
-            if not batch.num_rows:
-                return
-            cols = [batch.column(c).to_pylist() for c in ("a", "b", "role")]
-            for a, b, role, s in zip(*cols, sets_of(batch.column("blob").to_pylist(), k)):
-                tokens = tuple(own.keys(s).tolist())
-                if role == 0:
-                    yield from flush()
-                    state["hub"], state["set"] = a, tokens
-                    continue
-                state["trie"].insert(tokens, b)
-                state["size"] += 1
-                if state["size"] >= TRIE:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if state["key"] != row[:n_keys]:
                     yield from flush()
+                    state["key"] = row[:n_keys]
+                state["rows"].append(row)
 
         return step
 
-    return map_batches(rows.select("a", "b", "role", "blob"), make, "a bigint, b bigint")
+    return map_batches(dealt.select(*keys, *[c for c in names if c not in keys]).toDF(*keys, *[c for c in names if c not in keys]), make, schema)
 
 
-def distinct_groups(rows: DataFrame) -> DataFrame:
-    """The rows (token, node, ...) of one group of those with the same members (near copies share many shingles)."""
-    member = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
-    of = rows.groupBy("token").agg(F.count("*").alias("size"), *member)
-    once = of.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token")
-    return rows.join(once, "token", "left_semi")
+def named(nodes, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in pairs]
 
 
-def candidates(groups: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Rows (a, b, bound, null): classes of different components in a group that may link, by signatures.
+def stars(nodes, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links of the same components, each from a component's smallest node."""
+    parent: dict[int, int] = {}
 
-    groups: token, node, comp. best: for each class b only the a with the highest bound of the similarity in its block; then
-    there are also rows (null, b, null, token): b has a class in the group that it may link with.
-    """
-    sizes = groups.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(sizes, "token").withColumn("block", F.pmod(F.hash("node"), "blocks"))
-    # a group of one block is compared as (0, 0); of more, each pair of blocks (i < j) holds both
-    other = F.when(F.col("blocks") == 1, F.array(F.col("block"))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
-    rows = rows.withColumn("other", F.explode(other)).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp")
-    rows = rows.join(classes.select("node", "n", "sig"), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
 
-    def make():
-        state = {"key": None, "block": None, "alive": set()}
+    for a, b in named(nodes, pairs):
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return [(a, x) for x in [*parent] if (a := root(x)) != x]
+
+
+def prefix_links(groups: DataFrame, keys: list[str], lists: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Pairs that may link, of rows (keys, token, node, label): stars of each group's components, or every pair of different labels."""
+    rows = groups.join(lists, "node").withColumn("s", F.filter("s", lambda x: x >= F.col("token")))
+    rows = rows.select(*keys, "node", "label", "n", "s")
+
+    def link(group):
+        n, nodes = np.array(group["n"], np.int64), group["node"]
+        labels = np.unique(group["label"], return_inverse=True)[1]
+        return (named if every else stars)(nodes, tree_join([np.array(s, np.int64) for s in group["s"]], n, rest_of(n, percent), labels, percent, every))
+
+    return in_groups(rows, keys, link)
+
+
+def hub_links(big: DataFrame, percent: int) -> DataFrame:
+    """Links that join all classes of a large group whose sizes are near, or near those between: each with one of its band."""
+    rows = big.withColumn("band", band_of(percent))
+    hubs = rows.groupBy("token", "band").agg(F.min("node").alias("a"))
+    after = hubs.select("token", (F.col("band") - 1).alias("band"), F.col("a").alias("b"))
+    return rows.join(hubs, ["token", "band"]).select("a", F.col("node").alias("b")).unionByName(hubs.join(after, ["token", "band"]).select("a", "b")).where("a != b")
 
-        def alive():
-            nodes, key = list(state["alive"]), state["key"]
-            state["alive"] = set()
-            if nodes:
-                yield {"a": [None] * len(nodes), "b": nodes, "bound": [None] * len(nodes), "token": [key[0]] * len(nodes)}
 
+def band_of(percent: int):
+    """Sizes that reach percent of each other are in one band or in neighbours."""
+    return F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+
+
+def whole_links(placed: DataFrame, rows: DataFrame, order, k: int, percent: int) -> DataFrame:
+    """Stars of the components of each group: placed has rows (grp, block, node); the classes' texts come from rows."""
+    words = bloom_filter(placed, "node")
+    shipped = rows.sparkSession.sparkContext.broadcast(words)
+
+    def make():
         def step(batch):
-            if batch is None:
-                yield from alive()
-                return
-            if not batch.num_rows:
-                return
-            cols = [batch.column(c).to_pylist() for c in ("token", "i", "j", "node", "comp", "n", "sig")]
-            a, b, bound = [], [], []
-            for token, i, j, node, comp, n, raw in zip(*cols):
-                if state["key"] != (token, i, j):
-                    yield from alive()
-                    state["key"], state["block"] = (token, i, j), Block(percent)
-                found = state["block"].add(node, comp, n, raw)
-                if best and found:
-                    state["alive"].add(node)
-                    state["alive"].update(x for x, _ in found)
-                    found = [max(found, key=lambda x: x[::-1])]
-                for other, most in found:
-                    a.append(other if best else min(node, other))
-                    b.append(node if best else max(node, other))
-                    bound.append(most)
-            yield {"a": a, "b": b, "bound": bound, "token": [None] * len(a)}
+            if batch is not None and batch.num_rows:
+                picked = batch.filter(in_bloom(shipped.value, batch.column("node").to_numpy()))
+                yield {c: picked.column(c) for c in ("node", "blob")}
 
         return step
 
-    return map_batches(rows.select("token", "i", "j", "node", "comp", "n", "sig"), make, "a bigint, b bigint, bound double, token bigint")
-
-
-def band_of(percent: int, shift: float = 0.0):
-    """Sizes of one band reach percent of each other; sizes that do so are in one band or in neighbours."""
-    return F.floor(F.log("n") / math.log(100 / percent) + shift).cast("int")
-
-
-def mixed_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows (token, node, n, comp) that have a row of another component and a near size in their group."""
-    rows = rows.withColumn("band", band_of(percent))
-    bands = rows.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    around = bands.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
-    mixed = around.groupBy("token", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("token", "band")
-    return rows.join(mixed, ["token", "band"], "left_semi").drop("band")
-
-
-def hub_pairs(groups: DataFrame, turn: int, percent: int) -> DataFrame:
-    """For each class one hub (a) of another component to check it (b) against: the first by the turn's hash."""
-    rows = groups.withColumn("band", band_of(percent, (turn * 0.5) % 1))
-    own = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "comp")
-    hubs = rows.groupBy("token", "band").agg(F.min(own).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    pairs = rows.join(hubs.select("token", "band", "hub"), ["token", "band"]).where("comp != hub.comp")
-    return pairs.groupBy(F.col("node").alias("b")).agg(F.min(F.struct("hub.rank", "hub.node")).alias("hub")).select(F.col("hub.node").alias("a"), "b")
-
-
-def link_classes(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, comp) of the classes that link with another."""
-    order = classes.sparkSession.sparkContext.broadcast(global_order(classes, k))
-    by_size = Window.partitionBy("token").orderBy("n", "node")
-    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
-    near = (F.col("n").cast("bigint") * percent <= before * 100) | (after * percent <= F.col("n").cast("bigint") * 100)
-    shared = materialise(prefixes(classes, order, k, percent).withColumn("near", near).where("near").select("token", "node", "n", F.col("node").alias("comp")), "shared")
-    groups = materialise(distinct_groups(shared), "groups")
-    drop_table(shared)
-    links = comps = None
-    for turn in range(HUB_TURNS + BEST_TURNS):
-        if turn < HUB_TURNS:
-            pairs = materialise(hub_pairs(groups, turn, percent), "pairs")
-        else:
-            seen = materialise(candidates(groups.drop("n"), classes, percent, True), "candidates")
-            pairs = seen.where("token is null").groupBy("b").agg(F.max(F.struct("bound", "a")).alias("best")).select("best.a", "b")
-            # a row without a class in its group that it may link with never gets one: components only grow
-            alive = seen.where("token is not null").select("token", F.col("b").alias("node")).distinct()
-            old, groups = groups, materialise(groups.join(alive, ["token", "node"], "left_semi"), "groups")
-            drop_table(old)
-        found = materialise(check_hubs(pairs, classes, order, k, percent), "links")
-        if not found.take(1):
-            continue
-        links = found if links is None else links.unionByName(found)
+    texts = map_batches(rows.where("blob is not null").select("node", "blob"), make, "node bigint, blob binary")
+    texts = texts.groupBy("node").agg(F.min("blob").alias("blob"))
+
+    def link(group):
+        sets = [order.value.keys(s) for s in sets_of(list(group["blob"]), k)]
+        n = np.array([len(s) for s in sets])
+        return stars(group["node"], tree_join(sets, n, np.zeros(len(n), np.int64), np.arange(len(n)), percent))
+
+    return in_groups(placed.join(texts, "node").select("grp", "block", "node", "blob"), ["grp", "block"], link)
+
+
+def deal(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """grp, block, node from rows (grp, node, n): a group of over BLOCK classes, or of long ones, in blocks by hash."""
+    blocks = F.greatest(F.ceil(F.col("classes") / BLOCK), F.ceil(F.col("shingles") / (1 << 21))).cast("int")
+    return rows.join(sizes.withColumn("blocks", blocks), "grp").select("grp", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int").alias("block"), "node", "blocks")
+
+
+def sizes_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("grp").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+
+
+def still_apart(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """members (grp, node, ...) of the groups that have several components, with their label."""
+    rows = members.join(comps.select("node", F.col("comp").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("grp")
+    return rows.join(mixed, "grp", "left_semi")
+
+
+def apart_pairs(groups: DataFrame, members: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different labels in groups (token, node) that may link: those of all but the largest label with all."""
+    rows = groups.select("token", "node").join(members.select("node", "label"), "node")
+    of = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
+    of = of.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("total")).where("most < total")
+    minor = F.ceil((F.col("total") - F.col("most")) / GROUP).cast("int")
+    rows = rows.join(of.select("token", "major", F.ceil(F.col("most") / GROUP).cast("int").alias("x"), minor.alias("y")), "token")
+    of_hash = lambda c: F.pmod(F.xxhash64("node", F.lit(9)), c).cast("int")
+    is_major = F.col("label") == F.col("major")
+    rows = rows.withColumn("own", F.when(is_major, of_hash(F.col("x"))).otherwise(F.col("x") + of_hash(F.col("y"))))
+    last = F.col("x") + F.col("y") - 1
+    other = F.when(is_major, F.sequence(F.col("x"), last)).otherwise(F.array_remove(F.sequence(F.lit(0), last), F.col("own")))
+    rows = rows.withColumn("other", F.explode(other)).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
+    return prefix_links(rows, ["token", "i", "j"], lists, percent, every=True).distinct()
+
+
+def link_classes(rows: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """(node, comp) of the classes that link with another; None if none does. rows: node, blob."""
+    spark, tables = rows.sparkSession, []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        tables.append(materialise(df, name))
+        return tables[-1]
+
+    classes = rows.where("blob is not null")
+    order = spark.sparkContext.broadcast(global_order(classes, k))
+    shared = keep(met(prefixes(classes, order, k, percent), percent, False), "shared")
+    lists = keep(shared.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("token", "part"))).alias("s")), "lists")
+    again = lists.select("node", "n", F.size("s").alias("size"), F.posexplode("s")).select("col.token", "col.part", "node", "n", (F.col("size") - F.col("pos")).alias("left"))
+    groups = keep(met(again, percent, True), "groups")
+    once = keep(distinct_groups(groups), "once")
+    groups = groups.select("token", "node", "n").join(once, "token")
+    lists = lists.select("node", "n", F.col("s.token").alias("s"))
+    edges = prefix_links(groups.where(F.col("size") <= GROUP).select("token", "node", F.col("node").alias("label")), ["token"], lists, percent)
+    edges = keep(edges.unionByName(hub_links(groups.where(F.col("size") > GROUP), percent)).distinct(), "edges")
+    out = None
+    if edges.take(1):
+        of = components(edges)
+        tables.append(of)
+        members = of.select(F.col("comp").alias("grp"), "node").join(lists.select("node", "n"), "node")
+        members = keep(deal(members, sizes_of(members)).join(lists.select("node", "n"), "node"), "members")
+        links = keep(whole_links(members.select("grp", "block", "node"), classes, order, k, percent), "links")
+        if links.take(1):
+            out = components(links)
+        large = members.where("blocks > 1")
+        if large.take(1):
+            out = join_blocks(large, links, out, groups, lists, classes, order, k, percent, keep)
+    for t in tables:
+        drop_table(t)
+    return out
+
+
+def join_blocks(large: DataFrame, links: DataFrame, comps: DataFrame | None, groups: DataFrame, lists: DataFrame, classes: DataFrame, order, k: int, percent: int, keep) -> DataFrame | None:
+    """comps with the links between the blocks of large candidate groups."""
+    none = large.select("node", F.col("node").alias("comp")).limit(0)
+    apart = keep(still_apart(large, comps if comps is not None else none), "apart")
+    first = apart.groupBy("grp", "block", "label").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(3))).alias("x")).select("grp", "x.node", "x.n")
+    first = keep(first, "delegates")
+    links = links.unionByName(keep(whole_links(deal(first, sizes_of(first)), classes, order, k, percent), "links"))
+    if links.take(1):
         comps = components(links)
-        to = comps.select("node", F.col("comp").alias("new"))
-        moved = groups.join(to, "node", "left").select("token", "node", "n", F.coalesce("new", "comp").alias("comp"))
-        old, groups = groups, materialise(distinct_groups(mixed_groups(moved, percent)), "groups")
-        drop_table(old)
-    pairs = materialise(candidates(groups.drop("n"), classes, percent, False).select("a", "b").distinct(), "pairs")
-    found = materialise(check_hubs(pairs, classes, order, k, percent), "links")
-    if links is None:
-        return components(found)
-    return components(links.unionByName(found)) if found.take(1) else comps
+    apart = keep(still_apart(apart.drop("label"), comps if comps is not None else none), "apart")
+    pairs = keep(apart_pairs(groups, apart, lists, percent), "pairs")
+    if pairs.take(1):
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        stars = pairs.join(parts, "a").select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b", F.lit(5)), "parts").cast("int").alias("block"), F.col("b").alias("node"))
+        hubs = parts.select(F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.col("a").alias("node"))
+        links = links.unionByName(keep(whole_links(stars.unionByName(hubs), classes, order, k, percent), "links"))
+        if links.take(1):
+            comps = components(links)
+    return comps
 
 
 def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     rows = materialise(class_rows(docs, k), "classrows")
-    # one text for each class; a task has sent one at most
-    classes = rows.where("blob is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("blob").alias("blob"), F.min("sig").alias("sig"))
-    classes = materialise(classes, "classes")
     ids = materialise(rows.select("doc_id", "node", "n"), "ids")
+    comps = link_classes(rows.select("node", "blob"), k, percent)
     drop_table(rows)
-    comps = link_classes(classes, k, percent)
-    drop_table(classes)
     own = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.max("n").alias("n"))
-    own = own.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = own.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else own.withColumn("comp", F.col("node"))
     least = own.groupBy("comp").agg(F.min("min_id").alias("component_id"))
     of = materialise(own.join(least, "comp").select("node", F.col("n").cast("bigint").alias("n_shingles"), "component_id"), "of")
+    if comps is not None:
+        drop_table(comps)
     out = ids.select("doc_id", "node").join(of, "node", "left")
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("bigint")).alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
+def keep_representatives(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """One document of each component stays (the smallest doc_id; one of its rows, if it is repeated)."""
-    kept = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = materialise(kept, "kept")
-    same = docs["doc_id"].eqNullSafe(F.col("_id"))
-    if not kept.where("_n > 1").take(1):
+    row_id, times, folded = fresh(docs, "row_id"), fresh(docs, "times"), fresh(docs, "folded")
+    kept = jaccard_join(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialise(kept.groupBy(F.col("doc_id").alias(row_id)).agg(F.count("*").alias(times)), "kept")
+    same = docs["doc_id"].eqNullSafe(kept[row_id])
+    if not kept.where(F.col(times) > 1).take(1):
         return docs.join(kept, same, "left_semi")
-    folded = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase), BLANK, " "))
-    again = docs.join(kept.where("_n > 1"), same, "left_semi").withColumn("_words", F.sha2(folded, 256)).dropDuplicates(["doc_id", "_words"]).drop("_words")
-    return docs.join(kept.where("_n = 1"), same, "left_semi").unionByName(again)
+    words = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase), BLANK, " "))
+    again = docs.join(kept.where(F.col(times) > 1), same, "left_semi").withColumn(folded, F.sha2(words, 256)).dropDuplicates(["doc_id", folded]).drop(folded)
+    return docs.join(kept.where(F.col(times) == 1), same, "left_semi").unionByName(again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,17 +140,6 @@ def test_jaccard_join_of_many_near_copies(spark):
     same(op04_ngram_join.jaccard_join(df).collect(), brute_components(rows, 4, 85))
 
 
-def test_trie_equals_brute_force():
-    rng = np.random.default_rng(5)
-    sets = [tuple(sorted(set(rng.integers(0, 30, rng.integers(1, 25)).tolist()))) for _ in range(200)]
-    trie = op04_ngram_join.SetTrie(70)
-    for i, s in enumerate(sets):
-        trie.insert(s, i)
-    for s in sets[:50]:
-        want = {i for i, t in enumerate(sets) if 100 * len({*s} & {*t}) >= 70 * len({*s} | {*t})}
-        assert set(trie.matches(s)) == want
-
-
 def test_licenses(spark, odd, none):
     fill = "lorem ipsum dolor sit amet consetetur " * 30
     rows = [(1, fill + "Released under the MIT License. " + fill), (2, fill), (3, "x " + op05_licenses.TEMPLATES["Apache-2.0"][1] + " y"), (4, fill + op05_licenses.TEMPLATES["BSD-3-Clause"][0].replace("source code", "SOURCE, code") + fill)]
