@@ -1,16 +1,19 @@
 r"""PII by offset-preserving deobfuscation.
 
-Base identifiers are found in the text as it stands. Then transducers rewrite it, each keeping for every character that
-it writes the place in the source that it stands for:
+Base identifiers are found in the text as it stands. Then transducers rewrite it, one after the other; each character that
+they write keeps the range of source characters that it stands for:
 
 1. characters: homoglyphs (Cyrillic, Greek), compatibility forms (full width, mathematical), digits of other scripts, odd
-   spaces, dashes and dots become ASCII; invisible characters vanish; O, o, l, I between digits become digits;
-2. spelled digits: a run of at least MIN_SPELLED digit words (English, German, French, Spanish), with figures, "dot" and
-   "plus" among them, becomes figures;
-3. at and dot: "(at)", "[dot]", " at ... dot " and the like become @ and "." where the result reads as an address.
+   spaces, dashes and dots become ASCII; invisible characters vanish; O, o, l, I among figures become figures;
+2. spelled digits: a run of digit words (English, German, French, Spanish), with figures, "dot" and "plus" among them,
+   becomes figures;
+3. dots and ats: "[dot]", " dot ", "(at)", " @ ", and " at " before a name with a dot become "." and "@".
 
-Identifiers are detected in what they write, and spans are mapped back to source characters. A span is added unless one
-of its kind already covers it. Texts without any trigger are left as they are.
+The base patterns run on what each of them writes, and the spans that they find are mapped back to source characters; a
+span is added unless one of its kind already covers it. Three rules keep prose apart: a number has MIN_SPELLED digit words
+or more (a run of 10 to 15 digits without a plus counts as a phone); an address that is spoken throughout ("at host dot
+end") has a usual end (SPOKEN_ENDS, or two letters) or is followed by no other word; one with a spoken "at" and plain dots
+has a name with a digit, dot or underscore. Texts without any trigger are left as they are. All of it takes linear time.
 
 Base patterns (leftmost, not overlapping, per kind; a match that fails its check is dropped without retry) run in an
 equivalent form: a run of digits or name characters that fails at its start fails at every later place in it, so only run
@@ -23,9 +26,9 @@ columns count all.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,22 +67,11 @@ DIGIT_WORDS = {
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?:(?<!\w)(?:\+|plus\b)[ ]?)?(?<![\w])(?:{_DIGIT}|[0-9]+)\b(?:[ ,.\n()-]{{1,3}}(?:(?:dot|point|punkt|punto)[ ,-]{{1,2}})?(?:{_DIGIT}|[0-9]+)\b)+")
 _PART = re.compile(rf"plus|dot|point|punkt|punto|{_DIGIT}|[0-9]+|\+|\.")
-_DOT_WORD = r"(?:\s?[(\[{<]\s?(?:dot|punkt|point|punto|\.)\s?[)\]}>]\s?|\s(?:dot|punkt|punto)\s)"
-_AT_BRACKET = r"\s?[(\[{<]\s?(?:at|arroba|@)\s?[)\]}>]\s?"
-_NAME = r"[a-z0-9._%+-]+"
-_LABEL = r"[a-z0-9-]+"
-_DISGUISED = re.compile(
-    rf"{_NAME}(?:{_DOT_WORD}{_NAME}){{0,4}}"
-    rf"(?:{_AT_BRACKET}{_LABEL}(?:(?:{_DOT_WORD}|\.){_LABEL}){{1,6}}"  # name (at) host.tld
-    rf"|(?:\sat\s|\sarroba\s|\s?@\s?){_LABEL}(?:\.{_LABEL}){{0,4}}{_DOT_WORD}{_LABEL}(?:(?:{_DOT_WORD}|\.){_LABEL}){{0,4}}"  # name at host dot tld
-    rf"|\s@\s{_LABEL}(?:\s?\.\s?{_LABEL})*?(?:\s\.\s|\.){_LABEL})"  # name @ host . tld
-)
-_BARE_AT = re.compile(r"(?<=[a-z0-9_]) at ([a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,12})(?![a-z0-9.-])")
-_BRACKET = re.compile(r"[(\[{<]\s?(?:at|@|\.|dot|p[ou]|arr)")
-_DISGUISED_HINT = re.compile(r"[(\[{<]\s?(?:at|arroba|@)\s?[)\]}>]|[(\[{<]\s?(?:dot|punkt|point|punto|\.)\s?[)\]}>]|\s(?:dot|punkt|punto)\s|\s@\s")
-_IP_DISGUISED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT_WORD}|\.)[0-9]{{1,3}}){{3}}(?![0-9])")
-_TO_AT = re.compile(r"\s?[(\[{<]\s?(?:at|arroba|@)\s?[)\]}>]\s?|\s(?:at|arroba)\s|\s@\s|\s?@\s?")
-_TO_DOT = re.compile(rf"{_DOT_WORD}|\s?\.\s?")
+_OPEN, _CLOSE = r"\s?[(\[{<]\s?", r"\s?[)\]}>]\s?"
+_DOT = re.compile(rf"{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|(?<=[a-z0-9_-])\s(?:dot|punkt|punto)\s(?=[a-z0-9])")
+_AT = re.compile(rf"{_OPEN}(?:at|arroba|@){_CLOSE}|(?<=[a-z0-9._%+-])\s(?:at|arroba)\s(?=[a-z0-9-]+\.[a-z0-9-])|(?<=[a-z0-9._%+-])\s@\s?(?=[a-z0-9])|(?<=[a-z0-9._%+-])@\s(?=[a-z0-9])")
+_DOT_APART = re.compile(r"(@[a-z0-9-]+)(\s\.\s)(?=[a-z0-9])")
+_SPOKEN_AT = frozenset(("at", "arroba"))
 _ADDRESS = re.compile(r"[a-z0-9._%+-]*[a-z0-9][a-z0-9._%+-]*@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}")
 
 #: Ends of host names that a plainly spoken address ("at host dot tld") must have, besides two letters.
@@ -117,18 +109,51 @@ def foldable(text: str) -> bool:
 
 
 _FIGURE = {"O": "0", "o": "0", "l": "1", "I": "1"}
-_FIGURES = re.compile(r"(?<=[0-9])[OolI](?=[0-9])")
+#: Letters that stand for figures: no other letters beside them, a figure on one side, a figure or what parts figures on the other.
+_FIGURES = re.compile(r"(?:(?<=[0-9])[OolI]+(?=[0-9().-])|(?<=[().-])[OolI]+(?=[0-9]))")
 # cheap tests that hold for every text in which the pattern after them matches
-_FIGURES_HINT = re.compile(r"[0-9][OolI][0-9]")
+_FIGURES_HINT = re.compile(r"[0-9][OolI]|[OolI][0-9]")
 _IP_HINT = re.compile(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
-_DOT_WORDS = ("dot", "punkt", "punto", "point", "arroba")
-_AT_APART = re.compile(r"\s@\s")
+_DOT_WORDS = ("dot", "punkt", "punto", "point")
+_BRACKET = re.compile(r"[(\[{<]\s?(?:at|@|\.|dot|p[ou]|arr)")
+_AT_HOST = re.compile(r" at [a-z0-9-]+\.[a-z0-9]")
+_APART = re.compile(r"\s@|@\s")
 _WORDS = re.compile(r"\w+")
 
 
+def _digit_words(lower: str) -> int:
+    """How many digit words a text has, wherever and alike or not: each of a run has a boundary on both sides."""
+    return sum(map(DIGIT_WORDS.__contains__, _WORDS.findall(lower)))
+
+
 def _may_be_spelled(lower: str) -> bool:
-    """Whether a text has MIN_SPELLED digit words, wherever and alike or not: each of a run has a boundary on both sides."""
-    return sum(map(DIGIT_WORDS.__contains__, _WORDS.findall(lower))) >= MIN_SPELLED
+    return _digit_words(lower) >= MIN_SPELLED
+
+
+class Written:
+    """A rewritten text: character i stands for the source characters from lo[i] up to hi[i]."""
+
+    def __init__(self, text: str, lo=None, hi=None):
+        self.text, self.lo, self.hi = text, range(len(text)) if lo is None else lo, range(1, len(text) + 1) if hi is None else hi
+
+    def rewrite(self, edits: list[tuple[int, int, str]]) -> Written:
+        """Each (start, end, new) in order: every character of new stands for all that it replaces."""
+        if not edits:
+            return self
+        out, lo, hi, done = [], [], [], 0
+        for start, end, new in edits:
+            out += (self.text[done:start], new)
+            lo += self.lo[done:start]
+            hi += self.hi[done:start]
+            lo += [self.lo[start]] * len(new)
+            hi += [self.hi[end - 1]] * len(new)
+            done = end
+        lo += self.lo[done:]
+        hi += self.hi[done:]
+        return Written("".join(out) + self.text[done:], lo, hi)
+
+    def source(self, span: Span) -> Span:
+        return span[0], self.lo[span[1]], self.hi[span[2] - 1]
 
 
 def luhn(digits: str) -> bool:
@@ -176,87 +201,127 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def fold(text: str) -> tuple[str, list[int]]:
-    """Transducer 1: the folded text, and for each of its characters the place of its source (and the end at last)."""
-    out, at = [], []
-    for i, c in enumerate(text):
-        f = c if c.isascii() else FOLD.get(c, c)
-        if f:
-            out.append(f)
-            at.append(i)
-    at.append(len(text))
-    return _FIGURES.sub(lambda m: _FIGURE[m[0]], "".join(out)), at
+def fold(w: Written) -> Written:
+    """Transducer 1."""
+    if not w.text.isascii():
+        w = w.rewrite([(i, i + 1, f) for i, c in enumerate(w.text) if not c.isascii() and (f := FOLD.get(c)) is not None])
+    near = lambda i: i < 0 or i >= len(w.text) or not w.text[i].isalpha()
+    return w.rewrite([(m.start(), m.end(), "".join(map(_FIGURE.get, m[0]))) for m in _FIGURES.finditer(w.text) if near(m.start() - 1) and near(m.end())])
 
 
-def spelled(lower: str) -> list[Span]:
-    """Transducer 2 and detection in what it writes; lower must be as long as the text."""
-    found = []
-    for m in _SPELLED.finditer(lower):
-        parts = _PART.findall(m[0])
-        if sum(p in DIGIT_WORDS for p in parts) < MIN_SPELLED:
-            continue
-        written = "".join("+" if p in ("plus", "+") else DIGIT_WORDS.get(p) or (p if p.isdigit() else ".") for p in parts)
-        words = re.sub(r"[^0-9.]", "", "".join("." if p in ("dot", "point", "punkt", "punto") else DIGIT_WORDS.get(p, p if p.isdigit() else "") for p in parts))
-        digits = only_digits(written)
-        if words.count(".") == 3 and all(words.split(".")) and is_ip(words):
-            found.append(("ip", m.start(), m.end()))
-        elif 16 <= len(digits) <= 19 and luhn(digits):
-            found.append(("card", m.start(), m.end()))
-        elif (written[0] == "+" and 8 <= len(digits) <= 15) or 10 <= len(digits) <= 15:
-            found.append(("phone", m.start(), m.end()))
-    return found
+def lowered(w: Written) -> Written:
+    lower = w.text.lower()
+    if len(lower) != len(w.text):  # a few characters change their length
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in w.text)
+    return Written(lower, w.lo, w.hi)
 
 
-def disguised(lower: str) -> list[Span]:
-    """Transducer 3 and detection in what it writes; lower must be as long as the text."""
+def spell(w: Written, least: int) -> tuple[Written, list[Span]]:
+    """Transducer 2 for runs of at least so many digit words, and the runs that it has written, as (digits, start, end) of w."""
+    edits, runs = [], []
+    for m in _SPELLED.finditer(w.text):
+        parts = [(p.start() + m.start(), p.end() + m.start(), p[0]) for p in _PART.finditer(m[0])]
+        if sum(p in DIGIT_WORDS for _, _, p in parts) < least:
+            continue
+        done, digits = m.start(), ""
+        for start, end, p in parts:
+            new = "+" if p in ("plus", "+") else "" if p == "." else "." if p in _DOT_WORDS else DIGIT_WORDS.get(p, p)
+            if start > done:
+                edits.append((done, start, ""))
+            if new == p:  # figures stay, one by one
+                edits += [(i, i + 1, w.text[i]) for i in range(start, end)]
+            else:
+                edits.append((start, end, new))
+            done, digits = end, digits + new
+        runs.append((digits, m.start(), m.end()))
+    return w.rewrite(edits), runs
+
+
+def numbers(w: Written) -> list[Span]:
+    """Numbers in what transducer 2 writes, as spans of the source."""
+    out, runs = spell(w, MIN_SPELLED)
+    if not runs:
+        return []
+    places = [(w.lo[s], w.hi[e - 1]) for _, s, e in runs]
+    starts = [s for s, _ in places]
     found = []
-    for m in _DISGUISED.finditer(lower):
-        written = _TO_DOT.sub(".", _TO_AT.sub("@", m[0], count=1)).strip(".")
-        spoken = "@" not in m[0] and not _BRACKET.search(m[0])
-        end = written.rpartition(".")[2]
-        if _ADDRESS.fullmatch(written) and (not spoken or len(end) == 2 or end in SPOKEN_ENDS):
-            found.append(("email", m.start(), m.end()))
-    for m in _IP_DISGUISED.finditer(lower):
-        if is_ip(_TO_DOT.sub(".", m[0])):
-            found.append(("ip", m.start(), m.end()))
+    for span in map(out.source, base_spans(out.text)):
+        i = bisect_right(starts, span[2] - 1) - 1  # the last run that begins before the span's end
+        if span[0] != "email" and i >= 0 and places[i][1] > span[1]:
+            found.append((span[0], span[1], span[2]))
+    known = sorted((s, e) for _, s, e in found)
+    for (digits, _, _), (start, end) in zip(runs, places):
+        i = bisect_right(known, (end, -1)) - 1
+        if 10 <= len(digits) <= 15 and digits.isdigit() and not (i >= 0 and known[i][1] > start):
+            found.append(("phone", start, end))
     return found
 
 
-def bare_at(lower: str) -> list[Span]:
-    """"j.doe42 at host.tld": only after a name with a digit, dot or underscore, which prose doesn't have."""
-    found = []
-    for m in _BARE_AT.finditer(lower):
-        start = m.start()
-        while start and lower[start - 1] in _LOCAL_CHARS:
-            start -= 1
-        name = lower[start : m.start()].lstrip(".")
-        if any(c in "0123456789._" for c in name) and any(c.isalpha() for c in name):
-            found.append(("email", m.start() - len(name), m.end()))
+def spelled(lower: str) -> list[Span]:
+    """The numbers of a lower-case text in words."""
+    return numbers(Written(lower))
+
+
+def addresses(w: Written) -> list[Span]:
+    """Addresses in what transducer 3 writes, as spans of the source."""
+    dotted = w.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(w.text)])
+    found = [dotted.source(x) for x in base_spans(dotted.text) if x[0] == "ip"] if dotted is not w else []
+    spoken, edits = [], []
+    for m in _AT.finditer(dotted.text):
+        if m[0].strip() in _SPOKEN_AT:
+            spoken.append(dotted.lo[m.start()])
+        edits.append((m.start(), m.end(), "@"))
+    out = dotted.rewrite(edits)
+    out = out.rewrite([(m.start(2), m.end(2), ".") for m in _DOT_APART.finditer(out.text)])
+    if out is w:
+        return found
+    for _, start, end in emails(out.text):
+        while start < end and out.text[start] == ".":
+            start += 1
+        text = out.text[start:end]
+        if not _ADDRESS.fullmatch(text):
+            continue
+        name, _, host = text.partition("@")
+        sign = out.lo[start + len(name)]
+        i = bisect_right(spoken, sign) - 1
+        if i >= 0 and spoken[i] == sign:
+            last = host.rpartition(".")[2]
+            dots = any(out.hi[k] - out.lo[k] > 1 for k in range(start + len(name) + 1, end) if out.text[k] == ".")
+            if dots:
+                follows = out.text[end : end + 2]
+                if not (len(last) == 2 or last in SPOKEN_ENDS or not (follows[:1].isspace() and follows[1:].isalnum())):
+                    continue
+            elif not (any(c in "0123456789._" for c in name) and any(c.isalpha() for c in name)):
+                continue
+        found.append(out.source(("email", start, end)))
     return found
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     found: list[Span] = []
-    plain, at = fold(text) if foldable(text) else (text, None)
-    if at is None and _FIGURES_HINT.search(text):
-        plain, at = fold(text)
-    if at is not None:
-        found += base_spans(plain)
-    lower = plain.lower()
-    if len(lower) != len(plain):  # a few characters change their length
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
-    if (any(w in lower for w in _DOT_WORDS) or _BRACKET.search(lower) or "@" in lower and _AT_APART.search(lower)) and _DISGUISED_HINT.search(lower):
-        found += disguised(lower)
-    if " at " in lower:
-        found += bare_at(lower)
-    if _may_be_spelled(lower):
-        found += spelled(lower)
-    if at is not None:
-        found = [(k, at[s], at[e - 1] + 1) for k, s, e in found]
+    w = Written(text)
+    if foldable(text) or _FIGURES_HINT.search(text):
+        w = fold(w)
+        found += map(w.source, base_spans(w.text))
+    low = lowered(w)
+    words = _digit_words(low.text)
+    if words >= MIN_SPELLED:
+        found += numbers(low)
+    marked = any(x in low.text for x in (*_DOT_WORDS, "arroba")) or "@" in low.text and _APART.search(low.text) or _BRACKET.search(low.text)
+    if marked or " at " in low.text and _AT_HOST.search(low.text):
+        if words > 1:
+            low = spell(low, 2)[0]
+        found += addresses(low)
+    if not found:
+        return []
     out: list[Span] = []
-    for k, s, e in sorted(set(found), key=lambda x: (KINDS.index(x[0]), x[1], -x[2])):
-        if not any(k == bk and bs <= s and e <= be for bk, bs, be in [*base, *out]):
-            out.append((k, s, e))
+    for kind in KINDS:
+        own = sorted([(s, -e, 0) for k, s, e in base if k == kind] + [(s, -e, 1) for k, s, e in set(found) if k == kind])
+        reach = -1  # the last end of the spans that begin here or before
+        for s, e, new in own:
+            if new and -e > reach:
+                out.append((kind, s, -e))
+            reach = max(reach, -e)
     return out
 
 
