@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import materialise, table
+from sylva.llm.common import fresh, materialise, table
 
 KEY_BITS, STEP, SHARD_BYTES = 48, 8, 8 << 20
 
@@ -69,10 +69,12 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     return out.drop("key")
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
-    """Writes docs as one folder a shard."""
-    ids = assign_shards(docs, limit).select(F.col("doc_id").alias("_id"), "shard").distinct()
-    docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"])).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> str:
+    """Writes docs as one folder a shard; gives the name of the folders' column (shard, if docs has none of that name)."""
+    row_id, shard = fresh(docs, "row_id"), fresh(docs, "shard")
+    ids = assign_shards(docs, limit).select(F.col("doc_id").alias(row_id), F.col("shard").alias(shard)).distinct()
+    docs.join(ids, docs["doc_id"].eqNullSafe(ids[row_id])).drop(row_id).repartition(shard).write.partitionBy(shard).parquet(path)
+    return shard
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

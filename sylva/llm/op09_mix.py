@@ -118,8 +118,8 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 def training_documents(docs: DataFrame) -> DataFrame:
     """The documents in the order of training, a repeated one once for each pass; with the columns of docs."""
-    m = mix(docs, whole=True, carry=True)
-    both = m.where("copies > 0").select("doc", F.explode(F.array_compact(F.array("position", "position_again"))).alias("_at"))
+    m = materialise(mix(docs, whole=True, carry=True).where("copies > 0"), "taken")  # the shuffle of the window goes before the sort
+    both = m.select("doc", F.explode(F.array_compact(F.array("position", "position_again"))).alias("_at"))
     return both.repartitionByRange("_at").sortWithinPartitions("_at").select("doc.*")
 
 

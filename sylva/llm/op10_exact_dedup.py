@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import BLANK, byte_texts, map_batches, materialise, normal_bytes, only, table
+from sylva.llm.common import BLANK, byte_texts, fresh, map_batches, materialise, normal_bytes, only, table
 
 #: A memtable is flushed when it holds so many bytes of text, or so many rows.
 MEMTABLE_BYTES, MEMTABLE_ROWS = 48 << 20, 200_000
@@ -203,15 +203,16 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows are known by doc_id and digest, so a doc_id on rows with different texts doesn't keep a text that another row has.
     """
-    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_kept_sha")).agg(F.count("*").alias("_n"))
+    row_id, sha, times, own = (fresh(docs, x) for x in ("row_id", "kept_sha", "times", "own_sha"))
+    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias(row_id), F.col("text_sha256").alias(sha)).agg(F.count("*").alias(times))
     kept = materialise(kept, "kept")
-    rows = docs.withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), BLANK, " "), 256))
-    same = F.col("_sha").eqNullSafe(F.col("_kept_sha")) & docs["doc_id"].eqNullSafe(F.col("_keep"))
-    if not kept.where("_n > 1").take(1):
-        return rows.join(kept, same, "left_semi").drop("_sha")
-    once = rows.join(kept.where("_n = 1"), same, "left_semi")
-    again = rows.join(kept.where("_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return once.unionByName(again).drop("_sha")
+    rows = docs.withColumn(own, F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), BLANK, " "), 256))
+    same = F.col(own).eqNullSafe(F.col(sha)) & docs["doc_id"].eqNullSafe(F.col(row_id))
+    if not kept.where(F.col(times) > 1).take(1):
+        return rows.join(kept, same, "left_semi").drop(own)
+    once = rows.join(kept.where(F.col(times) == 1), same, "left_semi")
+    again = rows.join(kept.where(F.col(times) > 1), same, "left_semi").dropDuplicates(["doc_id", own])
+    return once.unionByName(again).drop(own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
