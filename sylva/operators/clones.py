@@ -5,39 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, MIN_TOKENS = 20, 20
+K = 20
+
+
+def _digest(i: Column, k: int) -> Column:
+    """16 bytes for the k tokens from place i on."""
+    return F.unhex(F.md5(F.array_join(F.slice("t", i + 1, k), " ")))
+
+
+def _tokens(docs: DataFrame, key: str, tokens: Column, k: int) -> DataFrame:
+    return docs.select(key, tokens.alias("t")).where(F.size("t") >= k)
 
 
 def kgrams(docs: DataFrame, key: str, tokens: Column, k: int = K) -> DataFrame:
-    """key, pos, gram: every run of k tokens (joined by spaces), from their array."""
-    t = docs.select(key, tokens.alias("t")).where(F.size("t") >= k)
-    grams = F.transform(F.sequence(F.lit(0), F.size("t") - k), lambda i: F.array_join(F.slice("t", i + 1, k), " "))
-    return t.select(key, F.posexplode(grams).alias("pos", "gram"))
+    """key, pos, h: the digest of every run of k tokens (joined by spaces), from their array."""
+    digests = F.transform(F.sequence(F.lit(0), F.size("t") - k), lambda i: _digest(i, k))
+    return _tokens(docs, key, tokens, k).select(key, F.posexplode(digests).alias("pos", "h"))
+
+
+def shingle_summary(docs: DataFrame, key: str, tokens: Column, k: int = K) -> DataFrame:
+    """key, n, first, last: how many k-grams a text has, and their least and greatest digest; no shuffle."""
+    digests = F.transform(F.sequence(F.lit(0), F.size("t") - k), lambda i: _digest(i, k))
+    said = lambda c: F.lower(F.hex(c))
+    return _tokens(docs, key, tokens, k).select(key, digests.alias("h")).select(key, F.size("h").cast("bigint").alias("n"), said(F.array_min("h")).alias("first"), said(F.array_max("h")).alias("last"))
 
 
 def collisions(grams: DataFrame, key: str) -> DataFrame:
-    """gram, n, docs of the k-grams that several documents have."""
-    return grams.groupBy("gram").agg(F.count("*").alias("n"), F.countDistinct(key).alias("docs")).where("docs > 1")
+    """gram (its digest), n, docs of the k-grams that several documents have."""
+    per = grams.groupBy("h", key).agg(F.count("*").alias("n")).groupBy("h")
+    found = per.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where("docs > 1")
+    return found.select(F.lower(F.hex("h")).alias("gram"), "n", "docs")
 
 
 def index_stats(grams: DataFrame) -> DataFrame:
-    per = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    per = grams.groupBy("h").agg(F.count("*").alias("n"))
     return per.agg(F.count("*").alias("hashes"), F.sum("n").alias("shingles"), F.count_if(F.col("n") > 1).alias("collisions"))
 
 
-def clone_pairs(grams: DataFrame, key: str, k: int = K) -> DataFrame:
-    """a, b, start_a, start_b, tokens: equal passages of each document and the next one that has the k-gram.
+def clone_pairs(grams: DataFrame, key: str, k: int = K, min_tokens: int = 0) -> DataFrame:
+    """a, b, start_a, start_b, tokens: equal passages of a representative and another place, of min_tokens or more.
 
-    Only the first place of a k-gram in a document counts, so a gram of n documents gives n - 1 pairs, and repeats within a
-    text aren't found; seeds on one diagonal with consecutive places are one passage. passages() keeps all places.
+    A k-gram's representative is its first place in the first document that has it; in every other document the first place
+    there is linked with it, and within a document all later places with the first. So every place of a repeated k-gram is
+    linked, n places by n - 1 links, and any two places of a passage are joined through them (passages() has the classes).
+    Between documents a passage is as long as both texts agree around the link, whichever places the k-grams beside it
+    have elsewhere; within a document it is a longest run of links.
     """
-    digest = grams.select(key, "pos", F.md5("gram").alias("h"))
-    firsts = digest.groupBy("h", key).agg(F.min("pos").alias("pos"))
-    w = Window.partitionBy("h").orderBy(key)
-    seeds = firsts.select(F.col(key).alias("a"), F.col("pos").alias("pa"), F.lead(key).over(w).alias("b"), F.lead("pos").over(w).alias("pb")).where("b is not null")
-    run = Window.partitionBy("a", "b", F.col("pa") - F.col("pb")).orderBy("pa")
-    islands = seeds.withColumn("island", F.col("pa") - F.row_number().over(run)).groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift"), "island")
-    return islands.agg(F.min("pa").alias("start_a"), F.min("pb").alias("start_b"), (F.count("*") + k - 1).alias("tokens")).select("a", "b", "start_a", "start_b", "tokens")
+    firsts = grams.groupBy("h", key).agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
+    rep = firsts.groupBy("h").agg(F.min(F.struct(F.col(key).alias("a"), F.col("pos").alias("pa"))).alias("rep"), F.sum("n").alias("n")).where("n > 1").select("h", "rep.*")
+    places = grams.join(rep.select("h"), "h", "left_semi")
+    links = firsts.join(rep, "h").where(F.col(key) != F.col("a"))
+    diagonals = links.select("a", F.col(key).alias("b"), (F.col("pos") - F.col("pa")).alias("shift")).distinct()
+    there = places.select(F.col(key).alias("b"), F.col("pos").alias("pb"), "h")
+    here = places.select(F.col(key).alias("a"), F.col("pos").alias("pa"), "h")
+    across = diagonals.join(there, "b").withColumn("pa", F.col("pb") - F.col("shift")).join(here, ["a", "pa", "h"], "left_semi").select("a", "b", "shift", "pa")
+    own = firsts.where("n > 1").select("h", F.col(key).alias("a"), F.col("pos").alias("p0"))
+    inner = own.join(there, (own["h"] == there["h"]) & (F.col("a") == F.col("b")) & (F.col("pb") > F.col("p0")))
+    within = inner.select("a", F.col("a").alias("b"), (F.col("pb") - F.col("p0")).alias("shift"), F.col("p0").alias("pa"))
+    run = Window.partitionBy("a", "b", "shift").orderBy("pa")
+    islands = across.unionByName(within).withColumn("island", F.col("pa") - F.row_number().over(run)).groupBy("a", "b", "shift", "island")
+    found = islands.agg(F.min("pa").alias("start_a"), (F.count("*") + k - 1).alias("tokens")).where(F.col("tokens") >= min_tokens)
+    return found.select("a", "b", "start_a", (F.col("start_a") + F.col("shift")).alias("start_b"), "tokens")
 
 
 def passages(docs: DataFrame, key: str, tokens: Column, k: int = K) -> DataFrame:
@@ -48,8 +76,8 @@ def passages(docs: DataFrame, key: str, tokens: Column, k: int = K) -> DataFrame
     texts have a k-gram in common just where both have its passage; passages that follow each other in both (the next one
     starts at start + tokens - k + 1) make one longer match, so all pairs of places follow without being listed.
     """
-    t = docs.select(key, tokens.alias("t")).where(F.size("t") >= k)
-    place = lambda i: F.struct(i.alias("pos"), F.unhex(F.md5(F.array_join(F.slice("t", i + 1, k), " "))).alias("h"), F.when(i > 0, F.xxhash64(F.get("t", i - 1))).alias("before"))
+    t = _tokens(docs, key, tokens, k)
+    place = lambda i: F.struct(i.alias("pos"), _digest(i, k).alias("h"), F.when(i > 0, F.xxhash64(F.get("t", i - 1))).alias("before"))
     rows = t.select(key, F.inline(F.transform(F.sequence(F.lit(0), F.size("t") - k), place)))
     same = Window.partitionBy("h")
     rows = rows.withColumn("places", F.count("*").over(same)).withColumn("one", (F.count("before").over(same) == F.col("places")) & (F.min("before").over(same) == F.max("before").over(same)))
@@ -60,10 +88,3 @@ def passages(docs: DataFrame, key: str, tokens: Column, k: int = K) -> DataFrame
     rows = rows.withColumn("first", ~F.coalesce(goes_on, F.lit(False))).withColumn("part", F.count_if("first").over(text))
     parts = rows.groupBy(key, "part").agg(F.max(F.when(F.col("first"), F.col("h"))).alias("h"), F.min("pos").alias("start"), (F.count("*") + k - 1).alias("tokens"), F.min("places").alias("places"))
     return parts.select(F.lower(F.hex("h")).alias("passage"), key, "start", "tokens", "places")
-
-
-def passage_links(found: DataFrame, key: str) -> DataFrame:
-    """a, b, start_a, start_b, tokens: each place of a passage with its next one, by key and start (n places, n - 1 links)."""
-    w = Window.partitionBy("passage").orderBy(key, "start")
-    links = found.select(F.col(key).alias("a"), F.lead(key).over(w).alias("b"), F.col("start").alias("start_a"), F.lead("start").over(w).alias("start_b"), "tokens")
-    return links.where("start_b is not null")

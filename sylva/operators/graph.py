@@ -11,31 +11,72 @@ from sylva.functions.paths import short_path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a written table in the session's shared folder (spark.checkpoint.dir), where one is set."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """Cuts lineage by a written table in the session's shared folder (spark.checkpoint.dir).
+
+    A local folder is made only in local mode, where none is set.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="sylva-")
-        df.sparkSession.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
     to = f"{folder.rstrip('/')}/sylva/graph-{uuid.uuid4().hex}"
     df.write.parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
+    return spark.read.schema(df.schema).parquet(to)
 
 
 def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def incoming_refs(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """path, refs: an edge refers to the first file (by path) that its target begins with, at any character.
+def first_with(files: DataFrame, targets: DataFrame, end: bool = False) -> DataFrame:
+    """dst, path: the first file (by path) that begins with each target, at any character, or that ends with it.
 
-    Targets are exploded into their prefixes and joined by equality, never compared with every file.
+    Paths are exploded into the beginnings (ends) that are as long as some target, and joined by equality; the lengths are
+    no more than the longest path has characters.
     """
+    lengths = [r[0] for r in targets.select(F.length("dst").alias("n")).where("n is not null").distinct().collect()]
+    if not lengths:
+        return targets.select("dst", F.lit(None).cast("string").alias("path")).limit(0)
+    fits = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("path"))
+    part = lambda n: F.substring("path", F.length("path") - n + 1 if end else F.lit(1), n)
+    parts = files.select("path").distinct().select("path", F.explode(F.transform(fits, part)).alias("dst"))
+    return parts.join(targets.select("dst").distinct(), "dst", "left_semi").groupBy("dst").agg(F.min("path").alias("path"))
+
+
+def incoming_refs(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """path, refs: an edge refers to the first file (by path) that begins with its target, at any character."""
     targets = edges.groupBy("dst").agg(F.count("*").alias("n"))
-    prefix = targets.select("dst", "n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("dst"), F.lit(1))), lambda i: F.substring("dst", F.lit(1), i))).alias("path"))
-    hit = prefix.join(files.select("path").distinct(), "path").groupBy("dst").agg(F.min("path").alias("path"), F.first("n").alias("n"))
-    return hit.groupBy("path").agg(F.sum("n").alias("refs"))
+    return targets.join(first_with(files, targets), "dst").groupBy("path").agg(F.sum("n").alias("refs"))
+
+
+#: What an import may leave out, in the order of trial: for layers, and for cycles.
+LAYER_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".go", ".py")
+INDEX_FILES = ("index.ts", "index.tsx", "index.js", "index.jsx")
+CYCLE_EXTENSIONS = (".go", ".py", ".ts", ".js", ".java", ".cs", ".cpp", ".hpp")
+
+
+def layer_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges with `target`: dst itself, with an extension, its index file, or the first file that begins with it."""
+    found = resolve(edges, files, (*LAYER_EXTENSIONS, *[f"/{x}" for x in INDEX_FILES]))
+    return found.join(first_with(files, edges).withColumnRenamed("path", "_first"), "dst", "left").withColumn("target", F.coalesce("target", "_first")).drop("_first")
+
+
+def cycle_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges with `target`: dst itself; a relative dst from src's folder, as it is or with an extension; the first file that ends with dst."""
+    from sylva.functions.paths import resolve_import
+
+    # a relative target is tried as it stands and from its source, others only as they stand
+    asked = edges.select("src", "dst").distinct().withColumn("_path", resolve_import(F.col("src"), F.col("dst")))
+    ends = F.when(F.startswith(F.col("dst"), F.lit(".")), F.array(*[F.concat("_path", F.lit(x)) for x in ("", *CYCLE_EXTENSIONS)])).otherwise(F.expr("cast(array() as array<string>)"))
+    tries = asked.select("src", "dst", F.posexplode(F.concat(F.array("dst"), ends)).alias("ord", "path"))
+    found = tries.join(files.select("path").distinct(), "path").groupBy("src", "dst").agg(F.min_by("path", "ord").alias("target"))
+    last = first_with(files, edges, end=True).withColumnRenamed("path", "_last")
+    return edges.join(found, ["src", "dst"], "left").join(last, "dst", "left").withColumn("target", F.coalesce("target", "_last")).drop("_last")
 
 
 def resolve(edges: DataFrame, files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
@@ -46,8 +87,8 @@ def resolve(edges: DataFrame, files: DataFrame, suffixes: tuple[str, ...]) -> Da
 
 
 def orphans(files: DataFrame, edges: DataFrame, entry_points) -> DataFrame:
-    """Files that nothing refers to and that aren't entry points."""
-    return files.where(~entry_points).join(edges.select(F.col("dst").alias("path")), "path", "left_anti")
+    """Files that no edge refers to (see incoming_refs) and that aren't entry points."""
+    return files.where(~entry_points).join(incoming_refs(edges, files).select("path"), "path", "left_anti")
 
 
 def layer_violations(edges: DataFrame, layers: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:

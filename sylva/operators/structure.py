@@ -9,8 +9,9 @@ from sylva.functions.globs import any_glob, glob_match
 from sylva.functions.paths import STYLES, basename, depth, detect_style, first_match, leading_parents, parent, stem
 from sylva.operators.predicates import violations
 
-#: Names of tests that don't count against a directory's files.
-TEST_NAME = r"(^test_|_test\.|\.test\.|\.spec\.|_spec\.|Test\.java$|Tests\.cs$|test_$)"
+#: A test's path ends with one of these, or begins with it and is longer; it doesn't count against a directory's files.
+TEST_PARTS = ("_test.go", ".test.ts", ".test.tsx", ".test.js", ".test.jsx", ".spec.ts", ".spec.tsx", ".spec.js", ".spec.jsx", "_spec.rb", "test_", "_test.py", "Test.java", "IT.java")
+TEST_NAME = "(" + "|".join([p.replace(".", "[.]") + "$" for p in TEST_PARTS] + ["^" + p.replace(".", "[.]") + "." for p in TEST_PARTS]) + ")"
 
 
 def files_from(table: DataFrame, path: Column) -> DataFrame:
@@ -30,7 +31,7 @@ def directories(files: DataFrame) -> DataFrame:
 
 
 def max_files(files: DataFrame, limit: int) -> DataFrame:
-    n = files.where(~F.col("is_dir") & ~basename(F.col("path")).rlike(TEST_NAME)).groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    n = files.where(~F.col("is_dir") & ~F.col("path").rlike(TEST_NAME)).groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("n")).where(F.col("n") > limit)
     return violations(n, "max-files-in-dir", F.format_string("contains %d files, exceeds limit of %d", "n", F.lit(limit)))
 
 

@@ -60,7 +60,7 @@ def register(name: str, sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
-@register("q01_max_files_in_dir", f"WITH {_PAGES} SELECT 'max-files-in-dir' AS rule, parent AS path, 'contains ' || count(*) || ' files, exceeds limit of 5' AS message FROM f WHERE NOT regexp_matches(regexp_extract(path, '[^/]*$'), '{S.TEST_NAME}') GROUP BY parent HAVING count(*) > 5")
+@register("q01_max_files_in_dir", f"WITH {_PAGES} SELECT 'max-files-in-dir' AS rule, parent AS path, 'contains ' || count(*) || ' files, exceeds limit of 5' AS message FROM f WHERE NOT regexp_matches(path, '{S.TEST_NAME}') GROUP BY parent HAVING count(*) > 5")
 def q01(spark, d):
     return S.max_files(pages(spark, d), 5)
 
@@ -184,17 +184,51 @@ def q16(spark, d):
     return pages(spark, d).select("path", F.explode(hits).alias("h")).select("path", "h.layer", "h.forbidden")
 
 
-@register("q17_incoming_refs", f"WITH {_PAGES}, x AS (SELECT DISTINCT path FROM f), t AS (SELECT path || '/part' || (page_id % 3) AS dst FROM f), h AS (SELECT t.dst, min(x.path) AS path FROM (SELECT DISTINCT dst FROM t) t JOIN x ON starts_with(t.dst, x.path) GROUP BY 1) SELECT h.path, count(*)::BIGINT AS refs FROM t JOIN h ON t.dst = h.dst GROUP BY 1")
+#: Every page imports the pages of its host and language whose number begins as its own without the last figure.
+_PREFIXES = "t AS (SELECT path AS src, regexp_extract(path, '^(.*).$', 1) AS dst FROM f), x AS (SELECT DISTINCT path FROM f), h AS (SELECT dst, min(x.path) AS path FROM (SELECT DISTINCT dst FROM t) JOIN x ON starts_with(x.path, dst) GROUP BY 1)"
+
+
+def prefix_edges(spark, d):
+    return pages(spark, d).select(F.col("path").alias("src"), F.regexp_extract("path", "^(.*).$", 1).alias("dst"))
+
+
+@register("q17_incoming_refs", f"WITH {_PAGES}, {_PREFIXES} SELECT h.path, count(*)::BIGINT AS refs FROM t JOIN h ON t.dst = h.dst GROUP BY 1")
 def q17(spark, d):
-    f = pages(spark, d)
-    e = f.select(F.col("path").alias("src"), F.concat("path", F.lit("/part"), F.col("page_id") % 3).alias("dst"))
-    return graph.incoming_refs(e, f)
+    return graph.incoming_refs(prefix_edges(spark, d), pages(spark, d))
 
 
-@register("q18_orphans", f"WITH {_LINKS} SELECT DISTINCT f.path FROM f WHERE NOT regexp_matches(f.path, '/en/') AND NOT EXISTS (SELECT 1 FROM l WHERE l.import_path = f.path)")
+@register("q18_orphans", f"WITH {_PAGES}, {_PREFIXES} SELECT path FROM x WHERE NOT regexp_matches(path, '/en/') AND path NOT IN (SELECT path FROM h)")
 def q18(spark, d):
-    e = links(spark, d).select(F.col("source_file").alias("src"), F.col("import_path").alias("dst"))
-    return graph.orphans(pages(spark, d), e, F.col("path").rlike("/en/")).select("path").distinct()
+    return graph.orphans(pages(spark, d).select("path").distinct(), prefix_edges(spark, d), F.col("path").rlike("/en/"))
+
+
+#: Targets that lack an extension, an index file, the end or the beginning of a path.
+_TARGETS = """fs AS (SELECT DISTINCT CASE page_id % 4 WHEN 0 THEN path || '.ts' WHEN 1 THEN path || '/index.js' WHEN 2 THEN path || '.py' ELSE path END AS path FROM f),
+e AS (SELECT DISTINCT page_id, path AS src, CASE WHEN page_id % 5 = 4 THEN regexp_extract(path, '^(.*)/[^/]*$', 1) WHEN page_id % 5 = 3 THEN regexp_extract(path, '^[^/]*/(.*)$', 1) ELSE path END AS dst FROM f)"""
+
+
+def targets(spark, d):
+    p, n = pages(spark, d), F.col("page_id")
+    path = F.when(n % 4 == 0, F.concat("path", F.lit(".ts"))).when(n % 4 == 1, F.concat("path", F.lit("/index.js"))).when(n % 4 == 2, F.concat("path", F.lit(".py"))).otherwise(F.col("path"))
+    dst = F.when(n % 5 == 4, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).when(n % 5 == 3, F.regexp_extract("path", "^[^/]*/(.*)$", 1)).otherwise(F.col("path"))
+    return p.select(path.alias("path")).distinct(), p.select("page_id", F.col("path").alias("src"), dst.alias("dst"))
+
+
+def _cascade(ends: list[str], last: str) -> str:
+    tries = ", ".join(f"({i}, '{x}')" for i, x in enumerate(ends))
+    return f"s(o, v) AS (VALUES {tries}), c AS (SELECT e.dst, o, fs.path FROM (SELECT DISTINCT dst FROM e) e CROSS JOIN s JOIN fs ON fs.path = e.dst || s.v UNION ALL SELECT e.dst, 99, min(fs.path) FROM (SELECT DISTINCT dst FROM e) e JOIN fs ON {last}(fs.path, e.dst) GROUP BY 1), h AS (SELECT dst, arg_min(path, o) AS target FROM c GROUP BY 1)"
+
+
+@register("q18b_layer_targets", f"WITH {_PAGES}, {_TARGETS}, {_cascade(['', *graph.LAYER_EXTENSIONS, *('/' + x for x in graph.INDEX_FILES)], 'starts_with')} SELECT e.page_id, h.target FROM e LEFT JOIN h ON h.dst = e.dst")
+def q18b(spark, d):
+    f, e = targets(spark, d)
+    return graph.layer_targets(e, f).select("page_id", "target")
+
+
+@register("q18c_cycle_targets", f"WITH {_PAGES}, {_TARGETS}, {_cascade([''], 'ends_with')} SELECT e.page_id, h.target FROM e LEFT JOIN h ON h.dst = e.dst")
+def q18c(spark, d):
+    f, e = targets(spark, d)
+    return graph.cycle_targets(e, f).select("page_id", "target")
 
 
 @register("q19_edges", f"WITH {_MOVES} SELECT src, dst, count(*) AS n FROM e GROUP BY 1, 2")
@@ -251,16 +285,27 @@ def grams(spark, d):
 
 @register("q24_kgram_shingles", f"WITH {_GRAMS} SELECT doc_id, count(*) AS n, min(md5(gram)) AS first, max(md5(gram)) AS last FROM g GROUP BY 1")
 def q24(spark, d):
-    h = grams(spark, d).withColumn("h", F.md5("gram"))
-    return h.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("first"), F.max("h").alias("last"))
+    return clones.shingle_summary(read(spark, d, "documents"), "doc_id", tokens())
 
 
 @register("q25_cross_doc_collisions", f"WITH {_GRAMS} SELECT md5(gram) AS gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
 def q25(spark, d):
-    return clones.collisions(grams(spark, d).select("doc_id", F.md5("gram").alias("gram")), "doc_id")
+    return clones.collisions(grams(spark, d), "doc_id")
+
 
+_CLONES = f"""WITH {_GRAMS}, p AS (SELECT doc_id, pos, md5(gram) AS h FROM g),
+r AS (SELECT h, min((doc_id, pos)) AS rep FROM p GROUP BY h HAVING count(*) > 1),
+f AS (SELECT h, doc_id, min(pos) AS pos FROM p GROUP BY h, doc_id),
+-- the diagonals on which a document has the first place of another's k-gram
+d AS (SELECT DISTINCT rep[1] AS a, doc_id AS b, f.pos - rep[2] AS shift FROM f JOIN r ON r.h = f.h WHERE doc_id <> rep[1]),
+-- all equal k-grams on them, and each later place in a document with the first one there
+m AS (SELECT d.a, d.b, d.shift, x.pos AS pa FROM d JOIN p y ON y.doc_id = d.b JOIN p x ON x.doc_id = d.a AND x.pos = y.pos - d.shift AND x.h = y.h
+  UNION ALL SELECT p.doc_id, p.doc_id, p.pos - f.pos, f.pos FROM p JOIN f ON f.h = p.h AND f.doc_id = p.doc_id WHERE p.pos > f.pos),
+i AS (SELECT *, pa - row_number() OVER (PARTITION BY a, b, shift ORDER BY pa) AS island FROM m)
+SELECT a, b, min(pa) AS start_a, min(pa) + shift AS start_b, count(*) + 19 AS tokens FROM i GROUP BY a, b, shift, island"""
 
-@register("q26_clone_pairs", f"WITH {_GRAMS}, o AS (SELECT md5(gram) AS h, doc_id, min(pos) AS pos FROM g GROUP BY 1, 2), s AS (SELECT doc_id AS a, pos AS pa, lead(doc_id) OVER w AS b, lead(pos) OVER w AS pb FROM o WINDOW w AS (PARTITION BY h ORDER BY doc_id)), i AS (SELECT *, pa - row_number() OVER (PARTITION BY a, b, pa - pb ORDER BY pa) AS island FROM s WHERE b IS NOT NULL) SELECT a, b, min(pa) AS start_a, min(pb) AS start_b, count(*) + 19 AS tokens FROM i GROUP BY a, b, pa - pb, island")
+
+@register("q26_clone_pairs", _CLONES)
 def q26(spark, d):
     return clones.clone_pairs(grams(spark, d), "doc_id")
 
@@ -272,7 +317,7 @@ def q26b(spark, d):
 
 @register("q27_index_stats", f"WITH {_GRAMS}, c AS (SELECT md5(gram) AS gram, count(*) AS n FROM g GROUP BY 1) SELECT count(*) AS hashes, sum(n)::BIGINT AS shingles, count(*) FILTER (n > 1) AS collisions FROM c")
 def q27(spark, d):
-    return clones.index_stats(grams(spark, d).select("doc_id", F.md5("gram").alias("gram")))
+    return clones.index_stats(grams(spark, d))
 
 
 _TOKENS = "t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[.,;:!?|#*$%&<>]')) AS value FROM documents)"
@@ -330,13 +375,8 @@ def q36(spark, d):
     return i.select("page_id", P.resolve_import(F.concat_ws("/", F.split("path", "/")[0], F.lit("x"), F.lit("y")), F.concat(F.lit("./.././x/../lib//"), F.col("page_id") % 7)).alias("target"))
 
 
-@register("q37_semantic_clones", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0 ORDER BY 3 DESC, 1, 2 LIMIT 100")
+@register("q37_semantic_clones", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id != b.vec_id AND (b.vec_id % 20 != 0 OR a.vec_id < b.vec_id) WHERE a.vec_id % 20 = 0 ORDER BY 3 DESC, 1, 2 LIMIT 100")
 def q37(spark, d):
-    return code.labelled_clones(read(spark, d, "embeddings"), 100)
-
-
-@register("q37b_semantic_clones_all", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id != b.vec_id AND (b.vec_id % 20 != 0 OR a.vec_id < b.vec_id) WHERE a.vec_id % 20 = 0 ORDER BY 3 DESC, 1, 2 LIMIT 100")
-def q37b(spark, d):
     return code.semantic_clones(read(spark, d, "embeddings"), 100)
 
 
@@ -386,19 +426,6 @@ def q45(spark, d):
     return sinks.clone_results(q26(spark, d))
 
 
-_sql_links = f"SELECT * FROM (SELECT doc_id AS a, lead(doc_id) OVER w AS b, start AS start_a, lead(start) OVER w AS start_b, tokens FROM ({_sql['q26b_clone_passages']}) WINDOW w AS (PARTITION BY passage ORDER BY doc_id, start)) WHERE b IS NOT NULL"
-
-
-@register("q44b_clone_summary_all", _sql["q44_clone_summary"].replace(_sql["q26_clone_pairs"], _sql_links))
-def q44b(spark, d):
-    return sinks.clone_summary(clones.passage_links(q26b(spark, d), "doc_id"))
-
-
-@register("q45b_clone_sarif_results_all", _sql["q45_clone_sarif_results"].replace(_sql["q26_clone_pairs"], _sql_links))
-def q45b(spark, d):
-    return sinks.clone_results(clones.passage_links(q26b(spark, d), "doc_id"))
-
-
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -124,16 +124,6 @@ def language_profile(docs: DataFrame) -> DataFrame:
     return n.select("lang", "n", rank.alias("rank"), clamp(F.floor(F.col("n") * 12 / 10), 20, 100).alias("max_files"), clamp(F.col("most") + 2, 4, 10).alias("max_depth"))
 
 
-def labelled_clones(vectors: DataFrame, limit: int) -> DataFrame:
-    """The part of semantic_clones that q37's SQL has: only pairs of one label whose other id is larger than the query's."""
-    v = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))))
-    a, b = v.where("vec_id % 20 = 0").toDF("a", "label", "ea", "na"), v.toDF("b", "label", "eb", "nb")
-    pairs = a.join(b, "label").where("a < b").select("a", "b", F.round(dot(F.col("ea"), F.col("eb")) / (F.col("na") * F.col("nb")), 5).alias("similarity"))
-    return pairs.orderBy(F.desc("similarity"), "a", "b").limit(limit)
-
-
 #: Rows of a block of vectors; every block of queries meets every block of rows.
 BLOCK = 1024
 

@@ -55,6 +55,36 @@ def test_passages_hold_all_places_and_give_all_maximal_matches(spark):
     want = matches(texts, lambda d, p: tuple(texts[d][p : p + k]), k)
     assert matches(texts, lambda d, p: at.get((d, p)), k) == want and any(x[0] == y[0] for x, y, _ in want)
     assert ((20, 0), (22, 0), 8) in want  # document 21 shares a part of it
-    n = len({r["passage"] for r in rows})
-    links = clones.passage_links(found, "doc_id").collect()
-    assert len(links) == len(rows) - n and any(x["a"] == x["b"] for x in links)
+
+
+def test_pairs_are_as_long_as_both_texts_agree(spark):
+    w = [f"w{i}" for i in range(100)]
+    texts = {0: ["q", *w[70:80], "r"], 1: w, 2: ["x", *w[40:60], "y"], 3: ["z", *w, "z"], 4: [*w[:10], "u", *w[:10], "u", *w[:10]]}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string")
+    grams = clones.kgrams(df, "doc_id", F.split("text", " "), 5)
+    got = {tuple(r) for r in clones.clone_pairs(grams, "doc_id", 5).collect()}
+    assert {(1, 3, 0, 1, 100), (1, 2, 40, 1, 20), (1, 4, 0, 0, 10), (4, 4, 0, 11, 15), (0, 1, 1, 70, 10), (0, 3, 1, 71, 10)} <= got
+    assert all(texts[a][s : s + n] == texts[b][t : t + n] for a, b, s, t, n in got)
+    assert not any(r[4] < 12 for r in clones.clone_pairs(grams, "doc_id", 5, min_tokens=12).collect())
+
+
+def test_pairs_lose_no_link(spark):
+    rng, k = np.random.default_rng(8), 3
+    texts = {d: [str(x) for x in rng.integers(0, 4, rng.integers(0, 25))] for d in range(12)} | {24: ["z"] * 9}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string")
+    grams = clones.kgrams(df, "doc_id", F.filter(F.split("text", " "), lambda x: x != ""), k)
+    at = {}
+    for d, t in texts.items():
+        for p in range(len(t) - k + 1):
+            at.setdefault(tuple(t[p : p + k]), []).append((d, p))
+    parent = {x: x for v in at.values() for x in v}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in clones.clone_pairs(grams, "doc_id", k).collect():
+        for i in range(r["tokens"] - k + 1):
+            parent[find((r["b"], r["start_b"] + i))] = find((r["a"], r["start_a"] + i))
+    assert all(len({find(x) for x in v}) == 1 for v in at.values())
