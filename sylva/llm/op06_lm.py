@@ -8,10 +8,11 @@ about the same count and a bounded number of units, so classes and units of a cl
 So P(word | context) = P(class | context) * P(unit | class, context) * P(word | unit).
 
 Both levels are log-bilinear: the context vector is c1 * r[u1] + c2 * r[u2] (u1, u2: the two units before, or the start), its
-product with a class's or unit's vector, plus a bias, is the unnormalised score. Training tokens all take part: every task
-runs NCE in minibatches (noise classes shared by a minibatch, noise units by the tokens of a class) over its texts for one
-epoch from the same start, and the models are averaged by their tokens. A token's score is exactly normalised, over all
-classes and over the units of its class.
+product with a class's or unit's vector, plus a bias, is the unnormalised score. All training tokens take part: NCE in
+minibatches (noise classes shared by a minibatch, noise units by the tokens of a class) over buckets of texts, in ROUNDS
+synchronous rounds that each start from the mean of the one before (see train_model), so the model is a function of the
+rows alone. A small corpus is gone through several times, a large one once. A token's score is exactly normalised, over
+all classes and over the units of its class.
 
 Words' counts: the TABLE_ROWS most frequent words (at most) are broadcast as arrays; the others of a text (few) go as rows
 (text, word, times) to a join with the counts, which uses the hash of rare words and so has no hot key.
@@ -30,13 +31,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import byte_texts, map_batches, materialise, table
+from sylva.llm.common import byte_texts, drop_table, map_batches, materialise, table
 from sylva.llm.wordhash import chunks, word_table
 
 FOLDS, HELD_OUT = 5, 1
 #: The least number of units; units for the root of the vocabulary; one of OTHERS units is of words without their own.
-UNITS, PER_ROOT, OTHERS, DIM = 512, 16, 4, 16
+UNITS, PER_ROOT, OTHERS, DIM = 512, 10, 4, 16
 BATCH, NOISE, CLASS_NOISE, RATE, SEED = 4096, 64, 8, 0.03, 7
+#: Rounds of learning; the least tokens of a bucket, and tokens a unit; parts of one in which moves are summed.
+ROUNDS, LEAST_BUCKET, PER_UNIT, SCALE = 4, 1 << 20, 256, 1 << 24
 #: Tokens that are normalised at once.
 SLICE = 1 << 14
 TABLE_ROWS, MERGE = 1 << 18, 1 << 21
@@ -215,6 +218,23 @@ class LogBilinear:
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.weights()])
 
+    def moved(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By how much each weight has moved from start, in whole parts of SCALE, and which rows of the weights have."""
+        move = np.rint((self.flat().astype(np.float64) - start) * SCALE).astype(np.int64)
+        at, touched = 0, []
+        for x in self.weights():
+            touched.append(move[at : at + x.size].reshape(len(x), -1).any(1))
+            at += x.size
+        return move, np.concatenate(touched).astype(np.int64)
+
+    def move(self, sums: np.ndarray, touched: np.ndarray) -> None:
+        """Moves each row by the mean of those that have moved it."""
+        at = row = 0
+        for x in self.weights():
+            n = np.maximum(touched[row : row + len(x)], 1)
+            x += (sums[at : at + x.size].reshape(len(x), -1) / n[:, None] / SCALE).reshape(x.shape).astype(np.float32)
+            at, row = at + x.size, row + len(x)
+
     def load(self, flat: np.ndarray) -> None:
         at = 0
         for x in self.weights():
@@ -268,58 +288,114 @@ def sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
-def train_model(training: DataFrame, units: Units, log_unigram: np.ndarray) -> LogBilinear:
-    shipped = training.sparkSession.sparkContext.broadcast((units, log_unigram))
+def bucket_tokens(units: int) -> int:
+    """Tokens of a bucket: many for each unit, so what models weigh stays small beside what they learn from."""
+    return max(LEAST_BUCKET, PER_UNIT * units)
+
+
+def train_model(training: DataFrame, units: Units, log_unigram: np.ndarray, tokens: int) -> LogBilinear:
+    """One model of all training texts, the same for any partitions and any order of rows.
+
+    Texts fall by hash into buckets of about bucket_tokens(), in which they are in the order of their hashes. In round r the
+    buckets b with b = r modulo min(ROUNDS, buckets) learn, each from the round's start; a bucket's minibatches are drawn
+    with a seed of its own. At the end of a round every row of the weights moves by the mean of what the buckets that have
+    touched it say. Those sums are of integers (SCALE), so their order is indifferent.
+    """
+    spark, size = training.sparkSession, len(log_unigram)
+    buckets = max(1, round(tokens / bucket_tokens(size)))
+    rounds = min(ROUNDS, buckets)
+    shipped = spark.sparkContext.broadcast(units)
+
+    def make():
+        own = shipped.value
+
+        def step(batch):
+            if batch is None or not batch.num_rows:
+                return
+            h, at = batch.column("h").to_numpy(), 0
+            for _, part in chunks(byte_texts(batch)):
+                keys, rows = keys_of(part)
+                unit = own.of(keys).astype("<i4")
+                edges = np.searchsorted(rows, np.arange(len(part) + 1))
+                yield {"h": h[at : at + len(part)], "units": [unit[a:b].tobytes() for a, b in zip(edges, edges[1:])]}
+                at += len(part)
+
+        return step
+
+    rows = map_batches(training.select(F.xxhash64("doc_id", "text").alias("h"), "text"), make, "h bigint, units binary")
+    rows = materialise(rows.withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(buckets)).cast("int")), "units")
+    model = LogBilinear(log_unigram)
+    for turn in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((log_unigram, model.flat(), turn))
+        found = learnt(rows.where(F.col("bucket") % rounds == turn % rounds), sent, size).collect()  # one row, which grows with the units
+        if found:
+            model.move(np.frombuffer(found[0]["moved"], "<i8"), np.frombuffer(found[0]["touched"], "<i8"))
+        sent.destroy()
+    drop_table(rows)
+    model.g2 = []  # nothing is trained any more
+    return model
+
+
+SUMS = "part int, moved binary, touched binary"
+
+
+def learnt(rows: DataFrame, sent, size: int) -> DataFrame:
+    """The sums of what the buckets of a round have moved, and by how many: one row."""
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "h", "units")
 
     def make():
-        own, unigram = shipped.value
-        model, rng = LogBilinear(unigram), np.random.default_rng(SEED)
-        held: list[tuple] = []
-        size, seen = [0], [0]
+        log_unigram, start, turn = sent.value
+        state: dict = {"bucket": None, "model": None, "held": [], "size": 0, "sums": None}
 
         def learn():
-            if held:
-                one, two, unit = (np.concatenate(x) for x in zip(*held))
-                held.clear()
-                seen[0] += size[0]
-                size[0] = 0
-                order = rng.permutation(len(unit))
-                model.train(one[order], two[order], unit[order], rng)
+            if state["held"]:
+                unit = np.concatenate(state["held"])
+                text = np.repeat(np.arange(len(state["held"])), [len(x) for x in state["held"]])
+                one, two = contexts(unit, text, size)
+                order = state["rng"].permutation(len(unit))
+                state["model"].train(one[order], two[order], unit[order], state["rng"])
+            state["held"], state["size"] = [], 0
+
+        def end():
+            if state["model"] is not None:
+                learn()
+                moved, touched = state["model"].moved(start)
+                if state["sums"] is None:
+                    state["sums"] = [moved, touched]
+                else:
+                    state["sums"][0] += moved
+                    state["sums"][1] += touched
+            state["model"] = None
 
         def step(batch):
             if batch is None:
-                learn()
-                if seen[0]:
-                    import os
+                end()
+                if state["sums"] is not None:
+                    from pyspark import TaskContext
 
-                    yield {"part": [int.from_bytes(os.urandom(2), "little") % 64], "tokens": [seen[0]], "model": [model.flat().astype("<f4").tobytes()]}
+                    part = TaskContext.get().partitionId() % 64
+                    yield {"part": [part], "moved": [state["sums"][0].tobytes()], "touched": [state["sums"][1].tobytes()]}
                 return
-            for _, part in chunks(byte_texts(batch)):
-                keys, rows = keys_of(part)
-                unit = own.of(keys)
-                held.append((*contexts(unit, rows, len(unigram)), unit))
-                size[0] += len(unit)
-                if size[0] >= 64 * BATCH:
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("units").to_pylist()):
+                if bucket != state["bucket"]:
+                    end()
+                    state.update(bucket=bucket, model=LogBilinear(log_unigram), rng=np.random.default_rng([SEED, turn, bucket]))
+                    state["model"].load(start)
+                state["held"].append(np.frombuffer(raw, "<i4"))
+                state["size"] += len(state["held"][-1])
+                if state["size"] >= 64 * BATCH:
                     learn()
 
         return step
 
-    local = map_batches(training.select("text"), make, "part int, tokens bigint, model binary")
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = lambda c: sum(np.frombuffer(x, "<i8") for x in pdf[c]).astype("<i8").tobytes()
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // 8], "moved": [total("moved")], "touched": [total("touched")]})
 
-    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = pdf["tokens"].sum()
-        flat = sum(np.frombuffer(m, "<f4") * np.float64(n / total) for m, n in zip(pdf["model"], pdf["tokens"]))
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // 8], "tokens": [total], "model": [flat.astype("<f4").tobytes()]})
-
-    schema = "part int, tokens bigint, model binary"
-    found = local
+    found = map_batches(dealt.select("bucket", "units"), make, SUMS)
     for _ in range(3):  # 64 parts, 8, then one
-        found = found.groupBy("part").applyInPandas(mean, schema)
-    model = LogBilinear(log_unigram)
-    if rows := found.collect():  # one row, which grows with the units
-        model.load(np.frombuffer(rows[0]["model"], "<f4"))
-    model.g2 = []  # nothing is trained any more
-    return model
+        found = found.groupBy("part").applyInPandas(add, SUMS)
+    return found
 
 
 SCORED = "row string, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, key bigint, times bigint"
@@ -387,7 +463,7 @@ def score(docs: DataFrame) -> DataFrame:
     for r in tail:
         mass[n_own + r["tail"]], in_unit[n_own + r["tail"]] = r["m"], r["v"]
     log_unigram = np.log((mass + 0.5) / (mass.sum() + 0.5 * size))
-    model = train_model(training, units, log_unigram)
+    model = train_model(training, units, log_unigram, int(n_total))
 
     # the most frequent words, as far as TABLE_ROWS go, by a least count
     steps = counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).agg(F.count("*").alias("rows"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
