@@ -87,7 +87,7 @@ STAGES = [
     ("bpe_encode", encode),
 ]
 
-ORACLE_SQL = None  # robust estimates and merges can't be said in SQL; tests hold each stage against a brute-force version
+ORACLE_SQL = None  # robust estimates and merges can't be said in SQL; tests hold the stages' operators against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,4 +181,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size(names).cast("bigint").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), spans.alias("spans"))
 
 
-SQL = None  # sliding windows over words are too slow in SQL on whole tables; tests hold the query against brute force
+SQL = None  # windows and minima can't be said in SQL; tests hold the query against planted passages
