@@ -34,13 +34,13 @@ LANGUAGES = {
     "cpp": (".cpp", ".cc", ".c", ".h", ".hpp"),
     "csharp": (".cs",),
 }
+PYTHON_FROM, PYTHON_IMPORT = r"^\s*from\s+(\.*(?:[A-Za-z_]\w*(?:\.\w+)*)?)\s*import\b", r"^\s*import\s+([^#;]+)"
 IMPORTS = {
     "typescript": r"""(?:from\s+['"]([^'"]+)['"]|import\s+['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]\s*\)|import\(\s*['"]([^'"]+)['"]\s*\))""",
     "go": r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*(?://.*)?$""",
-    "python": r"^\s*(?:from\s+([.\w]+)\s+import|import\s+([\w.]+))",
     "java": r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;",
     "cpp": r"""^\s*#\s*include\s*[<"]([^>"]+)[>"]""",
-    "csharp": r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;",
+    "csharp": r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;",
 }
 EXPORTS = {
     "typescript": r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type|enum|abstract\s+class)\s+(\w+)",
@@ -48,8 +48,10 @@ EXPORTS = {
     "python": r"^(?:async\s+)?(?:def|class)\s+([A-Za-z]\w*)",
     "java": r"^\s*public\s+(?:(?:abstract|final|static)\s+)*(?:class|interface|enum|record)\s+(\w+)",
     "cpp": r"^\s*(?:class|struct|namespace)\s+(\w+)",
-    "csharp": r"^\s*public\s+(?:(?:abstract|sealed|static|partial)\s+)*(?:class|interface|enum|struct|record)\s+(\w+)",
+    "csharp": r"^\s*public\s+(?:(?:abstract|sealed|static|partial)\s+)*(?:class|interface|enum|struct|record|delegate\s+[\w<>\[\],.?]+)\s+(\w+)",
 }
+#: Lists of names: export { a, b as c } and __all__ = ["a", "b"], on one line.
+EXPORT_LIST, PYTHON_ALL = r"^\s*export\s*(?:type\s*)?\{([^}]*)\}", r"^__all__\s*\+?=\s*[\[(](.*)$"
 
 
 def language(path: Column) -> Column:
@@ -58,12 +60,13 @@ def language(path: Column) -> Column:
 
 
 def code_lines(contents: DataFrame) -> DataFrame:
-    """path, lang, n, line outside block comments, and the state that a line inherits: block (Go imports) and scope."""
+    """path, lang, n, line (in C and C++ only those outside block comments), and what a line inherits: block (Go imports), scope."""
     rows = contents.select("path", language(F.col("path")).alias("lang"), F.posexplode(F.split("text", "\n")).alias("n", "line")).where("lang is not null").withColumn("n", F.col("n") + 1)
     w = Window.partitionBy("path").orderBy("n")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     opens = F.when(F.col("line").rlike(r"^\s*import\s*\("), True).when(F.col("line").rlike(r"^\s*\)"), False)
-    comment = F.when(F.col("line").rlike(r"/\*(?!.*\*/)"), True).when(F.col("line").rlike(r"\*/"), False)
+    bare = F.regexp_replace("line", r'"(?:[^"\\]|\\.)*"', '""')  # what strings hold is no comment
+    comment = F.when(F.col("lang") != "cpp", False).when(bare.rlike(r"/\*(?!.*\*/)"), True).when(bare.rlike(r"\*/"), False)
     scope = F.nullif(F.regexp_extract("line", r"^\s*(?:package|namespace)\s+([\w.]+)", 1), F.lit(""))
     last = lambda c: F.last(c, ignorenulls=True).over(before)
     rows = rows.withColumn("block", F.coalesce(last(opens), F.lit(False))).withColumn("comment", F.coalesce(last(comment), F.lit(False))).withColumn("scope", last(scope))
@@ -73,6 +76,9 @@ def code_lines(contents: DataFrame) -> DataFrame:
 def imports(contents: DataFrame) -> DataFrame:
     rows = code_lines(contents)
     found = []
+    modules = F.transform(F.split(F.regexp_extract("line", PYTHON_IMPORT, 1), ","), lambda m: F.regexp_extract(m, r"^\s*([A-Za-z_][\w.]*)", 1))
+    every = F.filter(F.concat(F.array(F.regexp_extract("line", PYTHON_FROM, 1)), modules), lambda x: x != "")
+    found.append(rows.where("lang = 'python'").select(F.col("path").alias("source_file"), "lang", F.explode(every).alias("import_path"), F.col("n").alias("line"), F.col("line").alias("_text"), "scope"))
     for lang, pattern in IMPORTS.items():
         groups = pattern.count("([")
         part = rows.where(F.col("lang") == lang)
@@ -83,6 +89,7 @@ def imports(contents: DataFrame) -> DataFrame:
             target = F.explode(F.filter(F.flatten(F.array(*hits)), lambda x: x != ""))
         else:
             target = F.coalesce(*[F.nullif(F.regexp_extract("line", pattern, g), F.lit("")) for g in range(1, groups + 1)])
+            target = F.regexp_replace(target, r"\.\*$", "") if lang == "java" else target
         found.append(part.select(F.col("path").alias("source_file"), "lang", target.alias("import_path"), F.col("n").alias("line"), F.col("line").alias("_text"), "scope").where("import_path is not null"))
     rows = found[0]
     for f in found[1:]:
@@ -100,7 +107,11 @@ def imports(contents: DataFrame) -> DataFrame:
 def exports(contents: DataFrame) -> DataFrame:
     rows = code_lines(contents)
     cases = F.coalesce(*[F.when(F.col("lang") == n, F.regexp_extract("line", p, 1)) for n, p in EXPORTS.items()])
-    found = rows.withColumn("name", cases).where("name != ''")
+    listed = F.transform(F.split(F.regexp_extract("line", EXPORT_LIST, 1), ","), lambda x: F.trim(F.regexp_replace(x, r"^.*\sas\s", "")))
+    unnamed = F.when(F.col("line").rlike(r"^\s*export\s+default\b") & (cases == ""), F.lit("default")).otherwise(F.lit(""))
+    more = F.when(F.col("lang") == "typescript", F.concat(listed, F.array(unnamed)))
+    more = more.when(F.col("lang") == "python", F.regexp_extract_all(F.regexp_extract("line", PYTHON_ALL, 1), F.lit("['\"]([^'\"]+)['\"]"), 1)).otherwise(F.array(F.lit("")))
+    found = rows.withColumn("name", F.explode(F.array_distinct(F.concat(F.array(cases), more)))).where("name != ''")
     found = found.where(~((F.col("lang") == "cpp") & ~F.col("path").rlike(r"\.(h|hpp)$"))).where(~((F.col("lang") == "python") & F.col("name").startswith("_")))
     return found.select(F.col("path").alias("source_file"), "name", F.col("line").rlike(r"export\s+default").alias("is_default"), F.col("n").alias("line"))
 
