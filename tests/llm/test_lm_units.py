@@ -55,12 +55,11 @@ def test_scores_do_not_depend_on_partitions_and_beat_the_base(spark, monkeypatch
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(f"{'abcd'[(i + j) % 4]}{rng.integers(0, 3)}" for j in range(800))) for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = [op06_lm.score(df.repartition(n)).toPandas().sort_values("doc_id") for n in (1, 2, 16)]
+    found = [op06_lm.score(df.repartition(n)).toPandas().sort_values("doc_id") for n in (1, 7)]
     for other in found[1:]:
         assert np.allclose(found[0]["score"], other["score"], rtol=1e-6, atol=0)
     held = found[0][found[0]["held_out"]]
     ratio = held["score"].sum() / held["base_score"].sum()
-    print("ratio", ratio)
     assert ratio < 0.55  # the letter is certain, its figure isn't: at best 0.44
 
 
