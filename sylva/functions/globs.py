@@ -74,11 +74,11 @@ def any_glob(path: Column, patterns: list[str], dialect: str = "rules") -> Colum
 
 
 def layer_match(path: Column, pattern: str) -> Column:
-    """A layer's path: prefix; around a single **, prefix and a suffix that the name or the rest of the path matches."""
-    if "**" not in pattern:
+    """A layer's path: prefix; around a single **, prefix (its last slash aside) and a suffix that the name or the rest of the path matches."""
+    if pattern.count("**") != 1:
         return path.startswith(pattern)
-    head, _, tail = pattern.partition("**")
-    tail = tail.lstrip("/")
+    head, tail = pattern.split("**")
+    head, tail = head.removesuffix("/"), tail.removeprefix("/")
     under = path.startswith(head) if head else F.lit(True)
     if not tail:
         return under

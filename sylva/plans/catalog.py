@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import paths as P
 from sylva.functions.globs import glob_match, layer_match
-from sylva.operators import clones, graph, metrics, predicates as R, profile, sinks, structure as S, workflows
+from sylva.operators import clones, graph, metrics, predicates as R, profile, project as J, sinks, structure as S, workflows
 from sylva.sources import code
 
 URL_PATH = r"(^https?://|[?#].*$)"
@@ -426,6 +426,77 @@ def q45(spark, d):
     return sinks.clone_results(q26(spark, d))
 
 
+#: Pages as TypeScript files; each imports the one of its folder without its last figure, and the German one of its name (German ones themselves).
+_FOLDERS = [{"name": "english", "path": "**/en/", "dependsOn": ["french"]}, {"name": "german", "path": "**/de/"}, {"name": "rest", "path": "", "dependsOn": ["*"]}]
+_PROJECT = f"""WITH {_PAGES}, x AS (SELECT DISTINCT path, string_split(path, '/')[1] AS host, string_split(path, '/')[2] AS folder, string_split(path, '/')[3] AS name FROM f WHERE regexp_matches(path, '^[^/]+/[^/]+/[0-9]+$')),
+fs AS (SELECT path || '.ts' AS path, CASE WHEN contains(path, 'en/') THEN 'english' WHEN contains(path, 'de/') THEN 'german' ELSE 'rest' END AS layer FROM x),
+e AS (SELECT path || '.ts' AS src, rtrim(host || '/' || folder || '/' || left(name, -1), '/') AS dst FROM x UNION ALL SELECT path || '.ts', host || '/de/' || name FROM x),
+r AS (SELECT e.dst, min(fs.path) AS path FROM (SELECT DISTINCT dst FROM e) e JOIN fs ON starts_with(fs.path, e.dst) GROUP BY 1),
+n AS (SELECT r.path, count(*) AS refs FROM e JOIN r ON r.dst = e.dst GROUP BY 1),
+t AS (SELECT src, coalesce(a.path, r.path) AS target FROM e LEFT JOIN fs a ON a.path = e.dst || '.ts' LEFT JOIN r ON r.dst = e.dst)"""
+
+
+def project_files(spark, d):
+    """Files with text, of the pages whose path is host/folder/figures."""
+    p = pages(spark, d).where(F.col("path").rlike("^[^/]+/[^/]+/[0-9]+$")).select("path").distinct()
+    name = F.element_at(F.split("path", "/"), -1)
+    text = F.concat(F.lit("// a page\nimport a from './"), F.substring(name, F.lit(1), F.length(name) - 1), F.lit("'\nimport { b } from \"../de/"), name, F.lit('";\n'))
+    return S.files_from(p.withColumn("text", text), F.concat("path", F.lit(".ts")))
+
+
+def project(spark, d):
+    f = project_files(spark, d)
+    return J.dependency_graph(f, f.select("path", "text"), _FOLDERS)
+
+
+@register("q46_dependency_graph", f"{_PROJECT} SELECT fs.path, layer, coalesce(refs, 0)::BIGINT AS refs FROM fs LEFT JOIN n ON n.path = fs.path")
+def q46(spark, d):
+    return project(spark, d).files
+
+
+@register("q47_layer_rule", f"{_PROJECT} SELECT 'enforce-layer-boundaries' AS rule, t.src AS path, 'layer ''' || a.layer || ''' cannot import from layer ''' || b.layer || ''' (imported: ' || t.target || ')' AS message FROM t JOIN fs a ON a.path = t.src JOIN fs b ON b.path = t.target WHERE a.layer <> b.layer AND a.layer <> 'rest'")
+def q47(spark, d):
+    return J.layer_boundaries(project(spark, d), _FOLDERS)
+
+
+@register("q48_orphan_rule", f"{_PROJECT} SELECT 'disallow-orphaned-files' AS rule, path, 'file is orphaned (not imported by any other file)' AS message FROM fs WHERE path NOT IN (SELECT path FROM n) AND NOT starts_with(path, 'blog') AND NOT regexp_matches(path, '/1[0-9]*[.]ts$')")
+def q48(spark, d):
+    return J.orphaned_files(project(spark, d), ["blog**", "1*.ts"])
+
+
+@register("q49_import_cycles", f"{_PROJECT} SELECT 'disallow-import-cycles' AS rule, path, 'cyclic dependency detected' AS message FROM fs WHERE regexp_matches(path, '^[^/]*/de/')")
+def q49(spark, d):
+    return J.import_cycles(project(spark, d))
+
+
+_GERMAN, _FRENCH = (f"'layer ''mixed'' file contains path from layer ''{x}'' which is not in its allowed dependencies (canDependOn: [english])'" for x in ("german", "french"))
+_MIXED = "NOT regexp_matches(path, '^[^/]*/de/') AND regexp_matches(path, '^m[.]')"
+
+
+@register("q50_path_layer_rule", f"WITH {_PAGES}, m AS (SELECT path, 'layer ''german'' file contains forbidden path pattern ''**/1*''' AS message FROM f WHERE regexp_matches(path, '^[^/]*/de/') AND regexp_matches(path, '(^|/)1[^/]*$') UNION ALL SELECT path, {_GERMAN} FROM f WHERE {_MIXED} AND contains(path, '/de/') UNION ALL SELECT path, {_FRENCH} FROM f WHERE {_MIXED} AND contains(path, '/fr/')) SELECT 'path-based-layers' AS rule, path, message FROM m")
+def q50(spark, d):
+    layers = [{"name": "german", "patterns": ["*/de/**", "x/de/**"], "forbiddenPaths": ["**/1*"]}, {"name": "mixed", "patterns": ["m.**"], "canDependOn": ["english"]}, {"name": "english", "patterns": ["*/en/**"]}, {"name": "french", "patterns": ["x/fr/**"]}]
+    return J.path_layers(pages(spark, d), layers)
+
+
+@register("q51_uniqueness_rule", f"WITH {_PAGES}, g(pattern, rx) AS (VALUES ('1*', '^1'), ('*5', '5$')), x AS (SELECT DISTINCT path, parent FROM f) SELECT 'uniqueness-constraints' AS rule, CASE parent WHEN '' THEN '.' ELSE parent END AS path, 'multiple files match pattern ''' || pattern || ''' (singleton constraint violated): ' || string_agg(x.path, ', ' ORDER BY x.path) AS message FROM x JOIN g ON regexp_matches(regexp_extract(x.path, '[^/]*$'), rx) GROUP BY parent, pattern HAVING count(*) > 1")
+def q51(spark, d):
+    p = pages(spark, d).select("path", "parent_path", "is_dir").distinct()
+    return J.uniqueness_constraints(p, {"1*": "singleton", "*5": "unique", "*": "any"})
+
+
+#: Documents as sources and tests in folders by language; a test has another's number.
+_TESTS = "d AS (SELECT lang || '/' || CASE doc_id % 3 WHEN 0 THEN 'test_u' || doc_id // 3 || '_pbt.py' WHEN 1 THEN 'u' || doc_id // 4 || '.py' ELSE 'u' || doc_id // 5 || '_test.go' END AS path FROM documents), x AS (SELECT DISTINCT path, regexp_extract(path, '^(.*)/', 1) AS dir, regexp_replace(regexp_extract(path, '[^/]*$'), '[.][a-z]+$', '') AS stem, contains(path, 'test') AS test FROM d)"
+
+
+@register("q52_test_location_rule", f"WITH {_TESTS}, s AS (SELECT DISTINCT dir, stem FROM x WHERE NOT test) SELECT 'test-location' AS rule, path, 'test file not adjacent to source code and not in integration test directory ''en/''' AS message FROM x WHERE test AND dir <> 'en' AND NOT EXISTS (SELECT 1 FROM s WHERE s.dir = x.dir AND s.stem = regexp_replace(regexp_replace(x.stem, '^test_', ''), '(_pbt|_test)$', ''))")
+def q52(spark, d):
+    n = F.col("doc_id")
+    name = F.when(n % 3 == 0, F.concat(F.lit("test_u"), F.floor(n / 3), F.lit("_pbt.py"))).when(n % 3 == 1, F.concat(F.lit("u"), F.floor(n / 4), F.lit(".py"))).otherwise(F.concat(F.lit("u"), F.floor(n / 5), F.lit("_test.go")))
+    t = read(spark, d, "documents").select(F.concat_ws("/", "lang", name).alias("p")).distinct()
+    return J.test_location(S.files_from(t, F.col("p")), ["**"], "en")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.globs import any_glob, gitignore_glob
-from sylva.operators import predicates as R, structure as S, workflows as W
+from sylva.operators import predicates as R, project as J, structure as S, workflows as W
+from sylva.sources import code
 
 
 @dataclass
@@ -74,6 +75,38 @@ def _contents(files: DataFrame) -> DataFrame | None:
     return files.where("not is_dir").select("path", "text") if "text" in files.columns else None
 
 
+def _all_dirs(files: DataFrame) -> DataFrame:
+    """Directories that files imply and those that are rows themselves, which may be empty."""
+    implied = S.directories(files)
+    rows = files.where("is_dir").select("path").distinct().join(implied.select("path"), "path", "left_anti")
+    return implied.unionByName(rows.select("path", F.lit(0).cast("bigint").alias("file_count"), F.lit(0).cast("bigint").alias("subdir_count")))
+
+
+def _deep_imports(files: DataFrame, spec) -> DataFrame:
+    most = spec.get("max-parents", 3) if isinstance(spec, dict) else 3
+    found = code.imports(_texts(files)).where("is_relative")
+    return S.deep_relative_imports(found, most if most > 0 else 3).withColumn("rule", F.lit("disallow-deep-relative-imports"))
+
+
+#: What a directive's comment begins with, before the colon.
+MARKER = "@sylva"
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    return files.where("not is_dir").select("path", "text")
+
+
+def _directives(files: DataFrame) -> DataFrame | None:
+    return code.directives(_texts(files), MARKER) if "text" in files.columns else None
+
+
+#: Rules on the dependency graph, from it, the configuration and the rule's own; they need the files' `text`.
+GRAPH_RULES = {
+    "enforce-layer-boundaries": lambda project, config, spec: J.layer_boundaries(project, config.layers),
+    "disallow-orphaned-files": lambda project, config, spec: J.orphaned_files(project, [*config.entrypoints, *((spec.get("entry-point-patterns") or []) if isinstance(spec, dict) else [])]),
+    "disallow-import-cycles": lambda project, config, spec: J.import_cycles(project),
+}
+
 #: Rules by name, from files and what the configuration says; github-workflows needs the files' `text`.
 RULES = {
     "max-depth": lambda files, spec: S.max_depth(files, _limit(spec, "max"), (spec.get("overrides") if isinstance(spec, dict) else None)),
@@ -84,6 +117,13 @@ RULES = {
     "regex-match": lambda files, spec: R.union_all([S.regex_match(files, g, r) for g, r in spec.items()]),
     "case-conflicts": lambda files, spec: S.case_conflicts(files),
     "symlinks": lambda files, spec: S.symlinks(files),
+    "disallow-symlinks": lambda files, spec: S.symlinks(files).withColumn("rule", F.lit("disallow-symlinks")),
+    "disallow-empty-dirs": lambda files, spec: S.empty_directories(_all_dirs(files)).withColumn("rule", F.lit("disallow-empty-dirs")),
+    "disallow-deep-relative-imports": lambda files, spec: _deep_imports(files, spec),
+    "uniqueness-constraints": lambda files, spec: J.uniqueness_constraints(files, spec),
+    "path-based-layers": lambda files, spec: J.path_layers(files, spec["layers"]),
+    "test-location": lambda files, spec: J.test_location(files, spec["file-patterns"], spec.get("integration-test-dir", ""), spec.get("allow-adjacent", True), spec.get("exemptions") or ()),
+    "test-adjacency": lambda files, spec: J.test_adjacency(files, spec["file-patterns"], spec.get("test-dir") if spec.get("pattern") == "separate" else None, spec.get("exemptions") or (), _directives(files)),
     "ci-gates": lambda files, spec: W.required_workflows(files, "ci-gates", ("pr-gate", "merge-gate")),
     "fallow-gate": lambda files, spec: W.required_workflows(files, "fallow-gate", ("fallow",) if "sveltekit" in W.project_types(files, _contents(files)) else ()),
     "github-workflows": lambda files, spec: W.workflow_quality(files, files.where("not is_dir").select("path", "text"), spec if isinstance(spec, dict) else None),
@@ -117,10 +157,14 @@ def check(files: DataFrame, config: Config) -> DataFrame:
     Excluded paths are no part of the files that rules see.
     """
     files = included(files, config.exclude)
-    unknown = set(config.rules) - set(RULES)
+    unknown = set(config.rules) - set(RULES) - set(GRAPH_RULES)
     if unknown:
         raise ValueError(f"unknown rules: {', '.join(sorted(unknown))}")
-    parts = [RULES[n](files, spec) for n, spec in config.rules.items() if spec is not False]
+    on = {n: spec for n, spec in config.rules.items() if spec is not False}
+    parts = [RULES[n](files, spec) for n, spec in on.items() if n in RULES]
+    if any(n in GRAPH_RULES for n in on):
+        project = J.dependency_graph(files, _texts(files), config.layers)
+        parts += [GRAPH_RULES[n](project, config, spec) for n, spec in on.items() if n in GRAPH_RULES]
     if not parts:
         return R.violations(files.where(F.lit(False)), "none", F.lit(""))
     return R.union_all([p.select("rule", "path", "message") for p in parts])
