@@ -428,7 +428,7 @@ def q45(spark, d):
 
 #: Pages as TypeScript files; each imports the one of its folder without its last figure, and the German one of its name (German ones themselves).
 _FOLDERS = [{"name": "english", "path": "**/en/", "dependsOn": ["french"]}, {"name": "german", "path": "**/de/"}, {"name": "rest", "path": "", "dependsOn": ["*"]}]
-_PROJECT = f"""WITH {_PAGES}, x AS (SELECT DISTINCT path, string_split(path, '/')[1] AS host, string_split(path, '/')[2] AS folder, string_split(path, '/')[3] AS name FROM f WHERE regexp_matches(path, '^[^/]+/[^/]+/[0-9]+$')),
+_PROJECT = f"""WITH {_PAGES}, x AS (SELECT DISTINCT 'site/' || folder || '/' || name AS path, 'site' AS host, folder, name FROM (SELECT string_split(path, '/')[2] AS folder, string_split(path, '/')[3] AS name FROM f WHERE regexp_matches(path, '^[^/]+/[^/]+/[0-9]+$'))),
 fs AS (SELECT path || '.ts' AS path, CASE WHEN contains(path, 'en/') THEN 'english' WHEN contains(path, 'de/') THEN 'german' ELSE 'rest' END AS layer FROM x),
 e AS (SELECT path || '.ts' AS src, rtrim(host || '/' || folder || '/' || left(name, -1), '/') AS dst FROM x UNION ALL SELECT path || '.ts', host || '/de/' || name FROM x),
 r AS (SELECT e.dst, min(fs.path) AS path FROM (SELECT DISTINCT dst FROM e) e JOIN fs ON starts_with(fs.path, e.dst) GROUP BY 1),
@@ -437,8 +437,8 @@ t AS (SELECT src, coalesce(a.path, r.path) AS target FROM e LEFT JOIN fs a ON a.
 
 
 def project_files(spark, d):
-    """Files with text, of the pages whose path is host/folder/figures."""
-    p = pages(spark, d).where(F.col("path").rlike("^[^/]+/[^/]+/[0-9]+$")).select("path").distinct()
+    """Files with text, of the pages whose path is host/folder/figures; all hosts are one site, so that files link one another."""
+    p = pages(spark, d).where(F.col("path").rlike("^[^/]+/[^/]+/[0-9]+$")).select(F.regexp_replace("path", "^[^/]+", "site").alias("path")).distinct()
     name = F.element_at(F.split("path", "/"), -1)
     text = F.concat(F.lit("// a page\nimport a from './"), F.substring(name, F.lit(1), F.length(name) - 1), F.lit("'\nimport { b } from \"../de/"), name, F.lit('";\n'))
     return S.files_from(p.withColumn("text", text), F.concat("path", F.lit(".ts")))
@@ -459,9 +459,9 @@ def q47(spark, d):
     return J.layer_boundaries(project(spark, d), _FOLDERS)
 
 
-@register("q48_orphan_rule", f"{_PROJECT} SELECT 'disallow-orphaned-files' AS rule, path, 'file is orphaned (not imported by any other file)' AS message FROM fs WHERE path NOT IN (SELECT path FROM n) AND NOT starts_with(path, 'blog') AND NOT regexp_matches(path, '/1[0-9]*[.]ts$')")
+@register("q48_orphan_rule", f"{_PROJECT} SELECT 'disallow-orphaned-files' AS rule, path, 'file is orphaned (not imported by any other file)' AS message FROM fs WHERE path NOT IN (SELECT path FROM n) AND NOT starts_with(path, 'site/fr') AND NOT regexp_matches(path, '/1[0-9]*[.]ts$')")
 def q48(spark, d):
-    return J.orphaned_files(project(spark, d), ["blog**", "1*.ts"])
+    return J.orphaned_files(project(spark, d), ["site/fr/**", "1*.ts"])
 
 
 @register("q49_import_cycles", f"{_PROJECT} SELECT 'disallow-import-cycles' AS rule, path, 'cyclic dependency detected' AS message FROM fs WHERE regexp_matches(path, '^[^/]*/de/')")
