@@ -19,6 +19,9 @@ OPERATORS = {
     "op8_pii": "op08_pii",
     "op9_mix": "op09_mix",
     "op10_exact_dedup": "op10_exact_dedup",
+    "op11_prefix_trie": "op11_prefix_trie",
+    "op12_alignment": "op12_alignment",
+    "op13_suffixes": "op13_suffixes",
 }
 
 
