@@ -2,8 +2,8 @@
 
 A text with a space before it is cut into units: blanks and the run of other characters after them. Both tokenizers begin
 a token at each cut: the byte-level pattern has no alternative in which a blank follows other characters, and the other
-vocabulary has no piece with a blank after another character (which is looked up when it is loaded; if it
-had one, a text would be one unit). So a text's tokens are its units' tokens, and a worker aligns each different unit once, many
+vocabulary has no piece with a blank after another character (which is looked up when it is loaded: blanks for
+which that isn't so, and those that follow them, are no cuts). So a text's tokens are its units' tokens, and a worker aligns each different unit once, many
 at a time: nodes are the tokens of both, edges their overlaps, found by merging both rows of ends; roots are hooked and
 pointers halved until none moves. The components are the minimal groups; their members whose ranges end together are the
 links.
@@ -33,7 +33,7 @@ from sylva.llm.common import drop_table, map_batches, materialise, only, table,
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs in the broadcast table; units and characters in a worker's cache; links that a task holds before it sums them.
-TABLE_PAIRS, CACHE_UNITS, CACHE_CHARS, SUM_LINKS = 1 << 19, 250_000, 1 << 24, 1 << 21
+TABLE_PAIRS, CACHE_UNITS, CACHE_CHARS, SUM_LINKS = 1 << 19, 400_000, 1 << 24, 1 << 21
 #: Characters with Unicode's White_Space property.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stands before units that are encoded together, as text stands before a unit.
@@ -92,8 +92,9 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         inside = {c for i, p in enumerate(pieces) if not self.b.is_byte(i) for k, c in enumerate(p.replace("▁", " ")) if k and not p[k - 1].replace("▁", " ").isspace()}
-        blanks = re.escape(BLANKS)
-        self.units = re.compile("(?s:.+)" if inside & set(BLANKS) else f"[{blanks}]*[^{blanks}]+|[{blanks}]+")
+        blanks, unsafe = re.escape(BLANKS), re.escape("".join(c for c in BLANKS if c in inside))
+        run = f"[^{blanks}]+"
+        self.units = re.compile(f"[{blanks}]*(?:{run}(?:[{unsafe}][{blanks}]*)?)+|[{blanks}]+" if unsafe else f"[{blanks}]*{run}|[{blanks}]+")
         if len(self.a_bytes) * len(self.b_bytes) > 1 << 31:
             raise ValueError("a pair of ids must fit 32 bits")
         self.a_len, self.b_len = (np.array([len(x) for x in k], np.int64) for k in (self.a_bytes, self.b_bytes))
@@ -169,21 +170,17 @@ class Aligner:
         n = len(self.said)
         while n + len(inner) > self.sizes.shape[1]:
             self.sizes, self.first = np.concatenate([self.sizes, np.zeros_like(self.sizes)], 1), np.concatenate([self.first, np.zeros_like(self.first)])
-        for u, x in zip(inner, found):
-            i = len(self.said)
-            self.at[u] = i
-            self.chars += len(u)
-            self.first[i] = self.n_links
-            if x is None:
-                self.sizes[:, i] = 0, 0, 0, 0, 1
-                self.said.append(b"")
-                continue
-            self.sizes[:, i] = x[0], x[1], x[2], len(x[4]), 0
-            self.said.append(x[3])
-            while self.n_links + len(x[4]) > len(self.links):
-                self.links = np.concatenate([self.links, np.zeros_like(self.links)])
-            self.links[self.n_links : self.n_links + len(x[4])] = x[4]
-            self.n_links += len(x[4])
+        self.at.update(zip(inner, range(n, n + len(inner))))
+        self.chars += sum(map(len, inner))
+        self.said += [x[3] if x else b"" for x in found]
+        links = np.concatenate([x[4] for x in found if x] or [self.links[:0]])
+        sizes = np.array([(x[0], x[1], x[2], len(x[4]), 0) if x else (0, 0, 0, 0, 1) for x in found], np.int64).reshape(-1, 5).T
+        self.sizes[:, n : n + len(inner)] = sizes
+        self.first[n : n + len(inner)] = self.n_links + np.cumsum(sizes[3]) - sizes[3]
+        while self.n_links + len(links) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        self.links[self.n_links : self.n_links + len(links)] = links
+        self.n_links += len(links)
 
     def documents(self, rows: list[str]) -> dict[str, list]:
         """n_a to links of each text."""
