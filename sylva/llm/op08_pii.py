@@ -72,7 +72,7 @@ _DOT = re.compile(rf"{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|(?<=[a-z0-9_-])
 _AT = re.compile(rf"{_OPEN}(?:at|arroba|@){_CLOSE}|(?<=[a-z0-9._%+-])\s(?:at|arroba)\s(?=[a-z0-9-]+\.[a-z0-9-])|(?<=[a-z0-9._%+-])\s@\s?(?=[a-z0-9])|(?<=[a-z0-9._%+-])@\s(?=[a-z0-9])")
 _DOT_APART = re.compile(r"(@[a-z0-9-]+)(\s\.\s)(?=[a-z0-9])")
 _SPOKEN_AT = frozenset(("at", "arroba"))
-_ADDRESS = re.compile(r"[a-z0-9._%+-]*[a-z0-9][a-z0-9._%+-]*@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}")
+_ADDRESS = re.compile(r"[._%+-]*[a-z0-9][a-z0-9._%+-]*@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}")
 
 #: Ends of host names that a plainly spoken address ("at host dot tld") must have, besides two letters.
 SPOKEN_ENDS = frozenset("com org net edu gov info biz dev app name".split())
@@ -171,7 +171,8 @@ def is_card(s: str) -> bool:
 
 
 def is_ip(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    parts = [p.lstrip("0") or "0" for p in s.split(".")]  # int() takes no more than some thousand digits
+    return all(len(p) <= 3 and int(p) <= 255 for p in parts)
 
 
 def emails(text: str) -> list[Span]:

@@ -8,7 +8,7 @@ token, so they are one row: the token, and the text from the first suffix to the
 1. Texts that are equal byte by byte (SHA-256) stand for one; with copies they are removed whole.
 2. Leading tokens are counted by their hash. A suffix whose leading token leads at no other place can't be repeated; a
    text gets the list of those of its tokens that are repeated. (A collision of hashes only keeps more suffixes.)
-3. Rows are range-partitioned by (token, bytes) with Spark's sampled splitters and sorted. A bucket is taken in pieces of
+3. Rows are range-partitioned by (token, bytes, text) with Spark's sampled splitters and sorted. A bucket is taken in pieces of
    bounded size. In a piece, equal rows collapse, the others' suffixes are sorted by multikey quicksort (eight bytes a
    key, all groups at once; a suffix that is alone in its group is done).
 4. The first and the last token of a piece may go on in the next one, or in another bucket: their suffixes' digests (128
@@ -301,7 +301,7 @@ def bucket_pieces(rows: DataFrame, buckets: int, span: int, size: int) -> DataFr
 
         return step
 
-    return map_batches(rows.repartitionByRange(buckets, "token", "body").sortWithinPartitions("token", "body", "before"), make, FOUND)
+    return map_batches(rows.repartitionByRange(buckets, "token", "body", "id").sortWithinPartitions("token", "body", "before"), make, FOUND)
 
 
 def distinct_texts(docs: DataFrame, span: int) -> DataFrame:

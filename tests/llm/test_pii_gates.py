@@ -32,3 +32,18 @@ def test_gate_is_implied_by_the_pattern():
         hits += bool(found)
         assert not found or op08_pii._may_be_spelled(text)
     assert hits > 100
+
+
+def test_long_zeros_and_long_names_are_linear():
+    """Long zeros are a number like any other; a name is tried once, whatever its host ends in."""
+    import time
+
+    from sylva.llm.op08_pii import find_pii
+
+    base, every = find_pii("0" * 50_000 + ".1.1.1")
+    assert base == [("ip", 0, 50_006)] == every
+    assert find_pii("0" * 50_000 + "256.1.1.1")[0] == []
+    for text in ("a" * 1_000_000 + " (at) x (dot) 1", "._" * 500_000 + " (at) x (dot) 1", "a." * 400_000 + " (at) " + "x." * 400_000 + "1", ("a" * 1000 + " (at) x (dot) 1 ") * 900):
+        began = time.time()
+        assert find_pii(text)[1] == []
+        assert time.time() - began < 20
