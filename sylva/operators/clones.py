@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.operators.graph import cut, drop
+
 K = 20
+#: Tokens of a leading run; tokens and rows that are hashed at once.
+LEAD, AT_ONCE, PLACE_BITS, SLICE_ROWS = 8, 1 << 18, 20, 64
+_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so that they have inverses modulo 2^64
+_powers: dict[int, np.ndarray] = {}
 
 
 def _digest(i: Column, k: int) -> Column:
@@ -30,6 +40,113 @@ def shingle_summary(docs: DataFrame, key: str, tokens: Column, k: int = K) -> Da
     return _tokens(docs, key, tokens, k).select(key, digests.alias("h")).select(key, F.size("h").cast("bigint").alias("n"), said(F.array_min("h")).alias("first"), said(F.array_max("h")).alias("last"))
 
 
+def _power(base: int, n: int) -> np.ndarray:
+    """base^0, base^1 ... modulo 2^64, n of them at least."""
+    if len(_powers.get(base, ())) < n:
+        steps = np.full(1 << max(n - 1, 1).bit_length(), base, np.uint64)
+        steps[0] = 1
+        _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _stretches(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of values: the difference of two prefix sums of a polynomial, shifted back. Constant time a stretch."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(base, len(values))[: len(values)], out=total[1:])
+    back = _power(pow(base, -1, 1 << 64), len(values) + 1)
+    return _mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+class _Tokens:
+    """The tokens of some rows: their hashes, and the bytes that joining them by spaces gives."""
+
+    def __init__(self, rows: list[list[str]]):
+        words = [[w.encode() for w in r] for r in rows]
+        self.bytes = b" ".join(w for r in words for w in r) + b" "
+        sizes = np.array([len(w) for r in words for w in r], np.int64)
+        self.start = np.append(0, np.cumsum(sizes + 1))
+        self.counts = np.array([len(r) for r in words], np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        raw = np.frombuffer(self.bytes, np.uint8).astype(np.uint64) + np.uint64(1)
+        self.hash = _stretches(raw, _BYTE_BASE, self.start[:-1], self.start[1:] - 1)
+
+    def leads(self, k: int, lead: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """row and place (among all tokens) of each k-gram, place and hash of its leading run: the least (then first) of the runs of lead tokens within it."""
+        n = len(self.hash) - lead + 1
+        at = np.arange(max(n, 0))
+        runs = _stretches(self.hash, _WORD_BASE, at, at + lead)
+        places = np.uint64((1 << PLACE_BITS) - 1)
+        for lo in range(0, len(self.hash) - k + 1, AT_ONCE):
+            part = runs[lo : lo + AT_ONCE + k - lead]
+            least, size, width = part & ~places | np.arange(len(part), dtype=np.uint64), 1, k - lead + 1
+            while 2 * size <= width:
+                least = np.minimum(least[:-size], least[size:])
+                size *= 2
+            m = len(part) - width + 1
+            least = (np.minimum(least[:m], least[width - size : width - size + m]) & places).astype(np.int64)
+            place = np.arange(lo, lo + m)
+            row = np.searchsorted(self.first, place, "right") - 1
+            whole = place + k <= self.first[row] + self.counts[row]
+            yield row[whole], place[whole], lo + least[whole], part[least[whole]]
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Tokens]]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(i, SLICE_ROWS)
+            yield part, _Tokens(part.column("t").to_pylist())
+
+
+def repeated_grams(docs: DataFrame, key: str, tokens: Column, k: int = K, lead: int = LEAD) -> DataFrame:
+    """key, pos, h, before: the k-grams that may have several places, with all their places; others with few exceptions aren't there.
+
+    h is the digest that kgrams gives, before a hash of the token before (null at the beginning). Each k-gram has a leading
+    run of tokens, the one with the least 64-bit hash in it, at the same place in equal k-grams, and about one for every
+    (k - lead) / 2 tokens. Only these are shuffled and counted; a k-gram whose leading run leads nowhere else has no other
+    place. Hashes come from prefix sums, so that a place takes the same time for any k, and digests are taken of what is
+    left only. The table is written once (see graph.cut).
+    """
+    lead = min(lead, k)
+    t = _tokens(docs, key, tokens, k)
+    kind = t.schema[key].dataType.simpleString()
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, held in _sliced(batches):
+            for row, _, at, run in held.leads(k, lead):
+                new = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(row)])
+                yield pa.RecordBatch.from_arrays([pa.array(run[new].view(np.int64)), part.column(key).take(pa.array(row[new]))], names=["lead", key])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import md5
+
+        for part, held in _sliced(batches):
+            known = part.column("leads")
+            salt = _mix(np.arange(1, part.num_rows + 1, dtype=np.uint64))
+            listed = [known[i].values.to_numpy().view(np.uint64) for i in range(part.num_rows)]
+            listed = _mix(np.concatenate(listed) ^ np.repeat(salt, [len(x) for x in listed]))
+            for row, place, _, run in held.leads(k, lead):
+                often = np.isin(_mix(run ^ salt[row]), listed)
+                row, place = row[often], place[often]
+                digests = [md5(held.bytes[x : y - 1]).digest() for x, y in zip(held.start[place].tolist(), held.start[place + k].tolist())]
+                pos = place - held.first[row]
+                before = pa.array(held.hash[place - 1].view(np.int64), mask=pos == 0)
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(digests, pa.binary()), before], names=[key, "pos", "h", "before"])
+
+    leads = cut(t.mapInArrow(leading, f"lead bigint, `{key}` {kind}"))
+    often = leads.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1").select("lead")
+    lists = leads.join(often, "lead", "left_semi").groupBy(F.col(key).alias("_key")).agg(F.collect_list("lead").alias("leads"))
+    rows = t.join(lists.hint("shuffle_hash"), t[key].eqNullSafe(lists["_key"])).select(key, "t", "leads")
+    found = cut(rows.mapInArrow(places, f"`{key}` {kind}, pos int, h binary, before bigint"))
+    drop(leads)
+    return found
+
+
 def collisions(grams: DataFrame, key: str) -> DataFrame:
     """gram (its digest), n, docs of the k-grams that several documents have."""
     per = grams.groupBy("h", key).agg(F.count("*").alias("n")).groupBy("h")
@@ -76,9 +193,7 @@ def passages(docs: DataFrame, key: str, tokens: Column, k: int = K) -> DataFrame
     texts have a k-gram in common just where both have its passage; passages that follow each other in both (the next one
     starts at start + tokens - k + 1) make one longer match, so all pairs of places follow without being listed.
     """
-    t = _tokens(docs, key, tokens, k)
-    place = lambda i: F.struct(i.alias("pos"), _digest(i, k).alias("h"), F.when(i > 0, F.xxhash64(F.get("t", i - 1))).alias("before"))
-    rows = t.select(key, F.inline(F.transform(F.sequence(F.lit(0), F.size("t") - k), place)))
+    rows = repeated_grams(docs, key, tokens, k)
     same = Window.partitionBy("h")
     rows = rows.withColumn("places", F.count("*").over(same)).withColumn("one", (F.count("before").over(same) == F.col("places")) & (F.min("before").over(same) == F.max("before").over(same)))
     rows = rows.where("places > 1").drop("before")
@@ -88,3 +203,26 @@ def passages(docs: DataFrame, key: str, tokens: Column, k: int = K) -> DataFrame
     rows = rows.withColumn("first", ~F.coalesce(goes_on, F.lit(False))).withColumn("part", F.count_if("first").over(text))
     parts = rows.groupBy(key, "part").agg(F.max(F.when(F.col("first"), F.col("h"))).alias("h"), F.min("pos").alias("start"), (F.count("*") + k - 1).alias("tokens"), F.min("places").alias("places"))
     return parts.select(F.lower(F.hex("h")).alias("passage"), key, "start", "tokens", "places")
+
+
+#: Clones of code have so many tokens and lines at least.
+MIN_TOKENS, MIN_LINES = 20, 3
+
+
+def code_clones(contents: DataFrame, k: int = K, min_tokens: int = MIN_TOKENS, min_lines: int = MIN_LINES) -> DataFrame:
+    """a, b, start_a, start_b, tokens, line_a, line_b, lines, type: passages that are equal but for names and literals.
+
+    contents: path, text. Passages are found over normalised tokens (see lexer and clone_pairs); type is "exact" if the
+    tokens themselves are equal (blanks and comments may differ), else "renamed". lines are those of a's passage.
+    """
+    from sylva.sources.lexer import lexed
+
+    files = cut(lexed(contents.where("path is not null")))
+    pairs = clone_pairs(repeated_grams(files, "path", F.col("t"), k), "path", k, min_tokens)
+    of = lambda c: files.select(F.col("path").alias(c), F.col("raw").alias(f"raw_{c}"), F.col("line").alias(f"at_{c}"))
+    part = lambda c: F.slice(f"raw_{c}", F.col(f"start_{c}") + 1, F.col("tokens").cast("int"))
+    line = lambda c, i: F.get(f"at_{c}", i.cast("int"))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b")
+    kind = F.when(part("a") == part("b"), "exact").otherwise("renamed")
+    rows = rows.select("a", "b", "start_a", "start_b", "tokens", line("a", F.col("start_a")).alias("line_a"), line("b", F.col("start_b")).alias("line_b"), (line("a", F.col("start_a") + F.col("tokens") - 1) - line("a", F.col("start_a")) + 1).alias("lines"), kind.alias("type"))
+    return rows.where(F.col("lines") >= min_lines)

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from sylva.functions.paths import short_path
 
 
+#: Spark deletes the shuffle files of an execution at its end, so those of steps that are done don't pile up.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a written table in the session's shared folder (spark.checkpoint.dir).
 
@@ -25,10 +29,24 @@ def cut(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="sylva-")
         spark.conf.set("spark.checkpoint.dir", folder)
     to = f"{folder.rstrip('/')}/sylva/graph-{uuid.uuid4().hex}"
-    df.write.parquet(to)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(to)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(to)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by cut (or read from one), once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/sylva/graph-" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -115,44 +133,180 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def strongly_connected(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node): forward and backward reach from minimum labels, component by component.
+#: Steps that labels go in the first round that needs them; each such round doubles them.
+LABEL_STEPS = 8
+
 
-    Each round colours nodes with the smallest node that reaches them; a node that its colour's root is reachable from,
-    within the colour, is in the root's component. What is left goes to the next round; all steps are joins on tables.
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node), by contraction in tables; edges: src, dst of any type that has an order.
+
+    Edges that end where nothing begins or begin where nothing ends go. If that was less than a tenth of them, the next
+    round lets every node point to one of its targets and doubles the pointers (see pointed). Nodes from which only
+    one way leads on, to an end, are on no cycle and go, however long the way; the cycles of pointers are contracted to
+    their smallest node. The next round takes the edges backwards, so that beginnings go as ends do. If a round leaves
+    more than half of the edges, forward and backward labels of random rank are spread over LABEL_STEPS steps (twice as
+    many each time): nodes that get the same label from both sides lie on a cycle with it and are contracted (see labelled).
+
+    A chain or a ring of n nodes takes one round of log(n) doublings, a tree one, chains of components a few; an acyclic
+    graph loses its ends and all trees towards them, in no more rounds than it is deep. All tables but the result
+    are deleted as soon as nothing reads them.
+    """
+    own = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    nodes = cut(own.select(F.col("src").alias("node")).union(own.select("dst")).distinct())
+    e = cut(own.where("src != dst"))
+    left, steps, moved, turn = e.count(), LABEL_STEPS, [], 0
+    while left:
+        rest, before = peeled(e), left
+        drop(e)
+        e, left = rest, rest.count()
+        if left < 0.9 * before:
+            continue
+        turn += 1
+        dead, map_ = pointed(e, turn)
+        moved.append(map_)
+        rest = contracted(e.join(dead.select(F.col("node").alias("dst")), "dst", "left_anti"), map_)
+        rest, before = cut(rest.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), left
+        drop(e, dead)
+        e, left = rest, rest.count()
+        if 2 * left > before:
+            map_ = labelled(e, turn, steps)
+            moved.append(map_)
+            rest, steps = cut(contracted(e, map_)), 2 * steps
+            drop(e)
+            e, left = rest, rest.count()
+    drop(e)
+    last = None  # where nodes lead in the end, from the last contraction back
+    for map_ in reversed(moved):
+        if not map_.take(1):
+            drop(map_)
+            continue
+        if last is None:
+            last = map_
+            continue
+        further = last.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        new = cut(map_.join(further, "to", "left").select("node", F.coalesce("end", "to").alias("to")).unionByName(last))
+        drop(map_, last)
+        last = new
+    if last is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    out = cut(nodes.join(last, "node", "left").select("node", F.coalesce("to", "node").alias("component")))
+    drop(nodes, last)
+    return out
+
+
+def peeled(e: DataFrame) -> DataFrame:
+    """Edges whose source has an edge that ends there and whose target has one that begins there."""
+    goes_on, comes_in = e.select(F.col("src").alias("dst")), e.select(F.col("dst").alias("src"))
+    return cut(e.join(goes_on.distinct(), "dst", "left_semi").join(comes_in.distinct(), "src", "left_semi").select("src", "dst"))
+
+
+def pointed(e: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes that can be on no cycle (node), and nodes on a cycle of pointers with its smallest node (node, to).
+
+    Each node points to one target (by a hash that changes with the turn), a node without targets to itself. Doubled
+    pointers carry whether each node on the way had one target only, the smallest node on the way and whether it ended.
+    The targets of ways that don't end are the nodes on cycles, as soon as doubling no longer makes them fewer; as
+    labels differ, no smallest node changes only once each way is longer than its cycle.
+    """
+    rank = F.xxhash64("dst", F.lit(turn))
+    first = e.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", rank).alias("to"), (F.count("*") == 1).alias("single"))
+    first = first.select("node", "to", "single", F.col("node").alias("least"), F.lit(False).alias("end"))
+    ends = e.select(F.col("dst").alias("node")).distinct().join(first.select("node"), "node", "left_anti")
+    way = cut(first.unionByName(ends.select("node", F.col("node").alias("to"), F.lit(True).alias("single"), F.col("node").alias("least"), F.lit(True).alias("end"))))
+    open_ = None
+    while True:
+        twice = followed(followed(way.withColumn("was", F.col("least"))))
+        new = cut(twice.withColumn("changed", F.col("was") != F.col("least")).drop("was"))
+        going = new.where("not end")
+        targets, changed = going.agg(F.count_distinct("to"), F.count_if("changed")).first()
+        drop(way)
+        way = new.drop("changed")
+        if not changed and targets == open_:
+            break
+        open_ = targets
+    on_cycle = way.where("not end").select(F.col("to").alias("node")).distinct()
+    map_ = cut(way.join(on_cycle, "node", "left_semi").where("node != least").select("node", F.col("least").alias("to")))
+    dead = cut(way.where("end and single").select("node"))
+    drop(new)
+    return dead, map_
+
+
+def followed(way: DataFrame) -> DataFrame:
+    """Ways followed by the ways from where they lead: twice as long."""
+    on = way.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("single").alias("single2"), F.col("least").alias("least2"), F.col("end").alias("end2"))
+    both = way.join(on, "to")
+    return both.select("node", F.col("to2").alias("to"), (F.col("single") & F.col("single2")).alias("single"), F.least("least", "least2").alias("least"), F.col("end2").alias("end"), "was")
+
+
+def labelled(e: DataFrame, turn: int, steps: int) -> DataFrame:
+    """node, to: nodes whose label of highest rank is the same along and against the edges (within steps), and their smallest."""
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    start = cut(nodes.select("node", F.struct(F.xxhash64("node", F.lit(-turn)).alias("rank"), F.col("node").alias("by")).alias("label")))
+    sides = []
+    for a, b in (("src", "dst"), ("dst", "src")):
+        label = start
+        for _ in range(steps):
+            near = e.join(label.withColumnRenamed("node", a), a).groupBy(F.col(b).alias("node")).agg(F.max("label").alias("near"))
+            new = cut(label.join(near, "node", "left").select("node", F.greatest("label", "near").alias("label"), (F.col("near") > F.col("label")).alias("changed")))
+            if label is not start:
+                drop(label)
+            label = new.drop("changed")
+            if not new.where("changed").take(1):
+                break
+        sides.append(label)
+    there, back = sides
+    same = there.join(back.withColumnRenamed("label", "back"), "node").where("label = back").select("node", "label.by")
+    to = same.groupBy("by").agg(F.min("node").alias("to"))
+    map_ = cut(same.join(to, "by").where("node != to").select("node", "to"))
+    drop(start, *sides)
+    return map_
+
+
+def contracted(e: DataFrame, map_: DataFrame) -> DataFrame:
+    """Edges between what nodes are mapped to, without those inside."""
+    for c in ("src", "dst"):
+        e = e.join(map_.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")), c, "left").withColumn(c, F.coalesce(f"{c}_to", c)).drop(f"{c}_to")
+    return e.where("src != dst").select("src", "dst").distinct()
+
+
+def witness_cycles(edges: DataFrame) -> DataFrame:
+    """component, length, cycle: a shortest cycle through the smallest node of each component that has one, beginning there.
+
+    Breadth first in all components at once; of the ways to a node the first in the order of their nodes counts, so the
+    cycle is the first one of its length. Two cycles are equal if they have the same nodes in the same order from their
+    smallest node on, so `cycle` tells them apart. As many rounds as the longest of these cycles has nodes.
     """
-    e = cut(edges.select("src", "dst").distinct())
-    nodes = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    done = None
-    while nodes.take(1):
-        colour = spread(nodes.select("node", F.col("node").alias("c")), e)
-        c = lambda x, y: colour.select(F.col("node").alias(x), F.col("c").alias(y))
-        inner = cut(e.join(c("src", "cs"), "src").join(c("dst", "cd"), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
-        found = cut(colour.where("node = c").select("node", "c"))
-        front = found
-        while front.take(1):
-            back = inner.select(F.col("src").alias("node"), "c", "dst")
-            step = back.join(front.select(F.col("node").alias("dst"), "c"), ["dst", "c"]).select("node", "c").distinct().join(found, ["node", "c"], "left_anti")
-            front = cut(step)
-            found = cut(found.unionByName(front))
-        part = found.select("node", F.col("c").alias("component"))
-        done = part if done is None else done.unionByName(part)
-        nodes = cut(nodes.join(found, "node", "left_anti"))
-        left = lambda x: nodes.select(F.col("node").alias(x))
-        e = cut(e.join(left("src"), "src", "left_semi").join(left("dst"), "dst", "left_semi"))
-    return done if done is not None else nodes.select("node", F.col("node").alias("component"))
-
-
-def spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels pushed along edges until each node has the smallest that reaches it."""
-    labels = cut(labels)
+    own = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    parts = strongly_connected(own)
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"k{c}"))
+    inner = cut(own.join(of("src"), "src").join(of("dst"), "dst").where("ksrc = kdst").select("src", "dst", F.col("ksrc").alias("component")))
+    drop(own, parts)
+    roots = inner.select("component").distinct()
+    front = cut(roots.select("component", F.col("component").alias("node"), F.array("component").alias("way")))
+    seen = [front]
+    found: list[DataFrame] = []
     while True:
-        near = edges.join(labels.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
-        new = cut(labels.join(near, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old")))
-        changed = bool(new.where("c != old").take(1))
-        labels = new.select("node", "c")
-        if not changed:
-            return labels
+        step = cut(front.withColumnRenamed("node", "src").join(inner, ["component", "src"]).groupBy("component", F.col("dst").alias("node")).agg(F.min("way").alias("way")))
+        closed = step.where("node = component").select("component", F.size("way").cast("bigint").alias("length"), F.col("way").alias("cycle"))
+        found.append(closed)
+        before = seen[0].select("component", "node")
+        for x in seen[1:]:
+            before = before.union(x.select("component", "node"))
+        new = step.join(closed.select("component"), "component", "left_anti").join(before, ["component", "node"], "left_anti")
+        front = cut(new.select("component", "node", F.concat("way", F.array("node")).alias("way")))
+        if not front.take(1):
+            break
+        if len(seen) == 8:  # so that plans stay short
+            merged = cut(before)
+            drop(*seen)
+            seen = [merged]
+        seen.append(front)
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    out = cut(out)
+    drop(inner, front, *seen, *found)
+    return out
 
 
 def cycle_edges(edges: DataFrame) -> DataFrame:

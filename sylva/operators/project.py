@@ -61,7 +61,7 @@ def cycles(project: Project, layer: str | None = None) -> DataFrame:
     Single cycles of a part depend on the order of visits and can be exponentially many; a part has them all.
     """
     edges = graph.cut(resolved_edges(project, layer))
-    parts = graph.cut(graph.strongly_connected(edges))
+    parts = graph.strongly_connected(edges)
     of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"k{c}"))
     n = edges.join(of("src"), "src").join(of("dst"), "dst").where("ksrc = kdst").groupBy(F.col("ksrc").alias("component")).agg(F.count("*").alias("edges"))
     return parts.groupBy("component").agg(F.count("*").alias("files")).join(n, "component").select("component", "files", "edges")
@@ -72,6 +72,21 @@ def import_cycles(project: Project, layer: str | None = None) -> DataFrame:
     return violations(cycles(project, layer).withColumn("path", F.col("component")), "disallow-import-cycles", F.lit("cyclic dependency detected"))
 
 
+#: What the reports of cycles advise.
+CYCLE_ADVICE = ("Break the cycle with an interface or abstraction", "Apply dependency inversion to invert the import direction")
+
+
+def cycle_reports(project: Project, layer: str | None = None) -> DataFrame:
+    """rule, path, message, context, suggestions, files: a shortest cycle of each part that has one.
+
+    The cycle begins at the part's smallest file; path is the file whose import closes it.
+    """
+    found = graph.witness_cycles(resolved_edges(project, layer))
+    rows = found.withColumn("path", F.element_at("cycle", -1))
+    context = F.concat(F.lit("cycle: "), F.array_join(F.concat("cycle", F.slice("cycle", 1, 1)), " -> "))
+    return rows.select(F.lit("disallow-import-cycles").alias("rule"), "path", F.lit("cyclic dependency detected").alias("message"), context.alias("context"), F.array(*map(F.lit, CYCLE_ADVICE)).alias("suggestions"), F.col("length").alias("files"))
+
+
 #: Extensions whose imports are read; names that begin a program; parts of tests' paths; names of settings.
 PARSED = (".go", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", ".java", ".c", ".h", ".cc", ".cpp", ".cxx", ".hpp", ".cs")
 ENTRY_NAMES = ("main.go", "main.ts", "main.js", "main.py", "index.ts", "index.js", "app.ts", "app.js", "app.py", "__init__.py", "manage.py")

@@ -236,27 +236,52 @@ def q19(spark, d):
     return graph.edge_counts(transitions(spark, d))
 
 
-_CUSTOMERS = "e AS (SELECT DISTINCT c_nationkey AS src, (c_custkey * 7 + c_nationkey) % 25 AS dst FROM customer WHERE c_custkey % 5 = c_nationkey % 5)"
+_CUSTOMERS = "e AS (SELECT DISTINCT c_nationkey AS src, (c_custkey * 7 + c_nationkey) % 25 AS dst FROM customer)"
 
 
 def nation_edges(spark, d):
-    c = read(spark, d, "customer").where("c_custkey % 5 = c_nationkey % 5")
+    c = read(spark, d, "customer")
     return c.select(F.col("c_nationkey").cast("bigint").alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 25).cast("bigint").alias("dst")).distinct()
 
 
-@register("q20_reachability", f"WITH RECURSIVE {_CUSTOMERS}, r(node, distance) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.distance + 1 FROM r JOIN e ON e.src = r.node WHERE r.distance < 4) SELECT node, min(distance) AS distance FROM r GROUP BY 1")
+_PARTS = """e AS (
+    SELECT DISTINCT src, dst FROM (
+        SELECT p_partkey AS src, lead(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS dst FROM part
+        UNION ALL
+        SELECT p_partkey, CASE WHEN p_partkey = max(p_partkey) OVER (PARTITION BY p_brand, p_size) THEN min(p_partkey) OVER (PARTITION BY p_brand, p_size) END FROM part)
+    WHERE src <> dst)"""
+
+
+def part_edges(spark, d):
+    """A sparse graph that grows with its table: each part leads to the next one of its brand and type, the last of its brand and size to the first."""
+    p = read(spark, d, "part").withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
+    kind, size = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"), Window.partitionBy("p_brand", "p_size")
+    key = F.col("p_partkey")
+    on = p.select(key.alias("src"), F.lead("p_partkey").over(kind).alias("dst"))
+    back = p.select(key.alias("src"), F.when(key == F.max("p_partkey").over(size), F.min("p_partkey").over(size)).alias("dst"))
+    return on.union(back).where("src != dst").distinct()
+
+
+@register("q20_reachability", f"WITH RECURSIVE {_PARTS}, r(node, distance) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.distance + 1 FROM r JOIN e ON e.src = r.node WHERE r.distance < 4) SELECT node, min(distance) AS distance FROM r GROUP BY 1")
 def q20(spark, d):
-    return graph.reachable(nation_edges(spark, d), spark.createDataFrame([(0,)], "node bigint"), 4)
+    return graph.reachable(part_edges(spark, d), spark.createDataFrame([(0,)], "node bigint"), 4)
 
 
-@register("q21_scc", f"WITH RECURSIVE {_CUSTOMERS}, n AS (SELECT src AS x FROM e UNION SELECT dst FROM e), r AS (SELECT x AS a, x AS b FROM n UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT r.a AS node, min(r.b) AS component FROM r JOIN r s ON s.a = r.b AND s.b = r.a GROUP BY 1")
+_REACH = "r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)"
+
+
+@register(
+    "q21_scc",
+    f"""WITH RECURSIVE {_PARTS}, {_REACH}, n AS (SELECT src AS x FROM e UNION SELECT dst FROM e)
+    SELECT x AS node, coalesce((SELECT min(r.b) FROM r JOIN r s ON s.a = r.b AND s.b = r.a WHERE r.a = x), x) AS component FROM n""",
+)
 def q21(spark, d):
-    return graph.strongly_connected(nation_edges(spark, d))
+    return graph.strongly_connected(part_edges(spark, d))
 
 
-@register("q21b_cycle_edges", f"WITH RECURSIVE {_CUSTOMERS}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT e.src, e.dst FROM e WHERE e.src = e.dst OR EXISTS (SELECT 1 FROM r WHERE r.a = e.dst AND r.b = e.src)")
+@register("q21b_cycle_edges", f"WITH RECURSIVE {_PARTS}, {_REACH} SELECT e.src, e.dst FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.a = e.dst AND r.b = e.src)")
 def q21b(spark, d):
-    return graph.cycle_edges(nation_edges(spark, d))
+    return graph.cycle_edges(part_edges(spark, d))
 
 
 @register("q22_test_adjacency", "SELECT 'test-adjacency' AS rule, conv_id || '/' || turn AS path, 'has no test' AS message FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations t WHERE t.role = 'assistant' AND t.conv_id = c.conv_id AND t.turn = c.turn + 1)")
@@ -283,6 +308,10 @@ def grams(spark, d):
     return clones.kgrams(read(spark, d, "documents"), "doc_id", tokens())
 
 
+def repeated(spark, d):
+    return clones.repeated_grams(read(spark, d, "documents"), "doc_id", tokens())
+
+
 @register("q24_kgram_shingles", f"WITH {_GRAMS} SELECT doc_id, count(*) AS n, min(md5(gram)) AS first, max(md5(gram)) AS last FROM g GROUP BY 1")
 def q24(spark, d):
     return clones.shingle_summary(read(spark, d, "documents"), "doc_id", tokens())
@@ -290,7 +319,7 @@ def q24(spark, d):
 
 @register("q25_cross_doc_collisions", f"WITH {_GRAMS} SELECT md5(gram) AS gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
 def q25(spark, d):
-    return clones.collisions(grams(spark, d), "doc_id")
+    return clones.collisions(repeated(spark, d), "doc_id")
 
 
 _CLONES = f"""WITH {_GRAMS}, p AS (SELECT doc_id, pos, md5(gram) AS h FROM g),
@@ -307,7 +336,7 @@ SELECT a, b, min(pa) AS start_a, min(pa) + shift AS start_b, count(*) + 19 AS to
 
 @register("q26_clone_pairs", _CLONES)
 def q26(spark, d):
-    return clones.clone_pairs(grams(spark, d), "doc_id")
+    return clones.clone_pairs(repeated(spark, d), "doc_id")
 
 
 @register("q26b_clone_passages", f"WITH {_GRAMS}, p AS (SELECT doc_id, pos, md5(gram) AS h, lag(md5(gram)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM g), c AS (SELECT h, count(*) AS places, count(before) = count(*) AND count(DISTINCT before) = 1 AS one FROM p GROUP BY 1 HAVING count(*) > 1), s AS (SELECT p.*, c.places, c.one AND c.places = b.places AS on_ FROM p JOIN c ON c.h = p.h LEFT JOIN c b ON b.h = p.before), i AS (SELECT *, sum(CASE WHEN on_ THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM s) SELECT arg_min(h, pos) AS passage, doc_id, min(pos) AS start, count(*) + 19 AS tokens, min(places) AS places FROM i GROUP BY doc_id, part")
@@ -315,6 +344,40 @@ def q26b(spark, d):
     return clones.passages(read(spark, d, "documents"), "doc_id", tokens())
 
 
+#: Each brand as a file with a function for each part; parts of a size and type have the same function, those of a type the same but for names.
+_CODE = """c AS (SELECT p_brand || '.go' AS path, string_agg('func Size' || p_size || '(n int) string {' || chr(10) || '  // ' || p_name || chr(10)
+    || CASE WHEN p_size % 2 = 0 THEN '  if n > ' || p_size || ' { return `' || p_type || '` }' ELSE '  for n != 0 { n >>= ' || p_size || ' }' END
+    || chr(10) || '  return "' || p_type || '"' || chr(10) || '}' || chr(10), '' ORDER BY p_partkey) AS text FROM part GROUP BY p_brand)"""
+_LEXED = (
+    _CODE
+    + r""", s AS (SELECT path, regexp_extract_all(text, '//[^\n]*|`[^`]*`|"[^"]*"|[0-9]+|[A-Za-z_][A-Za-z0-9_]*|>>=|!=|\n|[^\s]') AS x FROM c),
+u AS (SELECT path, unnest(x) AS tok, unnest(range(len(x))) AS i FROM s),
+v AS (SELECT *, 1 + count(*) FILTER (tok = chr(10)) OVER (PARTITION BY path ORDER BY i) AS line FROM u),
+l AS (SELECT path, list(tok ORDER BY i) AS raw, list(line ORDER BY i) AS at,
+    list(CASE WHEN regexp_matches(tok, '^[`"0-9]') THEN '_LIT_' WHEN regexp_matches(tok, '^[A-Za-z_]') AND tok NOT IN ('func', 'if', 'for', 'return') THEN '_ID_' ELSE tok END ORDER BY i) AS w
+    FROM v WHERE tok <> chr(10) AND NOT starts_with(tok, '//') GROUP BY path)"""
+)
+
+
+def code_files(spark, d):
+    p = read(spark, d, "part")
+    body = F.when(F.col("p_size") % 2 == 0, F.format_string("  if n > %d { return `%s` }", "p_size", "p_type")).otherwise(F.format_string("  for n != 0 { n >>= %d }", "p_size"))
+    text = F.format_string('func Size%d(n int) string {\n  // %s\n%s\n  return "%s"\n}\n', "p_size", "p_name", body, "p_type")
+    files = p.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", text.alias("f")))).alias("f"))
+    return files.select(F.concat("p_brand", F.lit(".go")).alias("path"), F.array_join(F.transform("f", lambda x: x["f"]), "").alias("text"))
+
+
+@register(
+    "q54_code_clones",
+    f"""WITH {_LEXED}, m AS ({_CLONES.replace(_GRAMS.split("), g AS")[0], "t AS (SELECT path AS doc_id, w FROM l")})
+    SELECT m.a, m.b, start_a, start_b, tokens, x.at[start_a + 1] AS line_a, y.at[start_b + 1] AS line_b, x.at[start_a + tokens] - x.at[start_a + 1] + 1 AS lines,
+           CASE WHEN x.raw[start_a + 1:start_a + tokens] = y.raw[start_b + 1:start_b + tokens] THEN 'exact' ELSE 'renamed' END AS type
+    FROM m JOIN l x ON x.path = m.a JOIN l y ON y.path = m.b WHERE tokens >= 60 AND x.at[start_a + tokens] - x.at[start_a + 1] + 1 >= 8""",
+)
+def q54(spark, d):
+    return clones.code_clones(code_files(spark, d), min_tokens=60, min_lines=8)
+
+
 @register("q27_index_stats", f"WITH {_GRAMS}, c AS (SELECT md5(gram) AS gram, count(*) AS n FROM g GROUP BY 1) SELECT count(*) AS hashes, sum(n)::BIGINT AS shingles, count(*) FILTER (n > 1) AS collisions FROM c")
 def q27(spark, d):
     return clones.index_stats(grams(spark, d))
@@ -469,6 +532,52 @@ def q49(spark, d):
     return J.import_cycles(project(spark, d))
 
 
+#: All pages as TypeScript files in a folder for each host: each imports the next one of its host (the last the first), and the one with half its number.
+_RINGS = f"""{_PAGES}, h AS (SELECT page_id AS id, string_split(path, '/')[1] AS host FROM f),
+x AS (SELECT id, host || '/' || id || '.ts' AS path, coalesce(lead(id) OVER w, first(id) OVER (PARTITION BY host ORDER BY id)) AS next, host FROM h WINDOW w AS (PARTITION BY host ORDER BY id)),
+e AS (SELECT path AS src, host || '/' || next || '.ts' AS dst FROM x UNION SELECT x.path, y.path FROM x JOIN x y ON y.id = x.id // 2),
+{_REACH},
+k AS (SELECT r.a AS node, min(r.b) AS component FROM r JOIN r s ON s.a = r.b AND s.b = r.a GROUP BY 1)"""
+
+
+def rings(spark, d):
+    p = pages(spark, d).select(F.col("page_id").alias("id"), F.split_part("path", F.lit("/"), F.lit(1)).alias("host"))
+    w = Window.partitionBy("host").orderBy("id")
+    p = p.withColumn("next", F.coalesce(F.lead("id").over(w), F.first("id").over(w)))
+    half = p.select(F.col("id").alias("half"), F.col("host").alias("half_host"))
+    p = p.join(half, F.expr("id div 2 = half"))
+    text = F.format_string("import a from './%d.ts'\nimport b from '../%s/%d.ts'\n", "next", "half_host", "half")
+    f = S.files_from(p.withColumn("text", text), F.concat("host", F.lit("/"), "id", F.lit(".ts")))
+    return J.dependency_graph(f, f.select("path", "text"))
+
+
+@register("q49b_import_rings", f"WITH RECURSIVE {_RINGS.removeprefix('WITH ')} SELECT DISTINCT 'disallow-import-cycles' AS rule, component AS path, 'cyclic dependency detected' AS message FROM k")
+def q49b(spark, d):
+    return J.import_cycles(rings(spark, d))
+
+
+@register(
+    "q53_cycle_reports",
+    f"""WITH RECURSIVE {_RINGS.removeprefix('WITH ')},
+    i AS (SELECT e.src, e.dst, a.component FROM e JOIN k a ON a.node = e.src JOIN k b ON b.node = e.dst AND b.component = a.component),
+    back(component, node, d) AS (SELECT DISTINCT component, component, 0 FROM i UNION SELECT i.component, i.src, d + 1 FROM back JOIN i ON i.component = back.component AND i.dst = back.node WHERE d < (SELECT count(*) FROM x)),
+    left_(component, node, d) AS (SELECT component, node, min(d) FROM back GROUP BY ALL),
+    size_ AS (SELECT component, min(d) AS files FROM back WHERE node = component AND d > 0 GROUP BY 1),
+    way(component, node, steps) AS (
+        SELECT component, component, [component] FROM size_
+        UNION ALL
+        SELECT way.component, i.dst, list_append(steps, i.dst) FROM way JOIN i ON i.component = way.component AND i.src = way.node
+        JOIN size_ ON size_.component = way.component JOIN left_ ON left_.component = way.component AND left_.node = i.dst
+        WHERE len(steps) < files AND left_.d = files - len(steps)),
+    best AS (SELECT component, files, min(steps) AS steps FROM way JOIN size_ USING (component) WHERE len(steps) = files GROUP BY ALL)
+    SELECT 'disallow-import-cycles' AS rule, steps[-1] AS path, 'cyclic dependency detected' AS message, 'cycle: ' || array_to_string(steps, ' -> ') || ' -> ' || component AS context,
+           'Break the cycle with an interface or abstraction; Apply dependency inversion to invert the import direction' AS suggestions, files FROM best""",
+)
+def q53(spark, d):
+    return J.cycle_reports(rings(spark, d)).withColumn("suggestions", F.array_join("suggestions", "; "))
+
+
+
 _GERMAN, _FRENCH = (f"'layer ''mixed'' file contains path from layer ''{x}'' which is not in its allowed dependencies (canDependOn: [english])'" for x in ("german", "french"))
 _MIXED = "NOT regexp_matches(path, '^[^/]*/de/') AND regexp_matches(path, '^m[.]')"
 

@@ -167,7 +167,17 @@ def check(files: DataFrame, config: Config) -> DataFrame:
         parts += [GRAPH_RULES[n](project, config, spec) for n, spec in on.items() if n in GRAPH_RULES]
     if not parts:
         return R.violations(files.where(F.lit(False)), "none", F.lit(""))
-    return R.union_all([p.select("rule", "path", "message") for p in parts])
+    return not_ignored(R.union_all([p.select("rule", "path", "message") for p in parts]), files)
+
+
+def not_ignored(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Violations without those that their file's own directives switch off, whichever the rule; files without text have none."""
+    if "text" not in files.columns:
+        return found
+    said = _directives(files)
+    named = F.when(F.col("type") == "no-test", F.array(*map(F.lit, J.TEST_RULES))).when(F.size("rules") > 0, F.col("rules"))
+    off = said.select("path", F.explode_outer(named).alias("_rule")).distinct()  # null: all rules
+    return found.join(off.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & (F.col("_rule").isNull() | (F.col("_rule") == F.col("rule"))), "left_anti")
 
 
 def layer_column(config: Config, path: Column) -> Column:

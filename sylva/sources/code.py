@@ -60,7 +60,7 @@ def language(path: Column) -> Column:
 
 
 def code_lines(contents: DataFrame) -> DataFrame:
-    """path, lang, n, line (in C and C++ only those outside block comments), and what a line inherits: block (Go imports), scope."""
+    """path, lang, n, line, and what a line inherits: block (Go imports), comment (a block comment of C or C++ that is open), scope."""
     rows = contents.select("path", language(F.col("path")).alias("lang"), F.posexplode(F.split("text", "\n")).alias("n", "line")).where("lang is not null").withColumn("n", F.col("n") + 1)
     w = Window.partitionBy("path").orderBy("n")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -70,7 +70,7 @@ def code_lines(contents: DataFrame) -> DataFrame:
     scope = F.nullif(F.regexp_extract("line", r"^\s*(?:package|namespace)\s+([\w.]+)", 1), F.lit(""))
     last = lambda c: F.last(c, ignorenulls=True).over(before)
     rows = rows.withColumn("block", F.coalesce(last(opens), F.lit(False))).withColumn("comment", F.coalesce(last(comment), F.lit(False))).withColumn("scope", last(scope))
-    return rows.where(~F.col("comment") & ~F.col("line").rlike(r"^\s*//"))
+    return rows.where(~F.col("line").rlike(r"^\s*//"))
 
 
 def imports(contents: DataFrame) -> DataFrame:
@@ -105,14 +105,18 @@ def imports(contents: DataFrame) -> DataFrame:
 
 
 def exports(contents: DataFrame) -> DataFrame:
-    rows = code_lines(contents)
+    """source_file, name, is_default, line; what a Python file lists in __all__ replaces its definitions, C and C++ count outside block comments."""
+    rows = code_lines(contents).where("not comment")
     cases = F.coalesce(*[F.when(F.col("lang") == n, F.regexp_extract("line", p, 1)) for n, p in EXPORTS.items()])
     listed = F.transform(F.split(F.regexp_extract("line", EXPORT_LIST, 1), ","), lambda x: F.trim(F.regexp_replace(x, r"^.*\sas\s", "")))
     unnamed = F.when(F.col("line").rlike(r"^\s*export\s+default\b") & (cases == ""), F.lit("default")).otherwise(F.lit(""))
-    more = F.when(F.col("lang") == "typescript", F.concat(listed, F.array(unnamed)))
-    more = more.when(F.col("lang") == "python", F.regexp_extract_all(F.regexp_extract("line", PYTHON_ALL, 1), F.lit("['\"]([^'\"]+)['\"]"), 1)).otherwise(F.array(F.lit("")))
-    found = rows.withColumn("name", F.explode(F.array_distinct(F.concat(F.array(cases), more)))).where("name != ''")
-    found = found.where(~((F.col("lang") == "cpp") & ~F.col("path").rlike(r"\.(h|hpp)$"))).where(~((F.col("lang") == "python") & F.col("name").startswith("_")))
+    more = F.when(F.col("lang") == "typescript", F.concat(listed, F.array(unnamed))).otherwise(F.array(F.lit("")))
+    said = F.regexp_extract_all(F.regexp_extract("line", PYTHON_ALL, 1), F.lit("['\"]([^'\"]+)['\"]"), 1)
+    rows = rows.withColumn("said", F.when(F.col("lang") == "python", said).otherwise(F.slice(said, 1, 0)))
+    rows = rows.withColumn("whole", F.max(F.size("said")).over(Window.partitionBy("path")) > 0)  # the file lists its names somewhere
+    own = F.when((F.col("lang") == "python") & (F.col("whole") | cases.startswith("_")), F.lit("")).otherwise(cases)
+    found = rows.withColumn("name", F.explode(F.array_distinct(F.concat(F.array(own), more, "said")))).where("name != ''")
+    found = found.where(~((F.col("lang") == "cpp") & ~F.col("path").rlike(r"\.(h|hpp)$")))
     return found.select(F.col("path").alias("source_file"), "name", F.col("line").rlike(r"export\s+default").alias("is_default"), F.col("n").alias("line"))
 
 

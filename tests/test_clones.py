@@ -88,3 +88,46 @@ def test_pairs_lose_no_link(spark):
         for i in range(r["tokens"] - k + 1):
             parent[find((r["b"], r["start_b"] + i))] = find((r["a"], r["start_a"] + i))
     assert all(len({find(x) for x in v}) == 1 for v in at.values())
+
+
+def test_repeated_grams_hold_every_place_of_every_repeated_gram(spark):
+    """Against all digests: the same repeated k-grams with the same places, whichever the leading runs; null and repeated keys."""
+    rng, k = np.random.default_rng(9), 6
+    rows = [(i, " ".join(rng.choice(list("abc"), rng.integers(0, 40)))) for i in range(60)] + [(None, "a b c a b c a b c a b c"), (7, "z " * 30), (7, "z " * 30), (90, None), (91, " ".join(str(x) for x in range(50)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tokens = F.filter(F.split("text", " "), lambda x: x != "")
+    several = lambda g: g.join(g.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "h", "left_semi")
+    want = sorted(((r.doc_id is None, r.doc_id, r.pos, bytes(r.h)) for r in several(clones.kgrams(df, "doc_id", tokens, k)).collect()), key=str)
+    for lead in (2, 4, 6):
+        found = clones.repeated_grams(df, "doc_id", tokens, k, lead)
+        got = sorted(((r.doc_id is None, r.doc_id, r.pos, bytes(r.h)) for r in several(found).collect()), key=str)
+        assert got == want and not found.where("doc_id = 91").count()
+        assert found.where("pos = 0 and before is not null or pos > 0 and before is null").count() == 0
+
+
+def test_code_clones_by_type_tokens_and_lines(spark):
+    body = "func {f}({x} int) (string, error) {{\n\tif {x} <= {n} && ok() {{ // {c}\n\t\treturn {s}, nil\n\t}}\n\tfor i := 0; i < {x}; i++ {{\n\t\tsum += i\n\t}}\n\treturn \"\", err\n}}\n"
+    one = body.format(f="First", x="a", n=10, s='"x"', c="a note")
+    texts = {
+        "a.go": "package a\n\n" + one,
+        "b.go": "package b\n/* some\nlines */\nvar k = 1\n" + one.replace("// a note", "/* other */").replace("\t", "  "),
+        "c.go": "package c\n" + body.format(f="Other", x="size", n="0xff", s="`raw\nstring`", c="x"),
+        "d.go": "package d\nfunc small() { return }\n",
+        "e.go": None,
+    }
+    df = spark.createDataFrame(list(texts.items()), "path string, text string")
+    got = {(r.a, r.b): r for r in clones.code_clones(df, k=20).collect()}
+    assert set(got) == {("a.go", "b.go"), ("a.go", "c.go")}
+    exact, renamed = got["a.go", "b.go"], got["a.go", "c.go"]
+    assert exact.type == "exact" and exact.line_a == 3 and exact.line_b == 5 and exact.lines == 9
+    assert renamed.type == "renamed" and renamed.tokens >= exact.tokens and renamed.lines == 11
+    assert clones.code_clones(df, k=20, min_lines=30).count() == clones.code_clones(df, k=20, min_tokens=400).count() == 0
+
+
+def test_lexer():
+    from sylva.sources.lexer import tokens
+
+    raw, normal, line = tokens('x := a.b[0x1F] // no\n/* n\n** o */ if s != `r\n"q"` && c == \'\\n\' { y &^= .5 }\nétat <- "\\"s"')
+    assert raw == ["x", ":=", "a", ".", "b", "[", "0x1F", "]", "if", "s", "!=", '`r\n"q"`', "&&", "c", "==", "'\\n'", "{", "y", "&^=", ".5", "}", "état", "<-", '"\\"s"']
+    assert normal == ["_ID_", ":=", "_ID_", ".", "_ID_", "[", "_LIT_", "]", "if", "_ID_", "!=", "_LIT_", "&&", "_ID_", "==", "_LIT_", "{", "_ID_", "&^=", "_LIT_", "}", "_ID_", "<-", "_LIT_"]
+    assert line == [1] * 8 + [3] * 4 + [4] * 9 + [5] * 3

@@ -55,6 +55,15 @@ def test_directives_switch_rules_off(spark):
     assert left("max-depth") == {"c.go", "d.go"} and left("test-location") == {"a.go", "d.go"} and left("naming-convention") == {"a.go", "c.go", "d.go"}
 
 
+def test_directives_free_files_of_any_rule(spark):
+    texts = {"src/BadName.py": "# @sylva:ignore naming-convention legacy", "src/Worse.py": "", "src/a/b/c/deep.py": "# @sylva:ignore naming-convention max-depth", "src/a/b/c/All_Free.py": "# @sylva:ignore", "src/a/b/c/Seen.py": "# @sylva:ignore max-depth"}
+    rules = {"max-depth": {"max": 2}, "naming-convention": {"*.py": "snake_case"}}
+    got = {(r.rule, r.path) for r in C.check(files(spark, texts), C.Config(rules=rules)).collect()}
+    assert {x for x in got if x[1].endswith(".py")} == {("naming-convention", "src/Worse.py"), ("naming-convention", "src/a/b/c/Seen.py")}
+    bare = files(spark, texts).drop("text")
+    assert ("max-depth", "src/a/b/c/deep.py") in {(r.rule, r.path) for r in C.check(bare, C.Config(rules=rules)).collect()}
+
+
 def test_path_layers(spark):
     paths = ["src/presentation/view.py", "src/presentation/data/cache.py", "src/business/service.py", "src/data/repo.py"]
     layers = [{"name": "presentation", "patterns": ["src/presentation/**"], "canDependOn": ["business"]}, {"name": "business", "patterns": ["src/business/**"], "canDependOn": ["data"]}, {"name": "data", "patterns": ["src/data/**"]}]
