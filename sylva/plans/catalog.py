@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import paths as P
 from sylva.functions.globs import glob_match, layer_match
-from sylva.operators import clones, graph, metrics, predicates as R, profile, project as J, sinks, structure as S, workflows
+from sylva.operators import clones, graph, languages, metrics, predicates as R, profile, project as J, sinks, structure as S, workflows
 from sylva.sources import code
 
 URL_PATH = r"(^https?://|[?#].*$)"
@@ -606,6 +606,72 @@ def q52(spark, d):
     return J.test_location(S.files_from(t, F.col("p")), ["**"], "en")
 
 
+#: Pages as files of four languages, each second one of a folder the test of the one before; hosts that don't begin with m or b as projects in projects.
+_TREE = f"""{_PAGES}, t AS (
+    SELECT string_split(path, '/')[1] AS host, coalesce(string_split(path, '/')[2], '') AS folder, page_id,
+           row_number() OVER (PARTITION BY string_split(path, '/')[1], coalesce(string_split(path, '/')[2], '') ORDER BY page_id) AS n FROM f),
+w AS (SELECT host, folder, page_id, 'p' || (n + 1) // 2 AS name, n % 2 = 0 AS test,
+        CASE folder WHEN 'fr' THEN '.py' WHEN 'de' THEN '.go' WHEN 'en' THEN '.ts' ELSE '.rs' END AS ext FROM t),
+k AS (SELECT page_id, host || '/' || CASE WHEN folder = 'fr' AND test THEN 'tests/' || CASE WHEN page_id % 3 = 0 THEN 'E2E/' ELSE '' END ELSE folder || '/' END
+        || CASE WHEN test AND ext = '.py' THEN 'test_' ELSE '' END || name || CASE WHEN test AND ext = '.ts' THEN '.spec' WHEN test AND ext <> '.py' THEN '_test' ELSE '' END || ext AS path FROM w)"""
+
+
+def tree(spark, d):
+    p = pages(spark, d)
+    part = lambda i: F.coalesce(F.get(F.split("path", "/"), F.lit(i)), F.lit(""))
+    t = p.select("page_id", part(0).alias("host"), part(1).alias("folder"))
+    t = t.withColumn("n", F.row_number().over(Window.partitionBy("host", "folder").orderBy("page_id")))
+    test, folder = F.col("n") % 2 == 0, F.col("folder")
+    ext = F.when(folder == "fr", ".py").when(folder == "de", ".go").when(folder == "en", ".ts").otherwise(".rs")
+    away = F.concat(F.lit("tests/"), F.when(F.col("page_id") % 3 == 0, "E2E/").otherwise(""))
+    where = F.when((folder == "fr") & test, away).otherwise(F.concat(folder, F.lit("/")))
+    end = F.when(test & (ext == ".ts"), ".spec").when(test & (ext != ".py"), "_test").otherwise("")
+    path = F.concat("host", F.lit("/"), where, F.when(test & (ext == ".py"), "test_").otherwise(""), F.lit("p"), F.expr("(n + 1) div 2"), end, ext)
+    return t.select("host", "folder", path.alias("path"))
+
+
+_PACKAGE = '{"dependencies": {"react": "19"}, "devDependencies": {"x": "1"}}'
+
+
+@register(
+    "q55_nearest_manifest",
+    f"""WITH {_TREE}, h AS (SELECT DISTINCT host FROM w WHERE NOT regexp_matches(host, '^[mb]')),
+    a(root, language, manifest) AS (
+        SELECT host, CASE WHEN contains(host, 'org') THEN 'typescript' ELSE 'javascript' END, host || '/package.json' FROM h
+        UNION ALL SELECT DISTINCT host || '/fr', 'python', host || '/fr/requirements.txt' FROM w JOIN h USING (host) WHERE folder = 'fr'
+        UNION ALL SELECT DISTINCT host || '/de', 'rust', host || '/de/Cargo.toml' FROM w WHERE folder = 'de'),
+    e AS (SELECT path FROM k UNION SELECT manifest FROM a UNION SELECT host || '/tsconfig.json' FROM h WHERE contains(host, 'org') UNION SELECT root || '/setup.py' FROM a WHERE language = 'python'),
+    j AS (SELECT e.path, max(length(a.root)) AS n FROM e JOIN a ON starts_with(e.path, a.root || '/') GROUP BY 1)
+    SELECT e.path, a.root, a.language, a.manifest FROM e LEFT JOIN (j JOIN a ON a.root = left(j.path, j.n)) ON j.path = e.path""",
+)
+def q55(spark, d):
+    t = tree(spark, d)
+    h = t.where("not host rlike '^[mb]'").select("host", "folder").distinct()
+    named = lambda rows, where, name, text=None: rows.select(F.concat(*where, F.lit(f"/{name}")).alias("path"), F.lit(text).alias("text"))
+    french = h.where("folder = 'fr'")
+    rows = t.select("path", F.lit(None).cast("string").alias("text"))
+    for more in (
+        named(h, ["host"], "package.json", _PACKAGE), named(h.where("contains(host, 'org')"), ["host"], "tsconfig.json"),
+        named(french, ["host", F.lit("/fr")], "setup.py"), named(french, ["host", F.lit("/fr")], "requirements.txt"), named(t.where("folder = 'de'"), ["host", F.lit("/de")], "Cargo.toml"),
+    ):
+        rows = rows.union(more)
+    return languages.nearest_manifest(S.files_from(rows.distinct(), F.col("path")))
+
+
+@register(
+    "q56_test_profile",
+    f"""WITH {_TREE}, x AS (
+        SELECT DISTINCT path, CASE regexp_extract(path, '[.][a-z]+$') WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.ts' THEN 'typescript' ELSE 'rust' END AS language,
+               CASE WHEN regexp_matches(path, '(_test|[.]spec)[.]|/test_') THEN regexp_replace(regexp_replace(path, '(_test|[.]spec)[.]', '.'), '/test_', '/') END AS source FROM k),
+    y AS (SELECT x.*, string_split(x.path, '/') AS parts, CASE WHEN source IN (SELECT path FROM x) THEN 'adjacent' WHEN contains(x.path, '/tests/') AND source IS NOT NULL THEN 'separate' END AS pattern,
+               CASE WHEN source IS NOT NULL AND contains(x.path, '/E2E/') THEN regexp_extract(x.path, '^(.*/E2E)/', 1) END AS integration FROM x)
+    SELECT language, count(*) AS files, count(source) AS tests, max_by(pattern, parts) FILTER (pattern IS NOT NULL) AS test_pattern,
+           max(CASE WHEN pattern = 'separate' THEN 'tests' END) AS test_dir, max_by(integration, parts) FILTER (integration IS NOT NULL) AS integration_dir FROM y GROUP BY 1""",
+)
+def q56(spark, d):
+    return languages.test_profile(S.files_from(tree(spark, d), F.col("path")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
