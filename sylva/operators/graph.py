@@ -316,16 +316,6 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     return edges.join(of("src"), "src").join(of("dst"), "dst").where("ksrc = kdst").select("src", "dst")
 
 
-def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A DOT graph as lines in order (`ord`, `line`); edges to unknown nodes are left out."""
-    ids = nodes.select("path").distinct().withColumn("id", F.concat(F.lit("n"), F.substring(F.md5("path"), 1, 12)))
-    head = nodes.sparkSession.createDataFrame([(0, "", "digraph dependencies {"), (3, "", "}")], "part int, ord string, line string")
-    body = ids.select(F.lit(1).alias("part"), F.col("path").alias("ord"), F.format_string('  %s [label="%s"];', "id", short_path(F.col("path"))).alias("line"))
-    a, b = ids.toDF("src", "a"), ids.toDF("dst", "b")
-    arrows = edges.join(a, "src").join(b, "dst").select(F.lit(2).alias("part"), F.concat_ws("\x00", "src", "dst").alias("ord"), F.format_string("  %s -> %s;", "a", "b").alias("line"))
-    return head.unionByName(body).unionByName(arrows).orderBy("part", "ord").select("line")
-
-
 #: The colours of layers.
 LAYER_STYLES = {
     "domain": "fill:#C8E6C9,stroke:#2E7D32,stroke-width:2px",
@@ -338,6 +328,58 @@ LAYER_STYLES = {
 }
 
 
+def shown_nodes(files: DataFrame, edges: DataFrame, layer: str | None = None, depth: int = 0) -> DataFrame:
+    """The files (path, layer, refs) that an export shows: those of a layer, and with a depth those within so many steps.
+
+    Steps begin at the files that nothing refers to, or at the first one if there are none; they may lead over others.
+    """
+    rows = files.where(F.col("layer") == layer) if layer else files
+    if depth <= 0:
+        return rows
+    roots = rows.where("refs = 0").select(F.col("path").alias("node"))
+    first = rows.agg(F.min("path").alias("node")).where("node is not null")
+    none = roots.limit(1).agg(F.count("*").alias("n")).where("n = 0")
+    roots = cut(roots.unionByName(first.join(none.select(F.lit(1).alias("_one")), F.lit(1) == F.col("_one")).select("node")))
+    return rows.join(reachable(edges, roots, depth).select(F.col("node").alias("path")), "path", "left_semi")
+
+
+def dot_lines(nodes: DataFrame, edges: DataFrame, layers: tuple[str, ...] | None = None, title: str = "dependencies") -> DataFrame:
+    """A DOT graph as lines in order (`line`); edges to unknown nodes are left out.
+
+    nodes: path, and layer if layers are to be shown (then `layers` are the names of the legend); edges: src, dst, and cycle
+    and violation (boolean) if they are to be marked, a cycle before a violation. Without nodes a comment says so.
+    """
+    spark = nodes.sparkSession
+    coloured = layers is not None
+    style = {name: dict(x.split(":") for x in css.split(",")) for name, css in LAYER_STYLES.items()}
+    pick = lambda part, unknown: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for n, css in style.items() for x in (n, css[part])]), F.col("layer")), F.lit(unknown))
+    border = F.when(F.col("layer").isNull(), "gray").otherwise(pick("stroke", "black")) if coloured else F.lit("black")
+    fill = F.when(F.col("layer").isNull(), "#F5F5F5").otherwise(pick("fill", "#FFFFFF")) if coloured else F.lit("#FFFFFF")
+    look = F.format_string(' [label="%s", color="%s", fillcolor="%s", style="rounded,filled"];', F.col("label"), border, fill)
+    one = nodes.select("path", (F.col("layer") if coloured else F.lit(None).cast("string")).alias("layer")).dropDuplicates(["path"])
+    one = one.withColumn("id", F.concat(F.lit("n"), F.substring(F.md5("path"), 1, 12))).withColumn("label", short_path(F.col("path")))
+    body = one.select(F.lit(2).alias("part"), F.col("path").alias("ord"), F.lit("").alias("ord2"), F.concat(F.lit("  "), "id", look).alias("line"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in edges.columns else F.lit(False)
+    draw = F.when(flag("cycle"), 'color="orange", style="bold", penwidth=2.0').when(flag("violation"), 'color="red", style="bold", penwidth=2.0').otherwise('color="black", style="solid", penwidth=1.0')
+    a, b = one.select(F.col("path").alias("src"), F.col("id").alias("a")), one.select(F.col("path").alias("dst"), F.col("id").alias("b"))
+    arrows = edges.join(a, "src").join(b, "dst").select(F.lit(3).alias("part"), F.col("src").alias("ord"), F.col("dst").alias("ord2"), F.concat(F.lit("  "), "a", F.lit(" -> "), "b", F.lit(" ["), draw, F.lit("];")).alias("line")).distinct()
+    head = [f'digraph "{title}" {{', "  rankdir=LR;", "  node [shape=box, style=rounded];", "  edge [arrowhead=vee];"]
+    fixed = [(0, f"{i}", "", x) for i, x in enumerate(head)] + [(9, "", "", "}")]
+    legend = []
+    if coloured:
+        legend = ["  // Legend", "  subgraph cluster_legend {", '    label="Layers";', "    style=filled;", '    fillcolor="#F0F0F0";']
+        for i, n in enumerate(layers):
+            css = style.get(n, {"stroke": "black", "fill": "#FFFFFF"})
+            legend.append(f'    legend{i} [label="{n}", color="{css["stroke"]}", fillcolor="{css["fill"]}", style="rounded,filled"];')
+        legend.append("  }")
+    schema = "part int, ord string, ord2 string, line string"
+    some = one.limit(1).select(F.lit(1).alias("_one"))
+    shown = spark.createDataFrame([(5, f"{i:04}", "", x) for i, x in enumerate(legend)], schema).join(some, F.lit(1) == F.col("_one")).drop("_one")
+    empty = spark.createDataFrame([(1, "", "", "  // No nodes to display")], schema).join(some, F.lit(1) == F.col("_one"), "left_anti")
+    out = spark.createDataFrame(fixed, schema).unionByName(body).unionByName(arrows).unionByName(shown).unionByName(empty)
+    return out.orderBy("part", "ord", "ord2").select("line")
+
+
 def mermaid_lines(nodes: DataFrame, edges: DataFrame, direction: str = "LR") -> DataFrame:
     """A Mermaid graph as lines in order; edges to unknown nodes are left out, nodes without edges of their own stand alone.
 

@@ -606,6 +606,34 @@ def q52(spark, d):
     return J.test_location(S.files_from(t, F.col("p")), ["**"], "en")
 
 
+#: Layers of the hosts, for the export.
+_HOST_LAYER = "CASE WHEN starts_with({0}, 'th') THEN 'domain' WHEN starts_with({0}, 'm') THEN 'application' WHEN starts_with({0}, 'blog') THEN 'shop' END"
+
+
+@register(
+    "q57_dot_lines",
+    f"""WITH RECURSIVE {_RINGS.removeprefix('WITH ')},
+    s(node, d) AS (SELECT min(path), 0 FROM x UNION SELECT e.dst, d + 1 FROM s JOIN e ON e.src = s.node WHERE d < 5),
+    g AS (SELECT DISTINCT node AS path, 'n' || substr(md5(node), 1, 12) AS id, {_HOST_LAYER.format('node')} AS layer FROM s)
+    SELECT unnest(['digraph "hosts" {{', '  rankdir=LR;', '  node [shape=box, style=rounded];', '  edge [arrowhead=vee];', '  // Legend', '  subgraph cluster_legend {{', '    label="Layers";', '    style=filled;', '    fillcolor="#F0F0F0";',
+        '    legend0 [label="domain", color="#2E7D32", fillcolor="#C8E6C9", style="rounded,filled"];', '    legend1 [label="application", color="#1565C0", fillcolor="#BBDEFB", style="rounded,filled"];',
+        '    legend2 [label="shop", color="black", fillcolor="#FFFFFF", style="rounded,filled"];', '  }}', '}}']) AS line
+    UNION ALL SELECT '  ' || id || ' [label="' || path || '", ' || CASE layer WHEN 'domain' THEN 'color="#2E7D32", fillcolor="#C8E6C9"' WHEN 'application' THEN 'color="#1565C0", fillcolor="#BBDEFB"'
+        WHEN 'shop' THEN 'color="black", fillcolor="#FFFFFF"' ELSE 'color="gray", fillcolor="#F5F5F5"' END || ', style="rounded,filled"];' FROM g
+    UNION ALL SELECT '  ' || a.id || ' -> ' || b.id || CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.a = e.dst AND r.b = e.src) THEN ' [color="orange", style="bold", penwidth=2.0];'
+        WHEN a.layer = 'domain' AND b.layer = 'application' THEN ' [color="red", style="bold", penwidth=2.0];' ELSE ' [color="black", style="solid", penwidth=1.0];' END
+        FROM e JOIN g a ON a.path = e.src JOIN g b ON b.path = e.dst""",
+)
+def q57(spark, d):
+    project = rings(spark, d)
+    layer = lambda c: F.when(F.col(c).startswith("th"), "domain").when(F.col(c).startswith("m"), "application").when(F.col(c).startswith("blog"), "shop")
+    edges = graph.cut(J.resolved_edges(project))
+    on_cycle = graph.cycle_edges(edges).withColumn("cycle", F.lit(True))
+    nodes = graph.shown_nodes(project.files.withColumn("layer", layer("path")), edges, depth=5)
+    marked = edges.join(on_cycle, ["src", "dst"], "left").withColumn("violation", (layer("src") == "domain") & (layer("dst") == "application"))
+    return graph.dot_lines(nodes, marked, ("domain", "application", "shop"), "hosts")
+
+
 #: Pages as files of four languages, each second one of a folder the test of the one before; hosts that don't begin with m or b as projects in projects.
 _TREE = f"""{_PAGES}, t AS (
     SELECT string_split(path, '/')[1] AS host, coalesce(string_split(path, '/')[2], '') AS folder, page_id,
