@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import yaml
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.globs import any_glob, gitignore_glob
 from sylva.operators import predicates as R, project as J, structure as S, workflows as W
+from sylva.plans.external import SECONDS, external_rule
 from sylva.sources import code
 
 
@@ -154,22 +157,35 @@ def included(files: DataFrame, exclude: list[str]) -> DataFrame:
 def check(files: DataFrame, config: Config) -> DataFrame:
     """The violations of all rules that the configuration turns on (false turns one off); unknown rules are errors.
 
-    Excluded paths are no part of the files that rules see.
+    Excluded paths are no part of the files that rules see. A rule of an outside program is one with a `command`. A rule
+    whose own settings are wrong is a violation at "." and doesn't keep the others from their work.
     """
     files = included(files, config.exclude)
-    unknown = set(config.rules) - set(RULES) - set(GRAPH_RULES)
+    on = {n: spec for n, spec in config.rules.items() if spec is not False}
+    programs = {n: spec for n, spec in on.items() if n not in RULES and n not in GRAPH_RULES and isinstance(spec, dict) and spec.get("command")}
+    unknown = set(config.rules) - set(RULES) - set(GRAPH_RULES) - set(programs)
     if unknown:
         raise ValueError(f"unknown rules: {', '.join(sorted(unknown))}")
-    on = {n: spec for n, spec in config.rules.items() if spec is not False}
-    parts = [RULES[n](files, spec) for n, spec in on.items() if n in RULES]
+    plans = {n: lambda n=n, spec=spec: RULES[n](files, spec) for n, spec in on.items() if n in RULES}
     if any(n in GRAPH_RULES for n in on):
         project = J.dependency_graph(files, _texts(files), config.layers)
-        parts += [GRAPH_RULES[n](project, config, spec) for n, spec in on.items() if n in GRAPH_RULES]
+        plans |= {n: lambda n=n, spec=spec: GRAPH_RULES[n](project, config, spec) for n, spec in on.items() if n in GRAPH_RULES}
+    plans |= {n: lambda n=n, spec=spec: external_rule(files, n, spec["command"], spec.get("config"), float(spec.get("seconds", SECONDS))) for n, spec in programs.items()}
+    parts = [planned(files, n, plan) for n, plan in plans.items()]
     if not parts:
         return R.violations(files.where(F.lit(False)), "none", F.lit(""))
     return not_ignored(R.union_all([p.select("rule", "path", "message") for p in parts]), files)
 
 
+def planned(files: DataFrame, rule: str, plan: Callable[[], DataFrame]) -> DataFrame:
+    """A rule's violations, or one row that says why its settings can't be read."""
+    try:
+        return plan()
+    except (ValueError, TypeError, KeyError, AttributeError, AnalysisException) as e:
+        said = f"{type(e).__name__}: {e}".split("\n")[0][:300]
+        return files.sparkSession.createDataFrame([(rule, ".", f"rule failed: {said}")], "rule string, path string, message string")
+
+
 def not_ignored(found: DataFrame, files: DataFrame) -> DataFrame:
     """Violations without those that their file's own directives switch off, whichever the rule; files without text have none."""
     if "text" not in files.columns:
