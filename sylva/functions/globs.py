@@ -73,6 +73,15 @@ def any_glob(path: Column, patterns: list[str], dialect: str = "rules") -> Colum
     return out
 
 
+def suffix_match(path: Column, pattern: str) -> Column:
+    """Whether the path or any end of it after a slash matches a walker's glob, as they are or both in lower case."""
+    out = F.lit(False)
+    for text, glob in ((path, pattern), (F.lower(path), pattern.lower())):
+        if (regex := glob_regex(glob, "walker")) is not None:
+            out = out | text.rlike("^(?:.*/)?" + regex[1:])
+    return out
+
+
 def layer_match(path: Column, pattern: str) -> Column:
     """A layer's path: prefix; around a single **, prefix (its last slash aside) and a suffix that the name or the rest of the path matches."""
     if pattern.count("**") != 1:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.globs import any_glob, gitignore_glob
-from sylva.operators import predicates as R, project as J, structure as S, workflows as W
+from sylva.operators import documents as D, predicates as R, project as J, structure as S, workflows as W
 from sylva.plans.external import SECONDS, external_rule
 from sylva.sources import code
 
@@ -110,7 +110,7 @@ GRAPH_RULES = {
     "disallow-import-cycles": lambda project, config, spec: J.import_cycles(project),
 }
 
-#: Rules by name, from files and what the configuration says; github-workflows needs the files' `text`.
+#: Rules by name, from files and what the configuration says; github-workflows, spec-adr and linter-config need the files' `text`.
 RULES = {
     "max-depth": lambda files, spec: S.max_depth(files, _limit(spec, "max"), (spec.get("overrides") if isinstance(spec, dict) else None)),
     "max-files-in-dir": lambda files, spec: S.max_files(files, _limit(spec, "max")),
@@ -130,6 +130,9 @@ RULES = {
     "ci-gates": lambda files, spec: W.required_workflows(files, "ci-gates", ("pr-gate", "merge-gate")),
     "fallow-gate": lambda files, spec: W.required_workflows(files, "fallow-gate", ("fallow",) if "sveltekit" in W.project_types(files, _contents(files)) else ()),
     "github-workflows": lambda files, spec: W.workflow_quality(files, files.where("not is_dir").select("path", "text"), spec if isinstance(spec, dict) else None),
+    "spec-adr": lambda files, spec: D.specifications_and_decisions(files, spec if isinstance(spec, dict) else None),
+    "spec-adr-enforcement": lambda files, spec: D.specifications_and_decisions(files, spec if isinstance(spec, dict) else None, "spec-adr-enforcement"),
+    "linter-config": lambda files, spec: D.linter_settings(files),
     "file-existence": lambda files, spec: S.file_existence(S.directories(files), files, {g: count_range(n) for g, n in spec.items()}).select(F.lit("file-existence").alias("rule"), "path", F.format_string("has %d of %s", "n", "pattern").alias("message")),
 }
 
