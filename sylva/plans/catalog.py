@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from sylva.functions import paths as P
 from sylva.functions.globs import glob_match, layer_match
-from sylva.operators import clones, graph, languages, metrics, predicates as R, profile, project as J, sinks, structure as S, workflows
-from sylva.sources import code
+from sylva.operators import clones, documents, graph, languages, metrics, predicates as R, profile, project as J, sinks, structure as S, workflows
+from sylva.sources import code, settings
 
 URL_PATH = r"(^https?://|[?#].*$)"
 _PATH = r"regexp_replace(url, '(^https?://|[?#].*$)', '', 'g')"
@@ -700,6 +700,95 @@ def q56(spark, d):
     return languages.test_profile(S.files_from(tree(spark, d), F.col("path")))
 
 
+#: Each brand as a settings file: a header for parts of some sizes, a string for each part, a list of three lines for some.
+_SETTINGS = """c AS (SELECT p_brand || '.toml' AS path, string_agg(CASE WHEN p_size % 3 = 0 THEN '[ tool . size' || p_size || ' ]  # size' || chr(10) ELSE '' END
+    || 'name' || p_partkey || ' = "' || p_name || ' # [' || p_type || '"  # a part' || chr(10)
+    || CASE WHEN p_size % 5 = 0 THEN 'sizes.part' || p_partkey || ' = [' || chr(10) || '  ' || p_size || ', # ]' || chr(10) || ']' || chr(10) ELSE '' END, '' ORDER BY p_partkey) AS text FROM part GROUP BY p_brand)"""
+
+
+def settings_files(spark, d):
+    head = F.when(F.col("p_size") % 3 == 0, F.format_string("[ tool . size%d ]  # size\n", "p_size")).otherwise("")
+    tail = F.when(F.col("p_size") % 5 == 0, F.format_string("sizes.part%d = [\n  %d, # ]\n]\n", "p_partkey", "p_size")).otherwise("")
+    text = F.concat(head, F.format_string('name%d = "%s # [%s"  # a part\n', "p_partkey", "p_name", "p_type"), tail)
+    files = read(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", text.alias("t")))).alias("t"))
+    return files.select(F.concat("p_brand", F.lit(".toml")).alias("path"), F.array_join(F.transform("t", lambda x: x["t"]), "").alias("text"))
+
+
+@register(
+    "q58_settings_sections",
+    rf"""WITH {_SETTINGS}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM c),
+    h AS (SELECT *, 'tool.' || nullif(regexp_extract(line, '^\[ tool . (size[0-9]+) \]', 1), '') AS title FROM l),
+    s AS (SELECT *, coalesce(last_value(title IGNORE NULLS) OVER (PARTITION BY path ORDER BY n), '') AS section FROM h)
+    SELECT path, n::INT AS n, CASE WHEN title IS NULL THEN 'setting' ELSE 'section' END AS kind,
+           CASE WHEN line NOT LIKE 'sizes.%' THEN section WHEN section = '' THEN 'sizes' ELSE section || '.sizes' END AS section,
+           nullif(regexp_extract(line, '^(?:sizes[.])?([a-z]+[0-9]+) = ', 1), '') AS key,
+           CASE WHEN line LIKE 'name%' THEN regexp_extract(line, '"([^"]*)"', 1) WHEN line LIKE 'sizes%' THEN '[' END AS value,
+           CASE WHEN title IS NULL THEN line LIKE 'name%' END AS quoted FROM s WHERE title IS NOT NULL OR contains(line, ' = ')""",
+)
+def q58(spark, d):
+    return settings.sections(settings_files(spark, d))
+
+
+#: Documents as decisions (even ids) and specifications, with their whole texts after a header or a heading.
+_DECISIONS = """f AS (SELECT doc_id % 2 = 0 AS decision, doc_id % 3 <> 0 AS dated, doc_id % 5 = 0 AS odd, lang,
+    'docs/' || CASE WHEN doc_id % 2 = 0 THEN 'adr/adr-' ELSE 'Feature-' END || doc_id || '.md' AS path,
+    CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'Status: ' || lang || chr(10) || CASE WHEN doc_id % 3 <> 0 THEN 'date: ' || doc_id || chr(10) ELSE '' END
+            || CASE WHEN doc_id % 5 = 0 THEN 'only words' || chr(10) ELSE '' END || '---' || chr(10) || '## Considered Options' || chr(10) || text
+        ELSE '## Success Criteria' || chr(10) || CASE WHEN lang = 'en' THEN 'SC-' || doc_id || chr(10) ELSE '' END || text END AS text FROM documents)"""
+_WORDS = {"adr-required-headings": ["## Considered Options", "The ", " der "], "spec-required-headings": [" of ", "## Success Criteria", " und "]}
+
+
+def _lacking(form: str, headings: list[str]) -> str:
+    before, after = (x.replace("'", "''") for x in form.split("%s"))
+    lacks = f"[h for h in [{', '.join(f"'{h}'" for h in headings)}] if NOT contains(text, h)]"
+    return f"CASE WHEN len({lacks}) > 0 THEN '{before}' || array_to_string({lacks}, chr(10) || '  - ') || '{after}' END"
+
+
+@register(
+    "q59_specification_rule",
+    f"""WITH {_DECISIONS}, m AS (
+        SELECT path, {_lacking(documents.DECISION_LACKS, _WORDS["adr-required-headings"])} AS message FROM f WHERE decision
+        UNION ALL SELECT path, '{documents.NO_HEADER.replace("'", "''")}' FROM f WHERE decision AND odd
+        UNION ALL SELECT path, 'ADR must include a ''date'' field.' FROM f WHERE decision AND NOT odd AND NOT dated
+        UNION ALL SELECT path, {_lacking(documents.SPEC_LACKS, _WORDS["spec-required-headings"])} FROM f WHERE NOT decision
+        UNION ALL SELECT path, '{documents.SPEC_FORMS[2][2].replace("'", "''")}' FROM f WHERE NOT decision AND NOT contains(text, 'SC-')
+        UNION ALL SELECT '.', '{documents.NO_SPEC_FOLDER % ", ".join(documents.SPEC_FOLDERS)}')
+    SELECT 'spec-adr' AS rule, path, message FROM m WHERE message IS NOT NULL""",
+)
+def q59(spark, d):
+    t, line = read(spark, d, "documents"), lambda *parts: F.concat(*parts, F.lit("\n"))
+    even, ident = F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")
+    dated = F.when(F.col("doc_id") % 3 != 0, line(F.lit("date: "), ident)).otherwise("")
+    odd = F.when(F.col("doc_id") % 5 == 0, "only words\n").otherwise("")
+    decision = F.concat(F.lit("---\n"), line(F.lit("Status: "), "lang"), dated, odd, F.lit("---\n## Considered Options\n"), "text")
+    spec = F.concat(F.lit("## Success Criteria\n"), F.when(F.col("lang") == "en", line(F.lit("SC-"), ident)).otherwise(""), "text")
+    path = F.concat(F.lit("docs/"), F.when(even, "adr/adr-").otherwise("Feature-"), ident, F.lit(".md"))
+    files = t.select(path.alias("path"), F.when(even, decision).otherwise(spec).alias("text"))
+    return documents.specifications_and_decisions(S.files_from(files, F.col("path")), _WORDS)
+
+
+@register(
+    "q60_linter_settings",
+    """WITH s AS (SELECT 's' || s_suppkey || '/' AS root, s_suppkey AS k, s_acctbal > 1000 AS scanned FROM supplier), m AS (
+        SELECT root || '.semgrep.yml' AS path, 'missing required config file: .semgrep.yml' AS message FROM s WHERE NOT scanned
+        UNION ALL SELECT root || 'pyproject.toml', CASE WHEN k % 3 = 0 THEN 'Python project missing [tool.pyright] configuration' WHEN k % 3 = 1 THEN 'pyright typeCheckingMode should be "strict"' END FROM s WHERE k % 7 <> 0
+        UNION ALL SELECT root || 'pyproject.toml', 'Python project missing [tool.ruff] configuration' FROM s WHERE k % 2 = 0 AND k % 7 <> 0
+        UNION ALL SELECT root || 'pyproject.toml', 'could not parse pyproject.toml: line 1' FROM s WHERE k % 7 = 0
+        UNION ALL SELECT root || 'tsconfig.json', CASE WHEN k % 11 = 0 THEN 'could not parse tsconfig.json' WHEN k % 5 <> 0 THEN 'TypeScript project should have strict mode enabled' END FROM s)
+    SELECT 'linter-config' AS rule, path, message FROM m WHERE message IS NOT NULL""",
+)
+def q60(spark, d):
+    k = F.col("s_suppkey")
+    s = read(spark, d, "supplier").select("*", F.concat(F.lit("s"), k.cast("string")).alias("root"))
+    types = F.when(k % 3 == 1, '[tool.pyright]\ntypeCheckingMode = "basic"\n').when(k % 3 == 2, 'tool.pyright = { typeCheckingMode = "strict" }\n').otherwise("")
+    python = F.concat(F.when(k % 7 == 0, "no setting\n").otherwise(""), types, F.when(k % 2 == 1, "[tool.ruff]\n").otherwise(""))
+    script = F.concat(F.lit('{"compilerOptions": {"strict": '), (k % 5 == 0).cast("string"), F.when(k % 11 == 0, "").otherwise("}}"))
+    named = lambda rows, name, text: rows.select(F.concat("root", F.lit(f"/{name}")).alias("path"), text.alias("text"))
+    rows = named(s, "pyproject.toml", python).union(named(s, "tsconfig.json", script)).union(named(s.where("s_acctbal > 1000"), ".semgrep.yml", F.lit("")))
+    deep = named(s, "deep/.semgrep.yml", F.lit(""))  # not at the root
+    return documents.linter_settings(S.files_from(rows.union(deep), F.col("path")), s.select("root"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
