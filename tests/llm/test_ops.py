@@ -200,11 +200,32 @@ def test_mix_comes_near_its_targets(docs):
     assert m["position"].dropna().between(0, 1).all()
 
 
-def test_dedup_survives_collisions_and_small_memtables(docs):
+def test_dedup_survives_collisions_and_small_memtables(docs, monkeypatch):
     weak = lambda t: bytes([len(t) % 7])
     strong = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in op10_exact_dedup.exact_dedup(docs).collect()}
     assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in op10_exact_dedup.exact_dedup(docs, digest=weak).collect()} == strong
     assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in op10_exact_dedup.exact_dedup(docs, max_bytes=2000, max_rows=5).collect()} == strong
+    # segments of two entries, a pass for each, and hot digests that meet level 0 by broadcast
+    monkeypatch.setattr(op10_exact_dedup, "HOT_ROWS", 3)
+    many = op10_exact_dedup.exact_dedup(docs, max_bytes=2000, max_rows=5, segment=2, filter_bytes=1)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in many.collect()} == strong
+
+
+def test_dedup_levels(spark):
+    rows = [(bytes([i % 50]) * 32, i if i % 7 else None, 1, False) for i in range(300)] + [(b"\x00" * 31 + b"\x01", 5, 4, True), (b"\xff" * 32, 9, 1, False)]
+    runs = spark.createDataFrame(rows, "digest binary, keep_id bigint, n bigint, clash boolean").repartition(7)
+    level = op10_exact_dedup.compact(runs, 8).collect()
+    hits, filters = [r for r in level if r["bits"] is None], [r for r in level if r["bits"] is not None]
+    want = {bytes([k]) * 32: (min(i for i in range(k, 300, 50) if i % 7), 6, 6, False) for k in range(50)} | {b"\x00" * 31 + b"\x01": (5, 4, 1, True)}
+    assert {bytes(r["digest"]): (r["keep_id"], r["group_size"], r["runs"], r["clash"]) for r in hits} == want
+    spans = sorted((bytes(r["digest"]), bytes(r["last"]), bytes(r["bits"])) for r in filters)
+    assert len(spans) > 6 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    held = op10_exact_dedup.Filters(spans)
+    assert held.may_hold(list(want)).all() and not held.may_hold([b"\xff" * 32, b""]).any()
+    others = [hashlib.sha256(b"%d" % i).digest() for i in range(5000)]
+    assert held.may_hold(others).mean() < 0.05
+    of = op10_exact_dedup.passes(spark.createDataFrame(spans, "digest binary, last binary, bits binary"), 2 * len(spans[0][2]))
+    assert of[0][0] is None and of[-1][1] is None and all(a[1] == b[0] for a, b in zip(of, of[1:])) and len(of) >= len(spans) // 2
 
 
 def test_dedup_stages_keep_one_row(spark):
