@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import paths as P
 from sylva.functions.globs import glob_match, layer_match
-from sylva.operators import clones, documents, graph, languages, metrics, predicates as R, profile, project as J, sinks, structure as S, workflows
+from sylva.operators import clones, code_metrics, documents, graph, languages, metrics, predicates as R, profile, project as J, sinks, structure as S, workflows
 from sylva.sources import code, settings
 
 URL_PATH = r"(^https?://|[?#].*$)"
@@ -789,6 +789,82 @@ def q60(spark, d):
     return documents.linter_settings(S.files_from(rows.union(deep), F.col("path")), s.select("root"))
 
 
+def method_files(spark, d):
+    """Each brand as a file with a method for each part: branches in a loop for even sizes, as many cases as the size's rest by four."""
+    even = F.when(F.col("p_size") % 2 == 0, F.format_string("      if i == %d { break } // if\n", "p_size")).otherwise("")
+    cases = F.expr("array_join(transform(slice(array(1, 2, 3), 1, p_size % 4), k -> format_string('  case %d: return %d\n', k, k)), '')")
+    body = F.format_string(
+        "func (p *Part) F%d(n int) int {\n  if n > %d {\n    for i := range n {\n%s    }\n  } else {\n    go run(n)\n  }\n  switch n {\n%s  default: n++\n  }\n  f := func() { if n > 0 { n-- } }\n  f()\n  return n\n}\n",
+        "p_partkey", "p_size", even, cases,
+    )
+    files = read(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", body.alias("f")))).alias("f"))
+    return files.select(F.concat("p_brand", F.lit(".go")).alias("path"), F.array_join(F.transform("f", lambda x: x["f"]), "type T struct { a int }\n").alias("text"))
+
+
+@register(
+    "q61_function_metrics",
+    """WITH m AS (SELECT p_brand || '.go' AS path, '(p).F' || p_partkey AS name, p_size % 2 = 0 AS even, p_size % 4 AS k, p_size AS s FROM part),
+    h AS (SELECT path, name, 6 + CASE WHEN even THEN 7 ELSE 0 END + k AS complexity, 11 + CASE WHEN even THEN 2 ELSE 0 END + CASE WHEN k > 0 THEN 1 ELSE 0 END AS n1,
+            6 + k - CASE WHEN s <= k THEN 1 ELSE 0 END AS n2, 14 + CASE WHEN even THEN 3 ELSE 0 END + 2 * k AS big_n1, 14 + CASE WHEN even THEN 2 ELSE 0 END + 2 * k AS big_n2 FROM m)
+    SELECT *, round((big_n1 + big_n2) * log2(n1 + n2), 6) AS volume, round(n1 / 2.0 * big_n2 / n2, 6) AS difficulty FROM h""",
+)
+def q61(spark, d):
+    m = code_metrics.function_metrics(method_files(spark, d))
+    return m.select("path", "name", "complexity", "n1", "n2", "big_n1", "big_n2", F.round("volume", 6).alias("volume"), F.round("difficulty", 6).alias("difficulty"))
+
+
+#: Suppliers as files of six languages, by nation and key, each with two exported names, one that isn't, and two directives.
+_SOURCES = """s AS (SELECT s_suppkey AS k, 'S' || s_suppkey AS n, s_nationkey % 6 AS c, 'f' || s_suppkey || ['.ts', '.go', '.py', '.java', '.hpp', '.cs'][s_nationkey % 6 + 1] AS path, s_suppkey % 2 = 0 AS even FROM supplier)"""
+
+
+def source_files(spark, d):
+    k, c = F.col("s_suppkey"), F.col("s_nationkey") % 6
+    texts = {
+        ".ts": "// @sylva:ignore max-depth test-adjacency old\nimport a from './aN';\nexport class SN {}\nexport default function defN() {}\nfunction hidden() {}\nconst z = require('zN');\n",
+        ".go": 'package p\n// @sylva:no-test one N\nimport (\n\t"fmt"\n\tx "lib/aN"\n)\nfunc SN() {}\ntype DefN struct{}\nfunc hidden() {}\n',
+        ".py": "# @sylva:ignore\nimport os, aN.b\nfrom .zN import y\ndef SN(): pass\ndef _hidden(): pass\nclass DefN: pass\n",
+        ".java": "package com.sN;\nimport com.sN.A;\nimport java.util.*;\npublic class SN {}\nclass Hidden {}\npublic interface DefN {}\n",
+        ".hpp": '#include <map>\n#include "aN.h"\n/* class Hidden {};\n*/\nclass SN {};\nstruct DefN {};\n',
+        ".cs": "using System;\nnamespace Own.N;\nusing Own.AN;\npublic class SN {}\ninternal class Hidden {}\npublic interface DefN {}\n",
+    }
+    text = F.array(*map(F.lit, texts.values()))[c]
+    more = F.when((c == 2) & (k % 2 == 0), F.format_string("__all__ = ['S%d', 'only']\n", k)).otherwise("")  # replaces what the file defines
+    return read(spark, d, "supplier").select(F.concat(F.format_string("f%d", k), F.array(*map(F.lit, texts))[c]).alias("path"), F.concat(F.regexp_replace(text, "N(?![A-Z])", k.cast("string")), more).alias("text"))
+
+
+@register(
+    "q62_exports",
+    f"""WITH {_SOURCES}, e AS (
+        SELECT path, n AS name, FALSE AS is_default, [3, 7, 4, 4, 5, 4][c + 1] AS line FROM s WHERE NOT (c = 2 AND even)
+        UNION ALL SELECT path, CASE c WHEN 0 THEN 'def' ELSE 'Def' END || k, c = 0, [4, 8, 6, 6, 6, 6][c + 1] FROM s WHERE NOT (c = 2 AND even)
+        UNION ALL SELECT path, unnest([n, 'only']), FALSE, 7 FROM s WHERE c = 2 AND even)
+    SELECT path AS source_file, name, is_default, line::INT AS line FROM e""",
+)
+def q62(spark, d):
+    return code.exports(source_files(spark, d))
+
+
+@register(
+    "q63_imports_of_languages",
+    f"""WITH {_SOURCES}, i AS (
+        SELECT path, CASE c WHEN 0 THEN './a' || k WHEN 1 THEN 'fmt' WHEN 2 THEN 'os' WHEN 3 THEN 'com.s' || k || '.A' WHEN 4 THEN 'map' ELSE 'System' END AS import_path, c IN (0, 3) AS is_relative, [2, 4, 2, 2, 1, 1][c + 1] AS line FROM s
+        UNION ALL SELECT path, CASE c WHEN 0 THEN 'z' || k WHEN 1 THEN 'lib/a' || k WHEN 2 THEN '.z' || k WHEN 3 THEN 'java.util' WHEN 4 THEN 'a' || k || '.h' ELSE 'Own.A' || k END, c IN (2, 4, 5), [6, 5, 3, 3, 2, 3][c + 1] FROM s
+        UNION ALL SELECT path, 'a' || k || '.b', FALSE, 2 FROM s WHERE c = 2)
+    SELECT path AS source_file, import_path, is_relative, line::INT AS line FROM i""",
+)
+def q63(spark, d):
+    return code.imports(source_files(spark, d))
+
+
+@register(
+    "q64_directives",
+    f"""WITH {_SOURCES} SELECT path, CASE c WHEN 1 THEN 2 ELSE 1 END::INT AS line, CASE c WHEN 1 THEN 'no-test' ELSE 'ignore' END AS type,
+        CASE c WHEN 0 THEN 'max-depth,test-adjacency' ELSE '' END AS rules, CASE c WHEN 0 THEN 'old' WHEN 1 THEN 'one ' || k ELSE '' END AS reason FROM s WHERE c < 3""",
+)
+def q64(spark, d):
+    return code.directives(source_files(spark, d), "@sylva").withColumn("rules", F.array_join("rules", ","))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
