@@ -790,20 +790,21 @@ def q60(spark, d):
 
 
 def method_files(spark, d):
-    """Each brand as a file with a method for each part: branches in a loop for even sizes, as many cases as the size's rest by four."""
+    """Each brand as a folder with a method for each part: branches in a loop for even sizes, as many cases as the size's rest by four."""
     even = F.when(F.col("p_size") % 2 == 0, F.format_string("      if i == %d { break } // if\n", "p_size")).otherwise("")
     cases = F.expr("array_join(transform(slice(array(1, 2, 3), 1, p_size % 4), k -> format_string('  case %d: return %d\n', k, k)), '')")
     body = F.format_string(
         "func (p *Part) F%d(n int) int {\n  if n > %d {\n    for i := range n {\n%s    }\n  } else {\n    go run(n)\n  }\n  switch n {\n%s  default: n++\n  }\n  f := func() { if n > 0 { n-- } }\n  f()\n  return n\n}\n",
         "p_partkey", "p_size", even, cases,
     )
-    files = read(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", body.alias("f")))).alias("f"))
-    return files.select(F.concat("p_brand", F.lit(".go")).alias("path"), F.array_join(F.transform("f", lambda x: x["f"]), "type T struct { a int }\n").alias("text"))
+    folder = F.expr("p_partkey div 40")
+    files = read(spark, d, "part").groupBy("p_brand", folder.alias("k")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", body.alias("f")))).alias("f"))
+    return files.select(F.format_string("%s/%d.go", "p_brand", "k").alias("path"), F.array_join(F.transform("f", lambda x: x["f"]), "type T struct { a int }\n").alias("text"))
 
 
 @register(
     "q61_function_metrics",
-    """WITH m AS (SELECT p_brand || '.go' AS path, '(p).F' || p_partkey AS name, p_size % 2 = 0 AS even, p_size % 4 AS k, p_size AS s FROM part),
+    """WITH m AS (SELECT p_brand || '/' || p_partkey // 40 || '.go' AS path, '(p).F' || p_partkey AS name, p_size % 2 = 0 AS even, p_size % 4 AS k, p_size AS s FROM part),
     h AS (SELECT path, name, 6 + CASE WHEN even THEN 7 ELSE 0 END + k AS complexity, 11 + CASE WHEN even THEN 2 ELSE 0 END + CASE WHEN k > 0 THEN 1 ELSE 0 END AS n1,
             6 + k - CASE WHEN s <= k THEN 1 ELSE 0 END AS n2, 14 + CASE WHEN even THEN 3 ELSE 0 END + 2 * k AS big_n1, 14 + CASE WHEN even THEN 2 ELSE 0 END + 2 * k AS big_n2 FROM m)
     SELECT *, round((big_n1 + big_n2) * log2(n1 + n2), 6) AS volume, round(n1 / 2.0 * big_n2 / n2, 6) AS difficulty FROM h""",
