@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sylva.functions.globs import suffix_match
 from sylva.operators.predicates import union_all, violations
 from sylva.operators.structure import directories
-from sylva.sources.settings import front_matter, sections
+from sylva.sources.settings import header_keys, sections
 
 #: Folders, names, headings and keys that are looked for where a configuration names none, and the messages.
 SPEC_FOLDERS, DECISION_FOLDERS = ("docs/specs", "specifications"), ("docs/adr", "docs/decisions")
@@ -83,8 +83,7 @@ def specification_rule(files: DataFrame, rule: str, headings, patterns) -> DataF
 
 def decision_rule(files: DataFrame, rule: str, headings, keys, patterns) -> DataFrame:
     """A violation for the headings that a decision lacks, and one for each key that its header lacks (or one if it has no right header); case doesn't count."""
-    docs = _named(files, patterns).select("path", "text")
-    own = docs.join(front_matter(docs).withColumnRenamed("path", "_path"), F.col("path") == F.col("_path"))
+    own = _named(files, patterns).select("path", "text", header_keys(F.col("text")).alias("keys"))
     has = F.transform("keys", F.lower)
     plain = [k.removesuffix(":") for k in keys]
     lacks = F.array_compact(F.array(*[F.when(~F.array_contains(has, k.lower()), F.lit(f"ADR must include a '{k}' field.")) for k in plain]))

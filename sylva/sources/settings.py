@@ -1,6 +1,6 @@
 """Settings by a running scan over lines: sections and keys of TOML-like files, keys of a header between `---` lines.
 
-A table is scanned in windows of one file each, in the order of its lines; nothing is parsed as a whole.
+Sections are scanned in windows of one file each, in the order of its lines; headers within their own row.
 """
 
 from __future__ import annotations
@@ -78,23 +78,22 @@ _KEY = r"""^("[^"]*"|'[^']*'|[^\s#\[\]{},&*!|>'"%@`:-](?:[^:#]|:(?=\S)|(?<=\S)#)
 _MARGIN = r"^(?:$|\s|#|-(?:\s|$)|[\]}])"
 
 
-def front_matter(texts: DataFrame) -> DataFrame:
-    """path, keys (array, null without a right header) of each text (path, text): the keys at the margin of the block between the first line, `---`, and the next such line.
+def header_keys(text: Column) -> Column:
+    """The keys (array, null without a right header) at the margin of the block between a text's first line, `---`, and the next such line.
 
     Blanks around the whole text don't count. A header with a line that is no key, no item, no comment and no continuation
-    isn't right; an empty header has no keys. A null text has null keys.
+    isn't right; an empty header has no keys. A null text has null keys. All of it stays in the text's own row.
     """
-    # Go's and YAML's blanks at either end of a text; what follows is one line, `---`
-    trimmed = F.regexp_replace("text", r"^\s+|\s+$", "")
-    rows = lines(texts.select("path", trimmed.alias("text")))
-    fence = F.trim(F.regexp_replace("line", r"\s", " ")) == "---"
-    rows = rows.withColumn("_fence", fence).withColumn("_fences", F.sum(fence.cast("int")).over(Window.partitionBy("path").orderBy("n")))
-    within = (F.col("_fences") == 1) & ~F.col("_fence")
-    key = F.regexp_replace(F.regexp_extract("line", _KEY, 1), r"""^["']|["']$""", "")
-    wrong = within & (key == "") & ~F.col("line").rlike(_MARGIN)
-    found = rows.groupBy("path").agg(
-        F.bool_or(F.col("_fence") & (F.col("n") == 0)).alias("_begins"), F.max("_fences").alias("_all"), F.bool_or(wrong).alias("_wrong"),
-        F.array_sort(F.collect_set(F.when(within & (key != ""), key))).alias("keys"),
-    )
-    right = F.col("_begins") & (F.col("_all") >= 2) & ~F.col("_wrong")
-    return texts.select("path").join(found.select("path", F.when(right, F.col("keys")).alias("keys")), "path", "left")
+    rows = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\r?\n")
+    fences = F.transform(rows, lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) == "---")
+    end = F.array_position(F.slice(fences, 2, F.greatest(F.size(rows), F.lit(1))), True)  # the header's lines and the one that ends it
+    block = F.slice(rows, F.lit(2), F.greatest(end - 1, F.lit(0)).cast("int"))
+    key = lambda x: F.regexp_replace(F.regexp_extract(x, _KEY, 1), r"""^["']|["']$""", "")
+    wrong = F.exists(block, lambda x: (key(x) == "") & ~x.rlike(_MARGIN))
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(block, key), lambda k: k != "")))
+    return F.when(text.rlike(r"^\s*---") & F.get(fences, F.lit(0)) & (end > 0) & ~wrong, found)
+
+
+def front_matter(texts: DataFrame) -> DataFrame:
+    """path and keys (see header_keys) of each text."""
+    return texts.select("path", header_keys(F.col("text")).alias("keys"))
