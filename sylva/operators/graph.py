@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +139,10 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 
 #: Steps that labels go in the first round that needs them; each such round doubles them.
 LABEL_STEPS = 8
+#: Edges of a kernel that one task takes, at most: what is left when ends, pointers and chains are contracted, 32 MB as numbers.
+KERNEL_EDGES = 1 << 21
+#: So few edges need not lose their chains first.
+FEW_EDGES = 1 << 16
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
@@ -144,8 +152,10 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     round lets every node point to one of its targets and doubles the pointers (see pointed). Nodes from which only
     one way leads on, to an end, are on no cycle and go, however long the way; the cycles of pointers are contracted to
     their smallest node. The next round takes the edges backwards, so that beginnings go as ends do. If a round leaves
-    more than half of the edges, forward and backward labels of random rank are spread over LABEL_STEPS steps (twice as
-    many each time): nodes that get the same label from both sides lie on a cycle with it and are contracted (see labelled).
+    more than half of the edges or no more than KERNEL_EDGES, chains become one edge each (see chained). A kernel of at most
+    KERNEL_EDGES is then one task's (see kernel); of a larger one, forward and backward labels of random rank are spread over LABEL_STEPS steps
+    (twice as many each time): nodes that get the same label from both sides lie on a cycle with it and are contracted
+    (see labelled).
 
     A chain or a ring of n nodes takes one round of log(n) doublings, a tree one, chains of components a few; an acyclic
     graph loses its ends and all trees towards them, in no more rounds than it is deep. All tables but the result
@@ -168,18 +178,31 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         rest, before = cut(rest.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), left
         drop(e, dead)
         e, left = rest, rest.count()
-        if 2 * left > before:
-            map_ = labelled(e, turn, steps)
+        if 2 * left <= before and left > KERNEL_EDGES:
+            continue
+        if left > min(FEW_EDGES, KERNEL_EDGES):
+            links, rest = chained(e)
+            moved.append(links)
+            drop(e)
+            e, left = rest, rest.count()
+        if left:
+            small = left <= KERNEL_EDGES
+            map_ = kernel(e) if small else labelled(e, turn, steps)
             moved.append(map_)
             rest, steps = cut(contracted(e, map_)), 2 * steps
             drop(e)
-            e, left = rest, rest.count()
+            e, left = rest, 0 if small else rest.count()  # what a kernel leaves is on no cycle
     drop(e)
     last = None  # where nodes lead in the end, from the last contraction back
     for map_ in reversed(moved):
         if not map_.take(1):
             drop(map_)
             continue
+        if "start" in map_.columns:
+            new = cut(led(map_, last))
+            drop(map_, *([] if last is None else [last]))
+            last = new
+            continue
         if last is None:
             last = map_
             continue
@@ -189,11 +212,114 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         last = new
     if last is None:
         return nodes.select("node", F.col("node").alias("component"))
-    out = cut(nodes.join(last, "node", "left").select("node", F.coalesce("to", "node").alias("component")))
+    # nodes of chains may be smaller than what their component was contracted to
+    own = nodes.join(last, "node", "left").select("node", F.coalesce("to", "node").alias("to"))
+    out = cut(own.join(own.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component"))
     drop(nodes, last)
     return out
 
 
+def chained(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of chains with where these start and end (node, start, to), and the edges with one for each chain.
+
+    A node of a chain has one edge in and one out. It is on a cycle just if the chain's ends are in one component (then in
+    that), as all ways through it take the whole chain. Pointers are doubled to a chain's last node, until no more nodes
+    get there; those left are rings of their own and stay as they are.
+    """
+    outs = e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next"), F.count("*").alias("n")).where("n = 1")
+    ins = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).where("n = 1").select("node")
+    inner = cut(outs.join(ins, "node").select("node", "next"))
+    follows = inner.select(F.col("node").alias("next"), F.lit(True).alias("on"))
+    way = cut(inner.join(follows, "next", "left").select("node", F.when(F.col("on"), F.col("next")).otherwise(F.col("node")).alias("tail"), F.col("on").isNull().alias("done")))
+    left = way.where("not done").count()
+    while left:
+        further = way.select(F.col("node").alias("tail"), F.col("tail").alias("tail2"), F.col("done").alias("done2"))
+        new = cut(way.join(further, "tail").select("node", F.col("tail2").alias("tail"), (F.col("done") | F.col("done2")).alias("done")))
+        before, left = left, new.where("not done").count()
+        drop(way)
+        way = new
+        if left == before:
+            break
+    tails = way.where("done").select("node", "tail")
+    # the edge that leads to a chain's first node begins where the chain starts
+    first = e.join(tails.select(F.col("node").alias("dst"), "tail"), "dst").join(tails.select(F.col("node").alias("src")), "src", "left_anti")
+    ends = first.select("tail", F.col("src").alias("start")).join(inner.select(F.col("node").alias("tail"), F.col("next").alias("to")), "tail")
+    links = cut(tails.join(ends, "tail").select("node", "start", "to"))
+    known = links.select("node")
+    whole = e.join(known.select(F.col("node").alias("src")), "src", "left_anti").join(known.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    rest = cut(whole.unionByName(links.select(F.col("start").alias("src"), F.col("to").alias("dst"))).where("src != dst").distinct())
+    drop(inner, way)
+    return links, rest
+
+
+def led(links: DataFrame, last: DataFrame | None) -> DataFrame:
+    """last (node, to) with the nodes of the chains (see chained) whose ends lead to the same node."""
+    if last is None:
+        return links.where("start = to").select("node", "to")
+    of = lambda c: last.select(F.col("node").alias(c), F.col("to").alias(f"{c}_in"))
+    both = links.join(of("start"), "start", "left").join(of("to"), "to", "left").select("node", F.coalesce("start_in", "start").alias("start"), F.coalesce("to_in", "to").alias("to"))
+    return both.where("start = to").select("node", "to").unionByName(last)
+
+
+def kernel(e: DataFrame) -> DataFrame:
+    """node, to: the nodes of components of several nodes with one of these; the edges are few enough for one task."""
+    kind = e.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.concat_tables(parts)
+        names = pc.unique(pa.chunked_array([*t.column("src").chunks, *t.column("dst").chunks]))
+        src, dst = (pc.index_in(t.column(c), names).to_numpy() for c in ("src", "dst"))
+        label = _components(src, dst, len(names))
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        for at in range(0, len(moved), 1 << 16):
+            some = moved[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), names.take(pa.array(label[some]))], names=["node", "to"])
+
+    return cut(e.select("src", "dst").repartition(1).mapInArrow(run, f"node {kind}, to {kind}"))
+
+
+def _components(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes one node of its strongly connected component, the same for all of it (Tarjan's stack, without recursion)."""
+    targets = dst[np.argsort(src, kind="stable")].tolist()
+    at = np.append(0, np.cumsum(np.bincount(src, minlength=n))).tolist()
+    ends, seen, low, label = at[1:], [0] * n, [0] * n, [-1] * n
+    open_: list[int] = []
+    time = 0
+    for root in range(n):
+        if seen[root]:
+            continue
+        time += 1
+        seen[root] = low[root] = time
+        open_.append(root)
+        way = [root]
+        while way:
+            v = way[-1]
+            if at[v] < ends[v]:
+                w = targets[at[v]]
+                at[v] += 1
+                if not seen[w]:
+                    time += 1
+                    seen[w] = low[w] = time
+                    open_.append(w)
+                    way.append(w)
+                elif label[w] < 0 and seen[w] < low[v]:
+                    low[v] = seen[w]
+                continue
+            way.pop()
+            if way and low[v] < low[way[-1]]:
+                low[way[-1]] = low[v]
+            if low[v] == seen[v]:
+                while True:
+                    w = open_.pop()
+                    label[w] = v
+                    if w == v:
+                        break
+    return np.array(label, np.int64)
+
+
 def peeled(e: DataFrame) -> DataFrame:
     """Edges whose source has an edge that ends there and whose target has one that begins there."""
     goes_on, comes_in = e.select(F.col("src").alias("dst")), e.select(F.col("dst").alias("src"))

@@ -106,3 +106,23 @@ def test_witness_cycles(spark):
     got = {r.component: r.cycle for r in graph.witness_cycles(table(spark, edges)).collect()}
     assert got == {c: w for c, w in want.items() if w}
     assert graph.witness_cycles(table(spark, [(1, 2), (2, 3)])).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1 << 21])
+def test_chains_and_kernel(spark, monkeypatch, most):
+    """A web of long chains ends after one round of chains, with smallest nodes inside chains; a larger kernel takes labels."""
+    calls = []
+    chained = graph.chained
+    monkeypatch.setattr(graph, "KERNEL_EDGES", most)
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    monkeypatch.setattr(graph, "chained", lambda e: calls.append(1) or chained(e))
+    rng = random.Random(9)
+    edges, new = [], 1000
+    for _ in range(60 if most else 6):  # chains between 25 nodes, whose names are greater than those of the chains
+        a, b = 5000 + rng.randrange(25), 5000 + rng.randrange(25)
+        inner = rng.sample(range(new, new + 40), rng.randrange(1, 40))
+        new += 40
+        edges += zip([a, *inner], [*inner, b])
+    edges += [(9000 + i, 9000 + (i + 1) % 50) for i in range(50)] + [(9000, 5003), (9010, 9011), (4000, 9000), (5001, 4001)]
+    check(spark, edges)
+    assert most == 0 or len(calls) <= 1
