@@ -16,8 +16,9 @@ by count). Two sets that reach the threshold t share a shingle among the first n
    pair by pair.
 4. A candidate group of over BLOCK classes is dealt into blocks by hash; then one class for each block and component is
    dealt anew, which joins the parts of large groups of copies. Groups of step 1 that still have several components are
-   compared by step 2, those of all but the largest component with all; pairs of different components that are left are
-   checked by whole sets. So no link between components is missed, and the pairs of a group of copies are never listed.
+   compared by step 2 in squares of blocks, those of all but the largest component with all. The classes of a square that
+   are in a pair of different components are joined by whole sets, in the square's own tree. So no link between components
+   is missed, and pairs are never listed, neither those of copies nor those that don't link.
 5. Components of all links. Rows of copies join their class by key at the end. Nothing about all documents comes to the
    driver.
 
@@ -57,11 +58,11 @@ def min_overlap(total, percent: int = PERCENT):
     return -(-percent * total // (100 + percent))
 
 
-def tree_join(sets: list[np.ndarray], sizes: np.ndarray, rest: np.ndarray, labels: np.ndarray, percent: int, every: bool = False) -> list[tuple[int, int]]:
+def tree_join(sets: list[np.ndarray], sizes: np.ndarray, rest: np.ndarray, labels: np.ndarray, percent: int, every: bool = False, seen: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of sets with different labels whose lists share min_overlap(sizes) - max(rest) items, and near sizes.
 
     sets: ascending arrays of distinct items. Joins labels as it goes, so what it returns is a forest, without its cycles;
-    all pairs of different labels with every.
+    all pairs of different labels with every. seen: marks the sets that are in one of all those pairs, and returns none.
     """
     m = len(sets)
     if m < 2 or len({*labels.tolist()}) < 2:
@@ -85,6 +86,7 @@ def tree_join(sets: list[np.ndarray], sizes: np.ndarray, rest: np.ndarray, label
         differ = items[i - 1][:k] != items[i][:k]
         common[i] = differ.argmax() if differ.any() else k
     found = []
+    given, seen = seen, None if seen is None else np.zeros(m, bool)
 
     def counts(part: np.ndarray) -> np.ndarray:
         width = first[part + 1] - first[part]
@@ -121,6 +123,11 @@ def tree_join(sets: list[np.ndarray], sizes: np.ndarray, rest: np.ndarray, label
             size = n[alive]
             hit = (alive > lo) & (lab[alive] != lab[lo]) & (100 * np.minimum(size, n[lo]) >= percent * np.maximum(size, n[lo]))
             hit &= have >= min_overlap(size + n[lo], percent) - np.maximum(rest[alive], rest[lo])
+            if seen is not None:
+                seen[alive[hit]] = True
+                seen[lo] |= hit.any()
+                lo += 1
+                continue
             for q in alive[hit].tolist():
                 if lab[q] != lab[lo]:
                     found.append((order[lo], order[q]))
@@ -130,9 +137,18 @@ def tree_join(sets: list[np.ndarray], sizes: np.ndarray, rest: np.ndarray, label
         if lo < hi:
             cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == end)).tolist(), hi]
             stack += [(a, b, end, alive, have) for a, b in zip(cuts, cuts[1:])]
+    if given is not None:
+        given[order] = seen
     return found
 
 
+def in_pairs(sets: list[np.ndarray], sizes: np.ndarray, rest: np.ndarray, labels: np.ndarray, percent: int) -> list[int]:
+    """Which sets are in one of the pairs that tree_join gives with every; the pairs aren't listed."""
+    seen = np.zeros(len(sets), bool)
+    tree_join(sets, sizes, rest, labels, percent, seen=seen)
+    return np.flatnonzero(seen).tolist()
+
+
 class GlobalOrder:
     """Hash -> signed key in the global order: rare shingles by hash, then the frequent ones by count."""
 
@@ -309,6 +325,7 @@ def in_groups(rows: DataFrame, keys: list[str], link, schema: str = "a bigint, b
     names = rows.columns
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "node")
     n_keys = len(keys)
+    out = [x.split()[0] for x in schema.split(", ")]
 
     def make():
         state: dict = {"key": None, "rows": []}
@@ -317,7 +334,7 @@ def in_groups(rows: DataFrame, keys: list[str], link, schema: str = "a bigint, b
             if len(state["rows"]) > 1:
                 found = link(dict(zip(names, zip(*state["rows"]))))
                 if found:
-                    yield {"a": [x[0] for x in found], "b": [x[1] for x in found]}
+                    yield dict(zip(out, zip(*found)))
             state["rows"] = []
 
         def step(batch):
@@ -354,17 +371,27 @@ def stars(nodes, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, x) for x in [*parent] if (a := root(x)) != x]
 
 
-def prefix_links(groups: DataFrame, keys: list[str], lists: DataFrame, percent: int, every: bool = False) -> DataFrame:
-    """Pairs that may link, of rows (keys, token, node, label): stars of each group's components, or every pair of different labels."""
+def prefix_links(groups: DataFrame, keys: list[str], lists: DataFrame, percent: int, apart: bool = False) -> DataFrame:
+    """Stars of each group's components by pairs that may link, of rows (keys, token, node, label).
+
+    apart: instead the rows (keys, node, label) of each group that are in such a pair of different labels.
+    """
     rows = groups.join(lists, "node").withColumn("s", F.filter("s", lambda x: x >= F.col("token")))
     rows = rows.select(*keys, "node", "label", "n", "s")
 
     def link(group):
         n, nodes = np.array(group["n"], np.int64), group["node"]
         labels = np.unique(group["label"], return_inverse=True)[1]
-        return (named if every else stars)(nodes, tree_join([np.array(s, np.int64) for s in group["s"]], n, rest_of(n, percent), labels, percent, every))
+        sets = [np.array(s, np.int64) for s in group["s"]]
+        if not apart:
+            return stars(nodes, tree_join(sets, n, rest_of(n, percent), labels, percent))
+        key = tuple(group[k][0] for k in keys)
+        return [(*key, nodes[i], group["label"][i]) for i in in_pairs(sets, n, rest_of(n, percent), labels, percent)]
 
-    return in_groups(rows, keys, link)
+    if not apart:
+        return in_groups(rows, keys, link)
+    kinds = dict(groups.dtypes)
+    return in_groups(rows, keys, link, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "node", "label")))
 
 
 def hub_links(big: DataFrame, percent: int) -> DataFrame:
@@ -380,8 +407,12 @@ def band_of(percent: int):
     return F.floor(F.log("n") / math.log(100 / percent)).cast("int")
 
 
-def whole_links(placed: DataFrame, rows: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """Stars of the components of each group: placed has rows (grp, block, node); the classes' texts come from rows."""
+def whole_links(placed: DataFrame, rows: DataFrame, order, k: int, percent: int, keys: tuple[str, ...] = ("grp", "block")) -> DataFrame:
+    """Stars of the components of each group: placed has rows (keys, node); the classes' texts come from rows.
+
+    With a label in placed, only classes of different labels are compared.
+    """
+    known = ["label"] if "label" in placed.columns else []
     words = bloom_filter(placed, "node")
     shipped = rows.sparkSession.sparkContext.broadcast(words)
 
@@ -399,9 +430,10 @@ def whole_links(placed: DataFrame, rows: DataFrame, order, k: int, percent: int)
     def link(group):
         sets = [order.value.keys(s) for s in sets_of(list(group["blob"]), k)]
         n = np.array([len(s) for s in sets])
-        return stars(group["node"], tree_join(sets, n, np.zeros(len(n), np.int64), np.arange(len(n)), percent))
+        labels = np.unique(group["label"], return_inverse=True)[1] if known else np.arange(len(n))
+        return stars(group["node"], tree_join(sets, n, np.zeros(len(n), np.int64), labels, percent))
 
-    return in_groups(placed.join(texts, "node").select("grp", "block", "node", "blob"), ["grp", "block"], link)
+    return in_groups(placed.join(texts, "node").select(*keys, "node", *known, "blob"), [*keys], link)
 
 
 def deal(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -421,20 +453,24 @@ def still_apart(members: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(mixed, "grp", "left_semi")
 
 
-def apart_pairs(groups: DataFrame, members: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different labels in groups (token, node) that may link: those of all but the largest label with all."""
-    rows = groups.select("token", "node").join(members.select("node", "label"), "node")
-    of = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
-    of = of.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("total")).where("most < total")
-    minor = F.ceil((F.col("total") - F.col("most")) / GROUP).cast("int")
-    rows = rows.join(of.select("token", "major", F.ceil(F.col("most") / GROUP).cast("int").alias("x"), minor.alias("y")), "token")
+def apart_rows(groups: DataFrame, members: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """token, i, j, node, label: classes of groups (token, node, n) in squares of blocks, those of all but the largest label against all.
+
+    Only classes that may link with one of another label in their square: a row a class and square, however many pairs.
+    """
+    rows = groups.select("token", "node", "n").join(members.select("node", "label"), "node")
+    of = rows.groupBy("token", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    of = of.groupBy("token").agg(F.max_by(F.struct("label", "w"), F.struct("c", "label")).alias("first"), F.max("c").alias("most"), F.sum("c").alias("total"), F.sum("w").alias("weight")).where("most < total")
+    blocks = lambda c, w: F.greatest(F.ceil(c / GROUP), F.ceil(w / (1 << 21))).cast("int")  # noqa: E731 - long sets fill a block earlier
+    x, y = blocks(F.col("most"), F.col("first.w")), blocks(F.col("total") - F.col("most"), F.col("weight") - F.col("first.w"))
+    rows = rows.join(of.select("token", F.col("first.label").alias("major"), x.alias("x"), y.alias("y")), "token")
     of_hash = lambda c: F.pmod(F.xxhash64("node", F.lit(9)), c).cast("int")
     is_major = F.col("label") == F.col("major")
     rows = rows.withColumn("own", F.when(is_major, of_hash(F.col("x"))).otherwise(F.col("x") + of_hash(F.col("y"))))
     last = F.col("x") + F.col("y") - 1
     other = F.when(is_major, F.sequence(F.col("x"), last)).otherwise(F.array_remove(F.sequence(F.lit(0), last), F.col("own")))
     rows = rows.withColumn("other", F.explode(other)).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
-    return prefix_links(rows, ["token", "i", "j"], lists, percent, every=True).distinct()
+    return prefix_links(rows, ["token", "i", "j"], lists, percent, apart=True)
 
 
 def link_classes(rows: DataFrame, k: int, percent: int) -> DataFrame | None:
@@ -483,12 +519,9 @@ def join_blocks(large: DataFrame, links: DataFrame, comps: DataFrame | None, gro
     if links.take(1):
         comps = components(links)
     apart = keep(still_apart(apart.drop("label"), comps if comps is not None else none), "apart")
-    pairs = keep(apart_pairs(groups, apart, lists, percent), "pairs")
-    if pairs.take(1):
-        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        stars = pairs.join(parts, "a").select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b", F.lit(5)), "parts").cast("int").alias("block"), F.col("b").alias("node"))
-        hubs = parts.select(F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.col("a").alias("node"))
-        links = links.unionByName(keep(whole_links(stars.unionByName(hubs), classes, order, k, percent), "links"))
+    squares = keep(apart_rows(groups, apart, lists, percent), "squares")
+    if squares.take(1):
+        links = links.unionByName(keep(whole_links(squares, classes, order, k, percent, ("token", "i", "j")), "links"))
         if links.take(1):
             comps = components(links)
     return comps

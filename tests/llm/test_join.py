@@ -41,6 +41,19 @@ def test_tree_join_equals_brute_force():
         assert want <= {tuple(sorted(x)) for x in op04.tree_join(heads, n, rest, labels, percent, every=True)}
 
 
+def test_classes_in_pairs_are_marked_without_listing_pairs():
+    """What in_pairs marks are the ends of all pairs; its result has a row a set, not a pair."""
+    rng = np.random.default_rng(6)
+    for _ in range(100):
+        m = int(rng.integers(2, 40))
+        base = rng.choice(60, 40, replace=False)
+        sets = [np.sort(base[rng.random(40) < rng.choice([0.6, 0.95])]) for _ in range(m)]
+        n, labels = np.array([len(s) for s in sets]), rng.integers(0, m, m)
+        rest = rng.integers(0, 5, m)
+        want = {x for pair in op04.tree_join(sets, n, rest, labels, 85, every=True) for x in pair}
+        assert op04.in_pairs(sets, n, rest, labels, 85) == sorted(want)
+
+
 def copies(rng, n_base, n_copies, words, changes):
     rows = []
     for _ in range(n_base):
