@@ -142,7 +142,7 @@ LABEL_STEPS = 8
 #: Edges of a kernel that one task takes, at most: what is left when ends, pointers and chains are contracted, 32 MB as numbers.
 KERNEL_EDGES = 1 << 21
 #: So few edges need not lose their chains first.
-FEW_EDGES = 1 << 16
+FEW_EDGES = 1 << 20
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
@@ -161,10 +161,12 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     graph loses its ends and all trees towards them, in no more rounds than it is deep. All tables but the result
     are deleted as soon as nothing reads them.
     """
-    own = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    own = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     nodes = cut(own.select(F.col("src").alias("node")).union(own.select("dst")).distinct())
-    e = cut(own.where("src != dst"))
+    e = own.where("src != dst")
     left, steps, moved, turn = e.count(), LABEL_STEPS, [], 0
+    if not left:
+        drop(own)
     while left:
         rest, before = peeled(e), left
         drop(e)
@@ -332,13 +334,19 @@ def pointed(e: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     Each node points to one target (by a hash that changes with the turn), a node without targets to itself. Doubled
     pointers carry whether each node on the way had one target only, the smallest node on the way and whether it ended.
     The targets of ways that don't end are the nodes on cycles, as soon as doubling no longer makes them fewer; as
-    labels differ, no smallest node changes only once each way is longer than its cycle.
+    labels differ, no smallest node changes only once each way is longer than its cycle. At most KERNEL_EDGES pointers are
+    doubled by one task (see walked).
     """
     rank = F.xxhash64("dst", F.lit(turn))
     first = e.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", rank).alias("to"), (F.count("*") == 1).alias("single"))
     first = first.select("node", "to", "single", F.col("node").alias("least"), F.lit(False).alias("end"))
     ends = e.select(F.col("dst").alias("node")).distinct().join(first.select("node"), "node", "left_anti")
     way = cut(first.unionByName(ends.select("node", F.col("node").alias("to"), F.lit(True).alias("single"), F.col("node").alias("least"), F.lit(True).alias("end"))))
+    if way.count() <= KERNEL_EDGES:
+        found = walked(way)
+        dead, map_ = cut(found.where("to is null").select("node")), cut(found.where("to is not null"))
+        drop(way, found)
+        return dead, map_
     open_ = None
     while True:
         twice = followed(followed(way.withColumn("was", F.col("least"))))
@@ -357,6 +365,32 @@ def pointed(e: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     return dead, map_
 
 
+def walked(way: DataFrame) -> DataFrame:
+    """node, to: what pointed finds for pointers that are few enough for one task; `to` is null for nodes on no cycle."""
+    kind = way.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.concat_tables(parts)
+        t = t.take(pc.sort_indices(t.column("node")))
+        names = t.column("node").combine_chunks()
+        to = pc.index_in(t.column("to"), names).to_numpy()
+        single, end, least = t.column("single").to_numpy(), t.column("end").to_numpy(), np.arange(len(names))
+        for _ in range(len(names).bit_length()):
+            least, single, end, to = np.minimum(least, least[to]), single & single[to], end[to], to[to]
+        dead = np.flatnonzero(end & single)
+        ring = np.unique(to[~end])
+        ring = ring[least[ring] != ring]
+        rows = [(names.take(pa.array(dead)), pa.nulls(len(dead), names.type)), (names.take(pa.array(ring)), names.take(pa.array(least[ring])))]
+        for node, target in rows:
+            for at in range(0, len(node), 1 << 16):
+                yield pa.RecordBatch.from_arrays([node.slice(at, 1 << 16), target.slice(at, 1 << 16)], names=["node", "to"])
+
+    return cut(way.repartition(1).mapInArrow(run, f"node {kind}, to {kind}"))
+
+
 def followed(way: DataFrame) -> DataFrame:
     """Ways followed by the ways from where they lead: twice as long."""
     on = way.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("single").alias("single2"), F.col("least").alias("least2"), F.col("end").alias("end2"))
@@ -400,17 +434,27 @@ def witness_cycles(edges: DataFrame) -> DataFrame:
 
     Breadth first in all components at once; of the ways to a node the first in the order of their nodes counts, so the
     cycle is the first one of its length. Two cycles are equal if they have the same nodes in the same order from their
-    smallest node on, so `cycle` tells them apart. As many rounds as the longest of these cycles has nodes.
+    smallest node on, so `cycle` tells them apart. Components of at most KERNEL_EDGES edges are walked as groups (see
+    walked_cycles), larger ones in as many rounds of joins as the longest of these cycles has nodes.
     """
     own = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     parts = strongly_connected(own)
     of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"k{c}"))
     inner = cut(own.join(of("src"), "src").join(of("dst"), "dst").where("ksrc = kdst").select("src", "dst", F.col("ksrc").alias("component")))
     drop(own, parts)
+    small = F.col("n") <= KERNEL_EDGES
+    sizes = inner.groupBy("component").agg(F.count("*").alias("n"))
+    done = cut(walked_cycles(inner.join(sizes.where(small), "component", "left_semi")))
+    large = cut(inner.join(sizes.where(~small), "component", "left_semi"))
+    drop(inner)
+    inner = large
+    if not inner.take(1):
+        drop(inner)
+        return done
     roots = inner.select("component").distinct()
     front = cut(roots.select("component", F.col("component").alias("node"), F.array("component").alias("way")))
     seen = [front]
-    found: list[DataFrame] = []
+    found = [done]
     while True:
         step = cut(front.withColumnRenamed("node", "src").join(inner, ["component", "src"]).groupBy("component", F.col("dst").alias("node")).agg(F.min("way").alias("way")))
         closed = step.where("node = component").select("component", F.size("way").cast("bigint").alias("length"), F.col("way").alias("cycle"))
@@ -435,8 +479,47 @@ def witness_cycles(edges: DataFrame) -> DataFrame:
     return out
 
 
+def walked_cycles(inner: DataFrame) -> DataFrame:
+    """The cycles of witness_cycles, each component (of src, dst, component) walked within its group.
+
+    A front is kept in the order of its ways and targets in their own, so the first way to a node is the first of its length.
+    """
+    kind = inner.schema["component"].dataType.simpleString()
+
+    def walk(t: pa.Table) -> pa.Table:
+        root = t.column("component").slice(0, 1).combine_chunks()
+        names = pc.unique(pa.chunked_array([*t.column("src").chunks, *t.column("dst").chunks]))
+        names = names.take(pc.sort_indices(names))
+        src, dst = (pc.index_in(t.column(c), names).to_numpy() for c in ("src", "dst"))
+        targets = dst[np.lexsort((dst, src))].tolist()
+        at = np.append(0, np.cumsum(np.bincount(src, minlength=len(names)))).tolist()
+        first = pc.index_in(root, names)[0].as_py()
+        came, front, last = [-1] * len(names), [first], -1
+        while front and last < 0:
+            new = []
+            for v in front:
+                for w in targets[at[v] : at[v + 1]]:
+                    if w == first:
+                        last = v
+                        break
+                    if came[w] < 0:
+                        came[w] = v
+                        new.append(w)
+                if last >= 0:
+                    break
+            front = new
+        way = [last]
+        while way[-1] != first:
+            way.append(came[way[-1]])
+        cycle = names.take(pa.array(way[::-1]))
+        return pa.table([root, pa.array([len(way)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(way)], pa.int32()), cycle)], names=["component", "length", "cycle"])
+
+    return inner.groupBy("component").applyInArrow(walk, f"component {kind}, length bigint, cycle array<{kind}>")
+
+
 def cycle_edges(edges: DataFrame) -> DataFrame:
     """Edges on a cycle: both ends in one component (a self-loop is one)."""
+    edges = cut(edges)
     scc = strongly_connected(edges)
     of = lambda c: scc.select(F.col("node").alias(c), F.col("component").alias(f"k{c}"))
     return edges.join(of("src"), "src").join(of("dst"), "dst").where("ksrc = kdst").select("src", "dst")

@@ -28,7 +28,8 @@ def dependency_graph(files: DataFrame, contents: DataFrame, layers: list[dict] =
     own = files.where("not is_dir").select("path").distinct()
     found = code.imports(contents)
     target = F.when(F.col("is_relative"), resolve_import(F.col("source_file"), F.col("import_path"))).otherwise(F.col("import_path"))
-    edges = found.select(F.col("source_file").alias("src"), target.alias("dst"), F.col("import_path").alias("written"))
+    # written once, as all rules read it several times
+    edges = graph.cut(found.select(F.col("source_file").alias("src"), target.alias("dst"), F.col("import_path").alias("written")))
     layer = first_match([(layer_match(F.col("path"), x["path"]), x["name"]) for x in layers])
     refs = graph.incoming_refs(edges, own)
     return Project(own.withColumn("layer", layer).join(refs, "path", "left").withColumn("refs", F.coalesce("refs", F.lit(0).cast("bigint"))), edges)

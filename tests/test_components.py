@@ -126,3 +126,24 @@ def test_chains_and_kernel(spark, monkeypatch, most):
     edges += [(9000 + i, 9000 + (i + 1) % 50) for i in range(50)] + [(9000, 5003), (9010, 9011), (4000, 9000), (5001, 4001)]
     check(spark, edges)
     assert most == 0 or len(calls) <= 1
+
+
+def test_few_tables_for_few_edges(spark, monkeypatch):
+    """A line of rings below KERNEL_EDGES takes a fixed number of tables, a ring of 300 nodes no round a node."""
+    tables = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: tables.append(1) or cut(df))
+    web = [e for i in range(0, 200, 2) for e in ((i, i + 1), (i + 1, i), (i + 1, i + 2))] + [(1000 + i, 1000 + (i + 1) % 300) for i in range(300)]
+    label = plain(web)
+    want = {c: shortest([e for e in web if label[e[0]] == label[e[1]] == c], c) for c in (0, 1000)}
+    got = {r.component: r.cycle for r in graph.witness_cycles(table(spark, web)).collect()}
+    assert len(got) == 101 and {c: got[c] for c in want} == want
+    assert len(tables) <= 24
+
+
+def test_large_components_are_walked_in_rounds(spark, monkeypatch):
+    rng = random.Random(11)
+    edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)] + [(f"é{i}", f"é{(i + 1) % 5}") for i in range(5)] + [("z", "z")]
+    found = {r.component: (r.length, r.cycle) for r in graph.witness_cycles(table(spark, edges, "string")).collect()}
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 4)
+    assert {r.component: (r.length, r.cycle) for r in graph.witness_cycles(table(spark, edges, "string")).collect()} == found
