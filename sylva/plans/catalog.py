@@ -336,7 +336,7 @@ SELECT a, b, min(pa) AS start_a, min(pa) + shift AS start_b, count(*) + 19 AS to
 
 @register("q26_clone_pairs", _CLONES)
 def q26(spark, d):
-    return clones.clone_pairs(repeated(spark, d), "doc_id")
+    return clones.clone_pairs(clones.repeated_texts(read(spark, d, "documents"), "doc_id", tokens()), "doc_id")
 
 
 @register("q26b_clone_passages", f"WITH {_GRAMS}, p AS (SELECT doc_id, pos, md5(gram) AS h, lag(md5(gram)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM g), c AS (SELECT h, count(*) AS places, count(before) = count(*) AND count(DISTINCT before) = 1 AS one FROM p GROUP BY 1 HAVING count(*) > 1), s AS (SELECT p.*, c.places, c.one AND c.places = b.places AS on_ FROM p JOIN c ON c.h = p.h LEFT JOIN c b ON b.h = p.before), i AS (SELECT *, sum(CASE WHEN on_ THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM s) SELECT arg_min(h, pos) AS passage, doc_id, min(pos) AS start, count(*) + 19 AS tokens, min(places) AS places FROM i GROUP BY doc_id, part")

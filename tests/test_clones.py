@@ -131,3 +131,34 @@ def test_lexer():
     assert raw == ["x", ":=", "a", ".", "b", "[", "0x1F", "]", "if", "s", "!=", '`r\n"q"`', "&&", "c", "==", "'\\n'", "{", "y", "&^=", ".5", "}", "état", "<-", '"\\"s"']
     assert normal == ["_ID_", ":=", "_ID_", ".", "_ID_", "[", "_LIT_", "]", "if", "_ID_", "!=", "_LIT_", "&&", "_ID_", "==", "_LIT_", "{", "_ID_", "&^=", "_LIT_", "}", "_ID_", "<-", "_LIT_"]
     assert line == [1] * 8 + [3] * 4 + [4] * 9 + [5] * 3
+
+
+def test_pairs_compare_texts_once(spark, monkeypatch):
+    """A pair's texts meet in one row for all their diagonals, without a row a place; copies of a frequent text are spread."""
+    rng, k = np.random.default_rng(3), 4
+    texts = {d: [str(x) for x in rng.integers(0, 3, 40)] for d in range(6)} | {10 + d: [f"c{i}" for i in range(30)] for d in range(9)}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string")
+    split = F.filter(F.split("text", " "), lambda x: x != "")
+    monkeypatch.setattr(clones, "PAIRS_A_COPY", 2)
+    held = clones.clone_pairs(clones.repeated_texts(df, "doc_id", split, k), "doc_id", k)
+    assert "Window" not in held._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in held.collect())
+    monkeypatch.setattr(clones, "PAIRS_A_COPY", 256)
+    assert got == sorted(tuple(r) for r in clones.clone_pairs(clones.kgrams(df, "doc_id", split, k), "doc_id", k).collect())
+    grams = {}
+    for d in sorted(texts):
+        for p in range(len(texts[d]) - k + 1):
+            grams.setdefault(tuple(texts[d][p : p + k]), {}).setdefault(d, []).append(p)
+    want, links = [], set()
+    for docs in grams.values():
+        a, b = min(docs), list(docs)
+        links |= {(a, x, docs[x][0] - docs[a][0]) for x in b if x != a}
+    same = {(a, b, s, p) for a, b, s in links for p in range(len(texts[a]) - k + 1) if 0 <= p + s <= len(texts[b]) - k and texts[a][p : p + k] == texts[b][p + s : p + s + k]}
+    same |= {(d, d, p - at[0], at[0]) for docs in grams.values() for d, at in docs.items() for p in at[1:]}
+    for a, b, s, p in same:
+        if (a, b, s, p - 1) not in same:
+            n = 1
+            while (a, b, s, p + n) in same:
+                n += 1
+            want.append((a, b, p, p + s, n + k - 1))
+    assert got == sorted(want) and (10, 18, 0, 0, 30) in got
