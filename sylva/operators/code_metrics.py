@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.operators.graph import cut
 from sylva.operators.metrics import halstead_values, rollup
 from sylva.sources.lexer import KEYWORDS, lexed
 
@@ -24,10 +25,24 @@ STATEMENTS = ("if", "range", "select", "case", "return", "defer", "go", *JUMPS)
 SIGNS = "+ - * / % & | ^ << >> &^ && || == != < <= > >= ! = := += -= *= /= %= &= |= ^= <<= >>= &^= ++ --".split()
 
 
+#: Tokens that a task sorts by files, so that its windows fit in memory; a file with more is one task's.
+TOKENS_A_TASK = 1 << 18
+
+
+def dealt(contents: DataFrame) -> DataFrame:
+    """path, raw, line of each file, dealt by path as arrays into as many parts as the tokens need.
+
+    The windows of states all sort by file, and with a fixed number of parts these sorts would spill as the input grows.
+    """
+    files = cut(lexed(contents).select("path", "raw", "line"))
+    n = files.agg(F.sum(F.size("raw"))).first()[0] or 0
+    return files.repartition(max(-(-n // TOKENS_A_TASK), int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
+
+
 def states(contents: DataFrame) -> DataFrame:
     """A row a token that lies in a function's body: path, name, line (the function's), pos, v, cost and operator or operand (null if neither)."""
     v = F.col("v")
-    rows = lexed(contents).select("path", F.posexplode(F.arrays_zip("raw", "line")).alias("pos", "x")).select("path", "pos", F.col("x.raw").alias("v"), F.col("x.line").alias("at"))
+    rows = dealt(contents).select("path", F.posexplode(F.arrays_zip("raw", "line")).alias("pos", "x")).select("path", "pos", F.col("x.raw").alias("v"), F.col("x.line").alias("at"))
     order = Window.partitionBy("path").orderBy("pos")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     total = lambda c, w=before: F.coalesce(F.sum(c).over(w), F.lit(0))

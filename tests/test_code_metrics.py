@@ -1,5 +1,6 @@
 """Complexity and Halstead counts of functions, counted by hand."""
 
+from sylva.operators import code_metrics
 from sylva.operators.code_metrics import file_metrics, function_metrics
 
 
@@ -71,3 +72,15 @@ func last() { for { } }"""
     total = {r.path: (r.total, r.functions, r.most) for r in file_metrics(function_metrics(table.where("path <> 'broken.go'"))).collect()}
     assert total == {"a.go": (2, 5, 1), "b.go": (1, 1, 1)}
     assert function_metrics(table.limit(0)).count() == 0
+
+
+def test_parts_grow_with_tokens(spark, monkeypatch):
+    """Files are dealt as arrays, once, into parts of some tokens each; the windows need no exchange of their own."""
+    text = "func f(n int) int {\n if n > 0 { return 1 }\n return 0\n}\n"
+    files = spark.createDataFrame([(f"{i}.go", text) for i in range(40)], "path string, text string")
+    want = sorted(tuple(r) for r in function_metrics(files).collect())
+    monkeypatch.setattr(code_metrics, "TOKENS_A_TASK", 20)
+    assert code_metrics.dealt(files).rdd.getNumPartitions() > 30
+    found = function_metrics(files)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert len(want) == 40 and sorted(tuple(r) for r in found.collect()) == want
