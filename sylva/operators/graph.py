@@ -61,12 +61,10 @@ def first_with(files: DataFrame, targets: DataFrame, end: bool = False) -> DataF
     Paths are exploded into the beginnings (ends) that are as long as some target, and joined by equality; the lengths are
     no more than the longest path has characters.
     """
-    lengths = [r[0] for r in targets.select(F.length("dst").alias("n")).where("n is not null").distinct().collect()]
-    if not lengths:
-        return targets.select("dst", F.lit(None).cast("string").alias("path")).limit(0)
-    fits = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("path"))
+    lengths = targets.agg(F.collect_set(F.length("dst")).alias("lengths"))  # one row
+    fits = F.filter("lengths", lambda n: n <= F.length("path"))
     part = lambda n: F.substring("path", F.length("path") - n + 1 if end else F.lit(1), n)
-    parts = files.select("path").distinct().select("path", F.explode(F.transform(fits, part)).alias("dst"))
+    parts = files.select("path").distinct().crossJoin(F.broadcast(lengths)).select("path", F.explode(F.transform(fits, part)).alias("dst"))
     return parts.join(targets.select("dst").distinct(), "dst", "left_semi").groupBy("dst").agg(F.min("path").alias("path"))
 
 
@@ -141,10 +139,19 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 LABEL_STEPS = 8
 #: Edges of a kernel that one task takes, at most: what is left when ends, pointers and chains are contracted, 32 MB as numbers.
 KERNEL_EDGES = 1 << 21
-#: So few edges need not lose their chains first.
+#: So few edges need not lose their chains first, nor anything else (see components).
 FEW_EDGES = 1 << 20
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """The rows of strongly_connected; at most FEW_EDGES edges go to the kernel as they are, without rounds."""
+    own = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    few = own.count() <= min(FEW_EDGES, KERNEL_EDGES)
+    out = kernel(own, every=True).withColumnRenamed("to", "component") if few else strongly_connected(own)
+    drop(own)
+    return out
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node), by contraction in tables; edges: src, dst of any type that has an order.
 
@@ -263,8 +270,11 @@ def led(links: DataFrame, last: DataFrame | None) -> DataFrame:
     return both.where("start = to").select("node", "to").unionByName(last)
 
 
-def kernel(e: DataFrame) -> DataFrame:
-    """node, to: the nodes of components of several nodes with one of these; the edges are few enough for one task."""
+def kernel(e: DataFrame, every: bool = False) -> DataFrame:
+    """node, to: the nodes of components of several nodes with one of these; the edges are few enough for one task.
+
+    With every, all nodes with the smallest of their component.
+    """
     kind = e.schema["src"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +283,17 @@ def kernel(e: DataFrame) -> DataFrame:
             return
         t = pa.concat_tables(parts)
         names = pc.unique(pa.chunked_array([*t.column("src").chunks, *t.column("dst").chunks]))
+        if every:
+            names = names.take(pc.sort_indices(names))
         src, dst = (pc.index_in(t.column(c), names).to_numpy() for c in ("src", "dst"))
         label = _components(src, dst, len(names))
-        moved = np.flatnonzero(label != np.arange(len(names)))
+        moved = np.arange(len(names))
+        if every:
+            least = np.full(len(names), len(names))
+            np.minimum.at(least, label, moved)
+            label = least[label]
+        else:
+            moved = np.flatnonzero(label != moved)
         for at in range(0, len(moved), 1 << 16):
             some = moved[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), names.take(pa.array(label[some]))], names=["node", "to"])
@@ -438,7 +456,7 @@ def witness_cycles(edges: DataFrame) -> DataFrame:
     walked_cycles), larger ones in as many rounds of joins as the longest of these cycles has nodes.
     """
     own = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    parts = strongly_connected(own)
+    parts = components(own)
     of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"k{c}"))
     inner = cut(own.join(of("src"), "src").join(of("dst"), "dst").where("ksrc = kdst").select("src", "dst", F.col("ksrc").alias("component")))
     drop(own, parts)

@@ -147,3 +147,25 @@ def test_large_components_are_walked_in_rounds(spark, monkeypatch):
     found = {r.component: (r.length, r.cycle) for r in graph.witness_cycles(table(spark, edges, "string")).collect()}
     monkeypatch.setattr(graph, "KERNEL_EDGES", 4)
     assert {r.component: (r.length, r.cycle) for r in graph.witness_cycles(table(spark, edges, "string")).collect()} == found
+
+
+def test_few_edges_go_to_the_kernel_as_they_are(spark, monkeypatch):
+    """Parts that have cycles take no rounds where one task may have all edges, whatever their form; then the same by rounds."""
+    from sylva.operators import project
+
+    rng = random.Random(3)
+    names = [f"f{i}.ts" for i in range(60)]
+    edges = sorted({(rng.choice(names), rng.choice(names)) for _ in range(70)} | {(names[0], names[0])})
+    rows = table(spark, edges, "string")
+    assert {r.node: r.component for r in graph.components(rows).collect()} == plain(edges)
+    rounds = []
+    whole = graph.strongly_connected
+    monkeypatch.setattr(graph, "strongly_connected", lambda e: rounds.append(1) or whole(e))
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    want = {c for c in plain(edges).values() if any(plain(edges)[s] == plain(edges)[d] == c for s, d in edges)}
+    graph_of = project.Project(files, rows.selectExpr("src", "dst", "dst AS written"))
+    found = project.import_cycles(graph_of)
+    assert {r.path for r in found.collect()} == want and not rounds
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    assert {r.path for r in project.import_cycles(graph_of).collect()} == want and rounds
+    assert graph.components(rows.limit(0)).count() == 0
