@@ -304,10 +304,6 @@ def tokens(text: str = "text"):
 _GRAMS = "t AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x09-\\x0D\\x20]+') AS w FROM documents), g AS (SELECT doc_id, pos - 1 AS pos, array_to_string(w[pos:pos + 19], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM t WHERE len(w) >= 20))"
 
 
-def grams(spark, d):
-    return clones.kgrams(read(spark, d, "documents"), "doc_id", tokens())
-
-
 def repeated(spark, d):
     return clones.repeated_grams(read(spark, d, "documents"), "doc_id", tokens())
 
@@ -380,7 +376,7 @@ def q54(spark, d):
 
 @register("q27_index_stats", f"WITH {_GRAMS}, c AS (SELECT md5(gram) AS gram, count(*) AS n FROM g GROUP BY 1) SELECT count(*) AS hashes, sum(n)::BIGINT AS shingles, count(*) FILTER (n > 1) AS collisions FROM c")
 def q27(spark, d):
-    return clones.index_stats(grams(spark, d))
+    return clones.index_stats(read(spark, d, "documents"), "doc_id", tokens())
 
 
 _TOKENS = "t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[.,;:!?|#*$%&<>]')) AS value FROM documents)"

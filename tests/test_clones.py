@@ -162,3 +162,53 @@ def test_pairs_compare_texts_once(spark, monkeypatch):
                 n += 1
             want.append((a, b, p, p + s, n + k - 1))
     assert got == sorted(want) and (10, 18, 0, 0, 30) in got
+
+
+ODD = [(1, "a b c d e f g"), (2, "x a b c d e y"), (2, "x a b c d e y"), (3, None), (4, "a b"), (5, "z z z z z z z"), (None, "a b c d q r s"), (None, "q r s t"), (6, "m n o p"), (7, "")]
+
+
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id bigint, text string"), F.filter(F.split("text", " "), lambda x: x != "")
+
+
+def exchanges(df, by):
+    return df._jdf.queryExecution().executedPlan().toString().count(f"Exchange hashpartitioning({by}#")
+
+
+def test_index_counts_all_grams_and_shuffles_the_repeated_only(spark):
+    """Single k-grams are counted without being dealt; an empty table has none."""
+    df, tokens = odd(spark)
+    for k in (3, 4, 7):
+        n = {}
+        for _, text in ODD:
+            t = (text or "").split()
+            for i in range(len(t) - k + 1):
+                n[tuple(t[i : i + k])] = n.get(tuple(t[i : i + k]), 0) + 1
+        assert tuple(clones.index_stats(df, "doc_id", tokens, k).first()) == (len(n), sum(n.values()), sum(x > 1 for x in n.values()))
+        found = clones.repeated_grams(df, "doc_id", tokens, k)
+        assert found.count() < sum(n.values())
+    assert tuple(clones.index_stats(df.limit(0), "doc_id", tokens, 3).first()) == (0, None, 0)
+
+
+def test_grams_are_dealt_once_and_written_once(spark, monkeypatch):
+    """Collisions take one exchange by k-gram and no table; pairs one exchange by k-gram, a table of texts and one of pairs."""
+    df, tokens = odd(spark)
+    written, cut = [], clones.cut
+    monkeypatch.setattr(clones, "cut", lambda x: written.append(x) or cut(x))
+    found = clones.collisions(clones.repeated_grams(df, "doc_id", tokens, 4), "doc_id")
+    assert exchanges(found, "h") == 1 and not written
+    assert {(r.n, r.docs) for r in found.collect()} == {(4, 2), (3, 2)}  # a null key is no document
+    unique = df.where("doc_id in (1, 5, 6)").unionByName(df.where("doc_id = 2").distinct())
+    clones.clone_pairs(clones.repeated_texts(unique, "doc_id", tokens, 4), "doc_id", 4).collect()
+    assert len(written) == 2 and exchanges(written[1], "h") == 1
+
+
+def test_slices_hold_texts_whole(monkeypatch):
+    """Only a text of more tokens than are hashed at once is a slice of its own that is hashed in parts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(clones, "AT_ONCE", 10)
+    sizes = [4, 4, 4, 0, 25, 1, 9, 10, 11, 3]
+    batch = pa.RecordBatch.from_arrays([pa.array([["w"] * n if n else None for n in sizes])], names=["t"])
+    parts = [[len(x or ()) for x in part.column("t").to_pylist()] for part, _ in clones._sliced([batch])]
+    assert parts == [[4, 4], [4, 0], [25], [1, 9], [10], [11], [3]]
