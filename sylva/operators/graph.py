@@ -538,7 +538,7 @@ def walked_cycles(inner: DataFrame) -> DataFrame:
 def cycle_edges(edges: DataFrame) -> DataFrame:
     """Edges on a cycle: both ends in one component (a self-loop is one)."""
     edges = cut(edges)
-    scc = strongly_connected(edges)
+    scc = components(edges)
     of = lambda c: scc.select(F.col("node").alias(c), F.col("component").alias(f"k{c}"))
     return edges.join(of("src"), "src").join(of("dst"), "dst").where("ksrc = kdst").select("src", "dst")
 
