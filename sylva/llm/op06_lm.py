@@ -40,8 +40,8 @@ UNITS, PER_ROOT, OTHERS, DIM = 512, 10, 4, 16
 BATCH, NOISE, CLASS_NOISE, RATE, SEED = 4096, 64, 8, 0.03, 7
 #: Rounds of learning; the least tokens of a bucket, and tokens a unit; parts of one in which moves are summed.
 ROUNDS, LEAST_BUCKET, PER_UNIT, SCALE = 4, 1 << 20, 256, 1 << 24
-#: Tokens that are normalised at once.
-SLICE = 1 << 14
+#: Tokens that are dealt to their classes at once, and normalised at once; scores that no exponential overflows by.
+SLICE, PART, SAFE = 1 << 16, 1 << 12, 60.0
 TABLE_ROWS, MERGE = 1 << 18, 1 << 21
 #: The end's key; words' hashes have 63 bits.
 END = np.int64(-1)
@@ -124,13 +124,24 @@ def contexts(units: np.ndarray, rows: np.ndarray, start: int) -> tuple[np.ndarra
     return one, two
 
 
-def log_sum(s: np.ndarray) -> np.ndarray:
-    """The log of the sum of each row's exponentials; overwrites s."""
+def log_sum(s: np.ndarray, bound: float = np.inf) -> np.ndarray:
+    """The log of the sum of each row's exponentials; overwrites s. No entry is larger than bound or less than -bound."""
+    if bound < SAFE:  # no exponential is too large or small for single precision
+        return np.log(np.exp(s, out=s).sum(1))
     top = s.max(1, keepdims=True)
     s -= top
     return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
 
 
+def noise_terms(s: np.ndarray) -> np.ndarray:
+    """-sigma(s) of each entry; overwrites s."""
+    np.clip(s, -30, 30, out=s)
+    np.negative(s, out=s)
+    np.exp(s, out=s)
+    s += 1
+    return np.divide(-1, s, out=s)
+
+
 class LogBilinear:
     """r: vectors of context units; c: the two places' weights; qc, bc: of classes; q, b: of units within their class.
 
@@ -169,42 +180,55 @@ class LogBilinear:
         """A minibatch of NCE, Adagrad."""
         place = self.place[unit]
         cls = self.class_of[place]
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(short(cls, len(self.qc)), kind="stable")
         one, two, place, cls = one[order], two[order], place[order], cls[order]
         n, k, m = len(unit), NOISE, CLASS_NOISE
         r1, r2 = self.r[one], self.r[two]
         h = r1 * self.c[0] + r2 * self.c[1]
         # classes: d/ds of log sigma(s - log k p(class)) and of the noise terms
         noise = np.minimum(np.searchsorted(self.cumulative_c, rng.random(k) * self.cumulative_c[-1]), len(self.qc) - 1)
-        s = (h * self.qc[cls]).sum(1) + self.bc[cls] - self.noise_c[cls] - np.float32(np.log(k))
+        first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        edges, has = np.append(first, n).tolist(), cls[first]
+        own = self.qc[cls]
+        s = np.einsum("ij,ij->i", h, own) + self.bc[cls] - self.noise_c[cls] - np.float32(np.log(k))
         up = 1 / (1 + np.exp(np.clip(s, -30, 30)))
-        s = h @ self.qc[noise].T + (self.bc[noise] - self.noise_c[noise] - np.float32(np.log(k)))
-        down = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        dh = up[:, None] * self.qc[cls] + down @ self.qc[noise]
-        gqc, gbc = added(cls, up[:, None] * h, len(self.qc)), np.bincount(cls, up, len(self.qc)).astype(np.float32)
+        s = h @ self.qc[noise].T
+        s += self.bc[noise] - self.noise_c[noise] - np.float32(np.log(k))
+        down = noise_terms(s)
+        dh = up[:, None] * own
+        dh += down @ self.qc[noise]
+        gqc, gbc = np.zeros_like(self.qc), np.bincount(cls, up, len(self.qc)).astype(np.float32)
+        gqc[has] = np.add.reduceat(up[:, None] * h, first, axis=0)
         np.add.at(gqc, noise, down.T @ h)
         np.add.at(gbc, noise, down.sum(0))
-        # units: the same within each class that the minibatch has
-        first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-        has, group = cls[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+        # units: the same within each class that the minibatch has, whose tokens follow each other
         lo, hi = self.starts[has][:, None], self.starts[has + 1][:, None]
         low = self.cumulative[lo]
         drawn = np.searchsorted(self.cumulative, low + rng.random((len(has), m)) * (self.cumulative[hi] - low), side="right") - 1
         drawn = np.clip(drawn, lo, hi - 1)
-        s = (h * self.q[place]).sum(1) + self.b[place] - self.noise[place] - np.float32(np.log(m))
+        own = self.q[place]
+        s = np.einsum("ij,ij->i", h, own) + self.b[place] - self.noise[place] - np.float32(np.log(m))
         up = 1 / (1 + np.exp(np.clip(s, -30, 30)))
         qn, bn = self.q[drawn], self.b[drawn] - self.noise[drawn] - np.float32(np.log(m))
-        qn = qn[group]
-        s = np.matmul(qn, h[:, :, None])[:, :, 0] + bn[group]
-        down = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        dh += up[:, None] * self.q[place] + np.matmul(down[:, None, :], qn)[:, 0]
-        of_noise = np.add.reduceat(down[:, :, None] * h[:, None, :], first, axis=0).reshape(-1, h.shape[1])
-        at = np.concatenate([place, drawn.ravel()])
-        gq = np.concatenate([up[:, None] * h, of_noise])
-        gb = np.concatenate([up, np.add.reduceat(down, first, axis=0).ravel()])
-        gc = np.stack([(dh * r1).sum(0), (dh * r2).sum(0)])
+        s = np.empty((n, m), np.float32)
+        for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            np.matmul(h[lo:hi], qn[i].T, out=s[lo:hi])
+            s[lo:hi] += bn[i]
+        down = noise_terms(s)
+        own *= up[:, None]
+        dh += own
+        of_noise = np.empty((len(has), m, h.shape[1]), np.float32)
+        for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            dh[lo:hi] += down[lo:hi] @ qn[i]
+            np.matmul(down[lo:hi].T, h[lo:hi], out=of_noise[i])
+        at = np.concatenate([place, drawn.ravel().astype(np.int32)])
+        ups = np.empty((len(at), h.shape[1] + 1), np.float32)
+        np.multiply(up[:, None], h, out=ups[:n, :-1])
+        ups[n:, :-1] = of_noise.reshape(-1, h.shape[1])
+        ups[:n, -1], ups[n:, -1] = up, np.add.reduceat(down, first, axis=0).ravel()
+        gc = np.stack([np.einsum("ij,ij->j", dh, r1), np.einsum("ij,ij->j", dh, r2)])
         r, gr = sums(np.concatenate([one, two]), np.concatenate([dh * self.c[0], dh * self.c[1]]))
-        u, g = sums(at, np.concatenate([gq, gb[:, None]], 1))
+        u, g = sums(at, ups)
         for x, i, g, g2 in zip(self.weights(), (r, ..., ..., ..., u, u), (gr, gc, gqc, gbc, g[:, :-1], g[:, -1]), self.g2):
             g = g / np.float32(n)
             now = g2[i] + g * g
@@ -244,21 +268,34 @@ class LogBilinear:
     def log_probs(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """log P(unit | contexts) of each token."""
         out = np.empty(len(unit))
+        reach_c, reach = np.abs(self.qc).max(0), np.abs(self.q).max(0)
+        most_c, most = np.abs(self.bc).max(), np.abs(self.b).max()
         for at in range(0, len(unit), SLICE):
-            o, t, p = one[at : at + SLICE], two[at : at + SLICE], self.place[unit[at : at + SLICE]]
+            # tokens of a class follow each other
+            place = self.place[unit[at : at + SLICE]]
+            order = np.argsort(short(self.class_of[place], len(self.qc)), kind="stable")
+            o, t, p = one[at : at + SLICE][order], two[at : at + SLICE][order], place[order]
             cls = self.class_of[p]
             h = self.r[o] * self.c[0] + self.r[t] * self.c[1]
-            s = h @ self.qc.T
-            s += self.bc
-            got = s[np.arange(len(p)), cls] - log_sum(s)
-            order = np.argsort(cls, kind="stable")
-            edges = np.searchsorted(cls[order], np.arange(len(self.qc) + 1))
+            of_h = np.abs(h).max(0)
+            bound_c, bound = of_h @ reach_c + most_c, of_h @ reach + most
+            got = np.empty(len(p))
+            for lo in range(0, len(p), PART):
+                s = h[lo : lo + PART] @ self.qc.T
+                s += self.bc
+                got[lo : lo + PART] = s[np.arange(len(s)), cls[lo : lo + PART]]
+                got[lo : lo + PART] -= log_sum(s, bound_c)
+            edges = np.searchsorted(cls, np.arange(len(self.qc) + 1))
             for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(self.starts) > 1)):
-                i, lo, hi = order[edges[k] : edges[k + 1]], self.starts[k], self.starts[k + 1]
-                s = h[i] @ self.q[lo:hi].T
-                s += self.b[lo:hi]
-                got[i] += s[np.arange(len(i)), p[i] - lo] - log_sum(s)
-            out[at : at + SLICE] = got
+                lo, hi = self.starts[k], self.starts[k + 1]
+                q, b = self.q[lo:hi].T, self.b[lo:hi]
+                for i in range(edges[k], edges[k + 1], PART):
+                    j = min(i + PART, edges[k + 1])
+                    s = h[i:j] @ q
+                    s += b
+                    got[i:j] += s[np.arange(j - i), p[i:j] - lo]
+                    got[i:j] -= log_sum(s, bound)
+            out[at : at + SLICE][order] = got
         return out
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,19 +307,14 @@ class LogBilinear:
         return first, second, np.stack([log_sum(second + x) for x in first])
 
 
-def added(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows by index."""
-    order = np.argsort(index, kind="stable")
-    at = index[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out = np.zeros((size, rows.shape[1]), np.float32)
-    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+def short(index: np.ndarray, size: int) -> np.ndarray:
+    """The same numbers in two bytes if they fit, which sort faster."""
+    return index.astype(np.uint16) if size <= 1 << 16 else index
 
 
 def sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different indices and their rows' sums."""
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(short(index, int(index.max()) + 1), kind="stable")
     at = index[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return at[first], np.add.reduceat(rows[order], first, axis=0)
@@ -417,10 +449,12 @@ def score_texts(docs: DataFrame, shipped) -> DataFrame:
             for at, part in chunks(byte_texts(batch)):
                 keys, rows = keys_of(part)
                 m = len(part)
-                unit = units.of(keys)
+                words, which = np.unique(keys, return_inverse=True)  # each different word is looked up once
+                unit = units.of(words)[which]
                 token = model.log_probs(*contexts(unit, rows, len(model.place)), unit)
-                place = np.minimum(np.searchsorted(keys_known, keys), max(0, len(keys_known) - 1))
-                known = keys_known[place] == keys if len(keys_known) else np.zeros(len(keys), bool)
+                place = np.minimum(np.searchsorted(keys_known, words), max(0, len(keys_known) - 1))
+                known = keys_known[place] == words if len(keys_known) else np.zeros(len(words), bool)
+                place, known = place[which], known[which]
                 base = np.bincount(rows[known], base_known[place[known]], m)
                 token[known] += within_known[place[known]]
                 score = np.bincount(rows, token, m) / np.log(10)

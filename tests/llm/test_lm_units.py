@@ -77,3 +77,31 @@ def test_moves_are_the_mean_of_those_that_moved_a_row():
     want[3 * 16 : 4 * 16] += 2
     want[5 * 16 : 6 * 16] -= 1
     assert np.allclose(model.flat(), want, atol=1e-5)
+
+
+def test_kernels_equal_plain_sums_for_small_and_large_scores(monkeypatch):
+    """Scores are the same whether normalisers need the largest score or not, and whatever the slices; terms of noise are -sigma."""
+    rng = np.random.default_rng(2)
+    n = 40
+    model = op06_lm.LogBilinear(np.log(rng.dirichlet(np.ones(n))))
+    unit = rng.integers(0, n, 300).astype(np.int32)
+    one, two = op06_lm.contexts(unit, np.sort(rng.integers(0, 9, 300)), n)
+    model.train(one, two, unit, rng)
+    for scale in (1, 200):
+        model.q, model.qc = model.q * np.float32(scale), model.qc * np.float32(scale)
+        h = (model.r[one] * model.c[0] + model.r[two] * model.c[1]).astype(float)
+        full = lambda s: s - np.log(np.exp(s - s.max(1, keepdims=True)).sum(1, keepdims=True)) - s.max(1, keepdims=True)
+        of_class, want = full(h @ model.qc.T + model.bc), []
+        for i, p in enumerate(model.place[unit]):
+            k = model.class_of[p]
+            a, b = model.starts[k], model.starts[k + 1]
+            want.append(of_class[i, k] + full(h[i : i + 1] @ model.q[a:b].T + model.b[a:b])[0, p - a])
+        for safe, part, many in ((60.0, 1 << 12, 1 << 16), (-1.0, 7, 50)):
+            for name, x in (("SAFE", safe), ("PART", part), ("SLICE", many)):
+                monkeypatch.setattr(op06_lm, name, x)
+            assert np.allclose(model.log_probs(one, two, unit), want, rtol=1e-4, atol=1e-3)
+    s = rng.normal(0, 40, 50).astype(np.float32)
+    assert np.allclose(op06_lm.noise_terms(s.copy()), -1 / (1 + np.exp(-np.clip(s, -30, 30))), rtol=1e-6)
+    index, rows = rng.integers(0, 9, 100), rng.normal(size=(100, 3))
+    at, got = op06_lm.sums(index + (1 << 17), rows)
+    assert (at == np.unique(index) + (1 << 17)).all() and np.allclose(got, [rows[index == i].sum(0) for i in np.unique(index)])
