@@ -18,8 +18,8 @@ from sylva.functions.paths import short_path
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a written table in the session's shared folder (spark.checkpoint.dir).
+def cut(df: DataFrame, **options) -> DataFrame:
+    """Cuts lineage by a written table in the session's shared folder (spark.checkpoint.dir); options are the writer's.
 
     A local folder is made only in local mode, where none is set.
     """
@@ -36,7 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(to)
+        df.write.options(**options).parquet(to)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(to)

@@ -226,3 +226,62 @@ def test_texts_of_several_rows_are_put_together_others_stay(spark, monkeypatch):
     written, cut = [], clones.cut
     monkeypatch.setattr(clones, "cut", lambda x: written.append(x) or cut(x))
     assert clones._texts(found.where("doc_id = 2"), "doc_id").count() == 1 and len(written) == 1
+
+
+def test_code_of_any_size_is_compared_by_chunks(spark, monkeypatch):
+    """No row holds more than a chunk, wherever a file is cut into rows; passages across borders are whole, with their lines and type."""
+    from sylva.sources import lexer
+
+    rng, k = np.random.default_rng(11), 4
+    bits = ["a ", "b ", "1 ", "if ", "+ ", "; ", "\n", "// x\n", "/* y\n */", "`r\nr` "]
+    body = "".join(rng.choice(bits, 90))
+    texts = {f"f{i}.go": "".join(rng.choice(bits, rng.integers(0, 150))) for i in range(5)}
+    texts |= {"g.go": body, "h.go": "x := 2\n" + body.replace("a ", "c "), "i.go": body[40:] + body + body + "\n`open /* ", "j.go": ""}
+    cuts = {p: sorted({0, len(t), *rng.integers(0, len(t) + 1, 6).tolist()}) for p, t in texts.items()}
+    rows = [(p, n, texts[p][x:y]) for p, c in cuts.items() for n, (x, y) in enumerate(zip(c, c[1:]))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(p, int(n), t) for p, n, t in rows] + [(None, 0, body), ("j.go", 9, None)], "path string, n int, text string")
+
+    raw, t, line = ({p: lexer.tokens(x)[f] for p, x in texts.items()} for f in range(3))
+    grams = {}
+    for p in sorted(t):
+        for i in range(len(t[p]) - k + 1):
+            grams.setdefault(tuple(t[p][i : i + k]), {}).setdefault(p, []).append(i)
+    links = {(min(g), p, at[0] - g[min(g)][0]) for g in grams.values() for p, at in g.items() if p != min(g)}
+    same = {(a, b, s, i) for a, b, s in links for i in range(len(t[a]) - k + 1) if 0 <= i + s <= len(t[b]) - k and t[a][i : i + k] == t[b][i + s : i + s + k]}
+    same |= {(p, p, i - at[0], at[0]) for g in grams.values() for p, at in g.items() for i in at[1:]}
+    want = []
+    for a, b, s, i in same:
+        if (a, b, s, i - 1) not in same:
+            n = 1
+            while (a, b, s, i + n) in same:
+                n += 1
+            n += k - 1
+            lines = line[a][i + n - 1] - line[a][i] + 1
+            want.append((a, b, i, i + s, n, line[a][i], line[b][i + s], lines, "exact" if raw[a][i : i + n] == raw[b][i + s : i + s + n] else "renamed"))
+    assert max(x[4] for x in want) > 40 and {x[8] for x in want} == {"exact", "renamed"} and any(x[0] == x[1] for x in want)
+    written, cut = [], clones.cut
+    monkeypatch.setattr(clones, "cut", lambda x, **options: written.append(cut(x, **options)) or written[-1])
+    for chunk, step, copies, least, lines in ((13, 7, 2, 0, 0), (40, 30, 256, 9, 3), (1 << 15, 1 << 20, 256, 0, 0)):
+        for module, name, x in ((clones, "CHUNK", chunk), (clones, "PAIRS_A_COPY", copies), (lexer, "STEP", step)):
+            monkeypatch.setattr(module, name, x)
+        written.clear()
+        got = [tuple(r) for r in clones.code_clones(df, k, least, lines, order=("n",)).collect()]
+        assert sorted(got) == sorted(x for x in want if x[4] >= least and x[7] >= lines)
+        assert written[0].selectExpr("max(length(t))", "max(length(raw))").first() <= (4 * (chunk + k - 1), 8 * chunk)
+
+
+def test_scanner_of_parts_gives_the_tokens_of_the_whole():
+    from sylva.sources import lexer
+
+    rng = np.random.default_rng(5)
+    bits = ["`", '"', "'", "\\", "\n", "/*", "*/", "//", "a", "func", "12", ".5", "..", ".", "&^", "=", "<", "<<", " ", "é", "*", "/", ":="]
+    hashes = lexer._Hashes()
+    for _ in range(2000):
+        text = "".join(rng.choice(bits, rng.integers(0, 25)))
+        raw, normal, line = lexer.tokens(text)
+        scanner, got, n = lexer.Scanner(hashes), [[], [], []], int(rng.integers(1, 6))
+        for i in range(0, len(text) + n, n):
+            for x, y in zip(got, scanner.scan(text[i : i + n], i >= len(text))):
+                x += y.tolist()
+        assert got == [[lexer.CODES.get(x) or ord(x) for x in normal], [hashes[x] for x in raw], line]
